@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,8 +28,22 @@ def get_session(app: str = "sitetide", master: str | None = None, **conf: str) -
     return builder.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Let the workers import this package where PYTHONPATH does not already do so."""
+    home, context = Path(__file__).resolve().parent, spark.sparkContext
+    if str(home.parent) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(context, "_sitetide", False):
+        return
+    packed = Path(tempfile.mkdtemp(prefix="sitetide-")) / "sitetide.zip"
+    with zipfile.ZipFile(packed, "w") as out:
+        for source in sorted(home.rglob("*.py")):
+            out.write(source, source.relative_to(home.parent))
+    context.addPyFile(str(packed))
+    context._sitetide = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver tables, read lazily."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
