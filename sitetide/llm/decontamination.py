@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -134,7 +135,6 @@ def hit_spans(found: DataFrame) -> DataFrame:
             on = np.zeros(len(words_of(t)), bool)
             on[np.asarray(h, np.int64)] = True
             out.append([{"start": s, "end": e} for s, e in spans_of(t, on)])
-        import pandas as pd
 
         return pd.Series(out)
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from sitetide.llm import decontamination, sharding, simhash
+from sitetide.llm import bpe, decontamination, pii, sharding, simhash, token_output
 
 
 def queries() -> dict:
     return {
+        "op2_orc_tokens": token_output.op2_orc_tokens,
+        "op3_anchor_expansion": pii.op3_anchor_expansion,
+        "op5_word_table_bpe": bpe.op5_word_table_bpe,
         "op6_aho_corasick": decontamination.op6_aho_corasick,
         "op7_simhash_variants": simhash.op7_simhash_variants,
         "op9_virtual_slots": sharding.op9_virtual_slots,

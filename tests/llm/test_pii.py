@@ -1,0 +1,63 @@
+import hashlib
+import re
+
+from pyspark.sql import functions as F
+
+from sitetide.llm import pii
+
+
+def brute(text):
+    """Base spans by the plain patterns, leftmost and non-overlapping for each kind."""
+    text, out = text or "", []
+    for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text):
+        out.append(("email", *m.span()))
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
+        if all(int(p) <= 255 for p in m[0].split(".")):
+            out.append(("ip", *m.span()))
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        digits = [int(c) for c in m[0] if c.isdigit()]
+        check = sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(digits[::-1]))
+        if 14 <= len(digits) <= 19 and check % 10 == 0:
+            out.append(("card", *m.span()))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text):
+        if 10 <= sum(c.isdigit() for c in m[0]) <= 15:
+            out.append(("phone", *m.span()))
+    return sorted(out, key=lambda x: (x[1], pii.KINDS.index(x[0])))
+
+
+def test_base_spans_match_plain_patterns(docs, rows):
+    got = pii.find_spans(docs).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert [(s["kind"], s["start"], s["end"]) for s in r["spans"] if s["base"]] == brute(r["text"])
+
+
+def test_added_spans_and_mask(docs):
+    r = pii.find_spans(docs).filter("doc_id = 13").first()
+    found = {(s["kind"], r["text"][s["start"] : s["end"]]) for s in r["spans"] if not s["base"]}
+    assert found == {("url", "https://user@ex.com/a?b=1"), ("account", "1234 5678"), ("iban", "DE89 3704 0044 0532 0130 00")} - {
+        x for x in [("url", "https://user@ex.com/a?b=1")] if any(s["kind"] == "email" for s in r["spans"])
+    }
+    texts = {x["doc_id"]: x["text"] for x in pii.mask(docs).filter("doc_id is not null").collect()}
+    assert "[EMAIL]" in texts[8] and "@y" in texts[8] and texts[2] == "" and texts[4] == "   \n\t "
+    assert pii.mask(docs).columns == docs.columns
+
+
+def test_query_equals_brute_force(spark, small):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    got = pii.op3_anchor_expansion(spark, small).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        base = brute(texts[r["doc_id"]])
+        assert r["base_sha256"] == hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in base).encode()).hexdigest()
+        assert [r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]] == [sum(k == x for k, _, _ in base) for x in pii.KINDS[:4]]
+
+
+def test_empty_table(empty):
+    assert pii.find_spans(empty).count() == 0 and pii.mask(empty).count() == 0
+
+
+def test_long_runs_stay_linear(spark):
+    texts = ["a" * 200_000 + "@", "1" * 3_000 + ".1" * 3, "1." * 5_000, "+" + "1 " * 5_000]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert pii.find_spans(df).select(F.size("spans")).count() == 4
