@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from sitetide.llm import bpe, decontamination, pii, sharding, simhash, token_output
+from sitetide.llm import bpe, decontamination, embeddings, pii, sharding, simhash, token_output
 
 
 def queries() -> dict:
     return {
+        "op10_kmeans_cells": embeddings.op10_kmeans_cells,
         "op2_orc_tokens": token_output.op2_orc_tokens,
         "op3_anchor_expansion": pii.op3_anchor_expansion,
         "op5_word_table_bpe": bpe.op5_word_table_bpe,
