@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,16 +12,19 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sitetide.session import table, written
 
 VOCABULARY = "word_bpe_49k.json"
-#: Most frequent words whose ids are sent to all tasks: with the word and its ids some 5 MB.
-COMMON = 1 << 17
+#: Most frequent words whose ids are sent to all tasks: with the word and its ids some 2 MB.
+COMMON = 1 << 16
 #: Bytes of text taken at a time inside a batch, and words kept by a task from one such piece to the next.
-PIECE_BYTES = 8 << 20
+PIECE_BYTES = 4 << 20
 CACHE_WORDS = 1 << 18
+_MARKS = ".,;:!?"
+_LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+_SIMPLE = f"^[{_LATIN}]+[{_MARKS}]?$"
+_PLAIN = re.compile(f"[{_LATIN}]+")
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -59,87 +63,168 @@ def pieces(batch: pa.RecordBatch, size: int = PIECE_BYTES) -> Iterator[pa.Record
         at = to
 
 
-class Words:
-    """Ids of distinct words: first the common table, then those this task has met, then the tokenizer."""
+def parts_of(chunks: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The key of each distinct word and its closing mark (0: none).
+
+    A word of Latin letters with at most one closing mark is keyed by its lower-cased letters, which the tokenizer
+    always takes apart from the mark; any other word is its own key.
+    """
+    simple = pc.match_substring_regex(chunks, _SIMPLE)
+    bare = pc.utf8_lower(pc.utf8_rtrim(chunks, _MARKS))
+    last = pc.index_in(pc.utf8_slice_codeunits(chunks, -1, 1 << 30), value_set=pa.array(list(_MARKS))).fill_null(-1)
+    marks = np.where(simple.to_numpy(zero_copy_only=False), last.to_numpy(zero_copy_only=False) + 1, 0)
+    return pc.if_else(simple, bare, chunks), marks
+
 
-    def __init__(self, path: str, words: pa.Array | None = None, ids: list | None = None):
-        self.model, self.common = load(path), words if words is not None else pa.array([], pa.string())
-        sizes = np.array([len(x) for x in ids or []], np.int64)
-        self.flat = np.array([y for x in ids or [] for y in x], np.int32)
-        self.starts = np.cumsum(sizes) - sizes
-        self.sizes, self.met = sizes, {}
+def spread(starts: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the items of runs ``codes`` in turn, and where each run begins (one bound more)."""
+    n = sizes[codes]
+    ends = np.concatenate(([0], np.cumsum(n)))
+    return np.arange(ends[-1]) + np.repeat(starts[codes] - ends[:-1], n), ends
+
+
+class Words:
+    """Ids of distinct words: from the common table, then those this task has met, then from the tokenizer."""
+
+    def __init__(self, path: str, words: list[str] | None = None, flat: np.ndarray | None = None, sizes: np.ndarray | None = None):
+        self.model = load(path)
+        size = self.model.get_vocab_size(with_added_tokens=True)
+        self.closing = np.array([(self.model.id_to_token(k) or "").endswith("</w>") for k in range(size)])
+        self.common = {w: k for k, w in enumerate(words or [])}
+        marks = [e.ids for e in self.model.encode_batch_fast(list(_MARKS), add_special_tokens=False)]
+        self.mark_sizes = np.array([0] + [len(x) for x in marks])
+        self.mark_flat = np.array([y for x in marks for y in x], np.int32)
+        self.first = (flat if flat is not None else np.empty(0, np.int32), sizes if sizes is not None else np.empty(0, np.int64))
+        self.forget()
+
+    def forget(self) -> None:
+        self.met, self.flat, self.sizes = dict(self.common), [self.first[0]], [self.first[1]]
+
+    def learn(self, keys: list[str]) -> None:
+        """Encode words not met so far; plain ones together, as each ends with exactly one closing piece."""
+        plain = [w for w in keys if w.isalpha() and _PLAIN.fullmatch(w)]
+        for at in range(0, len(plain), 2000):
+            group = plain[at : at + 2000]
+            ids = np.array(self.model.encode_batch_fast([" ".join(group)], add_special_tokens=False)[0].ids, np.int32)
+            ends = np.flatnonzero(self.closing[ids]) + 1
+            if len(ends) != len(group):
+                raise ValueError("a plain word was not one unit")
+            self._add(group, ids, np.diff(ends, prepend=0))
+        done = set(plain)
+        other = [w for w in keys if w not in done]
+        for at in range(0, len(other), 2000):
+            group = other[at : at + 2000]
+            each = [e.ids for e in self.model.encode_batch_fast(group, add_special_tokens=False)]
+            self._add(group, np.array([y for x in each for y in x], np.int32), np.array([len(x) for x in each], np.int64))
+
+    def _add(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.met.update(zip(words, range(len(self.met), len(self.met) + len(words)), strict=True))
+        self.flat.append(ids)
+        self.sizes.append(sizes)
 
     def encode(self, texts: pa.Array) -> pa.ListArray:
         words, bounds = split_words(texts)
         coded = words.dictionary_encode()
-        distinct, codes = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
-        at = pc.index_in(distinct, value_set=self.common).fill_null(-1).to_numpy(zero_copy_only=False) if len(self.common) else np.full(len(distinct), -1)
-        other = np.flatnonzero(at < 0)
-        rare = distinct.take(pa.array(other)).to_pylist()
-        new = [w for w in rare if w not in self.met]
-        if len(self.met) + len(new) > CACHE_WORDS:
-            self.met = {w: self.met[w] for w in rare if w in self.met}
-        self.met.update(zip(new, (e.ids for e in self.model.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-        mine = [self.met[w] for w in rare]
-        extra = np.array([len(x) for x in mine], np.int64)
-        flat = np.concatenate((self.flat, np.array([y for x in mine for y in x], np.int32)))
-        starts, sizes = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
-        known = np.flatnonzero(at >= 0)
-        starts[known], sizes[known] = self.starts[at[known]], self.sizes[at[known]]
-        starts[other], sizes[other] = len(self.flat) + np.cumsum(extra) - extra, extra
-        n = sizes[codes]
-        ends = np.concatenate(([0], np.cumsum(n)))
-        take = np.arange(ends[-1]) + np.repeat(starts[codes] - ends[:-1], n)
+        keys, marks = parts_of(coded.dictionary)
+        coded_keys = keys.dictionary_encode()
+        distinct = coded_keys.dictionary.to_pylist()
+        new = [w for w in distinct if w not in self.met]
+        if len(self.met) - len(self.common) + len(new) > CACHE_WORDS:
+            self.forget()
+            new = [w for w in distinct if w not in self.met]
+        self.learn(new)
+        self.flat, self.sizes = [np.concatenate(self.flat)], [np.concatenate(self.sizes)]
+        known = len(self.sizes[0])
+        flat, sizes = np.concatenate((self.flat[0], self.mark_flat)), np.concatenate((self.sizes[0], self.mark_sizes))
+        starts = np.cumsum(sizes) - sizes
+        at = np.fromiter((self.met[w] for w in distinct), np.int64, len(distinct))[coded_keys.indices.to_numpy(zero_copy_only=False)]
+        take, ends = spread(starts, sizes, np.column_stack((at, known + marks)).ravel())
+        flat, first = flat[take], ends[::2]  # ids of each distinct word with its mark
+        take, ends = spread(first[:-1], np.diff(first), coded.indices.to_numpy(zero_copy_only=False))
         return pa.ListArray.from_arrays(pa.array(ends[bounds].astype(np.int32)), pa.array(flat[take]))
 
 
-def word_table(docs: DataFrame, path: str) -> DataFrame:
-    """``word, n, ids``: every distinct word of the corpus, how often it occurs, and its ids, encoded once."""
+class Pieces:
+    """The fixed id-to-piece table of a tokenizer without a decoder: pieces are joined by one space."""
+
+    def __init__(self, path: str):
+        model = load(path)
+        size = model.get_vocab_size(with_added_tokens=True)
+        self.table = pa.array([(model.id_to_token(k) or "") + " " for k in range(size)], pa.binary())
+
+    def decode(self, ids: pa.ListArray) -> list[bytes]:
+        flat = self.table.take(ids.flatten())
+        _, offsets, data = flat.buffers()
+        bounds = np.frombuffer(offsets, np.int32)[flat.offset : flat.offset + len(flat) + 1]
+        ends = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False).astype(np.int64))))
+        raw = memoryview(data) if data is not None else memoryview(b"")
+        return [bytes(raw[bounds[s] : bounds[e] - 1]) if e > s else b"" for s, e in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+
+def word_table(docs: DataFrame) -> DataFrame:
+    """``word, n``: every distinct word key of the corpus and how often it occurs."""
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch, 4 * PIECE_BYTES):
                 counts = split_words(piece.column(1))[0].value_counts()
-                yield pa.RecordBatch.from_arrays([counts.field("values"), counts.field("counts")], ["word", "n"])
+                words = pa.table({"word": parts_of(counts.field("values"))[0], "n": counts.field("counts")})
+                yield from words.group_by("word").aggregate([("n", "sum")]).rename_columns(["word", "n"]).to_batches()
+
+    found = docs.select(F.lit(0), "text").mapInArrow(distinct, "word string, n long")
+    return found.filter("word <> ''").groupBy("word").agg(F.sum("n").alias("n"))
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def encoded_words(words: DataFrame, path: str) -> DataFrame:
+    """``word, ids`` of a table of distinct words, each encoded once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(path)
         for batch in batches:
             ids = [e.ids for e in model.encode_batch_fast(batch.column(0).to_pylist(), add_special_tokens=False)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], ["word", "n", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])
+
+    return words.select("word").mapInArrow(run, "word string, ids array<int>")
 
-    counted = docs.select(F.lit(0), "text").mapInArrow(distinct, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return counted.filter("word <> ''").mapInArrow(encode, "word string, n long, ids array<int>")
+
+def coder(docs: DataFrame, path: str, common: int = COMMON):
+    """A function that makes a ``Words`` on a worker, with the ``common`` most frequent words of all rows.
+
+    The words are counted over all rows; those most frequent (a bounded table) are encoded once and sent to the tasks.
+    """
+    sent = None
+    if common:
+        top = word_table(docs).orderBy(F.desc("n"), "word").limit(common)
+        rows = encoded_words(written(top, "words"), path).toArrow()  # at most ``common`` rows
+        ids = rows.column("ids").combine_chunks()
+        sizes = np.diff(ids.offsets.to_numpy()).astype(np.int64)
+        sent = docs.sparkSession.sparkContext.broadcast((rows.column("word").to_pylist(), ids.flatten().to_numpy(), sizes))
+    return lambda: Words(path, *(sent.value if sent else ()))
 
 
 def encode(docs: DataFrame, path: str | None = None, common: int = COMMON) -> DataFrame:
     """``docs`` with ``ids``: the tokenizer's ids of each whole text (null text: none), without added tokens.
 
-    The words are counted over all rows. The ``common`` most frequent ones (a bounded table) are encoded once and sent
-    to the tasks, where ids are put back by position; a word outside that table is encoded by each task that meets
-    it, once while its bounded cache lasts. Nothing but the counts is shuffled, whatever the number of documents. Further
-    columns pass through; a column ``ids`` is replaced.
+    Words come from the distinct-word table by position; a word outside its ``common`` first rows is encoded by each
+    task that meets it, once while its bounded cache lasts. Nothing but the counts is shuffled, whatever the number of
+    documents. Further columns pass through; a column ``ids`` is replaced; null ids and repeated rows are kept.
     """
     path = path or vocabulary_path()
-    spark = docs.sparkSession
     docs = docs.drop("ids")
-    counts = word_table(docs, path).orderBy(F.desc("n"), "word").limit(common)
-    rows = written(counts, "words").collect() if common else []  # at most ``common`` rows
-    sent = spark.sparkContext.broadcast(([r["word"] for r in rows], [r["ids"] for r in rows]))
+    make = coder(docs, path, common)
     rest = [c for c in docs.columns if c != "text"]
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest)
-    head = [F.col(f"`{c}`") for c in rest]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, ids = sent.value
-        coder = Words(path, pa.array(words, pa.string()), ids)
+        words = make()
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
-            for piece in pieces(pa.RecordBatch.from_arrays([pa.array(np.arange(len(texts))), texts], ["at", "text"])):
-                own = batch.slice(piece.column(0)[0].as_py(), piece.num_rows)
-                yield pa.RecordBatch.from_arrays([*own.columns, coder.encode(piece.column(1))], [*rest, "text", "ids"])
+            texts, at = batch.column(len(rest)), 0
+            for piece in pieces(pa.RecordBatch.from_arrays([pa.nulls(len(texts)), texts], ["at", "text"])):
+                own = batch.slice(at, piece.num_rows)
+                at += piece.num_rows
+                yield pa.RecordBatch.from_arrays([*own.columns, words.encode(piece.column(1))], [*rest, "text", "ids"])
 
-    return docs.select(*head, "text").mapInArrow(run, f"{kinds}{', ' if kinds else ''}text string, ids array<int>")
+    kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in rest)
+    return docs.select(*[F.col(f"`{c}`") for c in rest], "text").mapInArrow(run, f"{kinds}text string, ids array<int>")
 
 
 def decode(coded: DataFrame, path: str | None = None) -> DataFrame:
@@ -152,35 +237,33 @@ def decode(coded: DataFrame, path: str | None = None) -> DataFrame:
 
     @F.pandas_udf("string")
     def text(ids: Iterator[pd.Series]) -> Iterator[pd.Series]:
-
-        model = load(path)
-        size = model.get_vocab_size(with_added_tokens=True)
-        table_ = pa.array([(model.id_to_token(k) or "") + " " for k in range(size)], pa.binary())
+        table_ = Pieces(path)
         for series in ids:
-            lists = [np.asarray(x if x is not None else [], np.int32) for x in series]
-            flat = table_.take(pa.array(np.concatenate(lists) if lists else np.empty(0, np.int32)))
-            _, offsets, data = flat.buffers()
-            bounds = np.frombuffer(offsets, np.int32)[flat.offset : flat.offset + len(flat) + 1]
-            ends = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int64)
-            raw = memoryview(data) if data is not None else memoryview(b"")
-            yield pd.Series([bytes(raw[bounds[s] : bounds[e] - 1]).decode() if e > s else "" for s, e in zip(ends[:-1], ends[1:], strict=True)])
+            yield pd.Series([x.decode() for x in table_.decode(pa.array(series, pa.list_(pa.int32())))], dtype="object")
 
     return coded.withColumn("decoded", text(F.col("ids")))
 
 
-@F.pandas_udf(T.StringType())
-def ids_sha256(ids: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """SHA-256 of ids as little-endian unsigned 32-bit integers."""
+def digests(docs: DataFrame, path: str | None = None, common: int = COMMON) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256``: encoding and decoding in one pass, so that only digests return."""
+    path = path or vocabulary_path()
+    make = coder(docs, path, common)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, table_ = make(), Pieces(path)
+        for batch in batches:
+            for piece in pieces(batch):
+                ids = words.encode(piece.column(1))
+                bounds, flat = ids.offsets.to_numpy(), memoryview(np.ascontiguousarray(ids.values.to_numpy(), "<u4")).cast("B")
+                sums = [hashlib.sha256(flat[4 * s : 4 * e]).hexdigest() for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+                texts = [hashlib.sha256(x).hexdigest() for x in table_.decode(ids)]
+                made = [piece.column(0), pa.array(np.diff(bounds).astype(np.int64)), pa.array(sums, pa.string()), pa.array(texts, pa.string())]
+                yield pa.RecordBatch.from_arrays(made, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    for series in ids:
-        yield pd.Series([hashlib.sha256(np.asarray(x if x is not None else [], "<u4").tobytes()).hexdigest() for x in series])
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def op5_word_table_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = encode(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "ids")
-    return decode(coded).select(
-        "doc_id",
-        F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"),
-        ids_sha256("ids").alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    return digests(table(spark, sf_dir, "documents"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sitetide.llm import bpe, decontamination, embeddings, pii, sharding, simhash, token_output
+from sitetide.llm import bpe, decontamination, embeddings, pii, sharding, simhash, token_output, toxicity
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op5_word_table_bpe": bpe.op5_word_table_bpe,
         "op6_aho_corasick": decontamination.op6_aho_corasick,
         "op7_simhash_variants": simhash.op7_simhash_variants,
+        "op8_string_kernel": toxicity.op8_string_kernel,
         "op9_virtual_slots": sharding.op9_virtual_slots,
     }
 

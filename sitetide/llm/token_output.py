@@ -21,7 +21,7 @@ ORC = {
     "orc.bloom.filter.columns": "doc_id",
     "orc.bloom.filter.fpp": "0.02",
     "orc.row.index.stride": "2000",
-    "orc.stripe.size": str(16 << 20),
+    "orc.stripe.size": str(8 << 20),
     "orc.compress": "ZSTD",
 }
 

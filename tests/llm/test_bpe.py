@@ -23,7 +23,7 @@ def test_encoding_and_decoding_equal_the_library(docs, rows, model, common):
 
 
 def test_word_table_counts_all_words(docs, rows):
-    table = {r["word"]: r["n"] for r in bpe.word_table(docs, bpe.vocabulary_path()).collect()}
+    table = {r["word"]: r["n"] for r in bpe.word_table(docs).collect()}
     assert sum(table.values()) == sum(len((t or "").encode().split()) for _, t, *_ in rows)
 
 
@@ -36,6 +36,16 @@ def test_query_equals_the_library(spark, small, model):
         assert r["decoded_sha256"] == hashlib.sha256(model.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
+def test_digests_equal_the_parts(docs, model):
+    got = sorted((r["doc_id"] or -1, r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in bpe.digests(docs, common=5).collect())
+    want = []
+    for r in docs.collect():
+        ids = model.encode(r["text"] or "", add_special_tokens=False).ids
+        text = model.decode(ids, skip_special_tokens=False)
+        want.append((r["doc_id"] or -1, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
+    assert got == sorted(want)
+
+
 def test_empty_table_and_clashing_columns(empty, docs):
     assert bpe.decode(bpe.encode(empty)).count() == 0
     again = bpe.encode(bpe.encode(docs))
