@@ -11,6 +11,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sitetide.session import table, written
 
@@ -80,46 +81,48 @@ def spans_of(text: str, hit: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-_HITS = "n_words long, hit array<int>, ids array<string>"
+def _scanner(sent, first: bool, at: int):
+    """Adds ``n_words, hit, ids`` behind the columns (or unites them with those that stand there)."""
 
-
-def _scanner(sent, first: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = automaton(sent.value)
         for batch in batches:
             count, hits, ids = [], [], []
-            for text in batch.column(1):
+            for text in batch.column(at):
                 n, hit, found = scan(text.as_py(), machine)
                 count.append(n)
                 hits.append(np.flatnonzero(hit).astype(np.int32))
                 ids.append(found)
+            own = batch.columns if first else batch.columns[:-3]
             if not first:
-                hits = [np.union1d(x, np.array(y, np.int32)) for x, y in zip(hits, batch.column(3).to_pylist(), strict=True)]
-                ids = [x.union(y) for x, y in zip(ids, batch.column(4).to_pylist(), strict=True)]
+                hits = [np.union1d(x, np.array(y, np.int32)) for x, y in zip(hits, batch.column(len(own) + 1).to_pylist(), strict=True)]
+                ids = [x.union(y) for x, y in zip(ids, batch.column(len(own) + 2).to_pylist(), strict=True)]
             made = [pa.array(count, pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array([sorted(x) for x in ids], pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], ["doc_id", "text", "n_words", "hit", "ids"])
+            yield pa.RecordBatch.from_arrays([*own, *made], [*batch.schema.names[: len(own)], "n_words", "hit", "ids"])
 
     return run
 
 
-def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, part_chars: int = PART_CHARS) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, part_chars: int = PART_CHARS, keep: bool = False) -> DataFrame:
     """``doc_id, text, n_words, hit (word positions), ids (sorted item ids)`` of every row.
 
-    The windows are measured first; each automaton is built from at most about ``part_chars`` characters of them, so
-    what is broadcast has a bound, and a larger benchmark takes several scans whose hits are united. Null texts and
-    texts without words hit nothing; an item with a null id still hits but is not listed; an empty benchmark leaves
-    all documents clean. Repeated rows are judged alike.
+    With ``keep`` all columns of ``docs`` stay, but those named like a result. The windows are measured first; each
+    automaton is built from at most about ``part_chars`` characters of them, so what is broadcast has a bound, and a
+    larger benchmark takes several scans whose hits are united. Null texts and texts without words hit nothing; an item
+    with a null id still hits but is not listed; an empty benchmark leaves all documents clean. Repeated rows are judged
+    alike.
     """
     spark = docs.sparkSession
     found = written(windows(items, size), "windows")
     chars = found.agg(F.sum(F.length("window") + F.coalesce(F.size("ids"), F.lit(0)) * 8)).first()[0] or 0
     parts = max(1, -(-chars // part_chars))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    out = docs.select("doc_id", "text")
+    out = docs.drop("n_words", "hit", "ids") if keep else docs.select("doc_id", "text")
+    more = [T.StructField("n_words", T.LongType()), T.StructField("hit", T.ArrayType(T.IntegerType())), T.StructField("ids", T.ArrayType(T.StringType()))]
+    schema, at = T.StructType([*out.schema.fields, *more]), out.columns.index("text")
     for part in range(parts):
         rows = found.filter(F.pmod(F.xxhash64("window"), F.lit(parts)) == part).collect()  # about part_chars of text
         sent = spark.sparkContext.broadcast([(r["window"], r["ids"]) for r in rows])
-        out = out.mapInArrow(_scanner(sent, part == 0), f"doc_id {kind}, text string, {_HITS}")
+        out = out.mapInArrow(_scanner(sent, part == 0, at), schema)
         if part + 1 < parts:
             out = written(out, "scanned")
     return out

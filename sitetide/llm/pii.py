@@ -156,7 +156,11 @@ def find_spans(docs: DataFrame) -> DataFrame:
     return docs.withColumn("spans", find(F.col("text")))
 
 
-def mask(docs: DataFrame) -> DataFrame:
+#: What is masked; an address of a page is not personal in itself.
+MASKED = tuple(k for k in KINDS if k != "url")
+
+
+def mask(docs: DataFrame, kinds: tuple[str, ...] = MASKED) -> DataFrame:
     """The columns of ``docs`` with each span of ``text`` replaced by its kind in brackets; spans that overlap merge."""
 
     @F.pandas_udf("string")
@@ -167,6 +171,8 @@ def mask(docs: DataFrame) -> DataFrame:
             for x in text:
                 at, parts = 0, []
                 for kind, start, end, _ in spans_of(x, anchors):
+                    if kind not in kinds:
+                        continue
                     if start >= at:
                         parts += [x[at:start], f"[{kind.upper()}]"]
                     at = max(at, end)

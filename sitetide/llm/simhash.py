@@ -7,8 +7,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sitetide.operators.components import connected_components
 from sitetide.session import table, written
@@ -44,14 +45,20 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """``doc_id, fp`` (the fingerprint as a signed long) of every row."""
+    return with_fingerprints(docs.select("doc_id", "text"), shingle, seed).drop("text")
+
+
+def with_fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
+    """``docs`` with a column ``fp``; one of that name is replaced."""
+    docs = docs.drop("fp")
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = np.array([fingerprint(x.as_py(), shingle, seed) for x in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made.view(np.int64))], ["doc_id", "fp"])
+            made = np.array([fingerprint(x.as_py(), shingle, seed) for x in batch.column(at)], np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made.view(np.int64))], [*batch.schema.names, "fp"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("fp", T.LongType())]))
 
 
 def variants(fps: DataFrame) -> DataFrame:
@@ -147,14 +154,39 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SH
     if distance > 5:
         raise ValueError("three segments with one wildcard find at most five differing bits")
     fps = written(fingerprints(docs, shingle), "fingerprints")
+    each = classes(fps, distance).select("fp", "component_id")
+    return fps.join(each, "fp").select("doc_id", "fp", "component_id")
+
+
+def classes(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """``fp, least, component, component_id`` of every distinct fingerprint: the smallest id that has it, a fingerprint
+    that names its group, and the smallest id of the group."""
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
     spread = variants(nodes.select("fp")).repartition("key").sortWithinPartitions("key")
     edges = spread.mapInArrow(_linked(distance), "a long, b long")
     groups = connected_components(edges)
     named = groups.join(nodes, groups.node == nodes.fp).groupBy("component").agg(F.min("least").alias("component_id"))
-    moved = groups.join(named, "component").select(F.col("node").alias("fp"), "component_id")
-    each = nodes.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return fps.join(each, "fp").select("doc_id", "fp", "component_id")
+    moved = groups.join(named, "component").select(F.col("node").alias("fp"), "component", "component_id")
+    joined = nodes.join(moved, "fp", "left")
+    return joined.select("fp", "least", F.coalesce("component", "fp").alias("component"), F.coalesce("component_id", "least").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
+    """One row of each group of near-duplicates, with the columns of ``docs``: that with the smallest id.
+
+    Groups are those of ``near_duplicates``. Rows with a null id stay only where their group has no id; of repeated
+    rows with one id and one fingerprint a single one stays. Texts are shuffled once, by id and fingerprint, so that a
+    group of copies meets in no task.
+    """
+    if distance > 5:
+        raise ValueError("three segments with one wildcard find at most five differing bits")
+    fps = written(fingerprints(docs, shingle), "fingerprints")
+    first = F.min(F.struct(F.col("least").isNull().alias("no_id"), "least", F.col("fp").alias("of"))).alias("first")
+    kept = classes(fps, distance).groupBy("component").agg(first).select(F.col("first.least").alias("kept_id"), F.col("first.of").alias("kept_fp"))
+    rows = with_fingerprints(docs, shingle)
+    joined = rows.join(kept, rows.doc_id.eqNullSafe(kept.kept_id) & (rows.fp == kept.kept_fp))
+    nth = F.row_number().over(Window.partitionBy("doc_id", "fp").orderBy("doc_id"))
+    return joined.withColumn("_nth", nth).filter("_nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op7_simhash_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
