@@ -1,11 +1,579 @@
-"""All queries of the change-intelligence engine, by name, with their SQL."""
+"""All queries of the change-intelligence engine by name, each with the SQL of its result where SQL can express it."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from sitetide.functions import diffs, markup, noise, parsers, text, urls
+from sitetide.operators import marts, planning, similarity, sitewide, snapshots, topics
+from sitetide.plans.stand_ins import duck, view
+from sitetide.sources import sitemap, store
 
-def oracle_sql() -> dict:
-    return {}
+NOW = "2024-01-31 00:00:00"
+SINCE = "2024-01-24 00:00:00"
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, *names: str):
+    """Register a query, and its SQL over the named stand-ins."""
+
+    def add(function):
+        _QUERIES[function.__name__] = function
+        if sql:
+            _SQL[function.__name__] = duck(sql, *names)
+        return function
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def _stamp(c: str):
+    return F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+
+
+# --- differences of crawls ------------------------------------------------------------------------------------------
+
+_DIFF = """
+SELECT coalesce(p.site_id, c.site_id) AS site_id, coalesce(p.url, c.url) AS url,
+       CASE WHEN p.url IS NULL THEN 'new' WHEN c.url IS NULL THEN 'removed' ELSE 'changed' END AS change_type
+FROM crawl_prev p FULL JOIN crawl_cur c ON p.site_id = c.site_id AND p.url = c.url
+WHERE p.url IS NULL OR c.url IS NULL OR p.text IS DISTINCT FROM c.text"""
+
+
+@query(f"SELECT change_type, count(*) AS n FROM ({_DIFF}) GROUP BY change_type", "crawl_prev", "crawl_cur")
+def snapshot_diff_counts(spark, sf):
+    found = snapshots.snapshot_diff(view(spark, sf, "crawl_prev"), view(spark, sf, "crawl_cur"), with_noise=False)
+    return found.groupBy("change_type").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT * FROM ({_DIFF}) WHERE CAST(regexp_extract(url, '([0-9]+)$', 1) AS BIGINT) % 10 <> 3", "crawl_prev", "crawl_cur")
+def snapshot_diff_rows(spark, sf):
+    """Changes without those that are noise: pages whose view counter alone differs stay out."""
+    return snapshots.snapshot_diff(view(spark, sf, "crawl_prev"), view(spark, sf, "crawl_cur")).select("site_id", "url", "change_type")
+
+
+def _diffs(spark, sf):
+    return snapshots.snapshot_diff(view(spark, sf, "crawl_prev"), view(spark, sf, "crawl_cur"))
+
+
+@query()
+def unified_diff(spark, sf):
+    return snapshots.with_diff_text(_diffs(spark, sf)).select("site_id", "url", "change_type", "diff_text")
+
+
+@query()
+def side_by_side(spark, sf):
+    rows = _diffs(spark, sf).filter("change_type = 'changed'")
+    return rows.select("site_id", "url", F.posexplode(diffs.side_by_side_udf("old_text", "new_text")).alias("pos", "r")).select("site_id", "url", "pos", "r.*")
+
+
+@query()
+def sitewide_groups(spark, sf):
+    return sitewide.groups(sitewide.marked_lines(_diffs(spark, sf))).select("site_id", "n_pages", "first_url", "lines")
+
+
+@query()
+def sitewide_own_changes(spark, sf):
+    return sitewide.own_changes(sitewide.marked_lines(_diffs(spark, sf)))
+
+
+@query()
+def normalize_text(spark, sf):
+    return view(spark, sf, "documents").select("doc_id", text.content_hash(noise.normalize_for_compare("text")).alias("content_hash"))
+
+
+_VERDICT = """
+SELECT site_id, url, CASE WHEN status IS NULL THEN 'unknown' WHEN status IN (404, 410) THEN 'deleted' WHEN status >= 400 THEN 'unknown'
+       WHEN regexp_replace(regexp_replace(url, '^https?://(www\\.)?', ''), '/$', '')
+            <> regexp_replace(regexp_replace(final_url, '^https?://(www\\.)?', ''), '/$', '') THEN 'moved' ELSE 'still_alive' END AS verdict
+FROM responses"""
+
+
+@query(_VERDICT, "responses")
+def recheck_verdicts(spark, sf):
+    return snapshots.verdicts(view(spark, sf, "responses")).select("site_id", "url", "verdict")
+
+
+@query(
+    f"SELECT d.site_id, d.url, change_type, verdict FROM ({_DIFF}) d LEFT JOIN ({_VERDICT}) v ON d.site_id = v.site_id AND d.url = v.url "
+    "WHERE change_type <> 'removed' OR coalesce(verdict IN ('deleted', 'moved'), false)",
+    "crawl_prev", "crawl_cur", "responses",
+)
+def real_changes(spark, sf):
+    found = snapshots.snapshot_diff(view(spark, sf, "crawl_prev"), view(spark, sf, "crawl_cur"), with_noise=False)
+    return snapshots.real_changes(found, snapshots.verdicts(view(spark, sf, "responses"))).select("site_id", "url", "change_type", "verdict")
+
+
+@query(
+    f"""SELECT coalesce(p.site_id, s.site_id) AS site_id, coalesce(p.url, s.url) AS url,
+        CASE WHEN s.url IS NOT NULL THEN false WHEN coalesce(verdict IN ('deleted', 'moved'), false) THEN true ELSE p.is_removed END AS is_removed,
+        CASE WHEN s.url IS NOT NULL THEN NULL WHEN verdict IN ('deleted', 'moved') THEN verdict WHEN verdict IS NOT NULL THEN 'missing_from_crawl' END
+          AS disappearance_reason
+        FROM monitored p FULL JOIN crawl_cur s ON p.site_id = s.site_id AND p.url = s.url
+        LEFT JOIN ({_VERDICT}) v ON v.site_id = coalesce(p.site_id, s.site_id) AND v.url = coalesce(p.url, s.url)""",
+    "monitored", "crawl_cur", "responses",
+)
+def page_lifecycle(spark, sf):
+    never = F.lit(None).cast("timestamp")
+    pages = view(spark, sf, "monitored").select(
+        "site_id", "url", "is_removed", *[never.alias(c) for c in ("first_seen_at", "last_seen_at", "sitemap_lastmod", "last_checked_at")],
+        *[F.lit(None).cast("string").alias(c) for c in ("disappearance_reason", "redirect_to_url")],
+    )
+    seen = view(spark, sf, "crawl_cur").select("site_id", "url", never.alias("lastmod"))
+    state = snapshots.fold_pages(pages, seen, snapshots.verdicts(view(spark, sf, "responses")), NOW)
+    return state.select("site_id", "url", "is_removed", "disappearance_reason")
+
+
+@query(
+    f"""SELECT site_id, change_type = 'new' AND site_id = 1 AND NOT regexp_matches(url, '/blog/') AS is_baseline, count(*) AS n
+        FROM ({_DIFF}) GROUP BY ALL""",
+    "crawl_prev", "crawl_cur",
+)
+def reopened_sections(spark, sf):
+    """New pages outside the rules that site 1 had before are a baseline."""
+    found = snapshots.snapshot_diff(view(spark, sf, "crawl_prev"), view(spark, sf, "crawl_cur"), with_noise=False)
+    rules = spark.createDataFrame([(1, ["/blog"])], "site_id long, rules array<string>")
+    return snapshots.split_reopened(found, rules).groupBy("site_id", "is_baseline").agg(F.count("*").alias("n"))
+
+
+# --- crawl planning -------------------------------------------------------------------------------------------------
+
+_PLAN = """
+SELECT e.site_id, e.url, CASE WHEN p.url IS NULL THEN 0 WHEN e.lastmod > p.lastmod THEN 1 WHEN e.lastmod IS NULL OR p.lastmod IS NULL THEN 2 END AS priority,
+       p.url IS NOT NULL AS known
+FROM entries e LEFT JOIN previous_pages p ON e.site_id = p.site_id AND e.url = p.url"""
+
+
+@query(f"SELECT site_id, url, CASE WHEN priority IS NULL THEN 'carry' ELSE 'fetch' END AS action, priority FROM ({_PLAN})", "entries", "previous_pages")
+def crawl_plan(spark, sf):
+    return planning.crawl_plan(view(spark, sf, "entries"), view(spark, sf, "previous_pages"), 1 << 30)
+
+
+@query(
+    f"""SELECT site_id, url, CASE WHEN (q = 0 AND nth <= 40) OR (q = 1 AND nth <= 10) THEN 'fetch' WHEN known THEN 'carry' ELSE 'wait' END AS action, priority
+        FROM (SELECT *, row_number() OVER (PARTITION BY site_id, q ORDER BY priority, url) AS nth
+              FROM (SELECT *, CASE WHEN priority IS NULL THEN 2 WHEN priority = 2 THEN 1 ELSE 0 END AS q FROM ({_PLAN})))""",
+    "entries", "previous_pages",
+)
+def crawl_plan_capped(spark, sf):
+    return planning.crawl_plan(view(spark, sf, "entries"), view(spark, sf, "previous_pages"), 40, 10)
+
+
+_GAPS = r"""
+SELECT site_id, CASE WHEN mass THEN '*' ELSE section END AS section, url FROM (
+  SELECT m.site_id, m.url, m.section, lost >= 50 AND lost >= known * 0.5 AS mass,
+         count(*) OVER (PARTITION BY m.site_id, m.section) >= 10 AND l.section IS NULL AS gone
+  FROM (SELECT p.site_id, p.url, '/' || regexp_extract(p.url, '^https://[^/]*/([^/]*)', 1) AS section
+        FROM previous_pages p ANTI JOIN entries e ON p.site_id = e.site_id AND p.url = e.url) m
+  JOIN (SELECT p.site_id, count(*) AS known, count(*) FILTER (e.url IS NULL) AS lost
+        FROM previous_pages p LEFT JOIN entries e ON p.site_id = e.site_id AND p.url = e.url GROUP BY p.site_id) s ON s.site_id = m.site_id
+  LEFT JOIN (SELECT DISTINCT site_id, '/' || regexp_extract(url, '^https://[^/]*/([^/]*)', 1) AS section FROM entries) l
+    ON l.site_id = m.site_id AND l.section = m.section)
+WHERE mass OR gone"""
+
+
+@query(_GAPS, "entries", "previous_pages")
+def sitemap_gaps(spark, sf):
+    return planning.sitemap_gaps(view(spark, sf, "entries"), view(spark, sf, "previous_pages"))
+
+
+@query(
+    f"""SELECT site_id, section, url FROM (SELECT *, row_number() OVER w - 1 AS nth, count(*) OVER (PARTITION BY site_id, section) AS total
+        FROM ({_GAPS}) WINDOW w AS (PARTITION BY site_id, section ORDER BY url))
+        WHERE total <= 5 OR nth IN (0, total // 5, 2 * total // 5, 3 * total // 5, 4 * total // 5)""",
+    "entries", "previous_pages",
+)
+def systematic_sample(spark, sf):
+    return planning.spread_sample(planning.sitemap_gaps(view(spark, sf, "entries"), view(spark, sf, "previous_pages")))
+
+
+@query(
+    f"""SELECT site_id, '/' || regexp_extract(url, '^https://[^/]*/([^/]*)', 1) AS section, count(*) AS n_pages FROM ({_GAPS}) GROUP BY ALL""",
+    "entries", "previous_pages",
+)
+def restored_sections(spark, sf):
+    return planning.restored_counts(planning.sitemap_gaps(view(spark, sf, "entries"), view(spark, sf, "previous_pages")))
+
+
+@query(
+    f"""SELECT site_id, count(*) AS urls_total, count(*) FILTER (action = 'wait') AS waiting FROM (
+        SELECT site_id, CASE WHEN (q = 0 AND nth <= 40) THEN 'fetch' WHEN known THEN 'carry' ELSE 'wait' END AS action
+        FROM (SELECT *, row_number() OVER (PARTITION BY site_id, q ORDER BY priority, url) AS nth
+              FROM (SELECT *, CASE WHEN priority IS NULL THEN 2 ELSE 0 END AS q FROM ({_PLAN})))) GROUP BY site_id""",
+    "entries", "previous_pages",
+)
+def run_notes(spark, sf):
+    plan = planning.crawl_plan(view(spark, sf, "entries"), view(spark, sf, "previous_pages"), 40)
+    pages = planning.assemble(plan, view(spark, sf, "crawl_cur"), view(spark, sf, "previous_pages"))
+    return marts.run_notes(plan, pages, snapshots.verdicts(view(spark, sf, "responses"))).select("site_id", "urls_total", "waiting")
+
+
+@query(
+    r"""SELECT page_id, url, CASE WHEN regexp_matches(url, '/(news|spo)/') THEN false
+        WHEN regexp_matches(url, '/(blog|kurs)/') THEN true ELSE false END AS included FROM monitored""",
+    "monitored",
+)
+def path_filter(spark, sf):
+    rules = urls.site_rules(F.lit("blog/, /kur*\n!/news"), F.lit(False))
+    return view(spark, sf, "monitored").select("page_id", "url", urls.path_included(F.col("url"), rules).alias("included"))
+
+
+@query(
+    """SELECT section, added, removed FROM (SELECT '/' || regexp_extract(url, '^https://[^/]*/([^/]*)', 1) AS section,
+       CASE WHEN regexp_matches(url, '/blog/') THEN 0 ELSE count(*) END AS added, CASE WHEN regexp_matches(url, '/blog/') THEN count(*) ELSE 0 END AS removed
+       FROM monitored WHERE NOT regexp_matches(url, '/news/') GROUP BY regexp_matches(url, '/blog/'), section) ORDER BY added + removed DESC, section LIMIT 8""",
+    "monitored",
+)
+def rules_what_if(spark, sf):
+    before, after = urls.parse_rules(F.lit("/blog /news")), urls.parse_rules(F.lit("!/blog"))
+    return planning.what_if(view(spark, sf, "monitored"), before, after)
+
+
+# --- addresses and pages --------------------------------------------------------------------------------------------
+
+
+@query(
+    r"""SELECT page_id, coalesce(nullif(regexp_replace(regexp_replace(url, '#.*$', ''), '/+$', ''), ''), regexp_replace(url, '#.*$', '')) AS normalized,
+        '/' || regexp_extract(url, '^https?://[^/?#]*/([^/?#]*)', 1) AS section, regexp_replace(regexp_extract(url, '^https?://([^/?#]*)', 1), '^www\.', '') AS domain,
+        regexp_matches(lower(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1)), '\.(pdf|zip|png|jpg)$') AS is_file FROM pages"""
+)
+def url_normalize(spark, sf):
+    u = F.col("url")
+    return view(spark, sf, "pages").select("page_id", urls.normalize_url(u).alias("normalized"), urls.section(u).alias("section"), urls.domain(u).alias("domain"), urls.is_file(u).alias("is_file"))
+
+
+@query(
+    r"""SELECT page_id, regexp_replace(url, '\?utm_[^#]*', '') AS url FROM pages"""
+)
+def url_strip_tracking(spark, sf):
+    return view(spark, sf, "pages").select("page_id", urls.strip_tracking(F.col("url")).alias("url"))
+
+
+@query(
+    r"""SELECT CASE WHEN regexp_matches(url, '/blog/') OR coalesce(category LIKE 'Новост%', false) THEN 'info' ELSE 'commerce' END AS kind, count(*) AS n
+        FROM changes LEFT JOIN analysis USING (change_id) GROUP BY ALL""",
+    "changes", "analysis",
+)
+def info_kind_split(spark, sf):
+    rows = view(spark, sf, "changes").join(view(spark, sf, "analysis"), "change_id", "left")
+    return rows.groupBy(urls.content_kind(F.col("url"), F.col("category")).alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query(
+    """SELECT page_id, CASE WHEN page_id % 9 = 0 THEN 'HTTP 403' WHEN length(html) <= 20000 AND lower(html) LIKE '%just a moment%' THEN 'just a moment' END AS reason
+       FROM pages"""
+)
+def blocked_pages(spark, sf):
+    status = F.when(F.col("page_id") % 9 == 0, 403).otherwise(200)
+    return view(spark, sf, "pages").select("page_id", text.blocked_reason(status, F.col("html")).alias("reason"))
+
+
+@query()
+def html_text(spark, sf):
+    return view(spark, sf, "pages").select("page_id", markup.extract_text("html").alias("text"))
+
+
+@query()
+def html_structure(spark, sf):
+    return view(spark, sf, "pages").select("page_id", markup.extract_structure("html").alias("s")).select("page_id", "s.*")
+
+
+@query()
+def html_links(spark, sf):
+    return sitemap.html_links(view(spark, sf, "pages").select("url", "html"))
+
+
+@query()
+def link_crawl(spark, sf):
+    """Pages reached over the links of the pages, ten thousand for each host at most."""
+    links = sitemap.html_links(view(spark, sf, "pages").select("url", "html")).withColumn("site_id", urls.authority(F.col("url")))
+    starts = view(spark, sf, "pages").select(urls.authority(F.col("url")).alias("site_id"), "url")
+    return sitemap.link_crawl(links.select("site_id", "url", "target"), starts, 10_000)
+
+
+# --- stored tables and marts ----------------------------------------------------------------------------------------
+
+
+@query("SELECT conv_id, max(turn) AS turn, arg_max(text, turn) AS text FROM conversations GROUP BY conv_id")
+def latest_snapshot(spark, sf):
+    return store.latest(view(spark, sf, "conversations").select("conv_id", "turn", "text"), ["conv_id"], ["turn", "text"])
+
+
+@query("SELECT conv_id, turn, CAST(floor((row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1) / 4) AS INT) AS batch FROM conversations")
+def batches(spark, sf):
+    rows = view(spark, sf, "conversations").withColumnRenamed("conv_id", "site_id")
+    return store.batches(rows, 4, ["turn", "role", "text"]).select(F.col("site_id").alias("conv_id"), "turn", "batch")
+
+
+_FEED = "FROM changes c JOIN sites s USING (site_id) LEFT JOIN analysis a USING (change_id) WHERE NOT s.is_own"
+
+
+@query(
+    f"""SELECT change_id, name, change_type, importance, category, strftime(detected_at, '%Y-%m-%d %H:%M:%S') AS detected_at,
+        (SELECT count(*) {_FEED}) AS total_rows, 3 AS page, CAST((SELECT ceil(count(*) / 25.0) {_FEED}) AS INT) AS pages
+        {_FEED} ORDER BY c.detected_at DESC, change_id DESC LIMIT 25 OFFSET 50""",
+    "changes", "sites", "analysis",
+)
+def change_feed_page(spark, sf):
+    """The third page of the feed, newest first."""
+    rows = marts.feed(view(spark, sf, "changes"), view(spark, sf, "sites"), view(spark, sf, "analysis"))
+    page = marts.ranked(rows, [F.desc("detected_at"), F.desc("change_id")], 25, 3)
+    return page.select("change_id", "name", "change_type", "importance", "category", _stamp("detected_at"), "total_rows", "page", "pages")
+
+
+@query(
+    f"""SELECT change_id, name, importance {_FEED} AND importance = 'high' AND change_type = 'changed'
+        AND (regexp_matches(url, '/blog/') OR coalesce(category LIKE 'Новост%', false)) AND detected_at >= TIMESTAMP '{SINCE}'""",
+    "changes", "sites", "analysis",
+)
+def feed_by_audience(spark, sf):
+    rows = marts.feed(view(spark, sf, "changes"), view(spark, sf, "sites"), view(spark, sf, "analysis"), kind="changed", high=True, since=SINCE, audience="info")
+    return rows.select("change_id", "name", "importance")
+
+
+@query("SELECT change_id, site_id, url FROM changes ANTI JOIN analysis USING (change_id) ORDER BY change_id LIMIT 50", "changes", "analysis")
+def pending_analysis(spark, sf):
+    return marts.backfill(view(spark, sf, "changes"), view(spark, sf, "analysis")).select("change_id", "site_id", "url")
+
+
+_INFO = "regexp_matches(url, '/(blog|news)/')"
+
+
+@query(
+    f"""SELECT page_id, site_id, url FROM monitored ANTI JOIN findings USING (page_id) WHERE NOT is_removed AND text_length >= 300 AND {_INFO}""",
+    "monitored", "findings",
+)
+def audit_queue(spark, sf):
+    return marts.audit_queue(view(spark, sf, "monitored"), view(spark, sf, "findings")).select("page_id", "site_id", "url")
+
+
+_AUDIT = f"""FROM (SELECT m.*, f.page_id IS NOT NULL AS done FROM monitored m LEFT JOIN (SELECT DISTINCT page_id FROM findings) f USING (page_id)
+             WHERE NOT is_removed AND {_INFO})"""
+
+
+@query(
+    f"""SELECT site_id, count(*) AS articles, count(*) FILTER (done) AS done, count(*) FILTER (NOT done AND coalesce(text_length, 0) >= 300) AS ready,
+        count(*) FILTER (NOT done AND text_length IS NULL) AS waiting {_AUDIT} GROUP BY site_id""",
+    "monitored", "findings",
+)
+def audit_progress(spark, sf):
+    return marts.audit_progress(view(spark, sf, "monitored"), view(spark, sf, "findings"))
+
+
+@query(
+    f"""SELECT articles, ready, without_structure, done, CAST(ceil(cards / 4.0) + ceil(round(ready * 0.8, 6) / 3.0) AS BIGINT) AS calls FROM (
+        SELECT count(*) AS articles, count(*) FILTER (NOT done AND text_length IS NOT NULL) AS ready,
+        count(*) FILTER (NOT done AND text_length IS NULL) AS without_structure, count(*) FILTER (done) AS done,
+        count(*) FILTER (NOT done AND text_length IS NOT NULL AND NOT has_card) AS cards {_AUDIT})""",
+    "monitored", "findings",
+)
+def audit_estimate(spark, sf):
+    return marts.audit_estimate(view(spark, sf, "monitored"), view(spark, sf, "findings"))
+
+
+@query(
+    f"""SELECT change_type, count(*) AS n FROM changes SEMI JOIN (SELECT site_id FROM sites WHERE NOT is_own) USING (site_id)
+        WHERE detected_at >= TIMESTAMP '{SINCE}' GROUP BY change_type""",
+    "changes", "sites",
+)
+def counts_by_type(spark, sf):
+    return marts.counts_by_type(view(spark, sf, "changes"), view(spark, sf, "sites"), SINCE)
+
+
+@query("SELECT kind, count(DISTINCT decision_id) AS topics, count(*) AS n FROM findings GROUP BY kind", "findings")
+def decision_counts(spark, sf):
+    return view(spark, sf, "findings").groupBy("kind").agg(F.countDistinct("decision_id").alias("topics"), F.count("*").alias("n"))
+
+
+@query(
+    f"""SELECT s.*, r.* FROM (SELECT count(*) AS sites, count(*) FILTER (NOT is_paused) AS active, count(*) FILTER (status = 'needs_session') AS needs_session
+        FROM sites WHERE NOT is_own) s, (SELECT count(*) AS recent_changes FROM changes SEMI JOIN (SELECT site_id FROM sites WHERE NOT is_own) USING (site_id)
+        WHERE detected_at >= TIMESTAMP '{SINCE}') r""",
+    "changes", "sites",
+)
+def dashboard(spark, sf):
+    return marts.dashboard(view(spark, sf, "sites"), view(spark, sf, "changes"), NOW)
+
+
+@query(
+    f"""SELECT s.site_id, name, count(*) FILTER (change_type = 'new') AS n_new, count(*) FILTER (change_type = 'changed') AS n_changed,
+        count(*) FILTER (change_type = 'removed') AS n_removed, count(*) FILTER (importance = 'high') AS n_high
+        FROM sites s LEFT JOIN (SELECT * FROM changes WHERE detected_at >= TIMESTAMP '{SINCE}') c ON c.site_id = s.site_id
+        WHERE NOT is_own GROUP BY s.site_id, name""",
+    "changes", "sites",
+)
+def digest_by_site(spark, sf):
+    return marts.digest_by_site(view(spark, sf, "changes"), view(spark, sf, "sites"), SINCE)
+
+
+@query(
+    """SELECT site_id, change_id, importance, CAST(nth AS INT) AS nth FROM (SELECT *, row_number() OVER (PARTITION BY site_id
+       ORDER BY CASE WHEN importance = 'high' THEN 0 ELSE 1 END, detected_at DESC, change_id DESC) AS nth
+       FROM changes WHERE importance IS DISTINCT FROM 'low') WHERE nth <= 7""",
+    "changes",
+)
+def top_findings(spark, sf):
+    return marts.top_findings(view(spark, sf, "changes"), ["site_id"]).select("site_id", "change_id", "importance", "nth")
+
+
+@query(
+    """SELECT CASE WHEN is_paused THEN 'paused' WHEN cookies_only THEN 'cookies_only' WHEN is_crawling THEN 'running' ELSE 'started' END AS result, count(*) AS n
+       FROM sites WHERE NOT is_own GROUP BY result""",
+    "sites",
+)
+def start_all(spark, sf):
+    return marts.start_all(view(spark, sf, "sites"))
+
+
+@query(
+    f"""SELECT site_id, name, problem FROM (SELECT *, CASE WHEN is_paused THEN NULL WHEN status = 'needs_session' THEN 'needs_session'
+        WHEN last_crawl_finished_at IS NULL THEN 'never_crawled'
+        WHEN date_diff('day', last_crawl_finished_at, TIMESTAMP '{NOW}') > CASE WHEN is_own THEN 2 WHEN cookies_only THEN 7 ELSE 8 END THEN 'stale' END AS problem
+        FROM sites) WHERE problem IS NOT NULL""",
+    "sites",
+)
+def site_health(spark, sf):
+    return marts.health(view(spark, sf, "sites"), NOW)
+
+
+@query(
+    """SELECT count(*) AS sites, count(*) FILTER (is_paused) AS paused, count(*) FILTER (status = 'needs_session') AS needs_session,
+       count(*) FILTER (is_crawling) AS crawling, strftime(min(next_crawl_at) FILTER (NOT is_paused), '%Y-%m-%d %H:%M:%S') AS next_crawl_at,
+       arg_max(name, (last_crawl_finished_at, site_id)) FILTER (last_crawl_finished_at IS NOT NULL) AS last_crawled FROM sites WHERE NOT is_own""",
+    "sites",
+)
+def site_summary(spark, sf):
+    return marts.summary(view(spark, sf, "sites")).select("sites", "paused", "needs_session", "crawling", _stamp("next_crawl_at"), "last_crawled")
+
+
+def _once(c: str) -> str:
+    """Values in order, each at its first place, joined by line breaks."""
+    items = f"list({c} ORDER BY detected_at, url)"
+    return f"array_to_string(list_filter({items}, lambda x, i: list_position({items}, x) = i), chr(10))"
+
+
+@query(
+    f"""SELECT strftime(week, '%Y-%m-%d') AS week, decision_id, strftime(min(day), '%d.%m.%Y') AS first_day,
+        {_once("kind")} AS kinds, {_once("site")} AS sites, {_once("url")} AS pages, first(topic ORDER BY detected_at, url) AS topic, '' AS added
+        FROM (SELECT *, CAST(detected_at + INTERVAL 3 HOUR AS DATE) AS day, date_trunc('week', detected_at + INTERVAL 3 HOUR) AS week FROM findings)
+        GROUP BY week, decision_id""",
+    "findings",
+)
+def week_sheet(spark, sf):
+    rows = view(spark, sf, "findings").withColumn("added_subintents", F.array().cast("array<string>"))
+    return marts.week_sheet(rows)
+
+
+@query(
+    """SELECT 'Неделя ' || strftime(week, '%d.%m') || '–' || strftime(week + INTERVAL 6 DAY, '%d.%m.%Y') AS week, count(*) AS n,
+       count(*) FILTER (night) AS at_night FROM (SELECT date_trunc('week', detected_at + INTERVAL 3 HOUR) AS week,
+       hour(detected_at + INTERVAL 3 HOUR) BETWEEN 1 AND 6 AS night FROM changes) GROUP BY week""",
+    "changes",
+)
+def week_bounds(spark, sf):
+    at = F.col("detected_at")
+    return view(spark, sf, "changes").groupBy(text.week_title(at).alias("week")).agg(F.count("*").alias("n"), F.count_if(text.in_night_window(at, 1, 7)).alias("at_night"))
+
+
+@query(
+    """SELECT site_id, CASE WHEN nth <= 2 THEN section ELSE 'other' END AS section, CAST(sum(n) AS BIGINT) AS n FROM (
+       SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY n DESC, section) AS nth FROM (
+       SELECT site_id, '/' || regexp_extract(url, '^https://[^/]*/([^/]*)', 1) AS section, count(*) AS n FROM monitored GROUP BY ALL)) GROUP BY ALL""",
+    "monitored",
+)
+def new_section_counts(spark, sf):
+    return marts.section_counts(view(spark, sf, "monitored"), 2)
+
+
+@query(
+    f"""SELECT site_id, url, change_type, CAST(nth AS INT) AS nth FROM (
+        SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY CASE WHEN regexp_matches(url, '/kurs/') THEN 0 ELSE 1 END, length(url), url) AS nth
+        FROM ({_DIFF}) WHERE change_type = 'new' AND NOT {_INFO}) WHERE nth <= 50""",
+    "crawl_prev", "crawl_cur",
+)
+def baseline_pages(spark, sf):
+    found = snapshots.snapshot_diff(view(spark, sf, "crawl_prev"), view(spark, sf, "crawl_cur"), with_noise=False)
+    return marts.baseline_pages(found)
+
+
+# --- annotators -----------------------------------------------------------------------------------------------------
+
+_J = "json_extract_string(regexp_extract(raw, '(?s)(\\{.*\\})', 1), '$.%s')"
+
+
+@query(
+    f"""SELECT change_id, {_J % "category"} AS category, CASE lower(trim({_J % "importance"})) WHEN 'высокая' THEN 'high' WHEN 'важно' THEN 'high'
+        WHEN 'medium' THEN 'medium' WHEN 'low' THEN 'low' END AS importance FROM answers""",
+    "answers",
+)
+def json_card_parse(spark, sf):
+    return view(spark, sf, "answers").select("change_id", parsers.analysis(F.col("raw")).alias("a")).select("change_id", "a.category", "a.importance")
+
+
+@query(
+    f"""SELECT change_id, CASE WHEN lower({_J % "verdict"}) IN ('exact', 'similar', 'none') THEN lower({_J % "verdict"})
+        WHEN nullif({_J % "our_url"}, '') IS NOT NULL THEN 'similar' ELSE 'none' END AS verdict, nullif({_J % "our_url"}, '') AS our_url FROM answers""",
+    "answers",
+)
+def match_validation(spark, sf):
+    return view(spark, sf, "answers").select("change_id", parsers.comparison(F.col("raw")).alias("c")).select("change_id", "c.verdict", "c.our_url")
+
+
+# --- similarity -----------------------------------------------------------------------------------------------------
+
+_STOP = ", ".join(f"'{w}'" for w in text.STOPWORDS.split())
+_TERMS = rf"""
+terms_{{0}} AS (SELECT id, token, count(*) AS tf FROM (SELECT id, regexp_replace(w, '{text.STEM}', '\1') AS token FROM (
+  SELECT id, unnest(regexp_extract_all(replace(lower(text), 'ё', 'е'), '[а-яёa-z0-9]+')) AS w FROM {{1}}) WHERE length(w) > 2 AND w NOT IN ({_STOP}))
+  GROUP BY id, token)"""
+_SEARCH = f"""
+WITH docs AS (SELECT doc_id AS id, text FROM documents), items AS (SELECT item_id AS id, text FROM benchmark),
+{_TERMS.replace("{0}", "q").replace("{1}", "items")}, {_TERMS.replace("{0}", "d").replace("{1}", "docs")},
+idf AS (SELECT token, ln(((SELECT count(*) FROM docs) + 1) / (count(*) + 1)) + 1 AS idf FROM terms_d GROUP BY token),
+d AS (SELECT id, token, tf * idf AS v FROM terms_d JOIN idf USING (token)), q AS (SELECT id, token, tf * idf AS w FROM terms_q JOIN idf USING (token)),
+score AS (SELECT q.id AS query_id, d.id, sum(w * v) AS dot FROM q JOIN d USING (token) GROUP BY ALL),
+ranked AS (SELECT query_id, id, round(dot / (sqrt(nq) * sqrt(nd)), 6) AS score FROM score
+  JOIN (SELECT id, sum(v * v) AS nd FROM d GROUP BY id) USING (id) JOIN (SELECT id AS query_id, sum(w * w) AS nq FROM q GROUP BY id) USING (query_id))
+SELECT query_id, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS nth FROM ranked) WHERE nth <= 3"""
+
+
+@query(_SEARCH)
+def tfidf_topk(spark, sf):
+    """The three documents most similar to each item of the benchmark."""
+    none = F.lit(None).cast("string").alias("title")
+    docs = view(spark, sf, "documents").select(F.col("doc_id").alias("id"), none, "text")
+    return similarity.search(view(spark, sf, "benchmark").select(F.col("item_id").alias("id"), none, "text"), docs, 3)
+
+
+@query()
+def topic_merge(spark, sf):
+    """Which first turns of conversations repeat the topic of an earlier one of another site."""
+    rows = view(spark, sf, "conversations").groupBy("conv_id").agg(F.min_by("text", F.struct("turn", "text")).alias("text"))
+    new = rows.select(F.col("conv_id").alias("id"), (F.col("conv_id") % 4).alias("site_id"), F.lit(None).cast("string").alias("title"), "text")
+    return topics.same_run_topics(new)
+
+
+@query(
+    r"""WITH lines AS (SELECT doc_id, list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_replace(x, '[0-9][0-9  ]*', '#', 'g')) AS m
+        FROM documents), pieces AS (SELECT doc_id, array_to_string(m[s + 1:s + 3], chr(10)) AS piece FROM (
+          SELECT doc_id, m, unnest(range(0, greatest(len(m) - 3, 0) + 1)) AS s FROM lines))
+        SELECT md5(piece) AS piece, count(DISTINCT doc_id) AS pages FROM pieces
+        WHERE length(regexp_replace(piece, '(?i)[^a-zа-яё]', '', 'g')) >= 4 GROUP BY 1 HAVING count(DISTINCT doc_id) >= 3"""
+)
+def shingle_pages(spark, sf):
+    """Pieces of three lines, digits masked, that stand on at least three pages."""
+    runs = view(spark, sf, "documents").select(F.lit(0).alias("site_id"), F.col("doc_id").cast("string").alias("url"), F.lit(0).alias("run"), F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
+    rows = sitewide.shingles(runs).filter(text.letters(F.col("piece")) >= sitewide.MIN_LETTERS)
+    return rows.select(F.md5("piece").alias("piece"), "url").distinct().groupBy("piece").agg(F.count("*").alias("pages")).filter(F.col("pages") >= sitewide.MIN_PAGES)
