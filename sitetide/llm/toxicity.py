@@ -25,6 +25,9 @@ DECAY = 0.6
 LETTERS = 16
 #: Lengths of the stretches of letters that are counted to find words that mark toxic texts.
 GRAMS = (4, 5, 6)
+#: A piece marks toxic texts if it stands in them this many times as often as in clean ones; a sure one even more.
+RATIO = 7.0
+SURE = 14.0
 CACHE_WORDS = 1 << 17
 #: Margins at which a text's words are counted apart.
 STEPS = (-0.3, 0.0, 0.3, 0.6, 0.8)
@@ -286,16 +289,17 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     counts = written(_counts(rows), "piece-counts")
     n, t, c = F.col("t") + F.col("c"), F.col("t"), F.col("c")
     gain = t * F.log(t / (n * share)) + F.when(c > 0, c * F.log(c / (n * (1 - share)))).otherwise(0.0)
-    surprise = F.when(t > n * min(1.0, 3 * share), gain).otherwise(0.0)
+    often_toxic = t * float(size[0]) > c * (RATIO * size[1])  # shares of the classes, so that their balance does not matter
+    surprise = F.when(often_toxic, gain).otherwise(0.0)
     counts = counts.withColumn("g", F.when(t > 0, surprise).otherwise(0.0))
     level = float(np.log(counts.count() + 2)) + 2
     tried = [r["piece"] for r in counts.filter(F.col("g") > level).orderBy(F.desc("g"), "piece").limit(SAMPLE_WORDS).collect()]
-    again = _contexts(rows, set(tried)).withColumn("g", F.when(t > n * min(1.0, 3 * share), gain).otherwise(0.0))
-    strong = {r["piece"]: r["t"] / (r["t"] + r["c"]) for r in again.filter(F.col("g") > level).collect()}  # at most those tried
-    sure = {p for p, part in strong.items() if part > max(0.8, 3 * share)}
-    likely = counts.filter("whole and t > 0").filter(t > n * min(1.0, 3 * share)).orderBy(F.desc("g"), "piece").limit(10 * SAMPLE_WORDS).collect()
+    again = _contexts(rows, set(tried)).withColumn("g", F.when(often_toxic, gain).otherwise(0.0))
+    strong = {r["piece"]: r["t"] * size[0] > SURE * r["c"] * size[1] for r in again.filter(F.col("g") > level).collect()}  # at most those tried
+    sure = {p for p, alone in strong.items() if alone}
+    likely = counts.filter("whole and t > 0").filter(often_toxic).orderBy(F.desc("g"), "piece").limit(10 * SAMPLE_WORDS).collect()
     marked = [(r["piece"], r["t"]) for r in likely if r["piece"] in strong or (not r["c"] and grams(r["piece"]) & sure)][:SAMPLE_WORDS]
-    clean = counts.filter("whole and c >= 1").filter(t <= n * min(1.0, 3 * share))
+    clean = counts.filter("whole and c >= 1").filter(~often_toxic)
     often = clean.orderBy(F.desc("c"), "piece").limit(SAMPLE_WORDS // 2)
     any_ = clean.orderBy(F.xxhash64("piece"), "piece").limit(10 * SAMPLE_WORDS)
     bad = [w for w, _ in marked]
