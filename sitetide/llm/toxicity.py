@@ -16,7 +16,7 @@ from sitetide.session import table, written
 
 #: Bounds of what is fitted: labelled texts of each class, landmark words, words of each class for the machine.
 SAMPLE_TEXTS = 6000
-LANDMARKS = 160
+LANDMARKS = 80
 SAMPLE_WORDS = 3000
 #: Subsequences of ORDER letters; a gap costs DECAY for each letter it spans.
 ORDER = 3
@@ -91,12 +91,17 @@ def subsequence_kernel(s: np.ndarray, t: np.ndarray, order: int = ORDER, decay:
 
 
 class Landmarks:
-    """Normalised kernel values of words against fixed landmark words; pairs with few common letters count as 0."""
+    """Normalised kernel values of words against fixed landmark words; pairs with few common letters count as 0.
 
-    def __init__(self, words: list[str]):
-        self.words = words
+    So do all pairs of a word that shares less than three quarters of its letters with each of the first ``gate``
+    landmarks, those that mark toxic texts: such a word cannot come near them.
+    """
+
+    def __init__(self, words: list[str], gate: int | None = None):
+        self.words, self.gate = words, len(words) if gate is None else gate
         self.codes, self.masks = codes(words, -1), masks(codes(words, 0))
         self.need = np.maximum(2, np.ceil(0.6 * np.bitwise_count(self.masks)).astype(np.int64))
+        self.close = np.maximum(2, np.ceil(0.75 * np.bitwise_count(self.masks)).astype(np.int64))
         self.sizes = np.array([len(w) for w in words])
         filled = np.where(self.codes < 0, 0, self.codes)
         self.own = np.sqrt(np.maximum(subsequence_kernel(filled, np.where(filled == 0, -1, filled)), 1e-12))
@@ -105,10 +110,14 @@ class Landmarks:
         """``(word, landmark, value)`` of the pairs that are not 0."""
         c = codes(words, 0)
         m, sizes = masks(c), np.array([len(w) for w in words])
+        near = np.zeros(len(words), bool)
+        for k in range(self.gate):
+            near |= (np.bitwise_count(m & self.masks[k]) >= self.close[k]) & (sizes >= self.sizes[k] - 2) & (sizes <= 2 * self.sizes[k])
+        kept = np.flatnonzero(near)
         rows, cols = [], []
         for k in range(len(self.words)):
-            close = (np.bitwise_count(m & self.masks[k]) >= self.need[k]) & (sizes >= self.sizes[k] - 2) & (sizes <= 2 * self.sizes[k])
-            at = np.flatnonzero(close)
+            close = (np.bitwise_count(m[kept] & self.masks[k]) >= self.need[k]) & (sizes[kept] >= self.sizes[k] - 2) & (sizes[kept] <= 2 * self.sizes[k])
+            at = kept[close]
             rows.append(at)
             cols.append(np.full(len(at), k))
         r, k = np.concatenate(rows), np.concatenate(cols)
@@ -161,6 +170,7 @@ class Model:
     words: list[str]
     alpha: np.ndarray
     bias: float
+    gate: int
     weights: np.ndarray | None = None
 
 
@@ -168,7 +178,7 @@ class Scorer:
     """Margins of words, remembered within a bound, and features of texts."""
 
     def __init__(self, model: Model):
-        self.model, self.landmarks, self.met = model, Landmarks(model.words), {}
+        self.model, self.landmarks, self.met = model, Landmarks(model.words, model.gate), {}
 
     def margins(self, words: list[str]) -> np.ndarray:
         new = list({w for w in words if w not in self.met})
@@ -312,14 +322,14 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     close = np.argsort(-near, kind="stable")  # clean words most like the marked ones teach the difference
     words = marks + [good[k] for k in close[: LANDMARKS - len(marks)]]
     good = [good[k] for k in close[:SAMPLE_WORDS]] + good[: SAMPLE_WORDS // 2]
-    landmarks = Landmarks(words)
-    square = landmarks.matrix(words)
+    square = Landmarks(words).matrix(words)
+    landmarks = Landmarks(words, len(marks))
     values, vectors = np.linalg.eigh((square + square.T) / 2)
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 0.02))) @ vectors.T
     x = landmarks.matrix([*bad, *good]) @ root
     y = np.array([1.0] * len(bad) + [-1.0] * len(good))
     w, bias = fit_svm(x, y, np.sqrt(np.array([n for _, n in marked] + [1] * len(good), float)))
-    model = Model(words, root @ w, bias)
+    model = Model(words, root @ w, bias, len(marks))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
