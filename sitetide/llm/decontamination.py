@@ -19,6 +19,7 @@ WINDOW = 10
 #: Characters of distinct windows in one automaton; more windows make more scans, one after the other.
 PART_CHARS = 16_000_000
 _KEEP = bytes(c + 32 if 65 <= c <= 90 else c if c > 127 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
+_LOWER = {c: c + 32 for c in range(65, 91)}
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
@@ -74,7 +75,7 @@ def spans_of(text: str, hit: np.ndarray) -> list[tuple[int, int]]:
     """The hit words' maximal runs as code-point offsets in the original text, end exclusive."""
     out: list[tuple[int, int]] = []
     before = False
-    for word, on in zip(_WORD.finditer(text), hit.tolist(), strict=True):
+    for word, on in zip(_WORD.finditer(text.translate(_LOWER)), hit.tolist(), strict=True):
         if on:
             out.append((out.pop()[0] if before else word.start(), word.end()))
         before = on
