@@ -22,21 +22,26 @@ def json_object(raw: Column) -> Column:
     return F.nullif(F.regexp_extract(raw, r"(?s)(\{.*\})", 1), F.lit(""))
 
 
-def _field(raw: Column, name: str) -> Column:
-    return F.nullif(F.get_json_object(json_object(raw), f"$.{name}"), F.lit(""))
+def _fields(raw: Column, *names: str):
+    """One parse of the object; a function that gives a field, null where it is missing or empty."""
+    found = F.from_json(json_object(raw), ", ".join(f"{n} string" for n in names))
+    return lambda name: F.nullif(found[name], F.lit(""))
 
 
 def analysis(raw: Column) -> Column:
     """Category, offer, call to action, summary and importance of a change; null without an object."""
-    fields = [_field(raw, n).alias(n) for n in ("category", "usp", "cta", "summary", "importance_reason")]
-    return F.when(json_object(raw).isNotNull(), F.struct(*fields, importance(_field(raw, "importance")).alias("importance")))
+    names = ("category", "usp", "cta", "summary", "importance_reason")
+    field = _fields(raw, *names, "importance")
+    made = F.struct(*[field(n).alias(n) for n in names], importance(field("importance")).alias("importance"))
+    return F.when(json_object(raw).isNotNull(), made)
 
 
 def comparison(raw: Column) -> Column:
     """Verdict and page of a comparison with the own site; an unknown verdict follows from whether a page is named."""
-    url, verdict = _field(raw, "our_url"), F.lower(F.trim(_field(raw, "verdict")))
+    field = _fields(raw, "our_url", "verdict", "differences", "missing")
+    url, verdict = field("our_url"), F.lower(F.trim(field("verdict")))
     known = F.when(verdict.isin(*VERDICTS), verdict).when(url.isNotNull(), "similar").otherwise("none")
-    found = F.struct(known.alias("verdict"), url.alias("our_url"), _field(raw, "differences").alias("differences"), _field(raw, "missing").alias("missing"))
+    found = F.struct(known.alias("verdict"), url.alias("our_url"), field("differences").alias("differences"), field("missing").alias("missing"))
     return F.when(json_object(raw).isNotNull(), found)
 
 
