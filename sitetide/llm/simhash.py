@@ -1,4 +1,8 @@
-"""SimHash near-duplicates: deletion-variant signatures, an equality join on them, verification and components."""
+"""SimHash near-duplicates: deletion-variant signatures, an equality join on them, verification and components.
+
+Two fingerprints that differ in at most 2n - 1 bits agree up to one bit in one of n segments, so the number of segments
+follows the distance that is asked for.
+"""
 
 from __future__ import annotations
 
@@ -17,17 +21,24 @@ from sitetide.session import table, written
 SHINGLE = 4
 DISTANCE = 4
 SEED = 42
-#: Three segments: of four differing bits, one segment holds at most one.
-SEGMENTS = ((0, 22), (22, 43), (43, 64))
-_MASKS = [np.uint64(((1 << hi) - 1) ^ ((1 << lo) - 1)) for lo, hi in SEGMENTS]
-_LOW = [np.uint64(1 << lo) for lo, _ in SEGMENTS]
+#: Two texts are near copies if they share this much of their distinct shingles, as a fraction.
+SIMILAR = (4, 5)
+#: So many documents at most are picked out by a broadcast of their ids; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """The unsigned 64-bit SimHash of a text's word shingles; 0 where there is no word."""
+def segments(distance: int) -> list[tuple[int, int]]:
+    """The fewest segments (three at least) of which one holds at most one of ``distance`` differing bits."""
+    n = max(3, distance // 2 + 1)
+    ends = np.cumsum([64 // n + (k < 64 % n) for k in range(n)]).tolist()
+    return list(zip([0, *ends[:-1]], ends, strict=True))
+
+
+def _digests(text: str | None, shingle: int, seed: int) -> np.ndarray:
+    """The xxHash64 of each word shingle, eight bytes a row."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z only, ASCII white space only
     if not words:
-        return 0
+        return np.empty((0, 8), np.uint8)
     joined = b" ".join(words)
     k = min(shingle, len(words))
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
@@ -36,13 +47,32 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     raw = b"".join(
         [digest(joined[s:e], seed) for s, e in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)]
     )
-    rows = np.frombuffer(raw, np.uint8).reshape(-1, 8)
+    return np.frombuffer(raw, np.uint8).reshape(-1, 8)
+
+
+def _majority(rows: np.ndarray) -> int:
     ones = np.zeros(64, np.int64)
     for at in range(0, len(rows), 1 << 16):
         ones += np.unpackbits(rows[at : at + (1 << 16)], axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(ones * 2 > len(rows)).tobytes(), "big")
 
 
+def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    """The unsigned 64-bit SimHash of a text's word shingles; 0 where there is no word."""
+    return _majority(_digests(text, shingle, seed))
+
+
+def shingle_set(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """The sorted distinct hashes of a text's word shingles."""
+    return np.unique(_digests(text, shingle, seed).view(">u8").ravel().astype(np.uint64))
+
+
+def sketch(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> tuple[int, int, int]:
+    """Of a text's set of shingles: a digest (equal sets have equal ones), its SimHash, and its size."""
+    found = shingle_set(text, shingle, seed)
+    return xxhash.xxh64_intdigest(found.tobytes(), seed), _majority(found.astype(">u8").view(np.uint8).reshape(-1, 8)), len(found)
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """``doc_id, fp`` (the fingerprint as a signed long) of every row."""
     return with_fingerprints(docs.select("doc_id", "text"), shingle, seed).drop("text")
@@ -61,23 +91,33 @@ def with_fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED)
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("fp", T.LongType())]))
 
 
-def variants(fps: DataFrame) -> DataFrame:
-    """``key, fp``: for each bit of a fingerprint, its segment with that bit as a wildcard (64 rows)."""
-    out = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("j"))
-    low = F.when(F.col("j") < 22, 0).when(F.col("j") < 43, 22).otherwise(43)
-    width = F.when(F.col("j") < 22, 22).otherwise(21)
-    out = out.select("fp", "j", low.alias("low"), width.alias("width"))
-    return out.select(
-        F.expr("(j << 22) | cast((shiftrightunsigned(fp, low) & ((1L << width) - 1)) & ~(1L << (j - low)) as int)").alias("key"),
-        "fp",
-    )
+def with_sketches(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
+    """``docs`` with ``_set, _fp, _size`` of each text's set of shingles."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = np.array([sketch(x.as_py(), shingle, seed) for x in batch.column(at)], np.uint64).reshape(-1, 3).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(made[:, k]) for k in range(3)]], [*batch.schema.names, "_set", "_fp", "_size"])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *[T.StructField(c, T.LongType()) for c in ("_set", "_fp", "_size")]]))
+
 
+def variants(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """``key`` before the columns of ``fps``: for each bit of ``fp``, its segment with that bit as a wildcard (64 rows)."""
+    parts = segments(distance)
+    of = [next((lo, hi - lo) for lo, hi in parts if lo <= j < hi) for j in range(64)]
+    bits = F.array(*[F.struct(F.lit(j).alias("j"), F.lit(of[j][0]).alias("low"), F.lit(of[j][1]).alias("width")) for j in range(64)])
+    out = fps.select(*fps.columns, F.explode(bits).alias("_b"))
+    key = "(_b.j << 22) | cast((shiftrightunsigned(fp, _b.low) & ((1L << _b.width) - 1)) & ~(1L << (_b.j - _b.low)) as int)"
+    return out.select(F.expr(key).alias("key"), *fps.columns)
 
-def first_bucket(diff: np.ndarray) -> np.ndarray:
+
+def first_bucket(diff: np.ndarray, distance: int = DISTANCE) -> np.ndarray:
     """The first wildcard bit under which two fingerprints that differ in these bits meet."""
     out = np.full(len(diff), -1, np.int64)
-    for (lo, _), mask in zip(SEGMENTS, _MASKS, strict=True):
-        part = diff & mask
+    for lo, hi in segments(distance):
+        part = diff & np.uint64(((1 << hi) - 1) ^ ((1 << lo) - 1))
         count = np.bitwise_count(part)
         bit = np.bitwise_count(np.maximum(part, np.uint64(1)) - np.uint64(1)).astype(np.int64)
         bit = np.where(count == 0, lo, bit)
@@ -102,7 +142,7 @@ def bucket_links(key: int, fps: np.ndarray, distance: int = DISTANCE) -> tuple[l
             near = np.bitwise_count(diff) <= distance
             if near.any():
                 got = left[near]
-                keep = got[first_bucket(diff[near]) == mine]
+                keep = got[first_bucket(diff[near], distance) == mine]
                 a.extend([x] * len(keep))
                 b.extend(keep)
                 queue.extend(got)
@@ -110,8 +150,24 @@ def bucket_links(key: int, fps: np.ndarray, distance: int = DISTANCE) -> tuple[l
     return a, b
 
 
-def _linked(distance: int):
-    def emit(keys: np.ndarray, fps: np.ndarray):
+def bucket_pairs(key: int, fps: np.ndarray, groups: np.ndarray, distance: int) -> tuple[list, list]:
+    """All pairs of one bucket within ``distance`` whose groups differ, each only in the first bucket where it meets."""
+    a, b = [], []
+    for at in range(0, len(fps) - 1, 128):
+        diff = fps[at : at + 128, None] ^ fps[None, at + 1 :]
+        x, y = np.nonzero(np.bitwise_count(diff) <= distance)
+        ok = (y >= x) & (groups[at + x] != groups[at + 1 + y])
+        x, y = x[ok], y[ok]
+        ok = first_bucket(diff[x, y], distance) == key >> 22
+        a.extend(fps[at + x[ok]])
+        b.extend(fps[at + 1 + y[ok]])
+    return a, b
+
+
+def _linked(distance: int, groups: bool = False):
+    """Links of each bucket of ``key, fp`` rows sorted by key; with ``groups`` all pairs of ``key, fp, group`` rows."""
+
+    def emit(keys: np.ndarray, fps: np.ndarray, group: np.ndarray):
         a, b = [], []
         if len(keys):
             cuts = np.flatnonzero(np.diff(keys)) + 1
@@ -119,27 +175,30 @@ def _linked(distance: int):
             size = ends - starts
             two = starts[size == 2]
             diff = fps[two] ^ fps[two + 1]
-            good = (np.bitwise_count(diff) <= distance) & (first_bucket(diff) == keys[two] >> 22)
+            good = (np.bitwise_count(diff) <= distance) & (first_bucket(diff, distance) == keys[two] >> 22)
+            if groups:
+                good &= group[two] != group[two + 1]
             a.extend(fps[two][good])
             b.extend(fps[two + 1][good])
             for s, e in zip(starts[size > 2].tolist(), ends[size > 2].tolist(), strict=True):
-                more = bucket_links(int(keys[s]), fps[s:e], distance)
+                more = bucket_pairs(int(keys[s]), fps[s:e], group[s:e], distance) if groups else bucket_links(int(keys[s]), fps[s:e], distance)
                 a.extend(more[0])
                 b.extend(more[1])
         x, y = np.array(a, np.uint64).view(np.int64), np.array(b, np.uint64).view(np.int64)
         return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, fps = np.empty(0, np.int64), np.empty(0, np.uint64)
+        keys, fps, group = np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64)
         for batch in batches:
             k = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             f = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
-            keys, fps = np.concatenate((keys, k)), np.concatenate((fps, f))
+            g = batch.column(2).to_numpy(zero_copy_only=False) if groups else np.zeros(len(k), np.int64)
+            keys, fps, group = np.concatenate((keys, k)), np.concatenate((fps, f)), np.concatenate((group, g))
             done = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
             if done:
-                yield emit(keys[:done], fps[:done])
-                keys, fps = keys[done:], fps[done:]
-        yield emit(keys, fps)
+                yield emit(keys[:done], fps[:done], group[:done])
+                keys, fps, group = keys[done:], fps[done:], group[done:]
+        yield emit(keys, fps, group)
 
     return run
 
@@ -151,8 +210,6 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SH
     distinct fingerprint meet in buckets of distinct 8-byte values. A null text has no words and fingerprint zero, as
     an empty one; rows with a null id take part but never name a component (null where a group has no id at all).
     """
-    if distance > 5:
-        raise ValueError("three segments with one wildcard find at most five differing bits")
     fps = written(fingerprints(docs, shingle), "fingerprints")
     each = classes(fps, distance).select("fp", "component_id")
     return fps.join(each, "fp").select("doc_id", "fp", "component_id")
@@ -162,7 +219,7 @@ def classes(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """``fp, least, component, component_id`` of every distinct fingerprint: the smallest id that has it, a fingerprint
     that names its group, and the smallest id of the group."""
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    spread = variants(nodes.select("fp")).repartition("key").sortWithinPartitions("key")
+    spread = variants(nodes.select("fp"), distance).repartition("key").sortWithinPartitions("key")
     edges = spread.mapInArrow(_linked(distance), "a long, b long")
     groups = connected_components(edges)
     named = groups.join(nodes, groups.node == nodes.fp).groupBy("component").agg(F.min("least").alias("component_id"))
@@ -178,8 +235,6 @@ def keep_one(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE)
     rows with one id and one fingerprint a single one stays. Texts are shuffled once, by id and fingerprint, so that a
     group of copies meets in no task.
     """
-    if distance > 5:
-        raise ValueError("three segments with one wildcard find at most five differing bits")
     fps = written(fingerprints(docs, shingle), "fingerprints")
     first = F.min(F.struct(F.col("least").isNull().alias("no_id"), "least", F.col("fp").alias("of"))).alias("first")
     kept = classes(fps, distance).groupBy("component").agg(first).select(F.col("first.least").alias("kept_id"), F.col("first.of").alias("kept_fp"))
@@ -189,6 +244,85 @@ def keep_one(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE)
     return joined.withColumn("_nth", nth).filter("_nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+def _similar(pairs: DataFrame, docs: DataFrame, sets: DataFrame, shingle: int) -> DataFrame:
+    """Those of ``pairs (a, b)`` of sets that have a Jaccard index of ``SIMILAR`` at least, from the texts themselves.
+
+    ``sets (_set, least)`` tells which document has a set. Only the texts that stand in a pair are taken from ``docs``.
+    """
+    up, down = SIMILAR
+    pairs = written(pairs, "pairs")
+    needed = written(pairs.select(F.explode(F.array("a", "b")).alias("_set")).distinct().join(sets.select("_set", "least"), "_set"), "needed")
+    ids = F.broadcast(needed) if needed.count() <= BROADCAST_IDS else needed
+    found = docs.select("doc_id", "text").join(ids.select("least").distinct(), F.col("doc_id").eqNullSafe(F.col("least")), "left_semi")
+    texts = with_sketches(found.select("text"), shingle).join(ids.select("_set"), "_set", "left_semi").select("_set", "text")
+    texts = written(texts.dropDuplicates(["_set"]), "texts")  # a null or repeated id may have several texts
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, met, good = batch.column(0).to_pylist(), batch.column(1).to_pylist(), {}, []
+            for ends, column in ((a, batch.column(2)), (b, batch.column(3))):
+                for k, end in enumerate(ends):
+                    if end not in met:
+                        met[end] = shingle_set(column[k].as_py(), shingle)
+            for x, y in zip(a, b, strict=True):
+                shared = len(np.intersect1d(met[x], met[y], assume_unique=True))
+                good.append(shared * down >= up * (len(met[x]) + len(met[y]) - shared))
+            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+
+    left = texts.select(F.col("_set").alias("a"), F.col("text").alias("ta"))
+    right = texts.select(F.col("_set").alias("b"), F.col("text").alias("tb"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+
+
+def similar_sets(docs: DataFrame, distance: int, shingle: int = SHINGLE) -> DataFrame:
+    """``_set, least, component`` of every distinct set of shingles: the smallest id that has it and a set that names
+    its group. Sets are linked by a true Jaccard index of ``SIMILAR`` or more; candidates are the pairs of fingerprints
+    at most ``distance`` bits apart.
+
+    First the links that connect the close fingerprints of a bucket are measured, so that a large group of near copies
+    mostly becomes one component from few pairs; then all pairs of different components are.
+    """
+    up, down = SIMILAR
+    made = with_sketches(docs.select("doc_id", "text"), shingle).select("doc_id", "_set", "_fp", "_size")
+    sets = written(made.groupBy("_set", F.col("_fp").alias("fp"), F.col("_size").alias("size")).agg(F.min("doc_id").alias("least")), "sets")
+
+    def pairs(links: DataFrame, group: DataFrame) -> DataFrame:
+        """Pairs of sets for pairs of fingerprints, with sizes that allow the similarity."""
+        one = group.select(F.col("fp").alias("a"), F.col("_set").alias("x"), F.col("size").alias("n"), F.col("component").alias("g"))
+        two = group.select(F.col("fp").alias("b"), F.col("_set").alias("y"), F.col("size").alias("m"), F.col("component").alias("h"))
+        both = links.join(one, "a").join(two, "b").filter("g <> h and (a <> b or x < y)")
+        return both.filter(F.least("n", "m") * down >= F.greatest("n", "m") * up).select(F.col("x").alias("a"), F.col("y").alias("b"))
+
+    def grouped(edges: DataFrame) -> DataFrame:
+        named = connected_components(edges).select(F.col("node").alias("_set"), F.col("component").alias("of"))
+        return sets.join(named, "_set", "left").withColumn("component", F.coalesce("of", "_set")).drop("of")
+
+    near = variants(sets.select("fp").distinct(), distance // 2).repartition("key").sortWithinPartitions("key")
+    first = pairs(near.mapInArrow(_linked(distance // 2), "a long, b long"), sets.withColumn("component", F.col("_set")))
+    edges = written(_similar(first, docs, sets, shingle), "edges")
+    group = written(grouped(edges), "groups")
+    by_fp = group.groupBy("fp").agg(F.min("component").alias("g"), F.max("component").alias("h"))
+    by_fp = written(by_fp.select("fp", F.when(F.col("g") == F.col("h"), F.col("g")).otherwise(F.xxhash64("fp")).alias("group"), (F.col("g") != F.col("h")).alias("mixed")), "by-fp")
+    spread = variants(by_fp.select("fp", "group"), distance).repartition("key").sortWithinPartitions("key")
+    links = spread.mapInArrow(_linked(distance, True), "a long, b long").unionByName(by_fp.filter("mixed").select(F.col("fp").alias("a"), F.col("fp").alias("b")))
+    more = _similar(pairs(links, group), docs, sets, shingle)
+    return grouped(written(edges.unionByName(more), "edges")).select("_set", "least", "component")
+
+
+def keep_similar(docs: DataFrame, distance: int, shingle: int = SHINGLE) -> DataFrame:
+    """One row of each group of ``similar_sets``, with the columns of ``docs``: that with the smallest id.
+
+    Rows with a null id stay only where their group has no id; of repeated rows with one id and one set a single one
+    stays. Texts without words are one set.
+    """
+    first = F.min(F.struct(F.col("least").isNull().alias("no_id"), "least", F.col("_set").alias("of"))).alias("first")
+    kept = similar_sets(docs, distance, shingle).groupBy("component").agg(first).select(F.col("first.least").alias("kept_id"), F.col("first.of").alias("kept_set"))
+    rows = with_sketches(docs, shingle)
+    joined = rows.join(kept, rows.doc_id.eqNullSafe(kept.kept_id) & (rows["_set"] == kept.kept_set))
+    nth = F.row_number().over(Window.partitionBy("doc_id", "_set").orderBy("doc_id"))
+    return joined.withColumn("_nth", nth).filter("_nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op7_simhash_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -6,7 +6,7 @@ import corpus_pipeline
 from sitetide.llm import bpe, pii, toxicity
 from sitetide.session import table
 from tests.llm.test_decontamination import brute as leaks
-from tests.llm.test_simhash import links
+from tests.llm.test_simhash import jaccard_groups, links
 
 
 def test_run_equals_a_plain_version(spark, small):
@@ -35,3 +35,12 @@ def test_stages_keep_the_columns(spark, docs, rows, small):
         assert stage(spark, docs.limit(0), small).count() == 0
     wide = docs.withColumn("score", F.lit(1)).withColumn("hit", F.lit("x"))
     assert corpus_pipeline.STAGES[-1][1](spark, wide, small).count() == len(rows)
+
+
+def test_near_copies_equal_all_pairs_by_jaccard(spark, small):
+    """One of each group at a true Jaccard index of 0.8 or more stays; one of the two pairs of this table is too many bits apart."""
+    docs = table(spark, small, "documents")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    want = set(jaccard_groups(rows, corpus_pipeline.SHINGLE))
+    got = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, small).collect()}
+    assert want <= got and len(got - want) <= 1

@@ -1,3 +1,5 @@
+import numpy as np
+
 from sitetide.llm import simhash
 
 
@@ -46,3 +48,55 @@ def test_one_row_of_each_group_stays(docs, rows, empty):
     got = simhash.keep_one(docs, 5, 5).collect()
     assert len(got) == len(set(group)) and {r["doc_id"] for r in got} == set(least)
     assert simhash.keep_one(empty, 5, 5).count() == 0 and simhash.near_duplicates(empty).count() == 0
+
+
+def jaccard_groups(rows, shingle=5):
+    """Smallest id of each row's group, linking all pairs that share 0.8 of their distinct shingles."""
+    sets = [set(simhash.shingle_set(t, shingle).tolist()) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) > 0:
+                root[find(i)] = find(j)
+    least = {}
+    for i, (k, _) in enumerate(rows):
+        if k is not None:
+            least[find(i)] = min(least.get(find(i), k), k)
+    return [least.get(find(i)) for i in range(len(rows))]
+
+
+def test_every_pair_within_the_distance_meets():
+    rng = np.random.default_rng(1)
+    for distance in (4, 5, 9, 13, 15):
+        x = rng.integers(0, 1 << 63, 500, np.uint64)
+        flips = [rng.choice(64, distance, replace=False) for _ in x]
+        diff = np.array([sum(1 << int(b) for b in f) for f in flips], np.uint64)
+        assert (simhash.first_bucket(diff, distance) >= 0).all()
+
+
+def test_edited_copies_go_and_only_those(spark, docs, rows, empty):
+    """Copies with a few words changed (Jaccard 0.8 to 0.9) go; those just under 0.8 stay."""
+    rng = np.random.default_rng(3)
+    made = []
+    for k in range(40):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 300)]
+        made.append((10 * k, " ".join(words)))
+        for n, edits in enumerate((3, 5, 6, 8, 12)):
+            copy = list(words)
+            for at in rng.choice(60, edits, replace=False) * 5:
+                copy[at] = f"new{rng.integers(0, 1 << 30)}"
+            made.append((10 * k + n + 1, " ".join(copy)))
+    least = jaccard_groups(made)
+    frame = spark.createDataFrame(made, "doc_id long, text string")
+    got = {r["doc_id"] for r in simhash.keep_similar(frame, 15, 5).collect()}
+    want, whole = set(least), {i for i, _ in made}
+    assert want <= got and len(got - want) <= 0.03 * len(whole - want)  # of the copies that should go
+    plain = [(i, t) for i, t, *_ in rows]
+    assert sorted(r["doc_id"] for r in simhash.keep_similar(docs, 15, 5).select("doc_id").collect()) == sorted(set(jaccard_groups(plain)))
+    assert simhash.keep_similar(docs, 15, 5).columns == docs.columns and simhash.keep_similar(empty, 15, 5).count() == 0
