@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sitetide.functions import diffs, markup, noise, parsers, text, urls
-from sitetide.operators import sitewide, topics
+from sitetide.operators import similarity, sitewide, topics
 from sitetide.sources import sitemap, store
 
 
@@ -120,6 +120,18 @@ def test_topics_of_one_run_join_the_earliest_of_another_site(spark):
     assert {r["id"]: r["same_as"] for r in topics.same_run_topics(new).collect()} == {1: None, 2: 1, 3: None, 4: None, 5: None}
 
 
+def test_topics_of_a_long_chain_are_all_settled(spark):
+    """Each case is like its predecessor only, so one case is settled a round; none may be missing."""
+    new = spark.createDataFrame([(k, k % 2, None, " ".join(f"wort{2 * k + x}x" for x in range(10))) for k in range(56)], "id long, site_id long, title string, text string")
+    near = {}
+    for r in similarity.search(new, new, None, topics.MERGE).filter("id < query_id and id % 2 <> query_id % 2").collect():
+        near.setdefault(r["query_id"], []).append((-r["score"], r["id"]))
+    want = {}
+    for k in range(56):
+        want[k] = min((p for p in near.get(k, []) if want[p[1]] is None), default=(0, None))[1]
+    assert len(near) > 50 and {r["id"]: r["same_as"] for r in topics.same_run_topics(new).collect()} == want
+
+
 def test_store(spark, tmp_path):
     log = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (2, "c", 1)], "k long, v string, at int")
     assert {(r["k"], r["v"]) for r in store.latest(log, ["k"], ["at"]).collect()} == {(1, "b"), (2, "c")}
