@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,15 +15,24 @@ from pyspark.sql import functions as F
 from sitetide.llm.bpe import pieces, split_words
 from sitetide.session import table, written
 
-#: Bounds of what is fitted: labelled texts of each class, landmark words, words of each class for the machine.
+#: Bounds of what is fitted: labelled texts of each class, landmark words (more where they leave marked words uncovered),
+#: words of each class for the machine.
 SAMPLE_TEXTS = 6000
-LANDMARKS = 80
+LANDMARKS = 160
 SAMPLE_WORDS = 3000
 #: Subsequences of ORDER letters; a gap costs DECAY for each letter it spans.
 ORDER = 3
 DECAY = 0.6
 #: Longer words are seen as overlapping stretches of this many letters.
 LETTERS = 16
+#: Words are also seen as stretches of this many letters, as a short landmark is not compared with over twice its length.
+SHORT = 8
+#: A marked word is covered by a landmark with this kernel value.
+COVERED = 0.7
+#: So many counted pieces are kept before they are handed on.
+HELD = 200_000
+#: With fewer texts of a class, words that mark it may not stand out from chance.
+TOLD = 50
 #: Lengths of the stretches of letters that are counted to find words that mark toxic texts.
 GRAMS = (4, 5, 6)
 #: A piece marks toxic texts if it stands in them this many times as often as in clean ones; a sure one even more.
@@ -32,6 +42,7 @@ CACHE_WORDS = 1 << 17
 #: Margins at which a text's words are counted apart.
 STEPS = (-0.3, 0.0, 0.3, 0.6, 0.8)
 _NOT_LETTER = re.compile(r"[\W\d_]+")
+_DRAWN = re.compile(r"(.)\1{2,}")
 _SPACED = re.compile(r"(?<!\S)(?:[^\W\d_][^\w\s]?[ ]){3,}[^\W\d_](?![^\W\d_])")
 
 
@@ -51,6 +62,18 @@ def stretches(word: str) -> list[str]:
     return [word[s : s + LETTERS] for s in range(0, len(word) - LETTERS // 2, LETTERS // 2)]
 
 
+def views(word: str) -> list[str]:
+    """What of a word is compared with the landmarks: its stretches, also with drawn-out letters cut to one or two."""
+    out = []
+    for w in dict.fromkeys((word, _DRAWN.sub(r"\1", word), _DRAWN.sub(r"\1\1", word))):
+        out += stretches(w)
+        if len(w) > LETTERS:
+            out += [w[s : s + LETTERS] for s in range(0, len(w) - LETTERS // 4, LETTERS // 4)]
+        if len(w) > SHORT:
+            out += [w[s : s + SHORT] for s in range(0, len(w) - SHORT + 2, 2)]
+    return list(dict.fromkeys(out))
+
+
 def codes(words: list[str], fill: int) -> np.ndarray:
     """Letters as numbers, one row for each word; ``fill`` stands beyond its end."""
     out = np.full((len(words), LETTERS), fill, np.int32)
@@ -91,17 +114,12 @@ def subsequence_kernel(s: np.ndarray, t: np.ndarray, order: int = ORDER, decay:
 
 
 class Landmarks:
-    """Normalised kernel values of words against fixed landmark words; pairs with few common letters count as 0.
-
-    So do all pairs of a word that shares less than three quarters of its letters with each of the first ``gate``
-    landmarks, those that mark toxic texts: such a word cannot come near them.
-    """
+    """Normalised kernel values of words against fixed landmark words; pairs with few common letters count as 0."""
 
-    def __init__(self, words: list[str], gate: int | None = None):
-        self.words, self.gate = words, len(words) if gate is None else gate
+    def __init__(self, words: list[str]):
+        self.words = words
         self.codes, self.masks = codes(words, -1), masks(codes(words, 0))
         self.need = np.maximum(2, np.ceil(0.6 * np.bitwise_count(self.masks)).astype(np.int64))
-        self.close = np.maximum(2, np.ceil(0.75 * np.bitwise_count(self.masks)).astype(np.int64))
         self.sizes = np.array([len(w) for w in words])
         filled = np.where(self.codes < 0, 0, self.codes)
         self.own = np.sqrt(np.maximum(subsequence_kernel(filled, np.where(filled == 0, -1, filled)), 1e-12))
@@ -110,14 +128,9 @@ class Landmarks:
         """``(word, landmark, value)`` of the pairs that are not 0."""
         c = codes(words, 0)
         m, sizes = masks(c), np.array([len(w) for w in words])
-        near = np.zeros(len(words), bool)
-        for k in range(self.gate):
-            near |= (np.bitwise_count(m & self.masks[k]) >= self.close[k]) & (sizes >= self.sizes[k] - 2) & (sizes <= 2 * self.sizes[k])
-        kept = np.flatnonzero(near)
         rows, cols = [], []
         for k in range(len(self.words)):
-            close = (np.bitwise_count(m[kept] & self.masks[k]) >= self.need[k]) & (sizes[kept] >= self.sizes[k] - 2) & (sizes[kept] <= 2 * self.sizes[k])
-            at = kept[close]
+            at = np.flatnonzero((np.bitwise_count(m & self.masks[k]) >= self.need[k]) & (sizes >= self.sizes[k] - 2) & (sizes <= 2 * self.sizes[k]))
             rows.append(at)
             cols.append(np.full(len(at), k))
         r, k = np.concatenate(rows), np.concatenate(cols)
@@ -170,7 +183,6 @@ class Model:
     words: list[str]
     alpha: np.ndarray
     bias: float
-    gate: int
     weights: np.ndarray | None = None
 
 
@@ -178,7 +190,7 @@ class Scorer:
     """Margins of words, remembered within a bound, and features of texts."""
 
     def __init__(self, model: Model):
-        self.model, self.landmarks, self.met = model, Landmarks(model.words, model.gate), {}
+        self.model, self.landmarks, self.met = model, Landmarks(model.words), {}
 
     def margins(self, words: list[str]) -> np.ndarray:
         new = list({w for w in words if w not in self.met})
@@ -187,7 +199,7 @@ class Scorer:
             new = list(set(words))
         parts, of = [], []
         for k, w in enumerate(new):
-            for s in stretches(w):
+            for s in views(w):
                 parts.append(s)
                 of.append(k)
         found = np.full(len(new), self.model.bias)
@@ -240,24 +252,30 @@ def grams(word: str) -> set[str]:
 def _counts(rows: DataFrame) -> DataFrame:
     """``piece, whole, t, c``: toxic and clean texts that hold a word (``whole``) or a stretch of letters."""
 
+    def handed(counts: dict[tuple[str, bool], list[int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([k[0] for k in counts], pa.string()),
+                pa.array([k[1] for k in counts], pa.bool_()),
+                pa.array([v[0] for v in counts.values()], pa.int64()),
+                pa.array([v[1] for v in counts.values()], pa.int64()),
+            ],
+            ["piece", "whole", "t", "c"],
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts: dict[tuple[str, bool], list[int]] = {}
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if len(counts) > HELD:
+                    yield handed(counts)
+                    counts = {}
                 chunks = {letters(w) for w in (text or "").split()} | set(spaced_words(text or ""))
                 words = {s for w in chunks if len(w) > 2 for s in stretches(w)}
                 keys = [(w, True) for w in words] + [(g, False) for g in set().union(*map(grams, words))]
                 for key in keys:
                     counts.setdefault(key, [0, 0])[0 if toxic else 1] += 1
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([k[0] for k in counts], pa.string()),
-                    pa.array([k[1] for k in counts], pa.bool_()),
-                    pa.array([v[0] for v in counts.values()], pa.int64()),
-                    pa.array([v[1] for v in counts.values()], pa.int64()),
-                ],
-                ["piece", "whole", "t", "c"],
-            )
+            yield handed(counts)
 
     made = rows.mapInArrow(run, "piece string, whole boolean, t long, c long")
     return made.groupBy("piece", "whole").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
@@ -285,8 +303,20 @@ def _contexts(rows: DataFrame, tried: set[str]) -> DataFrame:
     return made.groupBy("piece").agg(F.count_if("toxic").alias("t"), F.count_if(~F.col("toxic")).alias("c"))
 
 
+def covering(bad: list[str], first: int) -> list[str]:
+    """The ``first`` marked words, and of the rest those that none taken before comes near."""
+    near = Landmarks(bad).matrix(bad)
+    taken: list[int] = []
+    for k in range(len(bad)):
+        if k < first or not (near[k, taken] >= COVERED).any():
+            taken.append(k)
+    return [bad[k] for k in taken]
+
+
 def train(docs: DataFrame, labels: DataFrame) -> Model | None:
-    """Fit on the bounded sample; None where it lacks one of the classes or a word that marks toxic texts.
+    """Fit on the bounded sample; None where it lacks one of the classes.
+
+    Where no word marks toxic texts it fails, or, with fewer than ``TOLD`` texts of a class, warns and gives None.
 
     Words and stretches of letters that toxic texts hold far more often than chance allows (a likelihood ratio beyond
     what the number of pieces tried would give) mark the positive words; words of clean texts are the negative ones.
@@ -316,20 +346,24 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     good = [r["piece"] for r in often.unionByName(any_).collect()]
     good = list(dict.fromkeys(good))
     if not bad or not good:
+        said = f"labels of both classes ({size[1]} toxic, {size[0]} clean texts), but no word that marks either"
+        if min(size[1], size[0]) >= TOLD:
+            raise ValueError(said)
+        warnings.warn(f"{said}: no model, all texts score 0", stacklevel=2)
         return None
-    marks = bad[: LANDMARKS * 3 // 4]
+    marks = covering(bad, LANDMARKS * 3 // 4)
     near = Landmarks(marks).matrix(good).max(axis=1)
     close = np.argsort(-near, kind="stable")  # clean words most like the marked ones teach the difference
-    words = marks + [good[k] for k in close[: LANDMARKS - len(marks)]]
+    words = marks + [good[k] for k in close[: max(LANDMARKS // 4, LANDMARKS - len(marks))]]
     good = [good[k] for k in close[:SAMPLE_WORDS]] + good[: SAMPLE_WORDS // 2]
     square = Landmarks(words).matrix(words)
-    landmarks = Landmarks(words, len(marks))
+    landmarks = Landmarks(words)
     values, vectors = np.linalg.eigh((square + square.T) / 2)
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 0.02))) @ vectors.T
     x = landmarks.matrix([*bad, *good]) @ root
     y = np.array([1.0] * len(bad) + [-1.0] * len(good))
     w, bias = fit_svm(x, y, np.sqrt(np.array([n for _, n in marked] + [1] * len(good), float)))
-    model = Model(words, root @ w, bias, len(marks))
+    model = Model(words, root @ w, bias)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)

@@ -53,3 +53,22 @@ def test_kernel_counts_gapped_subsequences():
     pairs = [("idiot", "idxiot"), ("abc", "abd"), ("moron", "mormon")]
     got = toxicity.subsequence_kernel(toxicity.codes([a for a, _ in pairs], 0), toxicity.codes([b for _, b in pairs], -1))
     assert np.allclose(got, [brute(a, b, toxicity.ORDER, toxicity.DECAY) for a, b in pairs], rtol=1e-5)
+
+
+def test_every_marked_word_is_near_a_landmark_and_parts_of_long_words_are_seen():
+    """Marked words far down the list, drawn-out ones, and short ones inside long runs."""
+    rng = np.random.default_rng(5)
+    bad = list(dict.fromkeys("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 7)) for _ in range(400)))
+    marks = toxicity.covering(bad, toxicity.LANDMARKS * 3 // 4)
+    assert (toxicity.Landmarks(marks).matrix(bad).max(axis=1) >= toxicity.COVERED).all()
+    model = toxicity.Model(["idiot", "loser"], np.array([2.0, 2.0]), -1.0)
+    plain, *odd = toxicity.Scorer(model).margins(["table", "idiiiiiiiiiot", "qqwwzzxxvvidiotkkjjhhgg", "abcdidiotwxyz", "looooooooooooooooooooooser"])
+    assert plain == -1.0 and min(odd) > 0
+
+
+def test_labels_of_both_classes_without_a_model_are_told(corpus):
+    docs, labels = corpus
+    with pytest.raises(ValueError, match="both classes"):
+        toxicity.train(docs, labels.selectExpr("doc_id", "cast(floor(doc_id / 2) % 2 as int) AS toxic"))
+    with pytest.warns(UserWarning, match="no model"):
+        assert toxicity.train(docs, labels.filter("doc_id < 12")) is None
