@@ -28,9 +28,17 @@ def get_session(app: str = "sitetide", master: str | None = None, **conf: str) -
     return builder.getOrCreate()
 
 
+#: Bytes of an Arrow batch handed to a Python worker, unless the session says otherwise.
+BATCH_BYTES = 4 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Let the workers import this package where PYTHONPATH does not already do so."""
+    """Let the workers import this package where PYTHONPATH does not already do so, and bound their batches by bytes."""
     home, context = Path(__file__).resolve().parent, spark.sparkContext
+    if not getattr(context, "_sitetide_batches", False):
+        if int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("bB")) > BATCH_BYTES:
+            spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+        context._sitetide_batches = True
     if str(home.parent) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(context, "_sitetide", False):
         return
     packed = Path(tempfile.mkdtemp(prefix="sitetide-")) / "sitetide.zip"
@@ -47,10 +55,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(base: str, *frames: DataFrame) -> str:
+    """A column name that none of the frames has, in any case."""
+    taken, name = {c.lower() for f in frames for c in f.columns}, f"_{base}"
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); a local one only where none is set."""
+    """The folder all executors share (``spark.checkpoint.dir``); without one a local folder, on one machine only."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="sitetide-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
