@@ -1,4 +1,10 @@
-"""Toxicity: a support vector machine over a gap-weighted subsequence kernel with Nyström landmarks."""
+"""Toxicity: a support vector machine over a gap-weighted subsequence kernel with Nyström landmarks.
+
+A text is a bag of sentences, a sentence a bag of short segments of letters. The machine is trained on labelled
+sentences: each is seen through the segment with the largest margin, and of a toxic text only sentences that the
+machine so far finds toxic count as such, as the others may be clean. A machine over landmarks
+is one weight for each subsequence of letters, so a segment's margin needs no kernel values.
+"""
 
 from __future__ import annotations
 
@@ -13,24 +19,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitetide.llm.bpe import pieces, split_words
-from sitetide.session import table, written
+from sitetide.session import free_name, ship, table, written
 
-#: Bounds of what is fitted: labelled texts of each class, landmark words (more where they leave marked words uncovered),
-#: words of each class for the machine.
+#: Bounds of what is fitted: labelled texts of each class, marked words that are landmarks at first and at most (with a
+#: third as many clean ones), words of each class that the machine starts from.
 SAMPLE_TEXTS = 6000
 LANDMARKS = 160
+MOST = 480
 SAMPLE_WORDS = 3000
+#: Rounds of training on labelled sentences, and sentences of a text that are looked at.
+ROUNDS = 3
+SENTENCES = 3
+#: One in so many labelled texts only serves to turn margins into probabilities.
+CALIBRATE = 5
 #: Subsequences of ORDER letters; a gap costs DECAY for each letter it spans.
 ORDER = 3
 DECAY = 0.6
-#: Longer words are seen as overlapping stretches of this many letters.
-LETTERS = 16
-#: Words are also seen as stretches of this many letters, as a short landmark is not compared with over twice its length.
+#: Segments have at most so many letters, with marks of a word's begin and end; longer words are seen as overlapping
+#: stretches of SHORT letters.
+LETTERS = 10
 SHORT = 8
+#: Letters are told apart by so many codes: a to z have one each, all others share the rest.
+CODES = 64
 #: A marked word is covered by a landmark with this kernel value.
 COVERED = 0.7
-#: So many counted pieces are kept before they are handed on.
+#: So many counted pieces are kept before they are handed on, and so many rows are worked on at a time.
 HELD = 200_000
+ROWS = 8192
 #: With fewer texts of a class, words that mark it may not stand out from chance.
 TOLD = 50
 #: Lengths of the stretches of letters that are counted to find words that mark toxic texts.
@@ -38,12 +53,13 @@ GRAMS = (4, 5, 6)
 #: A piece marks toxic texts if it stands in them this many times as often as in clean ones; a sure one even more.
 RATIO = 7.0
 SURE = 14.0
-CACHE_WORDS = 1 << 17
-#: Margins at which a text's words are counted apart.
-STEPS = (-0.3, 0.0, 0.3, 0.6, 0.8)
+#: Words whose margin a task remembers, and bytes of text that it takes at a time.
+CACHE_WORDS = 1 << 16
+PIECE_BYTES = 1 << 20
 _NOT_LETTER = re.compile(r"[\W\d_]+")
 _DRAWN = re.compile(r"(.)\1{2,}")
 _SPACED = re.compile(r"(?<!\S)(?:[^\W\d_][^\w\s]?[ ]){3,}[^\W\d_](?![^\W\d_])")
+_SENTENCE = re.compile(r"(?<=[.!?])\s+|[\r\n]+")
 
 
 def letters(chunk: str) -> str:
@@ -63,29 +79,38 @@ def stretches(word: str) -> list[str]:
 
 
 def views(word: str) -> list[str]:
-    """What of a word is compared with the landmarks: its stretches, also with drawn-out letters cut to one or two."""
+    """The segments of a word between marks of its begin and end: whole, or its stretches; also with drawn-out letters
+    cut to one or two."""
+    forms = (word, _DRAWN.sub(r"\1", word), _DRAWN.sub(r"\1\1", word)) if _DRAWN.search(word) else (word,)
     out = []
-    for w in dict.fromkeys((word, _DRAWN.sub(r"\1", word), _DRAWN.sub(r"\1\1", word))):
-        out += stretches(w)
-        if len(w) > LETTERS:
-            out += [w[s : s + LETTERS] for s in range(0, len(w) - LETTERS // 4, LETTERS // 4)]
-        if len(w) > SHORT:
+    for w in dict.fromkeys(forms):
+        w = f"<{w}>"
+        if len(w) <= LETTERS:
+            out.append(w)
+        else:
             out += [w[s : s + SHORT] for s in range(0, len(w) - SHORT + 2, 2)]
-    return list(dict.fromkeys(out))
+    return out if len(out) == 1 else list(dict.fromkeys(out))
 
 
-def codes(words: list[str], fill: int) -> np.ndarray:
-    """Letters as numbers, one row for each word; ``fill`` stands beyond its end."""
-    out = np.full((len(words), LETTERS), fill, np.int32)
-    for k, w in enumerate(words):
-        out[k, : len(w)] = [ord(c) for c in w]
-    return out
+def head(word: str) -> str:
+    """The begin of a word as a landmark."""
+    return f"<{word}>"[:LETTERS]
+
 
+def segments(sentence: str) -> list[str]:
+    """The distinct segments of a sentence, spaced words included."""
+    words = dict.fromkeys(letters(w) for w in sentence.split())
+    words.update(dict.fromkeys(spaced_words(sentence)))
+    return list(dict.fromkeys(v for w in words for v in views(w)))
 
-def masks(c: np.ndarray) -> np.ndarray:
-    """A 64-bit set of each word's letters."""
-    bits = np.where(c > 0, np.uint64(1) << (c.astype(np.uint64) % np.uint64(61)), np.uint64(0))
-    return np.bitwise_or.reduce(bits, axis=1)
+
+def codes(words: list[str], fill: int) -> np.ndarray:
+    """Letters as codes from 1, one row for each word; ``fill`` stands beyond its end."""
+    most = max(map(len, words), default=0)
+    o = np.frombuffer("".join(w.ljust(most, "\0") for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words), most).astype(np.int32)
+    plain = (o >= 97) & (o <= 122)
+    other = np.where(o == 60, CODES - 2, np.where(o == 62, CODES - 1, 27 + o % (CODES - 29)))  # the marks have codes of their own
+    return np.where(o == 0, fill, np.where(plain, o - 96, other))
 
 
 def subsequence_kernel(s: np.ndarray, t: np.ndarray, order: int = ORDER, decay: float = DECAY) -> np.ndarray:
@@ -113,40 +138,74 @@ def subsequence_kernel(s: np.ndarray, t: np.ndarray, order: int = ORDER, decay:
     return out
 
 
+def by_length(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers of words of one length and their codes, a column each; words without a subsequence are left out."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    for n in range(ORDER, LETTERS + 1):
+        at = np.flatnonzero(sizes == n)
+        for s in range(0, len(at), ROWS):
+            part = at[s : s + ROWS]
+            yield part, np.ascontiguousarray(codes([words[k] for k in part.tolist()], 0).T)
+
+
+def subsequences(columns: np.ndarray) -> Iterator[tuple[float, np.ndarray]]:
+    """For each choice of three places: its weight, and the number of the subsequence of each word."""
+    n = len(columns)
+    for i in range(n - 2):
+        first = columns[i] << 12
+        for j in range(i + 1, n - 1):
+            two = first | (columns[j] << 6)
+            for k in range(j + 1, n):
+                yield DECAY ** (k - i + 1), two | columns[k]
+
+
+def lengths(columns: np.ndarray) -> np.ndarray:
+    """The root of each word's kernel with itself."""
+    return np.sqrt(subsequence_kernel(columns.T, columns.T))
+
+
+def weighted(words: list[str], weights: np.ndarray) -> np.ndarray:
+    """The sum over each word's subsequences of their weights, for a word of length 1; shorter words have none."""
+    out = np.zeros(len(words))
+    for at, columns in by_length(words):
+        total = np.zeros(len(at), np.float32)
+        for decay, number in subsequences(columns):
+            total += np.float32(decay) * weights[number]
+        out[at] = total / lengths(columns)
+    return out
+
+
 class Landmarks:
-    """Normalised kernel values of words against fixed landmark words; pairs with few common letters count as 0."""
+    """Normalised kernel values of words against fixed landmark words."""
 
     def __init__(self, words: list[str]):
-        self.words = words
-        self.codes, self.masks = codes(words, -1), masks(codes(words, 0))
-        self.need = np.maximum(2, np.ceil(0.6 * np.bitwise_count(self.masks)).astype(np.int64))
-        self.sizes = np.array([len(w) for w in words])
-        filled = np.where(self.codes < 0, 0, self.codes)
-        self.own = np.sqrt(np.maximum(subsequence_kernel(filled, np.where(filled == 0, -1, filled)), 1e-12))
-
-    def values(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """``(word, landmark, value)`` of the pairs that are not 0."""
-        c = codes(words, 0)
-        m, sizes = masks(c), np.array([len(w) for w in words])
-        rows, cols = [], []
-        for k in range(len(self.words)):
-            at = np.flatnonzero((np.bitwise_count(m & self.masks[k]) >= self.need[k]) & (sizes >= self.sizes[k] - 2) & (sizes <= 2 * self.sizes[k]))
-            rows.append(at)
-            cols.append(np.full(len(at), k))
-        r, k = np.concatenate(rows), np.concatenate(cols)
-        used, inverse = np.unique(r, return_inverse=True)
-        own = np.sqrt(np.maximum(subsequence_kernel(c[used], np.where(c[used] == 0, -1, c[used])), 1e-12))
-        value = subsequence_kernel(c[r], self.codes[k]) / (own[inverse] * self.own[k])
-        return r, k, value
+        self.words, parts = words, []
+        for at, columns in by_length(words):
+            own = lengths(columns)
+            parts += [(number, at, decay / own) for decay, number in subsequences(columns)]
+        number, at, value = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.empty(0, int),) * 3
+        self.row = np.zeros(CODES**ORDER, np.int32)
+        used = np.unique(number)
+        self.row[used] = np.arange(1, len(used) + 1)
+        self.table = np.zeros((len(used) + 1, len(words)), np.float32)  # row 0: subsequences that no landmark has
+        np.add.at(self.table, (self.row[number], at), value)
 
     def matrix(self, words: list[str]) -> np.ndarray:
-        out = np.zeros((len(words), len(self.words)))
-        r, k, v = self.values(words)
-        out[r, k] = v
+        out = np.zeros((len(words), len(self.words)), np.float32)
+        for at, columns in by_length(words):
+            for s in range(0, len(at), 512):
+                part = np.zeros((len(columns[0][s : s + 512]), len(self.words)), np.float32)
+                for decay, number in subsequences(columns[:, s : s + 512]):
+                    part += np.float32(decay) * self.table[self.row[number]]
+                out[at[s : s + 512]] = part / lengths(columns[:, s : s + 512])[:, None]
         return out
 
+    def collapsed(self, alpha: np.ndarray) -> np.ndarray:
+        """One weight for each subsequence, equal to the landmarks weighted by ``alpha``."""
+        return (self.table @ alpha.astype(np.float32))[self.row]
+
 
-def fit_svm(x: np.ndarray, y: np.ndarray, strength: np.ndarray, c: float = 2000.0, rounds: int = 60) -> tuple[np.ndarray, float]:
+def fit_svm(x: np.ndarray, y: np.ndarray, strength: np.ndarray, c: float = 20000.0, rounds: int = 60) -> tuple[np.ndarray, float]:
     """A linear machine with squared hinge loss and balanced classes, by Newton steps over the rows inside the margin."""
     x1 = np.hstack([x, np.ones((len(x), 1))])
     weight = np.where(y > 0, strength / max(1e-9, strength[y > 0].sum()), strength / max(1e-9, strength[y < 0].sum()))
@@ -178,70 +237,64 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int
 
 @dataclass
 class Model:
-    """Landmark words, their weights and the constant for a word's margin; weights of a text's features."""
+    """Landmark words, their weights and the constant for a segment's margin; slope and constant of the probability."""
 
     words: list[str]
     alpha: np.ndarray
     bias: float
-    weights: np.ndarray | None = None
+    scale: np.ndarray | None = None
 
 
 class Scorer:
-    """Margins of words, remembered within a bound, and features of texts."""
+    """Margins of words (their best segment's), remembered within a bound."""
 
     def __init__(self, model: Model):
-        self.model, self.landmarks, self.met = model, Landmarks(model.words), {}
+        self.bias, self.met = model.bias, {}
+        self.weights = Landmarks(model.words).collapsed(model.alpha)
+
+    def of_segments(self, found: list[str]) -> np.ndarray:
+        return weighted(found, self.weights) + self.bias
 
     def margins(self, words: list[str]) -> np.ndarray:
         new = list({w for w in words if w not in self.met})
         if len(self.met) + len(new) > CACHE_WORDS:
             self.met = {}
             new = list(set(words))
-        parts, of = [], []
-        for k, w in enumerate(new):
-            for s in views(w):
-                parts.append(s)
-                of.append(k)
-        found = np.full(len(new), self.model.bias)
-        for at in range(0, len(parts), 50_000):
-            chunk = parts[at : at + 50_000]
-            r, k, v = self.landmarks.values(chunk)
-            margin = np.bincount(r, weights=v * self.model.alpha[k], minlength=len(chunk)) + self.model.bias
-            np.maximum.at(found, np.array(of[at : at + 50_000]), margin)
-        self.met.update(zip(new, found.tolist(), strict=True))
+        parts = [views(w) for w in new]
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        each = self.of_segments([v for p in parts for v in p])
+        best = np.maximum.reduceat(each, np.cumsum(sizes) - sizes) if len(new) else each
+        self.met.update(zip(new, best.tolist(), strict=True))
         return np.array([self.met[w] for w in words])
 
-    def features(self, texts: pa.Array) -> np.ndarray:
-        """Of each text: its largest word margin, log counts of words by margin, log of all words, share of the marked."""
+    def texts(self, texts: pa.Array) -> np.ndarray:
+        """The largest margin of each text; that of no letters where it has none."""
         chunks, bounds = split_words(texts)
         coded = chunks.dictionary_encode()
-        index = coded.indices.to_numpy(zero_copy_only=False)
-        each = self.margins([letters(w) for w in coded.dictionary.to_pylist()]) if len(index) else np.empty(0)
-        n = np.diff(bounds).astype(float)
-        floor = min(self.model.bias, 0.0)
-        top = np.full(len(n), floor)
-        counts = np.zeros((len(n), len(STEPS)))
-        over = np.flatnonzero((each > STEPS[0])[index]) if len(index) else np.empty(0, np.int64)  # few words
-        row = np.searchsorted(bounds, over, "right") - 1
-        found = [row, each[index[over]]] if len(index) else [row, np.empty(0)]
+        top = np.full(len(texts), self.bias)
+        if len(chunks):
+            each = self.margins([letters(w) for w in coded.dictionary.to_pylist()])[coded.indices.to_numpy(zero_copy_only=False)]
+            some = np.flatnonzero(np.diff(bounds))
+            top[some] = np.maximum.reduceat(each, bounds[:-1][some])
         for k, text in enumerate(texts.to_pylist()):
             apart = spaced_words(text) if text else []
             if apart:
-                found = [np.append(found[0], [k] * len(apart)), np.append(found[1], self.margins(apart))]
-        at, value = found[0].astype(np.int64), found[1]
-        np.maximum.at(top, at, value)
-        np.add.at(counts, (at[value > STEPS[0]], np.searchsorted(STEPS, value[value > STEPS[0]]) - 1), 1)
-        marked = counts[:, -1]
-        return np.column_stack((np.clip(top, -1, 1.2), np.log1p(counts), np.minimum(1, marked), np.log1p(n), np.minimum(1, 20 * marked / np.maximum(1, n))))
+                top[k] = max(top[k], self.margins(apart).max())
+        return top
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, size: int = SAMPLE_TEXTS) -> DataFrame:
-    """``text, toxic``: at most ``size`` labelled texts of each class, taken by a hash of the id, held-out ids left out."""
+    """``text, toxic, apart``: distinct labelled texts, from at most ``size`` ids of each class taken by a hash, held-out
+    ids left out. A repeated id gives one text, a text of both classes counts as toxic; ``apart`` marks those kept for
+    the probabilities.
+    """
     known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     open_ = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) != 0
     known = known.filter(open_).withColumn("h", F.xxhash64("doc_id"))
     picked = known.filter("toxic = 1").orderBy("h", "doc_id").limit(size).unionByName(known.filter("toxic = 0").orderBy("h", "doc_id").limit(size))
-    return docs.select("doc_id", "text").join(F.broadcast(picked.select("doc_id", "toxic")), "doc_id").select("text", "toxic")
+    texts = docs.select("doc_id", "text").join(F.broadcast(picked.select("doc_id", "toxic")), "doc_id")
+    once = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).groupBy("text").agg(F.max("toxic").alias("toxic"))
+    return once.withColumn("apart", F.pmod(F.xxhash64("text"), F.lit(CALIBRATE)) == 0)
 
 
 def grams(word: str) -> set[str]:
@@ -303,24 +356,52 @@ def _contexts(rows: DataFrame, tried: set[str]) -> DataFrame:
     return made.groupBy("piece").agg(F.count_if("toxic").alias("t"), F.count_if(~F.col("toxic")).alias("c"))
 
 
-def covering(bad: list[str], first: int) -> list[str]:
-    """The ``first`` marked words, and of the rest those that none taken before comes near."""
-    near = Landmarks(bad).matrix(bad)
-    taken: list[int] = []
+def covering(bad: list[str], first: int, most: int = MOST) -> list[str]:
+    """The ``first`` marked words, and of the rest those that none taken before comes near, up to ``most``."""
+    open_, taken = np.ones(len(bad), bool), []
     for k in range(len(bad)):
-        if k < first or not (near[k, taken] >= COVERED).any():
+        if (k < first or open_[k]) and len(taken) < most:
             taken.append(k)
+            one = Landmarks([bad[k]])
+            open_ &= weighted(bad, one.collapsed(np.ones(1))) < COVERED
     return [bad[k] for k in taken]
 
 
+def witnesses(rows: DataFrame, model: Model) -> list:
+    """``toxic, apart, first, segment, margin`` of the ``SENTENCES`` best sentences of each text (bounded by the sample).
+
+    A sentence is seen through its segment with the largest margin; ``first`` marks the best sentence of a text.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(model)
+        for batch in batches:
+            out = []
+            for text, toxic, apart in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                parts = [p for p in (segments(x) for x in _SENTENCE.split(text or "")) if p] or [[""]]
+                sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+                flat, starts = [v for p in parts for v in p], np.cumsum(sizes) - sizes
+                each = scorer.of_segments(flat)
+                top = np.maximum.reduceat(each, starts)
+                for nth, k in enumerate(np.argsort(-top, kind="stable")[:SENTENCES].tolist()):
+                    at = starts[k] + int(np.argmax(each[starts[k] : starts[k] + sizes[k]]))
+                    out.append((int(toxic), bool(apart), nth == 0, flat[at], float(top[k])))
+            cols = list(zip(*out, strict=True)) or [()] * 5
+            kinds = (pa.int32(), pa.bool_(), pa.bool_(), pa.string(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["toxic", "apart", "first", "segment", "margin"])
+
+    return rows.select("text", "toxic", "apart").mapInArrow(run, "toxic int, apart boolean, first boolean, segment string, margin double").collect()
+
+
 def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     """Fit on the bounded sample; None where it lacks one of the classes.
 
-    Where no word marks toxic texts it fails, or, with fewer than ``TOLD`` texts of a class, warns and gives None.
-
-    Words and stretches of letters that toxic texts hold far more often than chance allows (a likelihood ratio beyond
-    what the number of pieces tried would give) mark the positive words; words of clean texts are the negative ones.
+    Landmarks and the first machine come from words: those with a stretch of letters that toxic texts hold far more
+    often than chance allows (a likelihood ratio beyond what the number of pieces tried would give), and words of clean
+    texts. Then the machine is trained on the labelled sentences, as the module says. Where no word marks toxic texts it
+    fails, or, with fewer than ``TOLD`` texts of a class, warns and gives None.
     """
+    ship(docs.sparkSession)
     rows = written(training_rows(docs, labels), "training")
     size = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not size.get(1) or not size.get(0):
@@ -342,8 +423,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     clean = counts.filter("whole and c >= 1").filter(~often_toxic)
     often = clean.orderBy(F.desc("c"), "piece").limit(SAMPLE_WORDS // 2)
     any_ = clean.orderBy(F.xxhash64("piece"), "piece").limit(10 * SAMPLE_WORDS)
-    bad = [w for w, _ in marked]
-    good = [r["piece"] for r in often.unionByName(any_).collect()]
+    bad = [head(w) for w, _ in marked]
+    good = [head(r["piece"]) for r in often.unionByName(any_).collect()]
     good = list(dict.fromkeys(good))
     if not bad or not good:
         said = f"labels of both classes ({size[1]} toxic, {size[0]} clean texts), but no word that marks either"
@@ -354,53 +435,59 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     marks = covering(bad, LANDMARKS * 3 // 4)
     near = Landmarks(marks).matrix(good).max(axis=1)
     close = np.argsort(-near, kind="stable")  # clean words most like the marked ones teach the difference
-    words = marks + [good[k] for k in close[: max(LANDMARKS // 4, LANDMARKS - len(marks))]]
+    words = marks + [good[k] for k in close[: max(LANDMARKS // 4, len(marks) // 3)]]
     good = [good[k] for k in close[:SAMPLE_WORDS]] + good[: SAMPLE_WORDS // 2]
-    square = Landmarks(words).matrix(words)
     landmarks = Landmarks(words)
+    square = landmarks.matrix(words).astype(np.float64)
     values, vectors = np.linalg.eigh((square + square.T) / 2)
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 0.02))) @ vectors.T
-    x = landmarks.matrix([*bad, *good]) @ root
-    y = np.array([1.0] * len(bad) + [-1.0] * len(good))
-    w, bias = fit_svm(x, y, np.sqrt(np.array([n for _, n in marked] + [1] * len(good), float)))
-    model = Model(words, root @ w, bias)
-
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model)
-        for batch in batches:
-            for piece in pieces(pa.RecordBatch.from_arrays([batch.column(1), batch.column(0)], ["y", "text"])):
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(list(scorer.features(piece.column(1))))], ["y", "x"])
 
-    seen = rows.mapInArrow(features, f"y {rows.schema['toxic'].dataType.simpleString()}, x array<double>").collect()  # bounded by the sample
-    model.weights = fit_logistic(np.array([r["x"] for r in seen]), np.array([r["y"] for r in seen], float))
+    def machine(found: list[str], y: np.ndarray, strength: np.ndarray) -> Model:
+        w, bias = fit_svm(landmarks.matrix(found) @ root, y, strength)
+        return Model(words, root @ w, bias)
+
+    start = [n for _, n in marked] + [1] * len(good)
+    model = machine([*bad, *good], np.array([1.0] * len(bad) + [-1.0] * len(good)), np.sqrt(np.array(start, float)))
+    for _ in range(ROUNDS):
+        seen = witnesses(rows.filter(~F.col("apart")), model)
+        some = any(r["toxic"] and r["margin"] > 0 for r in seen)
+        counts_of: dict[tuple[str, float], int] = {}
+        for r in seen:
+            if not r["toxic"] or r["margin"] > 0 or (r["first"] and not some):
+                key = (r["segment"], 1.0 if r["toxic"] else -1.0)
+                counts_of[key] = counts_of.get(key, 0) + 1
+        model = machine([k[0] for k in counts_of], np.array([k[1] for k in counts_of]), np.array(list(counts_of.values()), float))
+    best = [(r["margin"], r["toxic"], r["apart"]) for r in witnesses(rows, model) if r["first"]]
+    told = [b for b in best if b[2]]
+    told = told if len({t for _, t, _ in told}) == 2 else best
+    model.scale = fit_logistic(np.array([[m] for m, _, _ in told]), np.array([t for _, t, _ in told], float))
     return model
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """``docs`` with ``score`` (0 to 1) and ``predicted`` from the text alone; without a model all scores are 0.
 
-    Null and empty texts have no words and get the score of that. Each distinct word of a task is measured once.
-    Columns of these names are replaced; others pass through.
+    Null, empty and wordless texts get the score of no letters; long texts are taken word by word. Equal texts, repeated
+    rows and ties get equal scores; an empty table gives none. Columns of these names are replaced; others pass through.
     """
-    docs = docs.drop("score", "predicted")
+    return scored(docs.drop("score", "predicted"), model, "score").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def scored(docs: DataFrame, model: Model | None, name: str) -> DataFrame:
+    """``docs`` with the probability of being toxic in a column ``name`` that it does not have."""
     if model is None:
-        return docs.withColumn("score", F.lit(0.0)).withColumn("predicted", F.lit(0))
-    names = [c for c in docs.columns if c != "text"]
+        return docs.withColumn(name, F.lit(0.0))
+    ship(docs.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("double")
+    def probability(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(model)
-        for batch in batches:
-            texts, at = batch.column(len(names)), 0
-            for piece in pieces(pa.RecordBatch.from_arrays([pa.nulls(len(texts)), texts], ["at", "text"])):
-                x = scorer.features(piece.column(1))
-                z = np.clip(x @ model.weights[:-1] + model.weights[-1], -30, 30)
-                own = batch.slice(at, piece.num_rows)
-                at += piece.num_rows
-                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(1 / (1 + np.exp(-z)))], [*names, "text", "score"])
-
-    kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in names)
-    out = docs.select(*[F.col(f"`{c}`") for c in names], "text").mapInArrow(run, f"{kinds}text string, score double")
-    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+        for texts in batches:
+            rows = pa.RecordBatch.from_arrays([pa.nulls(len(texts)), texts], ["at", "text"])
+            z = [scorer.texts(p.column(1)) * model.scale[0] + model.scale[1] for p in pieces(rows, PIECE_BYTES)]
+            yield pa.array(1 / (1 + np.exp(-np.clip(np.concatenate([*z, np.empty(0)]), -30, 30))))
+
+    return docs.withColumn(name, probability(F.col("text")))
 
 
 def op8_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
