@@ -19,8 +19,8 @@ VOCABULARY = "word_bpe_49k.json"
 #: Most frequent words whose ids are sent to all tasks: with the word and its ids some 2 MB.
 COMMON = 1 << 16
 #: Bytes of text taken at a time inside a batch, and words kept by a task from one such piece to the next.
-PIECE_BYTES = 4 << 20
-CACHE_WORDS = 1 << 18
+PIECE_BYTES = 2 << 20
+CACHE_WORDS = 1 << 16
 _MARKS = ".,;:!?"
 _LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
 _SIMPLE = f"^[{_LATIN}]+[{_MARKS}]?$"

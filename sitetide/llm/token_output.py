@@ -14,16 +14,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sitetide.llm.bpe import Words, pieces, vocabulary_path
-from sitetide.session import scratch_dir, table
+from sitetide.session import scratch_dir, ship, table
 
 END_ID = 1
 ORC = {
     "orc.bloom.filter.columns": "doc_id",
     "orc.bloom.filter.fpp": "0.02",
     "orc.row.index.stride": "2000",
-    "orc.stripe.size": str(8 << 20),
+    "orc.stripe.size": str(4 << 20),
     "orc.compress": "ZSTD",
 }
+#: Text bytes of one range of ids, at most by about the evenness of the ranges.
+RANGE_BYTES = 32 << 20
 
 
 def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int = END_ID) -> None:
@@ -31,10 +33,13 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, end_
 
     Documents are dealt to ranges of ids and sorted inside; ``part`` numbers the ranges and ``seq`` the rows of one,
     so the two give the order of the whole output, ties included. Null ids come first; a null text holds only the
-    end id. The ids column is integer run-length coded by ORC.
+    end id, as does an empty one; long texts are whole; an empty table gives files without rows; columns other than
+    ``doc_id`` and ``text`` are ignored. The ids column is integer run-length coded by ORC.
     """
+    ship(docs.sparkSession)
     vocabulary = vocabulary or vocabulary_path()
-    n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
     ranged = docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
