@@ -2,26 +2,34 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 from collections.abc import Iterator
+from typing import ClassVar
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sitetide.session import table, written
+from sitetide.llm.repeats import pack, unpack
+from sitetide.session import ship, table, written
 
 VOCABULARY = "word_bpe_49k.json"
-#: Most frequent words whose ids are sent to all tasks: with the word and its ids some 2 MB.
-COMMON = 1 << 16
+#: Bytes of text of a chunk, which has a dictionary of its own words, and of the corpus for each part of the word table.
+CHUNK_BYTES = 16 << 20
+BUCKET_BYTES = 16 << 20
 #: Bytes of text taken at a time inside a batch, and words kept by a task from one such piece to the next.
 PIECE_BYTES = 2 << 20
 CACHE_WORDS = 1 << 16
 _MARKS = ".,;:!?"
+MARKS = len(_MARKS) + 1
 _LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
 _SIMPLE = f"^[{_LATIN}]+[{_MARKS}]?$"
 _PLAIN = re.compile(f"[{_LATIN}]+")
@@ -33,6 +41,7 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+@functools.lru_cache(maxsize=2)
 def load(path: str):
     """The tokenizer with truncation and padding off; special tokens that stand in a text stay single ids."""
     from tokenizers import Tokenizer
@@ -83,22 +92,25 @@ def spread(starts: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> tuple[np
     return np.arange(ends[-1]) + np.repeat(starts[codes] - ends[:-1], n), ends
 
 
+@functools.lru_cache(maxsize=2)
+def closing_pieces(path: str) -> np.ndarray:
+    """Which ids end a unit."""
+    model = load(path)
+    return np.array([(model.id_to_token(k) or "").endswith("</w>") for k in range(model.get_vocab_size(with_added_tokens=True))])
+
+
 class Words:
-    """Ids of distinct words: from the common table, then those this task has met, then from the tokenizer."""
+    """Ids of distinct words, remembered within a bound, for those who see words in turn."""
 
-    def __init__(self, path: str, words: list[str] | None = None, flat: np.ndarray | None = None, sizes: np.ndarray | None = None):
-        self.model = load(path)
-        size = self.model.get_vocab_size(with_added_tokens=True)
-        self.closing = np.array([(self.model.id_to_token(k) or "").endswith("</w>") for k in range(size)])
-        self.common = {w: k for k, w in enumerate(words or [])}
+    def __init__(self, path: str):
+        self.model, self.closing = load(path), closing_pieces(path)
         marks = [e.ids for e in self.model.encode_batch_fast(list(_MARKS), add_special_tokens=False)]
         self.mark_sizes = np.array([0] + [len(x) for x in marks])
         self.mark_flat = np.array([y for x in marks for y in x], np.int32)
-        self.first = (flat if flat is not None else np.empty(0, np.int32), sizes if sizes is not None else np.empty(0, np.int64))
         self.forget()
 
     def forget(self) -> None:
-        self.met, self.flat, self.sizes = dict(self.common), [self.first[0]], [self.first[1]]
+        self.met, self.flat, self.sizes = {}, [np.empty(0, np.int32)], [np.empty(0, np.int64)]
 
     def learn(self, keys: list[str]) -> None:
         """Encode words not met so far; plain ones together, as each ends with exactly one closing piece."""
@@ -123,30 +135,58 @@ class Words:
         self.sizes.append(sizes)
 
     def encode(self, texts: pa.Array) -> pa.ListArray:
-        words, bounds = split_words(texts)
-        coded = words.dictionary_encode()
-        keys, marks = parts_of(coded.dictionary)
-        coded_keys = keys.dictionary_encode()
-        distinct = coded_keys.dictionary.to_pylist()
+        coded, bounds, keys = coded_texts(texts)
+        distinct = keys.to_pylist()
         new = [w for w in distinct if w not in self.met]
-        if len(self.met) - len(self.common) + len(new) > CACHE_WORDS:
+        if len(self.met) + len(new) > CACHE_WORDS:
             self.forget()
-            new = [w for w in distinct if w not in self.met]
+            new = distinct
         self.learn(new)
         self.flat, self.sizes = [np.concatenate(self.flat)], [np.concatenate(self.sizes)]
-        known = len(self.sizes[0])
-        flat, sizes = np.concatenate((self.flat[0], self.mark_flat)), np.concatenate((self.sizes[0], self.mark_sizes))
-        starts = np.cumsum(sizes) - sizes
-        at = np.fromiter((self.met[w] for w in distinct), np.int64, len(distinct))[coded_keys.indices.to_numpy(zero_copy_only=False)]
-        take, ends = spread(starts, sizes, np.column_stack((at, known + marks)).ravel())
+        at = np.fromiter((self.met[w] for w in distinct), np.int64, len(distinct))
+        starts = np.cumsum(self.sizes[0]) - self.sizes[0]
+        take, _ = spread(starts, self.sizes[0], at)
+        return self.joined(coded, bounds, self.flat[0][take], self.sizes[0][at])
+
+    def joined(self, coded: np.ndarray, bounds: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+        """Ids of texts from their coded words and the ids (``flat`` in runs of ``sizes``) of the keys."""
+        known = len(sizes)
+        flat, sizes = np.concatenate((flat, self.mark_flat)), np.concatenate((sizes, self.mark_sizes))
+        words, back = np.unique(coded, return_inverse=True)
+        take, ends = spread(np.cumsum(sizes) - sizes, sizes, np.column_stack((words // MARKS, known + words % MARKS)).ravel())
         flat, first = flat[take], ends[::2]  # ids of each distinct word with its mark
-        take, ends = spread(first[:-1], np.diff(first), coded.indices.to_numpy(zero_copy_only=False))
+        take, ends = spread(first[:-1], np.diff(first), back)
         return pa.ListArray.from_arrays(pa.array(ends[bounds].astype(np.int32)), pa.array(flat[take]))
 
 
+def coded_texts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """The code (number of its key, times ``MARKS``, plus its mark) of each word of all texts, where each text's words
+    begin, and the keys; frequent keys have small numbers."""
+    words, bounds = split_words(texts)
+    coded = words.dictionary_encode()
+    keys, marks = parts_of(coded.dictionary)
+    coded_keys = keys.dictionary_encode()
+    of, index = coded_keys.indices.to_numpy(zero_copy_only=False), coded.indices.to_numpy(zero_copy_only=False)
+    count = np.bincount(of[index], minlength=len(coded_keys.dictionary)) if len(index) else np.zeros(0, np.int64)
+    order = np.argsort(-count, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    each = rank[of] * MARKS + marks if len(of) else np.empty(0, np.int64)
+    return each[index], bounds, coded_keys.dictionary.take(pa.array(order))
+
+
 class Pieces:
     """The fixed id-to-piece table of a tokenizer without a decoder: pieces are joined by one space."""
 
+    made: ClassVar[dict[str, Pieces]] = {}
+
+    @classmethod
+    def of(cls, path: str) -> Pieces:
+        """The table of this process."""
+        if path not in cls.made:
+            cls.made[path] = cls(path)
+        return cls.made[path]
+
     def __init__(self, path: str):
         model = load(path)
         size = model.get_vocab_size(with_added_tokens=True)
@@ -175,94 +215,170 @@ def word_table(docs: DataFrame) -> DataFrame:
     return found.filter("word <> ''").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def encoded_words(words: DataFrame, path: str) -> DataFrame:
-    """``word, ids`` of a table of distinct words, each encoded once."""
+def chunks(docs: DataFrame, keep: list[str], buckets: int, size: int = CHUNK_BYTES) -> DataFrame:
+    """Chunks of documents coded by their own words, written to the shared folder: rows of two kinds.
+
+    A document (``bucket`` -1): ``chunk``, its place, the columns ``keep`` and its words' codes. A part of the chunk's
+    dictionary: ``chunk, bucket`` and the keys that belong to this part of the word table, with their numbers.
+    """
+    docs = docs.select(*[F.col(f"`{c}`") for c in keep], "text")
+    own = [T.StructField(f"c{k}", docs.schema[c].dataType) for k, c in enumerate(keep)]
+    schema = T.StructType([*_fields(("chunk", T.LongType()), ("bucket", T.IntegerType()), ("data", T.BinaryType())), *own])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = load(path)
+        number, held, weight = TaskContext.get().partitionId() << 32, [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            texts = rows.column(len(keep)).chunk(0)
+            codes, bounds, keys = coded_texts(texts)
+            planes = [_planes(codes[s:e]) for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            names = ["chunk", "bucket", "data", *[f"c{k}" for k in range(len(keep))]]
+            n = rows.num_rows
+            for at in range(0, n, 4096):
+                part = min(4096, n - at)
+                columns = [rows.column(k).chunk(0).slice(at, part) for k in range(len(keep))]
+                yield pa.RecordBatch.from_arrays([pa.array([number] * part), pa.array([-1] * part, pa.int32()), pa.array(planes[at : at + part], pa.binary()), *columns], names)
+            to = np.fromiter((xxhash.xxh64_intdigest(w) % buckets for w in keys.to_pylist()), np.int64, len(keys))
+            order = np.argsort(to, kind="stable")
+            for group in np.split(order, np.flatnonzero(np.diff(to[order])) + 1) if len(order) else []:
+                data = pack(number=pa.array(group.astype(np.int32)), word=keys.take(pa.array(group)))
+                columns = [pa.nulls(1, rows.schema.field(k).type) for k in range(len(keep))]
+                yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([int(to[group[0]])], pa.int32()), pa.array([data], pa.binary()), *columns], names)
+
         for batch in batches:
-            ids = [e.ids for e in model.encode_batch_fast(batch.column(0).to_pylist(), add_special_tokens=False)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])
+            for piece in pieces(pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows), batch.column(len(keep)), *batch.columns[:-1]], ["", "text", *keep])):
+                held.append(pa.RecordBatch.from_arrays([*piece.columns[2:], piece.column(1)], [*[f"k{k}" for k in range(len(keep))], "text"]))
+                weight += piece.column(1).nbytes
+                if weight >= size:
+                    yield from flush()
+                    number, held, weight = number + 1, [], 0
+        if held:
+            yield from flush()
 
-    return words.select("word").mapInArrow(run, "word string, ids array<int>")
+    return written(docs.mapInArrow(run, schema), "chunks")
 
 
-def coder(docs: DataFrame, path: str, common: int = COMMON):
-    """A function that makes a ``Words`` on a worker, with the ``common`` most frequent words of all rows.
+def _fields(*named) -> list[T.StructField]:
+    return [T.StructField(*x) for x in named]
 
-    The words are counted over all rows; those most frequent (a bounded table) are encoded once and sent to the tasks.
-    """
-    sent = None
-    if common:
-        top = word_table(docs).orderBy(F.desc("n"), "word").limit(common)
-        rows = encoded_words(written(top, "words"), path).toArrow()  # at most ``common`` rows
-        ids = rows.column("ids").combine_chunks()
-        sizes = np.diff(ids.offsets.to_numpy()).astype(np.int64)
-        sent = docs.sparkSession.sparkContext.broadcast((rows.column("word").to_pylist(), ids.flatten().to_numpy(), sizes))
-    return lambda: Words(path, *(sent.value if sent else ()))
-
-
-def encode(docs: DataFrame, path: str | None = None, common: int = COMMON) -> DataFrame:
-    """``docs`` with ``ids``: the tokenizer's ids of each whole text (null text: none), without added tokens.
-
-    Words come from the distinct-word table by position; a word outside its ``common`` first rows is encoded by each
-    task that meets it, once while its bounded cache lasts. Nothing but the counts is shuffled, whatever the number of
-    documents. Further columns pass through; a column ``ids`` is replaced; null ids and repeated rows are kept.
+
+def _planes(codes: np.ndarray) -> bytes:
+    """Numbers as their low bytes, then the next ones, and so on, compressed."""
+    raw = np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+    return zstandard.compress(raw, 1)
+
+
+def _codes(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(raw.T).view("<u4").ravel().astype(np.int64)
+
+
+def encoded_words(dictionaries: DataFrame, path: str) -> DataFrame:
+    """``chunk, bucket, data``: the ids of each dictionary's words. A word belongs to one bucket of the word table, where
+    it is encoded once for all chunks."""
+
+    def run(table_: pa.Table) -> pa.Table:
+        parts = [unpack(x.as_py()) for x in table_.column("data")]
+        words = pa.chunked_array([p["word"] for p in parts]).combine_chunks()
+        coded = words.dictionary_encode()
+        coder = Words(path)
+        distinct = coded.dictionary.to_pylist()
+        coder.learn(distinct)
+        flat, sizes = np.concatenate(coder.flat), np.concatenate(coder.sizes)
+        at = np.fromiter((coder.met[w] for w in distinct), np.int64, len(distinct))[coded.indices.to_numpy(zero_copy_only=False)]
+        starts, ends, out = np.cumsum(sizes) - sizes, np.cumsum([len(p["word"]) for p in parts]), []
+        for part, s, e in zip(parts, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+            take, bounds = spread(starts, sizes, at[s:e])
+            ids = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat[take]))
+            out.append(pack(number=part["number"], ids=ids))
+        return pa.table({"chunk": table_.column("chunk"), "bucket": table_.column("bucket"), "data": pa.array(out, pa.binary())})
+
+    return dictionaries.groupBy("bucket").applyInArrow(run, "chunk long, bucket int, data binary")
+
+
+def with_ids(docs: DataFrame, keep: list[str], path: str, finish, schema: T.StructType, chunk: int = CHUNK_BYTES) -> DataFrame:
+    """Rows of ``finish(columns of keep, ids of the texts)`` for all of ``docs``: ids joined back to the words' places."""
+    ship(docs.sparkSession)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    packed = chunks(docs, keep, max(4, -(-size // BUCKET_BYTES)), chunk)
+    told = encoded_words(packed.filter("bucket >= 0").select("chunk", "bucket", "data"), path)
+
+    def restore(left: pa.Table, right: pa.Table) -> pa.Table:
+        parts = [unpack(x.as_py()) for x in right.column("data")]
+        number = np.concatenate([p["number"].to_numpy() for p in parts]) if parts else np.empty(0, np.int64)
+        flat = np.concatenate([p["ids"].flatten().to_numpy() for p in parts]) if parts else np.empty(0, np.int32)
+        sizes = np.concatenate([np.diff(p["ids"].offsets.to_numpy()) for p in parts]).astype(np.int64) if parts else np.empty(0, np.int64)
+        order = np.argsort(number)
+        take, _ = spread(np.cumsum(sizes) - sizes, sizes, order)
+        words, flat, sizes, out = Words(path), flat[take], sizes[order], []
+        codes = [_codes(x.as_py()) for x in left.column("data")]
+        for at in range(0, len(codes), 512):
+            some = codes[at : at + 512]
+            bounds = np.concatenate(([0], np.cumsum([len(c) for c in some])))
+            ids = words.joined(np.concatenate(some), bounds, flat, sizes)
+            out.append(finish([left.column(f"c{k}").slice(at, 512).combine_chunks() for k in range(len(keep))], ids))
+        return pa.concat_tables(out)
+
+    rows = packed.filter("bucket < 0").drop("bucket")
+    return rows.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(restore, schema)
+
+
+def encode(docs: DataFrame, path: str | None = None, chunk: int = CHUNK_BYTES) -> DataFrame:
+    """``docs`` with ``ids``: the tokenizer's ids of each whole text (null or empty text: none), without added tokens.
+
+    Words are split where the texts are read, each chunk of documents with a dictionary of its own. Every distinct word
+    belongs to one part of the word table and is encoded once there; its ids go back to the chunks that hold it and are
+    joined to its places. Long texts are whole; null ids, ties and repeated rows are kept; an empty table gives none.
+    Further columns pass through, but a column ``ids`` is replaced.
     """
-    path = path or vocabulary_path()
     docs = docs.drop("ids")
-    make = coder(docs, path, common)
-    rest = [c for c in docs.columns if c != "text"]
+    schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    names = schema.names
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = make()
-        for batch in batches:
-            texts, at = batch.column(len(rest)), 0
-            for piece in pieces(pa.RecordBatch.from_arrays([pa.nulls(len(texts)), texts], ["at", "text"])):
-                own = batch.slice(at, piece.num_rows)
-                at += piece.num_rows
-                yield pa.RecordBatch.from_arrays([*own.columns, words.encode(piece.column(1))], [*rest, "text", "ids"])
+    def finish(columns: list[pa.Array], ids: pa.ListArray) -> pa.Table:
+        return pa.table([*columns, ids], names=names)
 
-    kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in rest)
-    return docs.select(*[F.col(f"`{c}`") for c in rest], "text").mapInArrow(run, f"{kinds}text string, ids array<int>")
+    if "text" not in docs.columns:
+        raise ValueError("a column text is needed")
+    return with_ids(docs, docs.columns, path or vocabulary_path(), finish, schema, chunk)
 
 
 def decode(coded: DataFrame, path: str | None = None) -> DataFrame:
-    """``coded`` with ``decoded``: the pieces of ``ids`` by a join with the tokenizer's fixed id-to-piece table.
+    """``coded`` with ``decoded``: the tokenizer's fixed id-to-piece table is joined to each id where the row is.
 
-    This tokenizer has no decoder of its own, so its pieces are joined by one space, special tokens included. Null or
-    empty ids give an empty text.
+    The table has as many rows as the vocabulary and is at hand in every task, so the join is a lookup by id and nothing
+    is shuffled. This tokenizer has no decoder of its own, so pieces are joined by one space, special tokens included.
+    Null or empty ids give an empty text. A column ``decoded`` is replaced.
     """
+    ship(coded.sparkSession)
     path = path or vocabulary_path()
 
-    @F.pandas_udf("string")
-    def text(ids: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("string")
+    def text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         table_ = Pieces(path)
-        for series in ids:
-            yield pd.Series([x.decode() for x in table_.decode(pa.array(series, pa.list_(pa.int32())))], dtype="object")
+        for ids in batches:
+            yield pa.array(table_.decode(ids), pa.binary()).cast(pa.string())
 
     return coded.withColumn("decoded", text(F.col("ids")))
 
 
-def digests(docs: DataFrame, path: str | None = None, common: int = COMMON) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256``: encoding and decoding in one pass, so that only digests return."""
-    path = path or vocabulary_path()
-    make = coder(docs, path, common)
+def digests(docs: DataFrame, path: str | None = None, names: list[str] | None = None, with_list: bool = False, chunk: int = CHUNK_BYTES) -> DataFrame:
+    """The columns ``names`` (``doc_id``), then ``n_tokens, ids_sha256, decoded_sha256`` and, if asked for, ``ids``, by
+    encoding and decoding each text; null ids, repeated rows and odd texts are treated as by ``encode``."""
+    path, names = path or vocabulary_path(), names or ["doc_id"]
+    more = _fields(("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType()), *([("ids", T.ArrayType(T.IntegerType()))] if with_list else []))
+    schema = T.StructType([*docs.select(*names).schema.fields, *more])
+    columns_ = schema.names
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, table_ = make(), Pieces(path)
-        for batch in batches:
-            for piece in pieces(batch):
-                ids = words.encode(piece.column(1))
-                bounds, flat = ids.offsets.to_numpy(), memoryview(np.ascontiguousarray(ids.values.to_numpy(), "<u4")).cast("B")
-                sums = [hashlib.sha256(flat[4 * s : 4 * e]).hexdigest() for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-                texts = [hashlib.sha256(x).hexdigest() for x in table_.decode(ids)]
-                made = [piece.column(0), pa.array(np.diff(bounds).astype(np.int64)), pa.array(sums, pa.string()), pa.array(texts, pa.string())]
-                yield pa.RecordBatch.from_arrays(made, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    def finish(columns: list[pa.Array], ids: pa.ListArray) -> pa.Table:
+        bounds, flat = ids.offsets.to_numpy(), memoryview(np.ascontiguousarray(ids.values.to_numpy(), "<u4")).cast("B")
+        sums = [hashlib.sha256(flat[4 * s : 4 * e]).hexdigest() for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        texts = [hashlib.sha256(x).hexdigest() for x in Pieces.of(path).decode(ids)]
+        made = [pa.array(np.diff(bounds).astype(np.int64)), pa.array(sums, pa.string()), pa.array(texts, pa.string())]
+        return pa.table([*columns, *made, *([ids] if with_list else [])], names=columns_)
+
+    return with_ids(docs, names, path, finish, schema, chunk)
 
 
 def op5_word_table_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,10 +12,11 @@ def model():
     return bpe.load(bpe.vocabulary_path())
 
 
-@pytest.mark.parametrize("common", [0, 3, 1 << 17])
-def test_encoding_and_decoding_equal_the_library(docs, rows, model, common):
-    got = bpe.decode(bpe.encode(docs, common=common)).collect()
-    assert len(got) == len(rows)
+@pytest.mark.parametrize("chunk", [1, 200, bpe.CHUNK_BYTES])
+def test_encoding_and_decoding_equal_the_library(docs, rows, model, chunk):
+    """With a chunk for each batch up to one for all rows; columns pass through."""
+    got = bpe.decode(bpe.encode(docs, chunk=chunk)).collect()
+    assert sorted(map(repr, rows)) == sorted(repr((r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"])) for r in got)
     for r in got:
         ids = model.encode(r["text"] or "", add_special_tokens=False).ids
         assert r["ids"] == ids
@@ -37,7 +38,7 @@ def test_query_equals_the_library(spark, small, model):
 
 
 def test_digests_equal_the_parts(docs, model):
-    got = sorted((r["doc_id"] or -1, r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in bpe.digests(docs, common=5).collect())
+    got = sorted((r["doc_id"] or -1, r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in bpe.digests(docs, chunk=300).collect())
     want = []
     for r in docs.collect():
         ids = model.encode(r["text"] or "", add_special_tokens=False).ids
