@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import os
 import re
 from collections.abc import Iterator
 from typing import ClassVar
@@ -27,7 +28,7 @@ CHUNK_BYTES = 16 << 20
 BUCKET_BYTES = 16 << 20
 #: Bytes of text taken at a time inside a batch, and words kept by a task from one such piece to the next.
 PIECE_BYTES = 2 << 20
-CACHE_WORDS = 1 << 16
+CACHE_WORDS = 1 << 18
 _MARKS = ".,;:!?"
 MARKS = len(_MARKS) + 1
 _LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
@@ -44,6 +45,7 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 @functools.lru_cache(maxsize=2)
 def load(path: str):
     """The tokenizer with truncation and padding off; special tokens that stand in a text stay single ids."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # each task has a core of its own
     from tokenizers import Tokenizer
 
     made = Tokenizer.from_file(path)

@@ -7,7 +7,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -66,12 +65,13 @@ def read_tokens(spark: SparkSession, path: str, doc_ids: list[int] | None = None
     return rows if doc_ids is None else rows.filter(F.col("doc_id").isin(doc_ids))
 
 
-@F.pandas_udf(T.LongType())
-def ids_crc32(ids: Iterator[pd.Series]) -> Iterator[pd.Series]:
+@F.arrow_udf(T.LongType())
+def ids_crc32(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """Unsigned CRC-32 of ids as little-endian unsigned 32-bit integers."""
 
-    for series in ids:
-        yield pd.Series([zlib.crc32(np.asarray(x, "<u4").tobytes()) for x in series], dtype="int64")
+    for ids in batches:
+        flat, bounds = memoryview(np.ascontiguousarray(ids.values.to_numpy(), "<u4")).cast("B"), ids.offsets.to_pylist()
+        yield pa.array([zlib.crc32(flat[4 * s : 4 * e]) for s, e in zip(bounds[:-1], bounds[1:], strict=True)], pa.int64())
 
 
 def with_starts(rows: DataFrame) -> DataFrame:
