@@ -153,9 +153,10 @@ def in_night_window(ts: Column, start: int, end: int, zone: str = ZONE) -> Colum
 
 
 def next_run(saved: Column, now: Column, hour: int = 3, zone: str = ZONE, grace_minutes: int = 2) -> Column:
-    """A saved run that is overdue starts in two minutes, one ahead stays, and none becomes next Sunday's."""
+    """A saved run that is overdue, or due within two minutes, starts in two minutes; else the next Sunday's is planned."""
     local = F.from_utc_timestamp(now, zone)
     sunday = F.next_day(F.date_sub(local.cast("date"), 1), "Sunday").cast("timestamp") + F.make_dt_interval(hours=F.lit(hour))
     sunday = F.when(sunday <= local, sunday + F.make_dt_interval(days=F.lit(7))).otherwise(sunday)
     planned = F.to_utc_timestamp(sunday, zone)
-    return F.when(saved.isNull(), planned).when(saved <= now, now + F.make_dt_interval(mins=F.lit(grace_minutes))).otherwise(saved)
+    soon = now + F.make_dt_interval(mins=F.lit(grace_minutes))
+    return F.when(saved <= soon, soon).otherwise(planned)

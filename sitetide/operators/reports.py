@@ -1,0 +1,366 @@
+"""Queues, article inputs, comparison picks, report rows and counters that feed the marts."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from sitetide.functions import text, urls
+from sitetide.functions.noise import normalize_for_compare
+from sitetide.operators.sitewide import SITEWIDE_LABEL
+
+RECHECK_PAGES = 100
+FULL_RECHECK_DAYS = 30
+INDEX_TEXT = 3000
+SUMMARY_LIMIT = 5
+SUMMARY_LINE = 200
+COMPARISONS = 10
+#: Names of findings, of importance, of verdicts and of kinds of content in a report.
+FINDING_LABELS = {"new": "Новая страница", "changed": "Изменение", "removed": "Страница удалена"}
+MOVED_LABEL = "Страница переехала"
+VERDICT_RANK = {"none": 0, "similar": 1, "exact": 2}
+
+
+def _choice(of: Column, values: dict, otherwise=None) -> Column:
+    made = F.lit(otherwise)
+    for key, value in reversed(values.items()):
+        made = F.when(of == key, F.lit(value)).otherwise(made)
+    return made
+
+
+# --- queues ---------------------------------------------------------------------------------------------------------
+
+
+def recheck_queue(missing: DataFrame, most: int = RECHECK_PAGES) -> DataFrame:
+    """``missing (site_id, url, last_checked_at)`` with ``asked``: of each site the ``most`` pages that were never checked
+    or longest ago; the others stay unknown until the next crawl.
+
+    The cut is taken by a filter on the rank, so Spark keeps no more than ``most`` rows of a site for each task.
+    """
+    order = Window.partitionBy("site_id").orderBy(F.col("last_checked_at").asc_nulls_first(), "url")
+    asked = missing.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= most).select("site_id", "url", F.lit(True).alias("asked"))
+    return missing.join(asked, ["site_id", "url"], "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
+
+
+def needs_full_crawl(last: Column, now, days: int = FULL_RECHECK_DAYS) -> Column:
+    return last.isNull() | (F.lit(now).cast("timestamp") - last >= F.make_dt_interval(days=F.lit(days)))
+
+
+def nightly_sites(sites: DataFrame) -> DataFrame:
+    """Rivals to audit at night: neither paused nor being crawled."""
+    return sites.filter("not is_own and not is_paused and not is_crawling")
+
+
+def retire_pages(pages: DataFrame, seen: DataFrame, rules: DataFrame, now) -> DataFrame:
+    """``pages`` with those removed now that were not seen, lie in a section opened anew, and did not before.
+
+    ``seen`` has the pages and the failed loads of the crawl, ``rules (site_id, new_rules, old_rules)`` the opened sites.
+    """
+    keys = ["site_id", "url"]
+    rows = pages.join(rules, "site_id", "left").join(seen.select(*keys).distinct().withColumn("met", F.lit(True)), keys, "left")
+    stale = F.col("met").isNull() & F.col("old_rules").isNotNull() & urls.path_included(F.col("url"), F.col("new_rules")) & ~urls.path_included(F.col("url"), F.col("old_rules"))
+    retire = ~F.col("is_removed") & F.coalesce(stale, F.lit(False))
+    rows = rows.withColumn("removed_at", F.when(retire, F.lit(now).cast("timestamp")).otherwise(F.col("removed_at")))
+    return rows.withColumn("is_removed", F.col("is_removed") | retire).select(pages.columns)
+
+
+def without_structure(pages: DataFrame, structures: DataFrame) -> DataFrame:
+    """Known info pages that have no structure yet: the next crawl loads them again."""
+    return pages.filter(urls.is_info(F.col("url"))).join(structures.select("page_id"), "page_id", "left_anti")
+
+
+def fresh_articles(diffs: DataFrame, structures: DataFrame) -> DataFrame:
+    """New and changed info pages of a crawl with a structure from it."""
+    rows = diffs.filter(F.col("change_type").isin("new", "changed")).filter(urls.is_info(F.col("url")))
+    return rows.join(structures, ["site_id", "url"])
+
+
+# --- article inputs -------------------------------------------------------------------------------------------------
+
+
+def intent_hash(structures: DataFrame) -> DataFrame:
+    """``page_id, content_hash`` of what a card is made of: first heading, outline, and text without noise.
+
+    ``structures`` has ``h1``, ``headings`` (array of level and text) and ``main_text``.
+    """
+    outline = F.array_join(F.transform("headings", lambda h: F.concat_ws(" ", h["level"].cast("string"), h["text"])), "\n")
+    plain = F.coalesce(normalize_for_compare(F.coalesce("main_text", F.lit(""))), F.lit(""))
+    whole = F.concat(F.coalesce("h1", F.lit("")), F.lit("\n"), F.coalesce(outline, F.lit("")), F.lit("\n"), plain)
+    return structures.select("page_id", text.content_hash(whole).alias("content_hash"))
+
+
+def card_text(topic: Column, intent: Column, subintents: Column, entities: Column) -> Column:
+    return F.concat_ws(" ", topic, intent, subintents, entities)
+
+
+def own_documents(pages: DataFrame, snapshots: DataFrame, sites: DataFrame) -> DataFrame:
+    """``page_id, url, title, text`` of active pages of the own site with their latest text; pages without one are out."""
+    own = pages.filter("not is_removed").join(sites.filter("is_own").select("site_id"), "site_id", "left_semi")
+    last = snapshots.groupBy("page_id").agg(F.max_by("text", F.struct("taken_at", "snapshot_id")).alias("text"))
+    return own.join(last, "page_id").select("page_id", "url", "title", "text")
+
+
+def own_articles(pages: DataFrame, structures: DataFrame, snapshots: DataFrame, cards: DataFrame, sites: DataFrame) -> DataFrame:
+    """``page_id, url, title, text`` of the own site's articles for the index: card, headings and the first of the text.
+
+    The title is the first heading, else the title of the head, else that of the page; without a structure the page's
+    title and latest text stand, and without either a page is out.
+    """
+    own = pages.filter("not is_removed").filter(urls.is_info(F.col("url"))).join(sites.filter("is_own").select("site_id"), "site_id", "left_semi")
+    last = snapshots.groupBy("page_id").agg(F.max_by("text", F.struct("taken_at", "snapshot_id")).alias("last_text"))
+    rows = own.select("page_id", "url", "title").join(structures.select("page_id", "h1", "meta_title", "headings", "main_text", F.lit(True).alias("has")), "page_id", "left")
+    rows = rows.join(last, "page_id", "left").join(cards, "page_id", "left").filter("has or last_text is not null")
+
+    def filled(c: str) -> Column:
+        return F.nullif(F.col(c), F.lit(""))
+
+    title = F.when(F.col("has"), F.coalesce(filled("h1"), filled("meta_title"), F.col("title"))).otherwise(F.col("title"))
+    body = F.when(F.col("has"), F.coalesce("main_text", F.lit(""))).otherwise(F.col("last_text"))
+    return rows.select("page_id", "url", title.alias("title"), index_text(body).alias("text"))
+
+
+def index_text(body: Column) -> Column:
+    """Card text, headings and the first characters of a body, of rows with a card's and a structure's columns."""
+    card = F.when(F.col("topic").isNotNull(), card_text(F.col("topic"), F.col("main_intent"), F.col("subintents"), F.col("entities"))).otherwise(F.lit(""))
+    heads = F.coalesce(F.array_join(F.transform("headings", lambda h: h["text"]), " "), F.lit(""))
+    return F.concat(card, F.lit(" "), heads, F.lit(" "), F.substring(body, 1, INDEX_TEXT))
+
+
+def rival_articles(structures: DataFrame, cards: DataFrame) -> DataFrame:
+    """``page_id, title, text`` of rivals' articles as queries: first heading and topic; card, headings and text."""
+    rows = structures.join(cards, "page_id")
+    return rows.select("page_id", F.concat_ws(" ", F.nullif("h1", F.lit("")), F.nullif("topic", F.lit(""))).alias("title"), index_text(F.coalesce("main_text", F.lit(""))).alias("text"))
+
+
+# --- comparisons ----------------------------------------------------------------------------------------------------
+
+
+def comparison_picks(diffs: DataFrame, k: int = COMPARISONS) -> DataFrame:
+    """Of each site the first ``k`` differences to compare with the own one: new pages, then changed ones, by address.
+
+    ``compare_text`` is the page's present text; removed pages are out.
+    """
+    rows = diffs.filter("change_type <> 'removed'").withColumn("rank", (F.col("change_type") == "changed").cast("int"))
+    nth = F.row_number().over(Window.partitionBy("site_id").orderBy("rank", "url"))
+    rows = rows.withColumn("nth", nth).filter(F.col("nth") <= k)
+    return rows.select("site_id", "url", "change_type", "nth", F.nullif("new_text", F.lit("")).alias("compare_text"))
+
+
+def verdict_rank(verdict: Column) -> Column:
+    return F.coalesce(_choice(verdict, VERDICT_RANK), F.lit(3))
+
+
+def comparison_summary(compared: DataFrame, k: int = SUMMARY_LIMIT) -> DataFrame:
+    """Of each site the first ``k`` comparisons, those without an own page first, and how many more there are."""
+    order = Window.partitionBy("site_id").orderBy(F.col("our_url").isNotNull(), "ord")
+    rows = compared.withColumn("nth", F.row_number().over(order)).withColumn("more", F.greatest(F.count("*").over(Window.partitionBy("site_id")) - k, F.lit(0)))
+    return rows.filter(F.col("nth") <= k)
+
+
+# --- reports --------------------------------------------------------------------------------------------------------
+
+
+def finding_label(change_type: Column, moved_to: Column, sitewide_pages: Column) -> Column:
+    """A shared change, else a move, else by type."""
+    return F.when(sitewide_pages.isNotNull(), SITEWIDE_LABEL).when(moved_to.isNotNull(), MOVED_LABEL).otherwise(_choice(change_type, FINDING_LABELS))
+
+
+def finding_url(url: Column, related: Column, sitewide_pages: Column) -> Column:
+    """A shared change leads to the page that it advertises, if that is an address."""
+    return F.when(sitewide_pages.isNotNull() & F.startswith(related, F.lit("http")), related).otherwise(url)
+
+
+def short(value: Column, limit: int = SUMMARY_LINE) -> Column:
+    """Blanks run together, cut to ``limit`` characters with an ellipsis."""
+    flat = F.trim(F.regexp_replace(F.coalesce(value, F.lit("")), r"(?U)\s+", " "))
+    return F.when(F.length(flat) <= limit, flat).otherwise(F.concat(F.rtrim(F.substring(flat, 1, limit - 1)), F.lit("…")))
+
+
+def finding_counts(findings: DataFrame) -> DataFrame:
+    """For each site: findings by label, high ones, and those for readers of articles; low ones only as ``minor``.
+
+    ``findings`` has ``change_type, moved_to, sitewide_pages, importance, category, url``.
+    """
+    label = finding_label(F.col("change_type"), F.col("moved_to"), F.col("sitewide_pages"))
+    minor = F.coalesce(F.col("importance") == "low", F.lit(False))
+    rows = findings.withColumn("label", label).withColumn("minor", minor)
+    info = urls.content_kind(F.col("url"), F.col("category")) == "info"
+    named = {"new": FINDING_LABELS["new"], "changed": FINDING_LABELS["changed"], "removed": FINDING_LABELS["removed"], "moved": MOVED_LABEL, "sitewide": SITEWIDE_LABEL}
+    return rows.groupBy("site_id").agg(
+        F.count_if(~F.col("minor")).alias("findings"),
+        *[F.count_if(~F.col("minor") & (F.col("label") == said)).alias(f"n_{name}") for name, said in named.items()],
+        F.count_if(F.col("importance") == "high").alias("n_high"),
+        F.count_if(~F.col("minor") & info).alias("n_info"),
+        F.count_if(~F.col("minor") & ~info).alias("n_commerce"),
+        F.count_if("minor").alias("minor"),
+    )
+
+
+def report_lists(findings: DataFrame, k: int = SUMMARY_LIMIT) -> DataFrame:
+    """``site_id, list, nth, line, url, total``: the first ``k`` important findings and those that the own site lacks.
+
+    Important ones keep their order ``ord``; the missing ones (verdict ``none``) come by importance.
+    """
+    rows = findings.filter(~F.coalesce(F.col("importance") == "low", F.lit(False)))
+    rows = rows.withColumn("to", finding_url(F.col("url"), F.col("related_url"), F.col("sitewide_pages")))
+    why = F.coalesce(F.nullif("importance_reason", F.lit("")), F.col("summary"))
+    important = rows.filter("importance = 'high'").select("site_id", F.lit("important").alias("list"), F.lit(0).alias("rank"), "ord", short(why).alias("line"), "to")
+    lacking = rows.filter("verdict = 'none'").select("site_id", F.lit("missing").alias("list"), text.importance_rank(F.col("importance")).alias("rank"), "ord", short(F.col("summary")).alias("line"), "to")
+    both = important.unionByName(lacking)
+    totals = both.groupBy("site_id", "list").agg(F.count("*").alias("total"))
+    top = both.withColumn("nth", F.row_number().over(Window.partitionBy("site_id", "list").orderBy("rank", "ord"))).filter(F.col("nth") <= k)
+    return top.join(totals, ["site_id", "list"]).select("site_id", "list", "nth", "line", F.col("to").alias("url"), "total")
+
+
+def overview_items(findings: DataFrame, baseline: DataFrame, most: int = 40) -> DataFrame:
+    """``site_id, nth, label, url``: findings that are not minor by importance, then first comparisons, lacking ones first."""
+    label = F.when(F.col("sitewide_pages").isNotNull(), F.concat(F.lit(f"{SITEWIDE_LABEL} на "), F.col("sitewide_pages"), F.lit(" стр."))).otherwise(
+        finding_label(F.col("change_type"), F.col("moved_to"), F.col("sitewide_pages"))
+    )
+    own = findings.filter(~F.coalesce(F.col("importance") == "low", F.lit(False)))
+    own = own.select("site_id", F.lit(0).alias("part"), text.importance_rank(F.col("importance")).alias("rank"), "ord", label.alias("label"), finding_url(F.col("url"), F.col("related_url"), F.col("sitewide_pages")).alias("url"))
+    first = baseline.select("site_id", F.lit(1).alias("part"), (F.col("verdict") != "none").cast("int").alias("rank"), "ord", F.lit("Первый обход").alias("label"), "url")
+    rows = own.unionByName(first)
+    nth = F.row_number().over(Window.partitionBy("site_id").orderBy("part", "rank", "ord"))
+    return rows.withColumn("nth", nth).filter(F.col("nth") <= most).select("site_id", "nth", "label", "url")
+
+
+#: Names in the cells of a report's rows.
+TYPE_CELLS = FINDING_LABELS
+IMPORTANCE_CELLS = {"high": "🔥 Важно", "low": "Мелочь"}
+KIND_CELLS = {"info": "Инфо (SEO)", "commerce": "Коммерция (продукт)"}
+VERDICT_CELLS = {"exact": "У нас такое есть", "similar": "У нас похожее есть", "none": "У нас такого нет"}
+
+
+def report_rows(findings: DataFrame, types: dict = TYPE_CELLS, grades: dict = IMPORTANCE_CELLS, kinds: dict = KIND_CELLS, verdicts: dict = VERDICT_CELLS) -> DataFrame:
+    """The ten cells of each finding of a report, null-free; the names in them are parameters.
+
+    ``findings`` has the columns of a change, of its analysis (``category, usp, cta, summary, importance,
+    importance_reason``), of a move (``moved_to, moved_summary``) and of a comparison (``verdict, our_url, differences,
+    missing``).
+    """
+    empty = F.lit("")
+
+    def said(c: str) -> Column:
+        return F.coalesce(F.col(c), empty)
+
+    def line(head: str, c: str, when: Column | None = None) -> Column:
+        has = F.coalesce(F.col(c) != "", F.lit(False))
+        return F.when(has if when is None else has & when, F.concat(F.lit(head), F.col(c)))
+
+    high = F.coalesce(F.col("importance") == "high", F.lit(False))
+    grade = _choice(F.col("importance"), grades)
+    kind = F.when(F.coalesce("moved_to", empty) != "", MOVED_LABEL).otherwise(_choice(F.col("change_type"), types))
+    verdict = F.coalesce(_choice(F.col("verdict"), verdicts), empty)
+    return findings.select(
+        F.date_format("detected_at", "yyyy-MM-dd\nHH:mm").alias("detected"),
+        F.concat_ws("\n", kind, grade).alias("type"),
+        "url",
+        said("category").alias("category"),
+        _choice(urls.content_kind(F.col("url"), F.col("category")), kinds).alias("kind"),
+        said("usp").alias("usp"),
+        said("cta").alias("cta"),
+        F.concat_ws("\n", F.nullif("summary", empty), line("Новый адрес: ", "moved_to"), line("Теперь там: ", "moved_summary"), line("Почему важно: ", "importance_reason", high)).alias("description"),
+        F.concat_ws("\n", F.nullif(verdict, empty), F.nullif("our_url", empty)).alias("verdict"),
+        F.concat_ws("\n", line("Отличия: ", "differences"), line("Чего нам не хватает: ", "missing")).alias("details"),
+    )
+
+
+# --- counters -------------------------------------------------------------------------------------------------------
+
+
+def decision_tallies(findings: DataFrame, decisions: DataFrame) -> DataFrame:
+    """For each decision kind its topics, findings and rival sites, newest first by ``updated_at``."""
+    per = findings.groupBy("decision_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("site_id")).alias("site_ids"))
+    rows = decisions.join(per, "decision_id", "left")
+    return rows.select("decision_id", "decision", "updated_at", F.coalesce("n", F.lit(0)).alias("findings"), F.coalesce(F.size("site_ids"), F.lit(0)).alias("sites"))
+
+
+def run_tallies(matched: DataFrame) -> DataFrame:
+    """For each run: decisions by kind, cases merged without being asked, and cases that were not compared."""
+    return matched.groupBy("run_id").agg(
+        *[F.count_if(F.col("decision") == d).alias(f"n_{d}") for d in ("new", "update", "exists")],
+        F.count_if("merged").alias("merged"),
+        F.count_if(F.col("decision").isNull() & ~F.col("merged")).alias("not_compared"),
+    )
+
+
+def topic_list(findings: DataFrame, decisions: DataFrame, pages: DataFrame, sites: DataFrame) -> DataFrame:
+    """Each finding with its decision, page and site; inner joins, so that a finding without one of them is out."""
+    rows = findings.select("finding_id", "decision_id", "page_id", "kind", "detected_at")
+    rows = rows.join(decisions.select("decision_id", "decision", "updated_at"), "decision_id").join(pages.select("page_id", "site_id", "url"), "page_id")
+    return rows.join(sites.select("site_id", "name", "is_own"), "site_id")
+
+
+def site_cards(sites: DataFrame, pages: DataFrame, changes: DataFrame, cache: DataFrame, now, days: int = 30) -> DataFrame:
+    """Each site with its active pages, pages fetched by a running crawl, and changes of the last days by type."""
+    active = pages.filter("not is_removed").groupBy("site_id").agg(F.count("*").alias("pages"))
+    fetched = cache.groupBy("site_id").agg(F.count("*").alias("fetched"))
+    recent = changes.filter(F.col("detected_at") >= F.lit(now).cast("timestamp") - F.make_dt_interval(days=F.lit(days))).groupBy("site_id")
+    counts = recent.agg(*[F.count_if(F.col("change_type") == t).alias(f"n_{t}") for t in ("new", "changed", "removed")])
+    names = ["pages", "fetched", "n_new", "n_changed", "n_removed"]
+    rows = sites.select("site_id", "name", "is_own").join(active, "site_id", "left").join(fetched, "site_id", "left").join(counts, "site_id", "left")
+    return rows.na.fill(0, names)
+
+
+def own_counts(changes: DataFrame, sites: DataFrame) -> DataFrame:
+    """Changes of the own site by type."""
+    return changes.join(sites.filter("is_own").select("site_id"), "site_id", "left_semi").groupBy("change_type").agg(F.count("*").alias("n"))
+
+
+def planned_crawls(sites: DataFrame, next_run) -> DataFrame:
+    """``next_crawl_at`` of each site for a new plan: paused ones keep theirs, sites with cookies only have none."""
+    at = F.when(F.col("is_paused"), F.col("next_crawl_at")).when(F.col("cookies_only"), None).otherwise(F.lit(next_run).cast("timestamp"))
+    return sites.withColumn("next_crawl_at", at)
+
+
+def cookie_reminder(sites: DataFrame) -> DataFrame:
+    """One row: the names of unpaused rivals with cookies only, in order of their ids."""
+    rows = sites.filter("cookies_only and not is_paused and not is_own")
+    listed = F.array_sort(F.collect_list(F.struct("site_id", "name")))
+    return rows.agg(F.array_join(F.transform(listed, lambda x: x["name"]), ", ").alias("names"))
+
+
+def pick_sites(sites: DataFrame, wanted: list[str] | None = None) -> DataFrame:
+    """Rivals by name, id or end of the domain; without a wish all that are not paused."""
+    rivals = sites.filter("not is_own")
+    if not wanted:
+        return rivals.filter("not is_paused")
+    host = urls.domain(F.col("base_url"))
+    hit = F.lit(False)
+    for w in wanted:
+        hit = hit | (F.col("name") == w) | (F.col("site_id").cast("string") == w) | (host == w) | F.endswith(host, F.lit("." + w))
+    return rivals.filter(hit)
+
+
+def pilot_sample(pages: DataFrame, k: int, seed: int = 1) -> DataFrame:
+    """``k`` info pages of each site in an order that depends on the seed alone (a sampling feature)."""
+    rows = pages.filter("not is_removed").filter(urls.is_info(F.col("url")))
+    nth = F.row_number().over(Window.partitionBy("site_id").orderBy(F.xxhash64("url", F.lit(seed)), "url"))
+    return rows.withColumn("nth", nth).filter(F.col("nth") <= k)
+
+
+# --- cookies --------------------------------------------------------------------------------------------------------
+
+
+def expired_guards(cookies: DataFrame, now: float, prefix: str = "qrator_jsid") -> DataFrame:
+    """Cookies of a site's guard that are out of date: a crawl with them would be refused."""
+    rows = cookies.filter(F.startswith(F.lower("name"), F.lit(prefix)) & ~F.coalesce("session", F.lit(False)))
+    return rows.filter(F.col("expires") <= now)
+
+
+def sites_of_cookies(sites: DataFrame, cookies: DataFrame) -> DataFrame:
+    """``site_id, domain``: the sites that cookies belong to, where one host is the other's or lies under it.
+
+    Each side's host is expanded to its own endings, so the join is on equal names.
+    """
+
+    def endings(host: Column) -> Column:
+        parts = F.split(host, r"\.")
+        return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "."))
+
+    left = sites.select("site_id", urls.domain(F.col("base_url")).alias("host"))
+    right = cookies.select(F.lower(F.regexp_replace("domain", r"^\.+", "")).alias("domain")).distinct()
+    under = left.select("site_id", F.explode(endings(F.col("host"))).alias("domain")).join(right, "domain")
+    over = right.select("domain", F.explode(endings(F.col("domain"))).alias("host")).join(left, "host")
+    return under.select("site_id", "domain").unionByName(over.select("site_id", "domain")).distinct()

@@ -28,14 +28,15 @@ def index(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 def search(queries: DataFrame, docs: DataFrame, k: int | None = None, floor: float = 0.0) -> DataFrame:
     """``query_id, id, score``: the ``k`` most similar documents of each query ``(id, title, text)`` by cosine.
 
-    Tokens that no document has are ignored; scores are rounded to six digits before ties go to the smaller id.
+    Tokens that no document has are ignored; the floor is for the exact score; scores are rounded to six digits before ties go to the smaller id.
     """
     postings, idf, norms = index(docs)
     q = term_counts(queries).join(idf, "token").select(F.col("id").alias("query_id"), "token", (F.col("tf") * F.col("idf")).alias("w"))
     q_norm = q.groupBy("query_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("q_norm"))
     dots = q.join(postings, "token").groupBy("query_id", "id").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
     scores = dots.join(norms, "id").join(q_norm, "query_id").filter((F.col("norm") > 0) & (F.col("q_norm") > 0) & (F.col("dot") > 0))
-    scores = scores.select("query_id", "id", F.round(F.col("dot") / (F.col("norm") * F.col("q_norm")), 6).alias("score")).filter(F.col("score") >= floor)
+    scores = scores.select("query_id", "id", (F.col("dot") / (F.col("norm") * F.col("q_norm"))).alias("score")).filter(F.col("score") >= floor)
+    scores = scores.withColumn("score", F.round("score", 6))
     if k is None:
         return scores
     nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))

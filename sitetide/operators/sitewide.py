@@ -18,6 +18,9 @@ OWN_LETTERS = 15
 GROUP_LINES = 60
 SHUFFLE_LINES, SHUFFLE_LENGTH = 6, 60
 PAGE = ["site_id", "url"]
+#: How shared changes and shuffles of links are named.
+SITEWIDE_LABEL = "Сквозное изменение"
+SHUFFLE_SUMMARY = "Перетасовка блока ссылок (другие термины/статьи) — шум, не правка."
 
 
 def change_lines(diffs: DataFrame) -> DataFrame:
@@ -137,12 +140,22 @@ def groups(marked: DataFrame, limit: int = GROUP_LINES) -> DataFrame:
 
 
 def group_answers(marked: DataFrame, own: DataFrame, answers: DataFrame) -> DataFrame:
-    """``site_id, url, summary, sitewide_pages``: a fully shared page takes the answer ``(cluster, summary)`` of the
-    largest change it belongs to."""
+    """``site_id, url, summary, importance, sitewide_pages`` of pages without changes of their own.
+
+    A page takes the answer ``(cluster, summary, importance)`` of the largest change it belongs to, where that has one;
+    a page in none of them, which is a mere shuffle of links, gets a fixed answer of low importance.
+    """
     whole = own.filter("own_text is null").select(*PAGE)
     sizes = marked.filter("cluster is not null").groupBy("site_id", "cluster").agg(F.countDistinct("url").alias("pages"))
     member = marked.filter("cluster is not null").select(*PAGE, "cluster").distinct().join(sizes, ["site_id", "cluster"])
     first = member.groupBy(*PAGE).agg(F.max_by(F.struct("cluster", "pages"), F.struct("pages", "cluster")).alias("g"))
-    rows = whole.join(first, PAGE).select(*PAGE, "g.cluster", "g.pages").join(answers, "cluster", "left")
-    text = F.concat(F.lit("На "), F.col("pages"), F.lit(" стр.: "), F.col("summary"))
-    return rows.select(*PAGE, text.alias("summary"), F.col("pages").alias("sitewide_pages"))
+    rows = whole.join(first, PAGE, "left").select(*PAGE, "g.cluster", "g.pages").join(answers.withColumn("told", F.lit(True)), "cluster", "left")
+    rows = rows.filter("cluster is null or told")
+    text = F.concat(F.lit(f"{SITEWIDE_LABEL} на "), F.col("pages"), F.lit(" стр.: "), F.coalesce("summary", F.lit("")))
+    text = F.regexp_replace(text, "[: ]+$", "")
+    return rows.select(
+        *PAGE,
+        F.when(F.col("cluster").isNull(), SHUFFLE_SUMMARY).otherwise(text).alias("summary"),
+        F.when(F.col("cluster").isNull(), "low").otherwise(F.col("importance")).alias("importance"),
+        F.col("pages").alias("sitewide_pages"),
+    )

@@ -68,8 +68,9 @@ def real_changes(diffs: DataFrame, found: DataFrame) -> DataFrame:
 def fold_pages(pages: DataFrame, seen: DataFrame, found: DataFrame, now) -> DataFrame:
     """State of every page after a crawl.
 
-    A page that was seen is alive and without a verdict, also when it had been removed before. Of the others, deleted
-    and moved ones are removed; alive and unknown ones keep their state with reason ``missing_from_crawl``.
+    A page that was seen is alive, checked, and without a verdict, redirect or summary, also when it had been removed
+    before. Of the others, deleted and moved ones are removed now; alive and unknown ones keep their state with reason
+    ``missing_from_crawl``; pages that were not checked keep all.
     """
     at = F.lit(now).cast("timestamp")
     rows = pages.join(seen.select(*KEYS, F.col("lastmod").alias("new_lastmod"), F.lit(True).alias("seen")), KEYS, "full_outer")
@@ -83,10 +84,12 @@ def fold_pages(pages: DataFrame, seen: DataFrame, found: DataFrame, now) -> Data
         F.coalesce("first_seen_at", at).alias("first_seen_at"),
         F.when(is_seen, at).otherwise(F.col("last_seen_at")).alias("last_seen_at"),
         F.when(is_seen, False).when(gone, True).otherwise(F.col("is_removed")).alias("is_removed"),
+        F.when(~is_seen, F.when(gone, at).otherwise(F.col("removed_at"))).alias("removed_at"),
         F.when(~is_seen, reason).alias("disappearance_reason"),
-        F.when(~is_seen, F.coalesce(F.when(gone, F.col("redirect_to")), F.col("redirect_to_url"))).alias("redirect_to_url"),
+        F.when(~is_seen, F.when(F.col("verdict") == "moved", F.col("redirect_to")).otherwise(F.col("redirect_to_url"))).alias("redirect_to_url"),
+        F.when(~is_seen, F.col("redirect_target_summary")).alias("redirect_target_summary"),
         F.when(is_seen, F.coalesce("new_lastmod", "sitemap_lastmod")).otherwise(F.col("sitemap_lastmod")).alias("sitemap_lastmod"),
-        F.when(~is_seen, F.when(checked, at).otherwise(F.col("last_checked_at"))).alias("last_checked_at"),
+        F.when(is_seen | checked, at).otherwise(F.col("last_checked_at")).alias("last_checked_at"),
     )
 
 

@@ -116,24 +116,36 @@ def real_changes(spark, sf):
     return snapshots.real_changes(found, snapshots.verdicts(view(spark, sf, "responses"))).select("site_id", "url", "change_type", "verdict")
 
 
+def _ts(e: str) -> str:
+    return f"strftime({e}, '%Y-%m-%d %H:%M:%S')"
+
+
+_AT = f"TIMESTAMP '{NOW}'"
+
+
 @query(
-    f"""SELECT coalesce(p.site_id, s.site_id) AS site_id, coalesce(p.url, s.url) AS url,
+    f"""SELECT coalesce(p.site_id, s.site_id) AS site_id, coalesce(p.url, s.url) AS url, {_ts(f"coalesce(first_seen_at, {_AT})")} AS first_seen_at,
+        {_ts(f"CASE WHEN s.url IS NOT NULL THEN {_AT} ELSE last_seen_at END")} AS last_seen_at,
         CASE WHEN s.url IS NOT NULL THEN false WHEN coalesce(verdict IN ('deleted', 'moved'), false) THEN true ELSE p.is_removed END AS is_removed,
-        CASE WHEN s.url IS NOT NULL THEN NULL WHEN verdict IN ('deleted', 'moved') THEN verdict WHEN verdict IS NOT NULL THEN 'missing_from_crawl' END
-          AS disappearance_reason
-        FROM monitored p FULL JOIN crawl_cur s ON p.site_id = s.site_id AND p.url = s.url
-        LEFT JOIN ({_VERDICT}) v ON v.site_id = coalesce(p.site_id, s.site_id) AND v.url = coalesce(p.url, s.url)""",
-    "monitored", "crawl_cur", "responses",
+        {_ts(f"CASE WHEN s.url IS NOT NULL THEN NULL WHEN verdict IN ('deleted', 'moved') THEN {_AT} ELSE removed_at END")} AS removed_at,
+        CASE WHEN s.url IS NOT NULL THEN NULL WHEN verdict IN ('deleted', 'moved') THEN verdict WHEN verdict IS NOT NULL THEN 'missing_from_crawl'
+          ELSE disappearance_reason END AS disappearance_reason,
+        CASE WHEN s.url IS NOT NULL THEN NULL WHEN verdict = 'moved' THEN final_url ELSE redirect_to_url END AS redirect_to_url,
+        CASE WHEN s.url IS NULL THEN redirect_target_summary END AS redirect_target_summary,
+        {_ts("CASE WHEN s.url IS NOT NULL THEN coalesce(s.lastmod, sitemap_lastmod) ELSE sitemap_lastmod END")} AS sitemap_lastmod,
+        {_ts(f"CASE WHEN s.url IS NOT NULL OR verdict IS NOT NULL THEN {_AT} ELSE last_checked_at END")} AS last_checked_at
+        FROM page_states p FULL JOIN entries s ON p.site_id = s.site_id AND p.url = s.url
+        LEFT JOIN (SELECT v.*, final_url FROM ({_VERDICT}) v JOIN responses r ON r.site_id = v.site_id AND r.url = v.url
+                   WHERE CAST(regexp_extract(v.url, '([0-9]+)$', 1) AS BIGINT) % 3 <> 2) v
+          ON v.site_id = coalesce(p.site_id, s.site_id) AND v.url = coalesce(p.url, s.url)""",
+    "page_states", "entries", "responses",
 )
 def page_lifecycle(spark, sf):
-    never = F.lit(None).cast("timestamp")
-    pages = view(spark, sf, "monitored").select(
-        "site_id", "url", "is_removed", *[never.alias(c) for c in ("first_seen_at", "last_seen_at", "sitemap_lastmod", "last_checked_at")],
-        *[F.lit(None).cast("string").alias(c) for c in ("disappearance_reason", "redirect_to_url")],
-    )
-    seen = view(spark, sf, "crawl_cur").select("site_id", "url", never.alias("lastmod"))
-    state = snapshots.fold_pages(pages, seen, snapshots.verdicts(view(spark, sf, "responses")), NOW)
-    return state.select("site_id", "url", "is_removed", "disappearance_reason")
+    """The state of every page after a crawl in which a third of the missing pages was not asked about."""
+    asked = view(spark, sf, "responses").filter(F.regexp_extract("url", "([0-9]+)$", 1).cast("long") % 3 != 2)
+    state = snapshots.fold_pages(view(spark, sf, "page_states"), view(spark, sf, "entries"), snapshots.verdicts(asked), NOW)
+    times = ("first_seen_at", "last_seen_at", "removed_at", "sitemap_lastmod", "last_checked_at")
+    return state.select(*[_stamp(c) if c in times else c for c in state.columns])
 
 
 @query(
@@ -207,17 +219,34 @@ def restored_sections(spark, sf):
     return planning.restored_counts(planning.sitemap_gaps(view(spark, sf, "entries"), view(spark, sf, "previous_pages")))
 
 
-@query(
-    f"""SELECT site_id, count(*) AS urls_total, count(*) FILTER (action = 'wait') AS waiting FROM (
-        SELECT site_id, CASE WHEN (q = 0 AND nth <= 40) THEN 'fetch' WHEN known THEN 'carry' ELSE 'wait' END AS action
-        FROM (SELECT *, row_number() OVER (PARTITION BY site_id, q ORDER BY priority, url) AS nth
-              FROM (SELECT *, CASE WHEN priority IS NULL THEN 2 ELSE 0 END AS q FROM ({_PLAN})))) GROUP BY site_id""",
-    "entries", "previous_pages",
+_ACTIONS = f"""SELECT site_id, url, CASE WHEN q = 0 AND nth <= 40 THEN 'fetch' WHEN known THEN 'carry' ELSE 'wait' END AS action
+    FROM (SELECT *, row_number() OVER (PARTITION BY site_id, q ORDER BY priority, url) AS nth
+          FROM (SELECT *, CASE WHEN priority IS NULL THEN 2 ELSE 0 END AS q FROM ({_PLAN})))"""
+
+
+@query(
+    f"""SELECT a.site_id, urls_total, waiting, coalesce(pages, 0) AS pages, coalesce(failed, 0) AS failed, coalesce(moved, 0) AS moved,
+        coalesce(survived, 0) AS survived, coalesce(restored, 0) AS restored, coalesce(restored_sections, '') AS restored_sections,
+        urls_total > coalesce(pages, 0) AS is_truncated
+        FROM (SELECT site_id, count(*) AS urls_total, count(*) FILTER (action = 'wait') AS waiting FROM ({_ACTIONS}) GROUP BY site_id) a
+        LEFT JOIN (SELECT x.site_id, count(*) AS pages, count(*) FILTER (action = 'fetch' AND c.text IS NULL) AS failed
+                   FROM ({_ACTIONS}) x LEFT JOIN crawl_cur c ON c.site_id = x.site_id AND c.url = x.url
+                   LEFT JOIN previous_pages p ON p.site_id = x.site_id AND p.url = x.url
+                   WHERE action <> 'wait' AND CASE WHEN action = 'fetch' THEN coalesce(c.text, p.text) ELSE p.text END IS NOT NULL GROUP BY x.site_id) b
+          ON b.site_id = a.site_id
+        LEFT JOIN (SELECT site_id, count(*) FILTER (verdict = 'moved') AS moved, count(*) FILTER (verdict NOT IN ('deleted', 'moved')) AS survived
+                   FROM ({_VERDICT}) GROUP BY site_id) c ON c.site_id = a.site_id
+        LEFT JOIN (SELECT site_id, CAST(sum(n) AS BIGINT) AS restored, string_agg(section || ' (' || n || ')', ', ' ORDER BY n DESC, section) FILTER (nth <= 5) AS restored_sections
+                   FROM (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY n DESC, section) AS nth
+                         FROM (SELECT site_id, '/' || regexp_extract(url, '^https://[^/]*/([^/]*)', 1) AS section, count(*) AS n FROM ({_GAPS}) GROUP BY ALL))
+                   GROUP BY site_id) d ON d.site_id = a.site_id""",
+    "entries", "previous_pages", "crawl_cur", "responses",
 )
 def run_notes(spark, sf):
     plan = planning.crawl_plan(view(spark, sf, "entries"), view(spark, sf, "previous_pages"), 40)
     pages = planning.assemble(plan, view(spark, sf, "crawl_cur"), view(spark, sf, "previous_pages"))
-    return marts.run_notes(plan, pages, snapshots.verdicts(view(spark, sf, "responses"))).select("site_id", "urls_total", "waiting")
+    back = planning.restored_counts(planning.sitemap_gaps(view(spark, sf, "entries"), view(spark, sf, "previous_pages")))
+    return marts.run_notes(plan, pages, snapshots.verdicts(view(spark, sf, "responses")), back)
 
 
 @query(
@@ -349,38 +378,37 @@ def pending_analysis(spark, sf):
 
 
 _INFO = "regexp_matches(url, '/(blog|news)/')"
+_KEPT = """(include_paths = '' OR (include_paths = '/blog' AND regexp_matches(url, '/blog/')) OR (include_paths = '!/news' AND NOT regexp_matches(url, '/news/')))
+    AND NOT regexp_matches(url, '/spo/')"""
+_AUDIT = f"""(SELECT m.*, name, f.page_id IS NOT NULL AS done FROM monitored m JOIN sites s USING (site_id)
+              LEFT JOIN (SELECT DISTINCT page_id FROM findings) f USING (page_id) WHERE NOT is_own AND NOT is_removed AND {_INFO} AND {_KEPT})"""
 
 
-@query(
-    f"""SELECT page_id, site_id, url FROM monitored ANTI JOIN findings USING (page_id) WHERE NOT is_removed AND text_length >= 300 AND {_INFO}""",
-    "monitored", "findings",
-)
+@query(f"SELECT page_id, site_id, url FROM {_AUDIT} WHERE NOT done AND text_length >= 300", "monitored", "findings", "sites")
 def audit_queue(spark, sf):
-    return marts.audit_queue(view(spark, sf, "monitored"), view(spark, sf, "findings")).select("page_id", "site_id", "url")
-
-
-_AUDIT = f"""FROM (SELECT m.*, f.page_id IS NOT NULL AS done FROM monitored m LEFT JOIN (SELECT DISTINCT page_id FROM findings) f USING (page_id)
-             WHERE NOT is_removed AND {_INFO})"""
+    return marts.audit_queue(view(spark, sf, "monitored"), view(spark, sf, "findings"), view(spark, sf, "sites")).select("page_id", "site_id", "url")
 
 
 @query(
-    f"""SELECT site_id, count(*) AS articles, count(*) FILTER (done) AS done, count(*) FILTER (NOT done AND coalesce(text_length, 0) >= 300) AS ready,
-        count(*) FILTER (NOT done AND text_length IS NULL) AS waiting {_AUDIT} GROUP BY site_id""",
-    "monitored", "findings",
+    f"""SELECT site_id, name, count(*) AS articles, count(*) FILTER (done) AS done, count(*) FILTER (NOT done AND coalesce(text_length, 0) >= 300) AS ready,
+        count(*) FILTER (NOT done AND text_length IS NULL) AS waiting FROM {_AUDIT} GROUP BY ALL""",
+    "monitored", "findings", "sites",
 )
 def audit_progress(spark, sf):
-    return marts.audit_progress(view(spark, sf, "monitored"), view(spark, sf, "findings"))
+    return marts.audit_progress(view(spark, sf, "monitored"), view(spark, sf, "findings"), view(spark, sf, "sites"))
 
 
 @query(
-    f"""SELECT articles, ready, without_structure, done, CAST(ceil(cards / 4.0) + ceil(round(ready * 0.8, 6) / 3.0) AS BIGINT) AS calls FROM (
-        SELECT count(*) AS articles, count(*) FILTER (NOT done AND text_length IS NOT NULL) AS ready,
-        count(*) FILTER (NOT done AND text_length IS NULL) AS without_structure, count(*) FILTER (done) AS done,
-        count(*) FILTER (NOT done AND text_length IS NOT NULL AND NOT has_card) AS cards {_AUDIT})""",
-    "monitored", "findings",
+    f"""SELECT s.site_id, s.name, coalesce(articles, 0) AS articles, coalesce(ready, 0) AS ready, coalesce(without_structure, 0) AS without_structure,
+        coalesce(done, 0) AS done, coalesce(CAST(ceil(cards / 4.0::DOUBLE) + ceil(ready * (1 - 0.2::DOUBLE) / 3) AS BIGINT), 0) AS calls
+        FROM sites s LEFT JOIN (SELECT site_id, count(*) AS articles, count(*) FILTER (NOT done AND text_length IS NOT NULL) AS ready,
+          count(*) FILTER (NOT done AND text_length IS NULL) AS without_structure, count(*) FILTER (done) AS done,
+          count(*) FILTER (NOT done AND text_length IS NOT NULL AND NOT has_card) AS cards FROM {_AUDIT} GROUP BY site_id) USING (site_id)
+        WHERE NOT is_own""",
+    "monitored", "findings", "sites",
 )
 def audit_estimate(spark, sf):
-    return marts.audit_estimate(view(spark, sf, "monitored"), view(spark, sf, "findings"))
+    return marts.audit_estimate(view(spark, sf, "monitored"), view(spark, sf, "findings"), view(spark, sf, "sites"))
 
 
 @query(
@@ -398,7 +426,7 @@ def decision_counts(spark, sf):
 
 
 @query(
-    f"""SELECT s.*, r.* FROM (SELECT count(*) AS sites, count(*) FILTER (NOT is_paused) AS active, count(*) FILTER (status = 'needs_session') AS needs_session
+    f"""SELECT s.*, r.* FROM (SELECT count(*) AS sites, count(*) FILTER (status = 'active') AS active, count(*) FILTER (status = 'needs_session') AS needs_session
         FROM sites WHERE NOT is_own) s, (SELECT count(*) AS recent_changes FROM changes SEMI JOIN (SELECT site_id FROM sites WHERE NOT is_own) USING (site_id)
         WHERE detected_at >= TIMESTAMP '{SINCE}') r""",
     "changes", "sites",
@@ -438,9 +466,9 @@ def start_all(spark, sf):
 
 
 @query(
-    f"""SELECT site_id, name, problem FROM (SELECT *, CASE WHEN is_paused THEN NULL WHEN status = 'needs_session' THEN 'needs_session'
-        WHEN last_crawl_finished_at IS NULL THEN 'never_crawled'
-        WHEN date_diff('day', last_crawl_finished_at, TIMESTAMP '{NOW}') > CASE WHEN is_own THEN 2 WHEN cookies_only THEN 7 ELSE 8 END THEN 'stale' END AS problem
+    f"""SELECT site_id, name, problem FROM (SELECT *, CASE WHEN is_crawling THEN NULL
+        WHEN is_own THEN CASE WHEN coalesce(last_crawl_finished_at < {_AT} - INTERVAL 2 DAY, true) THEN 'own_stale' END
+        WHEN cookies_only AND NOT is_paused AND coalesce(last_crawl_finished_at < {_AT} - INTERVAL 7 DAY, true) THEN 'cookies_stale' END AS problem
         FROM sites) WHERE problem IS NOT NULL""",
     "sites",
 )
@@ -448,6 +476,16 @@ def site_health(spark, sf):
     return marts.health(view(spark, sf, "sites"), NOW)
 
 
+@query(
+    f"""SELECT site_id, name, problem FROM (SELECT *, CASE WHEN status = 'needs_session' AND last_crawl_finished_at IS NOT NULL THEN 'needs_session'
+        WHEN last_crawl_finished_at IS NULL THEN 'never_crawled' WHEN last_crawl_finished_at < TIMESTAMP '{SINCE}' THEN 'stale' END AS problem
+        FROM sites WHERE NOT is_own AND NOT is_paused) WHERE problem IS NOT NULL""",
+    "sites",
+)
+def digest_problems(spark, sf):
+    return marts.digest_problems(view(spark, sf, "sites"), SINCE)
+
+
 @query(
     """SELECT count(*) AS sites, count(*) FILTER (is_paused) AS paused, count(*) FILTER (status = 'needs_session') AS needs_session,
        count(*) FILTER (is_crawling) AS crawling, strftime(min(next_crawl_at) FILTER (NOT is_paused), '%Y-%m-%d %H:%M:%S') AS next_crawl_at,
@@ -458,22 +496,52 @@ def site_summary(spark, sf):
     return marts.summary(view(spark, sf, "sites")).select("sites", "paused", "needs_session", "crawling", _stamp("next_crawl_at"), "last_crawled")
 
 
+def _items(c: str) -> str:
+    """A text of parts with semicolons as a list, in SQL."""
+    return f"list_filter(string_split({c}, ';'), lambda x: x <> '')"
+
+
+def _parts(c: str):
+    return F.filter(F.split(c, ";"), lambda x: x != "").alias(c)
+
+
 def _once(c: str) -> str:
-    """Values in order, each at its first place, joined by line breaks."""
-    items = f"list({c} ORDER BY detected_at, url)"
-    return f"array_to_string(list_filter({items}, lambda x, i: list_position({items}, x) = i), chr(10))"
+    """Values in order, each at its first place."""
+    return f"list_filter({c}, lambda x, i: list_position({c}, x) = i)"
+
+
+_SHEET = f"""
+WITH f AS (SELECT *, CAST(detected_at + INTERVAL 3 HOUR AS DATE) AS day, CAST(date_trunc('week', detected_at + INTERVAL 3 HOUR) AS DATE) AS week FROM sheet_rows),
+g AS (SELECT week, decision_id, min(day) AS first_day, min(detected_at) AS born, first(f ORDER BY detected_at, url) AS h,
+  list(CASE kind WHEN 'new' THEN 'создание' WHEN 'changed' THEN 'изменение' ELSE 'аудит (статья уже есть)' END ORDER BY detected_at, url) AS kinds,
+  list(site ORDER BY detected_at, url) AS sites, list(url ORDER BY detected_at, url) AS pages, flatten(list({_items("added")} ORDER BY detected_at, url)) AS added
+  FROM f GROUP BY week, decision_id),
+c AS (SELECT *, {_items("h.subintents")} AS sub, {_items("h.add_subintents")} AS more, {_items("h.cannibal_urls")} AS rivals,
+  CASE WHEN h.argument IS NULL THEN '' ELSE ' ' || h.argument END AS why FROM g)
+SELECT strftime(week, '%Y-%m-%d') AS week, decision_id, strftime(first_day, '%d.%m.%Y') AS first_day, array_to_string({_once("kinds")}, chr(10)) AS kinds,
+  array_to_string({_once("sites")}, chr(10)) AS sites, array_to_string({_once("pages")}, chr(10)) AS pages, coalesce(h.material_type, '') AS material_type,
+  h.topic || '. Интент: ' || h.main_intent AS topic,
+  CASE WHEN len(added) > 0 THEN 'Добавлен подинтент: ' || array_to_string({_once("added")}, '; ') WHEN len(sub) > 0 THEN 'Подинтенты: ' || array_to_string(sub[1:4], '; ')
+    || CASE WHEN len(sub) > 4 THEN ' (и ещё ' || (len(sub) - 4) || ')' ELSE '' END ELSE '' END AS usp,
+  CASE WHEN h.decision = 'new' OR h.our_url IS NULL THEN 'Нет' WHEN h.decision = 'update' THEN 'Частично' || chr(10) || h.our_url ELSE 'Есть' || chr(10) || h.our_url END
+    || CASE WHEN len(rivals) > 1 THEN chr(10) || '⚠️ Риск каннибализации:' || chr(10) || array_to_string(rivals, chr(10)) ELSE '' END AS available,
+  CASE WHEN h.decision = 'new' THEN 'Написать новую статью.' WHEN h.decision = 'update' THEN 'Обновить нашу статью: добавить '
+    || CASE WHEN len(more) > 0 THEN array_to_string(more, '; ') ELSE 'раскрыть тему подробнее' END || '.' ELSE 'Ничего — у нас раскрыто.' END || why AS to_add,
+  CAST(row_number() OVER (PARTITION BY week ORDER BY born DESC, h.url, decision_id) AS INT) AS nth FROM c"""
+
+
+def sheet_rows(spark, sf):
+    """Findings with their decisions, lists as arrays."""
+    rows = view(spark, sf, "findings").join(view(spark, sf, "decisions"), "decision_id")
+    return rows.select(
+        "decision_id", "detected_at", "site", "url", "kind", "topic", "main_intent", "material_type", "decision", "our_url", "argument",
+        _parts("subintents"), _parts("add_subintents"), _parts("cannibal_urls"), _parts("added").alias("added_subintents"),
+    )
 
 
-@query(
-    f"""SELECT strftime(week, '%Y-%m-%d') AS week, decision_id, strftime(min(day), '%d.%m.%Y') AS first_day,
-        {_once("kind")} AS kinds, {_once("site")} AS sites, {_once("url")} AS pages, first(topic ORDER BY detected_at, url) AS topic, '' AS added
-        FROM (SELECT *, CAST(detected_at + INTERVAL 3 HOUR AS DATE) AS day, date_trunc('week', detected_at + INTERVAL 3 HOUR) AS week FROM findings)
-        GROUP BY week, decision_id""",
-    "findings",
-)
+@query(f"SELECT * FROM ({_SHEET.replace('FROM sheet_rows', 'FROM (SELECT * FROM findings JOIN decisions USING (decision_id))')})", "findings", "decisions")
 def week_sheet(spark, sf):
-    rows = view(spark, sf, "findings").withColumn("added_subintents", F.array().cast("array<string>"))
-    return marts.week_sheet(rows)
+    return marts.week_sheet(sheet_rows(spark, sf))
 
 
 @query(
@@ -577,3 +645,6 @@ def shingle_pages(spark, sf):
     runs = view(spark, sf, "documents").select(F.lit(0).alias("site_id"), F.col("doc_id").cast("string").alias("url"), F.lit(0).alias("run"), F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
     rows = sitewide.shingles(runs).filter(text.letters(F.col("piece")) >= sitewide.MIN_LETTERS)
     return rows.select(F.md5("piece").alias("piece"), "url").distinct().groupBy("piece").agg(F.count("*").alias("pages")).filter(F.col("pages") >= sitewide.MIN_PAGES)
+
+
+from sitetide.plans import more_queries  # noqa: E402,F401  registers further queries
