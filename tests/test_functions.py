@@ -139,3 +139,30 @@ def test_store(spark, tmp_path):
     store.overwrite_week(spark.createDataFrame([("w1", 1), ("w2", 2)], "week string, x int"), path)
     store.overwrite_week(spark.createDataFrame([("w2", 3)], "week string, x int"), path)
     assert {(r["week"], r["x"]) for r in spark.read.parquet(path).collect()} == {("w1", 1), ("w2", 3)}
+
+
+def test_item_structure(spark):
+    """Headings are markdown lines, the first of level 1 is the heading of the page, lists of other articles are no part."""
+    md = "intro\n# **Main**  title #\n# Second\r\n## Part *one*\n### Похожие статьи\n#### deep\n##\n ## Last "
+    row = ("  T  t", "", md, "a  b\n\n c\nПохожие статьи\nX\n1 мая 2026")
+    got = spark.createDataFrame([row, (None, None, None, None)], "t string, d string, m string, x string").select(markup.item_structure(*[F.col(c) for c in "tdmx"]).alias("s")).collect()
+    s = got[0]["s"]
+    assert (s["meta_title"], s["meta_description"], s["h1"]) == ("T t", None, "Main title")
+    assert [(h["level"], h["text"]) for h in s["headings"]] == [(2, "Part one"), (2, "Last")] and s["main_text"] == "a b\nc"
+    assert got[1]["s"].asDict() == {"meta_title": None, "meta_description": None, "h1": None, "headings": [], "main_text": ""}
+
+
+def test_next_run(spark):
+    """A Wednesday: overdue and nearly due runs start in two minutes, all others become the next Sunday at three."""
+    rows = [("2024-01-10 08:00:00",), ("2024-01-10 09:01:00",), ("2024-01-12 09:00:00",), (None,)]
+    made = spark.createDataFrame(rows, "s string").select(text.next_run(F.to_timestamp("s"), F.lit("2024-01-10 09:00:00").cast("timestamp")).cast("string").alias("r"))
+    assert [r["r"] for r in made.collect()] == ["2024-01-10 09:02:00"] * 2 + ["2024-01-14 00:00:00"] * 2
+
+
+def test_pages_that_share_all_take_the_answer_of_their_group(spark):
+    lines = [(1, f"u{k}", 0, 0, "+Banner", 7) for k in range(3)] + [(1, "u9", 0, k, f"{'-' if k % 2 else '+'}link {k}", None) for k in range(10)]
+    marked = spark.createDataFrame(lines, "site_id long, url string, run int, pos int, line string, cluster long")
+    own = spark.createDataFrame([(1, f"u{k}", None) for k in (0, 1, 2, 9)], "site_id long, url string, own_text string")
+    answers = spark.createDataFrame([(7, "New banner", "high")], "cluster long, summary string, importance string")
+    got = {r["url"]: (r["summary"], r["importance"], r["sitewide_pages"]) for r in sitewide.group_answers(marked, own, answers).collect()}
+    assert got["u0"] == ("Сквозное изменение на 3 стр.: New banner", "high", 3) and got["u9"] == (sitewide.SHUFFLE_SUMMARY, "low", None)
