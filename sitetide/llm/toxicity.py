@@ -64,7 +64,7 @@ _SENTENCE = re.compile(r"(?<=[.!?])\s+|[\r\n]+")
 
 def letters(chunk: str) -> str:
     """The letters of a word in lower case, without characters put between them."""
-    return _NOT_LETTER.sub("", chunk.lower())
+    return chunk.lower() if chunk.isalpha() and chunk.isascii() else _NOT_LETTER.sub("", chunk.lower())
 
 
 def spaced_words(text: str) -> list[str]:
@@ -81,7 +81,10 @@ def stretches(word: str) -> list[str]:
 def views(word: str) -> list[str]:
     """The segments of a word between marks of its begin and end: whole, or its stretches; also with drawn-out letters
     cut to one or two."""
-    forms = (word, _DRAWN.sub(r"\1", word), _DRAWN.sub(r"\1\1", word)) if _DRAWN.search(word) else (word,)
+    drawn = _DRAWN.search(word)
+    if not drawn and len(word) <= LETTERS - 2:
+        return [f"<{word}>"]
+    forms = (word, _DRAWN.sub(r"\1", word), _DRAWN.sub(r"\1\1", word)) if drawn else (word,)
     out = []
     for w in dict.fromkeys(forms):
         w = f"<{w}>"
@@ -97,11 +100,11 @@ def head(word: str) -> str:
     return f"<{word}>"[:LETTERS]
 
 
-def segments(sentence: str) -> list[str]:
-    """The distinct segments of a sentence, spaced words included."""
+def words_of(sentence: str) -> list[str]:
+    """The distinct words of a sentence in letters, spaced ones included."""
     words = dict.fromkeys(letters(w) for w in sentence.split())
     words.update(dict.fromkeys(spaced_words(sentence)))
-    return list(dict.fromkeys(v for w in words for v in views(w)))
+    return list(words)
 
 
 def codes(words: list[str], fill: int) -> np.ndarray:
@@ -255,16 +258,23 @@ class Scorer:
     def of_segments(self, found: list[str]) -> np.ndarray:
         return weighted(found, self.weights) + self.bias
 
+    def best(self, words: list[str]) -> tuple[np.ndarray, list[str]]:
+        """The largest margin of each word's segments, and that segment."""
+        parts = [views(w) for w in words]
+        flat = [v for p in parts for v in p]
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        each, ends = self.of_segments(flat), np.cumsum(sizes)
+        top = np.maximum.reduceat(each, ends - sizes) if len(words) else each
+        at = np.flatnonzero(each == np.repeat(top, sizes))
+        first = at[np.searchsorted(at, ends - sizes)] if len(words) else at
+        return top, [flat[k] for k in first.tolist()]
+
     def margins(self, words: list[str]) -> np.ndarray:
         new = list({w for w in words if w not in self.met})
         if len(self.met) + len(new) > CACHE_WORDS:
             self.met = {}
             new = list(set(words))
-        parts = [views(w) for w in new]
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        each = self.of_segments([v for p in parts for v in p])
-        best = np.maximum.reduceat(each, np.cumsum(sizes) - sizes) if len(new) else each
-        self.met.update(zip(new, best.tolist(), strict=True))
+        self.met.update(zip(new, self.best(new)[0].tolist(), strict=True))
         return np.array([self.met[w] for w in words])
 
     def texts(self, texts: pa.Array) -> np.ndarray:
@@ -376,16 +386,18 @@ def witnesses(rows: DataFrame, model: Model) -> list:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for batch in batches:
-            out = []
-            for text, toxic, apart in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                parts = [p for p in (segments(x) for x in _SENTENCE.split(text or "")) if p] or [[""]]
+            texts = [[p for p in (words_of(x) for x in _SENTENCE.split(text or "")) if p] or [[""]] for text in batch.column(0).to_pylist()]
+            words = list({w for parts in texts for p in parts for w in p})  # each word of the batch is measured once
+            top, segment = scorer.best(words)
+            number, out = {w: k for k, w in enumerate(words)}, []
+            for parts, toxic, apart in zip(texts, batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-                flat, starts = [v for p in parts for v in p], np.cumsum(sizes) - sizes
-                each = scorer.of_segments(flat)
-                top = np.maximum.reduceat(each, starts)
-                for nth, k in enumerate(np.argsort(-top, kind="stable")[:SENTENCES].tolist()):
-                    at = starts[k] + int(np.argmax(each[starts[k] : starts[k] + sizes[k]]))
-                    out.append((int(toxic), bool(apart), nth == 0, flat[at], float(top[k])))
+                each = np.fromiter((number[w] for p in parts for w in p), np.int64, int(sizes.sum()))
+                starts = np.cumsum(sizes) - sizes
+                best = np.maximum.reduceat(top[each], starts)
+                for nth, k in enumerate(np.argsort(-best, kind="stable")[:SENTENCES].tolist()):
+                    at = each[starts[k] + int(np.argmax(top[each[starts[k] : starts[k] + sizes[k]]]))]
+                    out.append((int(toxic), bool(apart), nth == 0, segment[at], float(best[k])))
             cols = list(zip(*out, strict=True)) or [()] * 5
             kinds = (pa.int32(), pa.bool_(), pa.bool_(), pa.string(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["toxic", "apart", "first", "segment", "margin"])
