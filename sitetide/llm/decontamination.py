@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sitetide.session import table, written
+from sitetide.session import ship, table, written
 
 WINDOW = 10
 #: Characters of distinct windows in one automaton; more windows make more scans, one after the other.
@@ -82,8 +82,8 @@ def spans_of(text: str, hit: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _scanner(sent, first: bool, at: int):
-    """Adds ``n_words, hit, ids`` behind the columns (or unites them with those that stand there)."""
+def _scanner(sent, first: bool, at: int, names: tuple[str, str, str]):
+    """Adds words, hit words and item ids behind the columns (or unites them with those that stand there)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = automaton(sent.value)
@@ -99,13 +99,18 @@ def _scanner(sent, first: bool, at: int):
                 hits = [np.union1d(x, np.array(y, np.int32)) for x, y in zip(hits, batch.column(len(own) + 1).to_pylist(), strict=True)]
                 ids = [x.union(y) for x, y in zip(ids, batch.column(len(own) + 2).to_pylist(), strict=True)]
             made = [pa.array(count, pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array([sorted(x) for x in ids], pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([*own, *made], [*batch.schema.names[: len(own)], "n_words", "hit", "ids"])
+            yield pa.RecordBatch.from_arrays([*own, *made], [*batch.schema.names[: len(own)], *names])
 
     return run
 
 
-def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, part_chars: int = PART_CHARS, keep: bool = False) -> DataFrame:
-    """``doc_id, text, n_words, hit (word positions), ids (sorted item ids)`` of every row.
+NAMES = ("n_words", "hit", "ids")
+
+
+def contamination(
+    docs: DataFrame, items: DataFrame, size: int = WINDOW, part_chars: int = PART_CHARS, keep: bool = False, names: tuple[str, str, str] = NAMES
+) -> DataFrame:
+    """``doc_id, text, n_words, hit (word positions), ids (sorted item ids)`` of every row, the last three as ``names``.
 
     With ``keep`` all columns of ``docs`` stay, but those named like a result. The windows are measured first; each
     automaton is built from at most about ``part_chars`` characters of them, so what is broadcast has a bound, and a
@@ -114,16 +119,18 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, part_ch
     alike.
     """
     spark = docs.sparkSession
+    ship(spark)
     found = written(windows(items, size), "windows")
     chars = found.agg(F.sum(F.length("window") + F.coalesce(F.size("ids"), F.lit(0)) * 8)).first()[0] or 0
     parts = max(1, -(-chars // part_chars))
-    out = docs.drop("n_words", "hit", "ids") if keep else docs.select("doc_id", "text")
-    more = [T.StructField("n_words", T.LongType()), T.StructField("hit", T.ArrayType(T.IntegerType())), T.StructField("ids", T.ArrayType(T.StringType()))]
+    out = docs.drop(*names) if keep else docs.select("doc_id", "text")
+    kinds = (T.LongType(), T.ArrayType(T.IntegerType()), T.ArrayType(T.StringType()))
+    more = [T.StructField(name, kind) for name, kind in zip(names, kinds, strict=True)]
     schema, at = T.StructType([*out.schema.fields, *more]), out.columns.index("text")
     for part in range(parts):
         rows = found.filter(F.pmod(F.xxhash64("window"), F.lit(parts)) == part).collect()  # about part_chars of text
         sent = spark.sparkContext.broadcast([(r["window"], r["ids"]) for r in rows])
-        out = out.mapInArrow(_scanner(sent, part == 0, at), schema)
+        out = out.mapInArrow(_scanner(sent, part == 0, at, names), schema)
         if part + 1 < parts:
             out = written(out, "scanned")
     return out

@@ -15,8 +15,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sitetide.llm.skew import join_hot
 from sitetide.operators.components import connected_components
-from sitetide.session import table, written
+from sitetide.session import free_name, ship, table, written
 
 SHINGLE = 4
 DISTANCE = 4
@@ -75,32 +76,33 @@ def sketch(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> tuple[
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """``doc_id, fp`` (the fingerprint as a signed long) of every row."""
-    return with_fingerprints(docs.select("doc_id", "text"), shingle, seed).drop("text")
+    return with_fingerprints(docs.select("doc_id", "text"), "fp", shingle, seed).drop("text")
 
 
-def with_fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """``docs`` with a column ``fp``; one of that name is replaced."""
-    docs = docs.drop("fp")
-    at = docs.columns.index("text")
+def with_fingerprints(docs: DataFrame, name: str, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
+    """``docs`` with the fingerprint in a column ``name`` that it does not have; only the texts go through Python."""
+    ship(docs.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = np.array([fingerprint(x.as_py(), shingle, seed) for x in batch.column(at)], np.uint64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made.view(np.int64))], [*batch.schema.names, "fp"])
+    @F.arrow_udf(T.LongType())
+    def made(texts: pa.Array) -> pa.Array:
+        return pa.array(np.array([fingerprint(x.as_py(), shingle, seed) for x in texts], np.uint64).view(np.int64))
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("fp", T.LongType())]))
+    return docs.withColumn(name, made(F.col("text")))
 
 
-def with_sketches(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """``docs`` with ``_set, _fp, _size`` of each text's set of shingles."""
-    at = docs.columns.index("text")
+_SKETCH = T.StructType([T.StructField(c, T.LongType()) for c in ("set", "fp", "size")])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = np.array([sketch(x.as_py(), shingle, seed) for x in batch.column(at)], np.uint64).reshape(-1, 3).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(made[:, k]) for k in range(3)]], [*batch.schema.names, "_set", "_fp", "_size"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *[T.StructField(c, T.LongType()) for c in ("_set", "_fp", "_size")]]))
+def with_sketches(docs: DataFrame, name: str, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
+    """``docs`` with a struct ``set, fp, size`` of each text's set of shingles in a column ``name`` that it does not have."""
+    ship(docs.sparkSession)
+
+    @F.arrow_udf(_SKETCH)
+    def made(texts: pa.Array) -> pa.Array:
+        rows = np.array([sketch(x.as_py(), shingle, seed) for x in texts], np.uint64).reshape(-1, 3).view(np.int64)
+        return pa.StructArray.from_arrays([pa.array(rows[:, k]) for k in range(3)], ["set", "fp", "size"])
+
+    return docs.withColumn(name, made(F.col("text")))
 
 
 def variants(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
@@ -208,40 +210,51 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SH
 
     Equal fingerprints are one node, so a hot group of copies costs one row. The 64 one-wildcard variants of each
     distinct fingerprint meet in buckets of distinct 8-byte values. A null text has no words and fingerprint zero, as
-    an empty one; rows with a null id take part but never name a component (null where a group has no id at all).
+    an empty one; a long text is whole; rows with a null id take part but never name a component (null where a group has
+    no id at all); repeated rows are rows of their own. An empty table gives none; other columns are ignored.
     """
     fps = written(fingerprints(docs, shingle), "fingerprints")
-    each = classes(fps, distance).select("fp", "component_id")
-    return fps.join(each, "fp").select("doc_id", "fp", "component_id")
+    each = written(classes(fps, distance).select("fp", "n", "component_id"), "classes")
+    return join_hot(fps, each, ["fp"], "n").select("doc_id", "fp", "component_id")
 
 
 def classes(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """``fp, least, component, component_id`` of every distinct fingerprint: the smallest id that has it, a fingerprint
-    that names its group, and the smallest id of the group."""
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    """``fp, least, n, component, component_id`` of every distinct fingerprint: the smallest id that has it, its rows, a
+    fingerprint that names its group, and the smallest id of the group."""
+    nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "nodes")
     spread = variants(nodes.select("fp"), distance).repartition("key").sortWithinPartitions("key")
     edges = spread.mapInArrow(_linked(distance), "a long, b long")
     groups = connected_components(edges)
-    named = groups.join(nodes, groups.node == nodes.fp).groupBy("component").agg(F.min("least").alias("component_id"))
-    moved = groups.join(named, "component").select(F.col("node").alias("fp"), "component", "component_id")
-    joined = nodes.join(moved, "fp", "left")
-    return joined.select("fp", "least", F.coalesce("component", "fp").alias("component"), F.coalesce("component_id", "least").alias("component_id"))
+    joined = written(nodes.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp")), "named")
+    named = written(joined.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("members")), "groups")
+    return join_hot(joined, named, ["component"], "members").drop("members")
 
 
 def keep_one(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
     """One row of each group of near-duplicates, with the columns of ``docs``: that with the smallest id.
 
     Groups are those of ``near_duplicates``. Rows with a null id stay only where their group has no id; of repeated
-    rows with one id and one fingerprint a single one stays. Texts are shuffled once, by id and fingerprint, so that a
-    group of copies meets in no task.
+    rows with one id and one fingerprint a single one stays. Any further columns pass through, whatever their names. An
+    empty table gives none.
     """
     fps = written(fingerprints(docs, shingle), "fingerprints")
     first = F.min(F.struct(F.col("least").isNull().alias("no_id"), "least", F.col("fp").alias("of"))).alias("first")
-    kept = classes(fps, distance).groupBy("component").agg(first).select(F.col("first.least").alias("kept_id"), F.col("first.of").alias("kept_fp"))
-    rows = with_fingerprints(docs, shingle)
-    joined = rows.join(kept, rows.doc_id.eqNullSafe(kept.kept_id) & (rows.fp == kept.kept_fp))
-    nth = F.row_number().over(Window.partitionBy("doc_id", "fp").orderBy("doc_id"))
-    return joined.withColumn("_nth", nth).filter("_nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = classes(fps, distance).groupBy("component").agg(first).select("first.least", "first.of")
+    name = free_name("fp", docs)
+    return _picked(with_fingerprints(docs, name, shingle), F.col(name), kept, docs.columns)
+
+
+def _picked(rows: DataFrame, key: F.Column, kept: DataFrame, columns: list[str]) -> DataFrame:
+    """One row for each of ``kept (least, of)`` by id and key, with these columns.
+
+    Few rows carry a kept id, so a broadcast of the kept ids is tried where their number allows; else both sides meet
+    by id and key. Repeated rows of one id and key are numbered to keep one.
+    """
+    kept_id, kept_of, nth = (free_name(c, rows) for c in ("kept_id", "kept_of", "nth"))
+    kept = kept.select(F.col("least").alias(kept_id), F.col("of").alias(kept_of))
+    joined = rows.join(kept, F.col("doc_id").eqNullSafe(F.col(kept_id)) & (key == F.col(kept_of)))
+    one = joined.withColumn(nth, F.row_number().over(Window.partitionBy(kept_id, kept_of).orderBy(F.lit(0))))
+    return one.filter(F.col(nth) == 1).select(*[F.col(f"`{c}`") for c in columns])
 
 
 def _similar(pairs: DataFrame, docs: DataFrame, sets: DataFrame, shingle: int) -> DataFrame:
@@ -254,7 +267,7 @@ def _similar(pairs: DataFrame, docs: DataFrame, sets: DataFrame, shingle: int) -
     needed = written(pairs.select(F.explode(F.array("a", "b")).alias("_set")).distinct().join(sets.select("_set", "least"), "_set"), "needed")
     ids = F.broadcast(needed) if needed.count() <= BROADCAST_IDS else needed
     found = docs.select("doc_id", "text").join(ids.select("least").distinct(), F.col("doc_id").eqNullSafe(F.col("least")), "left_semi")
-    texts = with_sketches(found.select("text"), shingle).join(ids.select("_set"), "_set", "left_semi").select("_set", "text")
+    texts = with_sketches(found.select("text"), "s", shingle).select(F.col("s.set").alias("_set"), "text").join(ids.select("_set"), "_set", "left_semi")
     texts = written(texts.dropDuplicates(["_set"]), "texts")  # a null or repeated id may have several texts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,8 +296,8 @@ def similar_sets(docs: DataFrame, distance: int, shingle: int = SHINGLE) -> Data
     mostly becomes one component from few pairs; then all pairs of different components are.
     """
     up, down = SIMILAR
-    made = with_sketches(docs.select("doc_id", "text"), shingle).select("doc_id", "_set", "_fp", "_size")
-    sets = written(made.groupBy("_set", F.col("_fp").alias("fp"), F.col("_size").alias("size")).agg(F.min("doc_id").alias("least")), "sets")
+    made = with_sketches(docs.select("doc_id", "text"), "s", shingle).select("doc_id", F.col("s.set").alias("_set"), "s.fp", "s.size")
+    sets = written(made.groupBy("_set", "fp", "size").agg(F.min("doc_id").alias("least")), "sets")
 
     def pairs(links: DataFrame, group: DataFrame) -> DataFrame:
         """Pairs of sets for pairs of fingerprints, with sizes that allow the similarity."""
@@ -313,14 +326,12 @@ def keep_similar(docs: DataFrame, distance: int, shingle: int = SHINGLE) -> Data
     """One row of each group of ``similar_sets``, with the columns of ``docs``: that with the smallest id.
 
     Rows with a null id stay only where their group has no id; of repeated rows with one id and one set a single one
-    stays. Texts without words are one set.
+    stays. Texts without words are one set. Further columns pass through, whatever their names; an empty table gives none.
     """
     first = F.min(F.struct(F.col("least").isNull().alias("no_id"), "least", F.col("_set").alias("of"))).alias("first")
-    kept = similar_sets(docs, distance, shingle).groupBy("component").agg(first).select(F.col("first.least").alias("kept_id"), F.col("first.of").alias("kept_set"))
-    rows = with_sketches(docs, shingle)
-    joined = rows.join(kept, rows.doc_id.eqNullSafe(kept.kept_id) & (rows["_set"] == kept.kept_set))
-    nth = F.row_number().over(Window.partitionBy("doc_id", "_set").orderBy("doc_id"))
-    return joined.withColumn("_nth", nth).filter("_nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = similar_sets(docs, distance, shingle).groupBy("component").agg(first).select("first.least", "first.of")
+    name = free_name("sketch", docs)
+    return _picked(with_sketches(docs, name, shingle), F.col(name)["set"], kept, docs.columns)
 
 
 def op7_simhash_variants(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import corpus_pipeline
 from sitetide.llm import bpe, pii, toxicity
 from sitetide.session import table
 from tests.llm.test_decontamination import brute as leaks
-from tests.llm.test_simhash import jaccard_groups, links
+from tests.llm.test_simhash import jaccard_groups
 
 
 def test_run_equals_a_plain_version(spark, small):
@@ -14,7 +14,7 @@ def test_run_equals_a_plain_version(spark, small):
     docs = table(spark, small, "documents")
     model = toxicity.train(docs, table(spark, small, "labels"))
     clean = [(r["doc_id"], r["text"]) for r in toxicity.score(docs, model).filter("predicted = 0").orderBy("doc_id").collect()]
-    _, _, least = links(clean, corpus_pipeline.SHINGLE, corpus_pipeline.DISTANCE)
+    least = jaccard_groups(clean, corpus_pipeline.SHINGLE, corpus_pipeline.DISTANCE)
     clean = [(i, t) for (i, t), first in zip(clean, least, strict=True) if i == first]
     found = leaks(clean, [(r["item_id"], r["text"]) for r in table(spark, small, "benchmark").collect()])
     clean = [(i, t) for i, t in clean if not found[i][1]]
@@ -33,7 +33,11 @@ def test_stages_keep_the_columns(spark, docs, rows, small):
         out = stage(spark, docs, small)
         assert out.columns == docs.columns and 0 < out.count() <= len(rows)
         assert stage(spark, docs.limit(0), small).count() == 0
-    wide = docs.withColumn("score", F.lit(1)).withColumn("hit", F.lit("x"))
+    names = ("score", "predicted", "hit", "ids", "n_words", "spans", "fp", "kept_id", "_nth", "_toxic", "n_tokens", "ids_sha256", "chunk", "bucket")
+    wide = docs.drop("n_chars").select("*", *[F.lit(k).alias(c) for k, c in enumerate(names)])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, wide, small)
+        assert out.columns == wide.columns and {tuple(r)[4:] for r in out.collect()} == {tuple(range(len(names)))}
     assert corpus_pipeline.STAGES[-1][1](spark, wide, small).count() == len(rows)
 
 

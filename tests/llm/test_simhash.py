@@ -1,11 +1,28 @@
+import re
+
 import numpy as np
+import xxhash
+from pyspark.sql import functions as F
 
 from sitetide.llm import simhash
 
 
+def shingles(text, n):
+    lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall("[^\\x20\\x09-\\x0D]+", lower)
+    return [" ".join(words[k : k + n]) for k in range(max(1, len(words) - n + 1))] if words else []
+
+
+def fingerprint(text, n, distinct=False):
+    """Bit by bit: set where more than half the hashes have it."""
+    found = shingles(text, n)
+    hashes = [xxhash.xxh64(s.encode(), seed=42).intdigest() for s in (set(found) if distinct else found)]
+    return sum(1 << k for k in range(64) if 2 * sum(h >> k & 1 for h in hashes) > len(hashes))
+
+
 def links(rows, shingle, distance):
     """Smallest id of each row's group by comparing all pairs; rows without an id never name one."""
-    fps = [simhash.fingerprint(t, shingle) for _, t in rows]
+    fps = [fingerprint(t, shingle) for _, t in rows]
     root = list(range(len(rows)))
 
     def find(x):
@@ -43,16 +60,19 @@ def test_query_equals_brute_force(spark, small):
 def test_one_row_of_each_group_stays(docs, rows, empty):
     plain = [(i, t) for i, t, *_ in rows]
     _, group, least = links(plain, 5, 5)
-    kept = simhash.keep_one(docs.withColumnRenamed("source", "fp"), 5, 5)
-    assert kept.columns == ["doc_id", "text", "lang", "n_chars"] or "fp" in kept.columns
+    wide = docs.select("*", *[F.lit(k).alias(c) for k, c in enumerate(("fp", "_fp", "kept_id", "_kept_id", "_nth", "least", "of", "first", "key", "component"))])
+    for one in (simhash.keep_one(wide, 5, 5), simhash.keep_similar(wide, 15, 5)):
+        assert one.columns == wide.columns and {tuple(r)[5:] for r in one.collect()} == {tuple(range(10))}
     got = simhash.keep_one(docs, 5, 5).collect()
     assert len(got) == len(set(group)) and {r["doc_id"] for r in got} == set(least)
     assert simhash.keep_one(empty, 5, 5).count() == 0 and simhash.near_duplicates(empty).count() == 0
 
 
-def jaccard_groups(rows, shingle=5):
-    """Smallest id of each row's group, linking all pairs that share 0.8 of their distinct shingles."""
-    sets = [set(simhash.shingle_set(t, shingle).tolist()) for _, t in rows]
+def jaccard_groups(rows, shingle=5, bits=64):
+    """Smallest id of each row's group, linking all pairs that share 0.8 of their distinct shingles and whose fingerprints
+    of these are so many bits apart at most."""
+    fps = [fingerprint(t, shingle, True) if bits < 64 else 0 for _, t in rows]
+    sets = [set(shingles(t, shingle)) for _, t in rows]
     root = list(range(len(rows)))
 
     def find(x):
@@ -62,7 +82,7 @@ def jaccard_groups(rows, shingle=5):
 
     for i in range(len(rows)):
         for j in range(i):
-            if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) > 0:
+            if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) > 0 and bin(fps[i] ^ fps[j]).count("1") <= bits:
                 root[find(i)] = find(j)
     least = {}
     for i, (k, _) in enumerate(rows):
