@@ -1,32 +1,39 @@
-"""Sharding by fixed virtual slots and a versioned slot-to-shard map (DataFrame functions only)."""
+"""Sharding by fixed virtual slots and a stored, versioned slot-to-shard map (DataFrame functions only)."""
 
 from __future__ import annotations
 
 import bisect
 import heapq
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sitetide.session import table, written
+from sitetide.session import scratch_dir, table, written
 
 SLOTS = 4096
 SHARDS = 24
+#: A slot with more than one in HEAVY of a shard's share of bytes is cut into parts of one in FINE of it.
+HEAVY = 4
+FINE = 32
 
 
 def measured(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """``doc_id, size, text_crc32, vslot``: the slot is a hash of the id, or of the text where the id is null.
+    """``doc_id, size, text_crc32, vslot, place``: the slot is a hash of the id (null ids are one), the place any number
+    of the row. Written once, so that the places stay.
 
     A null text counts as empty, so its size is the 8 bytes of the id.
     """
     text = F.coalesce("text", F.lit(""))
-    return docs.select(
+    rows = docs.select(
         "doc_id",
         (F.octet_length(text) + 8).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), text)), F.lit(slots)).cast("int").alias("vslot"),
+        F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(slots)).cast("int").alias("vslot"),
+        F.monotonically_increasing_id().alias("place"),
     )
+    return written(rows, "measured")
 
 
 def first_map(slots: int, shards: int) -> list[int]:
@@ -72,49 +79,74 @@ def rebalanced(owner: list[int], weight: list[int], shards: int) -> list[int]:
     return owner
 
 
-def map_table(spark: SparkSession, versions: list[list[int]]) -> DataFrame:
-    """``version, slot, owner`` of all versions of the map, written to the shared folder."""
-    parts = None
-    for number, owner in enumerate(versions, 1):
-        one = spark.range(len(owner)).select(
-            F.lit(number).alias("version"),
-            F.col("id").cast("int").alias("vslot"),
-            F.from_json(F.lit(json.dumps(owner)), "array<int>")[F.col("id").cast("int")].alias("shard"),
-        )
-        parts = one if parts is None else parts.unionByName(one)
-    return written(parts, "slot-map")
+def store_map(spark: SparkSession, path: str, version: int, owner: list[int]) -> None:
+    """Write one version of a map, ``vslot, shard``, beside those before it."""
+    rows = spark.range(len(owner)).select(
+        F.col("id").cast("int").alias("vslot"), F.from_json(F.lit(json.dumps(owner)), "array<int>")[F.col("id").cast("int")].alias("shard")
+    )
+    rows.coalesce(1).write.mode("errorifexists").parquet(f"{path}/version={version}")
+
+
+def load_map(spark: SparkSession, path: str, version: int | None = None) -> tuple[int, list[int]]:
+    """The number of the latest (or a given) version of a stored map, and the shard of each slot."""
+    rows = spark.read.parquet(path)
+    version = version or rows.agg(F.max("version")).first()[0]
+    return version, [r["shard"] for r in rows.filter(F.col("version") == version).orderBy("vslot").collect()]  # one row for each slot
 
 
-def shard_documents(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
+def new_map(spark: SparkSession, slots: int = SLOTS, shards: int = SHARDS, path: str | None = None) -> str:
+    """Store version 1 of a map and say where."""
+    path = path or f"{scratch_dir(spark)}/slot-map-{uuid.uuid4().hex}"
+    store_map(spark, path, 1, first_map(slots, shards))
+    return path
+
+
+def shard_documents(docs: DataFrame, map_path: str, shards: int = SHARDS) -> DataFrame:
     """Put every row into a shard so that the shards' bytes are near equal (law ``bytes``).
 
-    Rows are hashed into ``slots`` fixed slots; bytes and rows are summed per slot (at most ``slots`` sums reach the
-    driver), version 1 of the map deals slots in turn and version 2 is edited from it until the loads are level.
-    ``slot`` numbers the rows of a shard from 0 without gaps: the rows of earlier slots of the shard, plus the row's
-    number within its own slot, so no task sorts a whole shard. Columns that are not ``doc_id`` or ``text`` are
-    ignored. Null ids and repeated rows each get a place of their own; an empty table gives an empty result.
+    Rows are hashed into fixed slots; bytes and rows are summed per slot. The stored map's latest version is loaded,
+    edited for these sums by moving single slots until the loads are level, and stored as the next version, by which the
+    rows are placed; a later table that uses the same map moves few slots. A slot that is heavy, as all rows of one id
+    are, is cut into parts by the rows' places; its parts are dealt like slots but are no part of the map. ``slot``
+    numbers the rows of a shard from 0 without gaps: the rows of its earlier slots, plus the row's number within its own,
+    so no task sorts a whole shard.
+
+    Columns that are not ``doc_id`` or ``text`` are ignored. Null ids, repeated rows and ties each get a place of their
+    own; a long text counts in full and is never cut; an empty table gives an empty result.
     """
     spark = docs.sparkSession
+    version, before = load_map(spark, map_path)
+    slots = len(before)
+    if max(before) >= shards:
+        raise ValueError(f"the map deals to more than {shards} shards")
     rows = measured(docs, slots)
-    sums = rows.groupBy("vslot").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
-    weight, count = [0] * slots, [0] * slots
-    for r in sums.collect():  # at most one row for each slot
-        weight[r["vslot"]], count[r["vslot"]] = r["bytes"], r["n"]
-    before = first_map(slots, shards)
-    after = rebalanced(before, weight, shards)
-    placed, filled = [0] * slots, [0] * shards
-    for slot, shard in enumerate(after):
-        placed[slot] = filled[shard]
-        filled[shard] += count[slot]
-    current = (
-        map_table(spark, [before, after])
-        .filter("version = 2")
-        .select("vslot", "shard", F.from_json(F.lit(json.dumps(placed)), "array<bigint>")[F.col("vslot")].alias("skip"))
-    )
-    inside = Window.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size")
+    sums = {r["vslot"]: r["bytes"] for r in rows.groupBy("vslot").agg(F.sum("size").alias("bytes")).collect()}  # one for each slot
+    share = max(1, sum(sums.values()) // shards)
+    cut = {slot: -(-size * FINE // share) for slot, size in sums.items() if size * HEAVY > share}  # fewer than HEAVY x shards
+    parts = F.coalesce(F.from_json(F.lit(json.dumps(cut)), "map<string,int>")[F.col("vslot").cast("string")], F.lit(1))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("place"), parts).cast("int"))
+    weight, count, pieces = [0] * slots, [0] * slots, []
+    for r in rows.groupBy("vslot", "part").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).orderBy("vslot", "part").collect():  # slots and parts
+        if r["vslot"] in cut:
+            pieces.append((r["vslot"], r["part"], r["bytes"], r["n"]))
+        else:
+            weight[r["vslot"]], count[r["vslot"]] = r["bytes"], r["n"]
+    start = before + [k % shards for k in range(len(pieces))]
+    after = rebalanced(start, weight + [p[2] for p in pieces], shards)
+    store_map(spark, map_path, version + 1, after[:slots])
+    skip, filled = [], [0] * shards
+    for shard, n in zip(after, count + [p[3] for p in pieces], strict=True):
+        skip.append(filled[shard])
+        filled[shard] += n
+    keys = [(slot, 0) for slot in range(slots) if slot not in cut] + [p[:2] for p in pieces]
+    where = [k for k in range(slots) if k not in cut] + list(range(slots, slots + len(pieces)))
+    dealt = [[slot, part, after[k], skip[k]] for (slot, part), k in zip(keys, where, strict=True)]
+    current = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(dealt)), "array<array<bigint>>")).alias("d"))
+    current = current.select(*[F.col("d")[k].cast(kind).alias(c) for k, (c, kind) in enumerate((("vslot", "int"), ("part", "int"), ("shard", "int"), ("skip", "long")))])
+    inside = Window.partitionBy("vslot", "part").orderBy("doc_id", "text_crc32", "size", "place")
     return (
         rows.withColumn("nth", F.row_number().over(inside))
-        .join(F.broadcast(current), "vslot")  # one row for each slot
+        .join(F.broadcast(current), ["vslot", "part"])  # one row for each slot and part
         .select(
             "doc_id",
             "size",
@@ -129,4 +161,4 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -
 
 
 def op9_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shard_documents(table(spark, sf_dir, "documents"))
+    return shard_documents(table(spark, sf_dir, "documents"), new_map(spark))
