@@ -10,8 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sitetide.llm.skew import join_hot
 from sitetide.operators.components import connected_components
-from sitetide.session import table, written
+from sitetide.session import ship, table, written
 
 THRESHOLD = 0.93
 #: Distinct vectors the cells are fitted on, at most; vectors a cell should hold; cells each vector is put in.
@@ -42,12 +43,18 @@ def unit_rows(column: pa.Array) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _usable() -> F.Column:
+    """A label, and a vector of finite parts that are not all zero; never null."""
+    finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
+    return F.coalesce(F.col("label").isNotNull() & finite & F.exists("embedding", lambda v: v != 0), F.lit(False))
+
+
 def classes(vectors: DataFrame) -> DataFrame:
-    """``label, embedding, rep, n``: distinct usable vectors of a label, their smallest id and their number."""
-    inf = F.lit(float("inf"))
-    usable = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < inf)) & F.exists("embedding", lambda v: v != 0)
-    kept = vectors.select("vec_id", "label", "embedding").filter(F.col("label").isNotNull() & usable)
-    return kept.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
+    """``node, label, embedding, least, n``: distinct usable vectors of a label with a number of their own, their smallest
+    id (null where none has one) and how many rows they stand for. Written, so that the numbers stay."""
+    kept = vectors.select("vec_id", "label", "embedding").filter(_usable())
+    made = kept.groupBy("label", "embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"))
+    return written(made.withColumn("node", F.monotonically_increasing_id()), "classes")
 
 
 def fit_cells(distinct: DataFrame, sample: int = SAMPLE, cell: int = CELL) -> dict:
@@ -65,7 +72,7 @@ def fit_cells(distinct: DataFrame, sample: int = SAMPLE, cell: int = CELL) -> di
 
 
 def assign(distinct: DataFrame, cells: dict, probes: int = PROBES) -> DataFrame:
-    """``cell, cells, rep, n, embedding``: a row in each of the ``probes`` nearest cells of its label and length.
+    """``cell, cells, node, n, embedding``: a row in each of the ``probes`` nearest cells of its label and length.
 
     Labels or lengths outside the fitted sample share the one cell 0 of their own key.
     """
@@ -87,11 +94,11 @@ def assign(distinct: DataFrame, cells: dict, probes: int = PROBES) -> DataFrame:
                     p = min(probes, len(centres))
                     near = np.argpartition(-(unit_rows(part.column(1)) @ centres.T), p - 1, axis=1)[:, :p].astype(np.int32)
                 lists = pa.array(list(near), pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([*part.columns, lists], ["label", "embedding", "rep", "n", "cells"])
+                yield pa.RecordBatch.from_arrays([*part.columns, lists], ["label", "embedding", "node", "n", "cells"])
 
     kinds = {f.name: f.dataType.simpleString() for f in distinct.schema}
-    schema = f"label {kinds['label']}, embedding {kinds['embedding']}, rep {kinds['rep']}, n long, cells array<int>"
-    placed = distinct.select("label", "embedding", "rep", "n").mapInArrow(run, schema)
+    schema = f"label {kinds['label']}, embedding {kinds['embedding']}, node long, n long, cells array<int>"
+    placed = distinct.select("label", "embedding", "node", "n").mapInArrow(run, schema)
     return placed.withColumn("length", F.size("embedding")).withColumn("cell", F.explode("cells"))
 
 
@@ -102,7 +109,7 @@ def _compare(threshold: float):
         block = table_.column("block").to_numpy()
         first, second = np.flatnonzero(block == i), np.flatnonzero(block == j)
         x = unit_rows(table_.column("embedding").combine_chunks())
-        n, rep = table_.column("n").to_numpy(), table_.column("rep").to_numpy()
+        n, node = table_.column("n").to_numpy(), table_.column("node").to_numpy()
         cells = table_.column("cells").to_pylist()
         own = np.full((len(cells), max(map(len, cells))), -1, np.int64)
         for row, of in enumerate(cells):
@@ -117,10 +124,10 @@ def _compare(threshold: float):
             common = np.where(same, own[a[s : s + (1 << 18)], :, None], np.iinfo(np.int64).max).min(axis=(1, 2))
             keep[s : s + (1 << 18)] = common == cell
         a, b = a[keep], b[keep]
-        links = np.zeros(len(rep), np.int64)
+        links = np.zeros(len(node), np.int64)
         np.add.at(links, a, n[b])
         np.add.at(links, b, n[a])
-        root = np.arange(len(rep))
+        root = np.arange(len(node))
         while len(a):  # smallest member by row of each connected part
             low = np.minimum(root[a], root[b])
             new = root.copy()
@@ -131,7 +138,7 @@ def _compare(threshold: float):
                 break
             root = new
         on = np.flatnonzero(links)
-        return pa.table({"rep": pa.array(rep[on]), "other": pa.array(rep[root[on]]), "links": pa.array(links[on])})
+        return pa.table({"node": pa.array(node[on]), "other": pa.array(node[root[on]]), "links": pa.array(links[on])})
 
     return run
 
@@ -145,30 +152,31 @@ def near_duplicates(
     with a count, so hot copies cost one row. Each class goes to its ``probes`` nearest cells; a cell is cut into
     blocks of about ``block`` rows and each pair of blocks is one group, which gives link counts and a spanning forest,
     never its pairs. A pair is found where the two share a cell, and counted once. Null labels, null or zero vectors
-    and those with null or non-finite parts link with nothing, as do vectors of different lengths; a repeated
-    ``vec_id`` counts as further rows of the same name. Extra columns are ignored.
+    and those with null or non-finite parts link with nothing, as do vectors of different lengths. A repeated ``vec_id``
+    counts as further rows of the same name; rows without an id link and count as others do, but never name a component
+    (null where it has no id at all) and are never kept. An empty table gives none; extra columns are ignored.
     """
-    distinct = written(classes(vectors), "classes")
+    ship(vectors.sparkSession)
+    distinct = classes(vectors)
     placed = written(assign(distinct, fit_cells(distinct, sample, cell), probes), "cells")
     key = ["label", "length", "cell"]
     counts = placed.groupBy(*key).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    dealt = placed.join(counts, key).withColumn("block", F.pmod(F.xxhash64("rep", "n"), F.col("blocks")).cast("int"))
+    dealt = placed.join(counts, key).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     both = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    both = both.select(*key, F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "rep", "n", "cells", "embedding")
-    kind = distinct.schema["rep"].dataType.simpleString()
-    found = written(both.groupBy(*key, "i", "j").applyInArrow(_compare(threshold), f"rep {kind}, other {kind}, links long"), "links")
-    groups = connected_components(found, "rep", "other").select(F.col("node").alias("rep"), "component")
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    each = distinct.join(links, "rep", "left").join(groups, "rep", "left").select(
-        F.col("label").alias("l"), F.col("embedding").alias("e"), "rep", "n", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "rep").alias("component")
-    )
+    both = both.select(*key, F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "node", "n", "cells", "embedding")
+    found = written(both.groupBy(*key, "i", "j").applyInArrow(_compare(threshold), "node long, other long, links long"), "links")
+    groups = connected_components(found, "node", "other")
+    links = found.groupBy("node").agg(F.sum("links").alias("links"))
+    each = distinct.join(links, "node", "left").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    each = written(each.select("label", "embedding", "least", "n", F.coalesce("links", F.lit(0)).alias("links"), "component"), "named")
+    named = written(each.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("members")), "groups")
+    each = join_hot(each, named, ["component"], "members").select(F.col("label").alias("l"), F.col("embedding").alias("e"), "n", "links", "component_id")
     rows = vectors.select("vec_id", "label", "embedding")
-    joined = rows.join(each, (rows.label == each.l) & (rows.embedding == each.e), "left")
-    return joined.select(
-        "vec_id",
-        F.coalesce(F.col("links") + F.col("n") - 1, F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce("component", "vec_id").alias("component_id"),
-    ).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+    usable = join_hot(rows.withColumns({"l": F.col("label"), "e": F.col("embedding")}), each, ["l", "e"], "n")
+    told = usable.select("vec_id", (F.col("links") + F.col("n") - 1).cast("long").alias("n_links"), "component_id")
+    alone = rows.filter(~_usable())
+    told = told.unionByName(alone.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
+    return told.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
 def op10_kmeans_cells(spark: SparkSession, sf_dir: str) -> DataFrame:

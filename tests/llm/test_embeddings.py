@@ -68,5 +68,30 @@ def test_recall_on_the_driver_table(spark, small):
     assert len(got) == len(rows)
 
 
+def test_recall_over_many_cells(spark):
+    """Over a hundred cells of one label: every twentieth vector against all by brute force."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(700, 24))
+    rows = [(i, (centres[i % 700] + rng.normal(size=24) * 0.22).astype(np.float32).tolist(), 1) for i in range(5600)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    assert len(embeddings.fit_cells(embeddings.classes(frame), cell=40)[(1, 24)]) >= 100
+    got = {r["vec_id"]: r["n_links"] for r in embeddings.near_duplicates(frame, cell=40).collect()}
+    x = np.array([r[1] for r in rows], np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = {i: int((x @ x[i] >= embeddings.THRESHOLD).sum()) - 1 for i in range(0, 5600, 20)}
+    assert sum(want.values()) > 500
+    assert all(got[i] <= n for i, n in want.items()) and sum(got[i] for i in want) >= 0.9 * sum(want.values())
+
+
+def test_rows_without_ids_repeats_and_further_columns(spark):
+    """A linked pair without an id, one of an id and none, a repeated id with equal and with other vectors; clashing columns."""
+    one, two, far = [1.0, 0.0, 0.0], [0.99, 0.01, 0.0], [0.0, 0.0, 1.0]
+    rows = [(None, one, 1), (5, two, 1), (None, far, 1), (None, far, 1), (7, [0.0, 1.0, 0.0], 1), (7, [0.0, 1.0, 0.0], 1), (7, [0.0, -1.0, 0.0], 1), (None, None, 1), (9, one, None)]
+    frame = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 AS node", "2 AS n", "3 AS l", "4 AS component", "5 AS rep", "6 AS least")
+    got = sorted(map(repr, map(tuple, embeddings.near_duplicates(frame).collect())))
+    want = [(None, 1, 5, False), (5, 1, 5, True), (None, 1, None, False), (None, 1, None, False), (7, 1, 7, True), (7, 1, 7, True), (7, 0, 7, True), (None, 0, None, False), (9, 0, 9, True)]
+    assert got == sorted(map(repr, want))
+
+
 def test_empty_table(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
