@@ -1,4 +1,5 @@
-"""Suffix-array dedup of byte windows: a family of sorted levels that new batches are scanned against and merge into."""
+"""Suffix-array dedup of byte windows: new batches get suffix arrays, are merge-scanned against the levels of a family,
+and levels of about equal size merge."""
 
 from __future__ import annotations
 
@@ -13,41 +14,69 @@ from sitetide.session import table
 
 WINDOW = 100
 ANCHOR = 20
-#: Bytes of text of one family, and windows of one new batch.
+#: Bytes of text of one family, suffixes of one new batch, and suffixes whose bytes are looked at together in a scan.
 FAMILY_BYTES = 4 << 20
-BATCH = 1 << 15
-
-
-class Levels:
-    """Suffix arrays of geometrically growing size over the texts seen so far, ordered by the first ``length`` bytes.
-
-    A level keeps each distinct suffix once, with its leading bytes in order, which is all that a merge needs.
-    """
-
-    def __init__(self, length: int):
-        self.kind, self.levels = f"S{length}", []
-
-    def scan(self, keys: np.ndarray) -> np.ndarray:
-        """Which of the sorted keys a level holds: both are walked in order."""
-        found = np.zeros(len(keys), bool)
-        for level in self.levels:
-            at = np.searchsorted(level, keys)
-            found |= level[np.minimum(at, len(level) - 1)] == keys
-        return found
-
-    def add(self, keys: np.ndarray) -> None:
-        """A new level of sorted distinct keys; levels of about equal size merge, so there are only a logarithm of them."""
-        while self.levels and len(self.levels[-1]) <= 2 * len(keys):
-            keys = np.sort(np.concatenate((self.levels.pop(), keys)), kind="stable")  # merges two sorted runs
-        if len(keys):
-            self.levels.append(keys)
+BATCH = 1 << 19
+SCAN = 1 << 14
+
+
+class Family:
+    """Suffix arrays of geometrically growing size over parts of one text: numbers of suffixes, in the order of their
+    first ``length`` bytes, each distinct one once. The bytes themselves stand in the text alone."""
+
+    def __init__(self, text: np.ndarray, length: int):
+        self.rows, self.kind = np.lib.stride_tricks.sliding_window_view(text, length), f"S{length}"
+        self.levels: list[np.ndarray] = []
+
+    def bytes_of(self, suffixes: np.ndarray) -> np.ndarray:
+        return np.ascontiguousarray(self.rows[suffixes]).view(self.kind).ravel()
+
+    def suffix_array(self, suffixes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The suffixes in order, equal ones by place, and which equal the one before."""
+        keys = self.bytes_of(suffixes)
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        return suffixes[order], np.concatenate((np.zeros(min(1, len(keys)), bool), keys[1:] == keys[:-1]))
+
+    def scan(self, level: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Walk a level and a new suffix array together, stretch by stretch: which new suffixes the level holds, and how
+        many of the level come before each."""
+        held, before, at = np.zeros(len(new), bool), np.full(len(new), len(level)), 0
+        for start in range(0, len(level), SCAN):
+            known = self.bytes_of(level[start : start + SCAN])
+            while at < len(new):
+                keys = self.bytes_of(new[at : at + SCAN])
+                reach = int(np.searchsorted(keys, known[-1], "right"))  # new ones that this stretch decides
+                where = np.searchsorted(known, keys[:reach])
+                held[at : at + reach] = known[where] == keys[:reach]
+                before[at : at + reach] = start + where
+                at += reach
+                if reach < len(keys):
+                    break
+        return held, before
+
+    def add(self, new: np.ndarray, before: list[np.ndarray]) -> None:
+        """A new level of suffixes that no level holds; as long as the last level is of about its size, they merge by
+        their places in it, which the scan has told."""
+        while self.levels and len(self.levels[-1]) <= 2 * len(new):
+            level, places = self.levels.pop(), before.pop()
+            if len(places) != len(new):  # merged before: walk again
+                places = self.scan(level, new)[1]
+            merged = np.empty(len(level) + len(new), np.int64)
+            mine = np.arange(len(new)) + places
+            theirs = np.ones(len(merged), bool)
+            theirs[mine] = False
+            merged[mine], merged[theirs] = new, level
+            new = merged
+        if len(new):
+            self.levels.append(new)
 
 
 def earlier_bytes(texts: list[bytes], route: np.ndarray, doc: np.ndarray, place: np.ndarray, kind: Kind) -> list[np.ndarray]:
     """For each text, which of its windows also start at an earlier place (document, then offset).
 
-    Windows enter in the order of their places, in batches: each batch is sorted, repeats inside it and matches with
-    the levels are marked, and what is new joins the family.
+    Windows enter in the order of their places, in batches: each batch gets a suffix array, repeats inside it and what
+    the merge scans find in the levels are marked, and what is new joins the family.
     """
     bits: list[np.ndarray] = [np.empty(0, bool)] * len(texts)
     sizes = np.array([len(t) for t in texts], np.int64)
@@ -58,18 +87,14 @@ def earlier_bytes(texts: list[bytes], route: np.ndarray, doc: np.ndarray, place:
         first = np.cumsum(n) - n
         windows = n - kind.length + 1
         start = np.arange(int(windows.sum())) + np.repeat(first - (np.cumsum(windows) - windows), windows)
-        rows = np.lib.stride_tricks.sliding_window_view(text, kind.length)
-        flag, family = np.zeros(len(start), bool), Levels(kind.length)
+        flag, family = np.zeros(len(text), bool), Family(text, kind.length)
         for at in range(0, len(start), BATCH):
-            keys = np.ascontiguousarray(rows[start[at : at + BATCH]]).view(family.kind).ravel()
-            order = np.argsort(keys, kind="stable")  # the batch's suffix array: equal suffixes stay in order of place
-            keys = keys[order]
-            again = np.concatenate(([False], keys[1:] == keys[:-1]))
-            old = family.scan(keys)
-            flag[at + order] = again | old
-            family.add(keys[~(again | old)])
-        ends = np.concatenate(([0], np.cumsum(windows)))
-        for k, s, e in zip(group.tolist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            batch, again = family.suffix_array(start[at : at + BATCH])
+            scans = [family.scan(level, batch) for level in family.levels]
+            old = np.logical_or.reduce([again, *[held for held, _ in scans]])
+            flag[batch[old]] = True
+            family.add(batch[~old], [before[~old] for _, before in scans])
+        for k, s, e in zip(group.tolist(), first.tolist(), (first + windows).tolist(), strict=True):
             bits[k] = flag[s:e]
     return bits
 
@@ -78,8 +103,9 @@ def remove_repeated_bytes(docs: DataFrame, window: int = WINDOW, anchor: int = A
     """``doc_id, n_bytes, n_removed, n_spans`` and the kept bytes (``kept``, or ``kept_sha256``) of every row.
 
     A byte of the UTF-8 text goes when a string of ``window`` bytes that covers it also starts earlier: in a document
-    with a smaller id, or earlier in the same one. Null texts count as empty; rows with a null id are later than all
-    others and, like repeated rows of one id, count as one document. Extra columns are ignored.
+    with a smaller id, or earlier in the same one. Null and empty texts have none; a long text is whole; rows with a null
+    id are later than all others and, like repeated rows of one id, no document is earlier than another of them. An empty
+    table gives none; extra columns are ignored, whatever their names.
     """
     kind = Kind(False, window, anchor, True)
 
