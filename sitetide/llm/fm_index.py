@@ -53,13 +53,17 @@ class Wavelet:
 
 
 class FMIndex:
-    """Backward search over the texts of a shard; patterns may be as long as ``depth``."""
+    """Backward search over texts that end in symbol 0, whose suffixes are ordered by ``depth`` symbols at least.
 
-    def __init__(self, text: np.ndarray, depth: int):
-        self.sa = suffix_array(text, depth)
-        last = text[self.sa - 1]
+    The suffix array is not kept: there are packed wavelet levels, and of the texts' documents the least of each run of
+    suffixes whose length is a power of two, as 32-bit numbers.
+    """
+
+    def __init__(self, text: np.ndarray, owner: np.ndarray, depth: int):
+        sa = suffix_array(text, depth)
+        last = text[sa - 1]
         count = np.bincount(text)
-        self.less = np.cumsum(count) - count
+        self.size, self.less = len(text), np.cumsum(count) - count
         bits = max(1, int(len(count) - 1).bit_length())
         self.wavelet = Wavelet(last.astype(np.int64), bits)
         symbols = np.arange(len(count))
@@ -69,29 +73,50 @@ class FMIndex:
         order = np.argsort(key)
         self.starts = np.empty(len(count), np.int64)
         self.starts[order] = np.cumsum(count[order]) - count[order]
+        self.least = [owner[sa].astype(np.uint32)]
+        while 2 ** len(self.least) <= len(text):
+            low = self.least[-1]
+            half = 2 ** (len(self.least) - 1)
+            self.least.append(np.minimum(low[: len(low) - half], low[half:]))
 
     def extend(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ranges of suffixes that begin with a symbol and then what the given ranges begin with."""
         both = self.wavelet.rank(np.concatenate((symbol, symbol)), np.concatenate((low, high)), self.starts)
         return self.less[symbol] + both[: len(symbol)], self.less[symbol] + both[len(symbol) :]
 
-    def search(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Matching length (up to the pattern's, from its end) and range of the matches of each row of symbols."""
-        low, high = np.zeros(len(patterns), np.int64), np.full(len(patterns), len(self.sa))
-        length, on = np.zeros(len(patterns), np.int64), np.arange(len(patterns))
-        for k in range(patterns.shape[1] - 1, -1, -1):
-            a, b = self.extend(patterns[on, k], low[on], high[on])
-            on, a, b = on[b > a], a[b > a], b[b > a]
-            low[on], high[on] = a, b
-            length[on] += 1
-        return length, low, high
+    def first_owner(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The least owner of each range that is not empty."""
+        level = np.frexp((high - low).astype(np.float64))[1] - 1
+        out = np.empty(len(low), np.uint32)
+        for k in np.unique(level).tolist():
+            at = level == k
+            out[at] = np.minimum(self.least[k][low[at]], self.least[k][high[at] - 2**k])
+        return out
+
+    def matching_statistics(self, text: np.ndarray, begin: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """For each place of streamed symbols, the length of the longest stretch that ends there, does not reach before
+        ``begin``, and stands in a text of an owner before ``own``."""
+        low, high = np.zeros(len(text), np.int64), np.full(len(text), self.size)
+        length, on, step = np.zeros(len(text), np.int64), np.arange(len(text)), 0
+        while len(on):
+            on = on[on - step >= begin[on]]
+            a, b = self.extend(text[on - step], low[on], high[on])
+            some = b > a
+            on, a, b = on[some], a[some], b[some]
+            earlier = self.first_owner(a, b) < own[on]
+            on = on[earlier]
+            low[on], high[on] = a[earlier], b[earlier]
+            step += 1
+            length[on] = step
+        return length
 
 
 def earlier_words(texts: list[bytes], route: np.ndarray, doc: np.ndarray, place: np.ndarray, kind: Kind) -> list[np.ndarray]:
     """For each text, which of its windows also occur in a text whose first document is smaller.
 
-    The texts of a shard are indexed in groups of bounded size that keep an anchor's texts together. Each window of
-    every text is searched; intervals at the threshold length give the suffixes with the same words.
+    The texts of a shard are indexed in groups of bounded size that keep an anchor's texts together. Then they are
+    streamed: matching statistics against the texts of earlier documents, and every window that ends where they reach
+    the threshold is reported. An equal text of a later document needs no search of its own, as all of it is earlier.
     """
     bits: list[np.ndarray] = [np.empty(0, bool)] * len(texts)
     split = [t.split(b" ") for t in texts]
@@ -104,25 +129,12 @@ def earlier_words(texts: list[bytes], route: np.ndarray, doc: np.ndarray, place:
         text = np.where(code == end, 0, np.where(code < end, code + 1, code))  # 0 ends a text
         n = sizes[group]
         first = np.cumsum(n + 1) - (n + 1)
-        windows = n - kind.length + 1
-        start = np.arange(int(windows.sum())) + np.repeat(first - (np.cumsum(windows) - windows), windows)
-        fm = FMIndex(text, kind.length)
-        length, low, high = fm.search(text[start[:, None] + np.arange(kind.length)])
-        if (length != kind.length).any():
-            raise AssertionError("a window of an indexed text was not found")
-        owner = np.repeat(doc[group], n + 1)[fm.sa]  # first document of the text in which each suffix begins
-        lows, inverse = np.unique(low, return_inverse=True)
-        highs = np.empty(len(lows), np.int64)
-        highs[inverse] = high
-        cuts = np.column_stack((lows, np.minimum(highs, len(owner) - 1))).ravel()
-        least = np.minimum.reduceat(owner, cuts)[::2]
-        at_end = highs == len(owner)
-        if at_end.any():
-            least[at_end] = np.minimum(least[at_end], owner[-1])
-        flag = least[inverse] < np.repeat(doc[group], windows)
-        ends = np.concatenate(([0], np.cumsum(windows)))
-        for k, s, e in zip(group.tolist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-            bits[k] = flag[s:e]
+        owner = np.repeat(np.unique(doc[group], return_inverse=True)[1], n + 1)
+        begin = np.repeat(first, n + 1)
+        begin[first + n] = len(text)  # no stretch ends at the end of a text
+        found = FMIndex(text, owner, int(n.max(initial=1))).matching_statistics(text, begin, owner) >= kind.length
+        for k, s, e in zip(group.tolist(), (first + kind.length - 1).tolist(), (first + n).tolist(), strict=True):
+            bits[k] = found[s:e]
     return bits
 
 
@@ -145,8 +157,9 @@ def remove_repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int =
     """``doc_id, n_words, n_removed`` and the kept words (``kept_text``, or ``kept_sha256``) of every row.
 
     A word goes when a window of ``window`` words that covers it also starts in a document with a smaller id. Words are
-    runs of characters other than ASCII white space. Null and empty texts have no words; rows with a null id are later
-    than all others and never remove each other's words, nor do repeated rows of one id. Extra columns are ignored.
+    runs of characters other than ASCII white space. Null and empty texts have no words; a long text is whole; rows with
+    a null id are later than all others and never remove each other's words, nor do repeated rows of one id. An empty
+    table gives none; extra columns are ignored, whatever their names.
     """
     kind = Kind(True, window, anchor, False)
 

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitetide.session import written
+from sitetide.session import ship, written
 
 BLOCK_BYTES = 4 << 20
 #: Text bytes of the whole corpus for each bucket of anchors and for each shard of runs.
@@ -31,7 +31,8 @@ SHARD_BYTES = 8 << 20
 HOT = 2048
 #: Stands for a null id: such a row is later than all others.
 NO_ID = np.iinfo(np.int64).max
-_POSITION = np.uint64((1 << 28) - 1)
+#: Of equal hashes the leftmost place counts, so a place takes the lower bits; no block has a trillion symbols.
+_POSITION = np.uint64((1 << 40) - 1)
 
 
 @dataclass(frozen=True)
@@ -238,6 +239,7 @@ def earlier_windows(
     ``index`` gets distinct texts of one shard with routes, documents and places of their first occurrence and says for
     each text which of its windows occur earlier than there.
     """
+    ship(docs.sparkSession)
     packed = blocks(docs)
     total = packed.agg(F.sum("bytes")).first()[0] or 0
     buckets, shards = max(4, total // BUCKET_BYTES), max(4, total // SHARD_BYTES)
@@ -332,7 +334,9 @@ def earlier_windows(
                 bits = np.unpackbits(np.frombuffer(answers[int(shard[g[0]])], np.uint8)).astype(bool)
                 ends = np.concatenate(([0], np.cumsum(count[u])))
                 flags.update((k, bits[s:e]) for k, s, e in zip(u.tolist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True))
-            again = (doc != doc[first]) | (kind.within & (first != np.arange(len(first))))
+            again = block.rank[doc] != block.rank[doc[first]]  # repeated rows of one id are no earlier document
+            if kind.within:
+                again |= (doc == doc[first]) & (first != np.arange(len(first)))
             marks = [np.ones(c, bool) if a else flags[f] for a, f, c in zip(again.tolist(), first.tolist(), count.tolist(), strict=True)]
             on = np.concatenate(marks) if marks else np.empty(0, bool)
             windows = np.arange(len(on)) + np.repeat(start - (np.cumsum(count) - count), count)

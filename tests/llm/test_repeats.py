@@ -81,16 +81,54 @@ def test_empty_table(empty):
     assert fm_index.remove_repeated_windows(empty).count() == 0 and suffix_levels.remove_repeated_bytes(empty).count() == 0
 
 
-def test_fm_index_finds_all_occurrences():
+def test_matching_statistics_equal_brute_force():
+    """Lengths of the longest stretches that stand in a text of an earlier owner; they vary from none to a whole text."""
     rng = np.random.default_rng(1)
-    text = np.append(rng.integers(1, 6, 3000), 0)
-    fm = fm_index.FMIndex(text, 8)
-    patterns = np.array([text[k : k + 5] for k in range(0, 2900, 7)] + [[1, 2, 9 % 6, 5, 5]])
-    length, low, high = fm.search(patterns)
-    windows = np.lib.stride_tricks.sliding_window_view(text, 5)
-    for p, n, a, b in zip(patterns, length, low, high, strict=True):
-        want = set(np.flatnonzero((windows == p).all(axis=1)).tolist())
-        assert (set(fm.sa[a:b].tolist()) == want) if want else n < 5
+    texts = [rng.integers(1, 5, rng.integers(1, 60)).tolist() for _ in range(60)] + [[1, 2, 3, 4] * 9] * 2
+    owners = rng.permutation(len(texts))
+    text = np.array([x for t in texts for x in (*t, 0)])
+    sizes = np.array([len(t) + 1 for t in texts])
+    first, owner = np.repeat(np.cumsum(sizes) - sizes, sizes), np.repeat(owners, sizes)
+    got = fm_index.FMIndex(text, owner, 60).matching_statistics(text, np.where(text == 0, len(text), first), owner)
+    for k, t in enumerate(texts):
+        earlier = [repr(x)[1:-1] for x, o in zip(texts, owners, strict=True) if o < owners[k]]
+        for e in range(len(t)):
+            best = max(n for n in range(e + 2) if n == 0 or any(f" {repr(t[e + 1 - n : e + 1])[1:-1]}," in f" {x}," for x in earlier))
+            assert got[first[np.flatnonzero(owner == owners[k])[0]] + e] == best
+    assert len(set(got.tolist())) > 5
+
+
+def test_levels_are_suffix_arrays_of_growing_size():
+    """Every level is in order and without repeats, sizes at least double, and scans tell places and matches."""
+    rng = np.random.default_rng(2)
+    text = rng.integers(97, 99, 6000).astype(np.uint8)
+    family, seen = suffix_levels.Family(text, 12), set()
+    for at in range(0, 5900, 130):
+        new, again = family.suffix_array(np.arange(at, min(at + 130, 5900)))
+        scans = [family.scan(level, new) for level in family.levels]
+        for level, (held, before) in zip(family.levels, scans, strict=True):
+            known = family.bytes_of(level).tolist()
+            assert [k in set(known) for k in family.bytes_of(new).tolist()] == held.tolist()
+            assert [sum(x < k for x in known) for k in family.bytes_of(new).tolist()] == before.tolist()
+        old = np.logical_or.reduce([again, *[h for h, _ in scans]])
+        assert old.tolist() == [bool(a) or k in seen for a, k in zip(again, family.bytes_of(new).tolist(), strict=True)]
+        family.add(new[~old], [b[~old] for _, b in scans])
+        seen |= set(family.bytes_of(new).tolist())
+        for level in family.levels:
+            keys = family.bytes_of(level)
+            assert (keys[1:] > keys[:-1]).all()
+        assert all(len(a) > 2 * len(b) for a, b in zip(family.levels, family.levels[1:], strict=False))
+
+
+def test_repeated_ids_and_further_columns(spark):
+    """Rows of one id never remove each other's words, wherever they lie; clashing columns change nothing."""
+    long = " ".join(f"w{k}" for k in range(20))
+    rows = [(1, long), (1, long), (2, long), (None, long), (None, long)]
+    wide = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS block", "2 AS shard", "'x' AS data", "3 AS n_words", "4 AS payload")
+    for parts in (1, 5):
+        got = sorted((r["doc_id"] or 9, r["n_removed"]) for r in fm_index.remove_repeated_windows(wide.repartition(parts)).collect())
+        assert got == [(1, 0), (1, 0), (2, 20), (9, 20), (9, 20)]
+        assert sorted((r["doc_id"] or 9, r["n_removed"] > 0) for r in suffix_levels.remove_repeated_bytes(wide.repartition(parts), 50, 20).collect()) == [(1, False), (1, False), (2, True), (9, True), (9, True)]
 
 
 def test_queries_on_driver_table(spark, small):
