@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
@@ -55,6 +57,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def trim() -> None:
+    """Give memory that a Python worker no longer uses back to the machine, as idle workers are kept."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def free_name(base: str, *frames: DataFrame) -> str:
     """A column name that none of the frames has, in any case."""
     taken, name = {c.lower() for f in frames for c in f.columns}, f"_{base}"
