@@ -1,7 +1,8 @@
 """SimHash near-duplicates: deletion-variant signatures, an equality join on them, verification and components.
 
 Two fingerprints that differ in at most 2n - 1 bits agree up to one bit in one of n segments, so the number of segments
-follows the distance that is asked for.
+follows the distance that is asked for. Texts that share no less than four fifths of their shingles often differ in more
+bits than segments of a useful size allow; for these, bands of least hashes find further candidates.
 """
 
 from __future__ import annotations
@@ -17,13 +18,15 @@ from pyspark.sql import types as T
 
 from sitetide.llm.skew import join_hot
 from sitetide.operators.components import connected_components
-from sitetide.session import free_name, ship, table, written
+from sitetide.session import free_name, ship, table, trim, written
 
 SHINGLE = 4
 DISTANCE = 4
 SEED = 42
 #: Two texts are near copies if they share this much of their distinct shingles, as a fraction.
 SIMILAR = (4, 5)
+#: Bands of least hashes, and hashes of a band: two sets with a Jaccard index of 0.8 share a band with probability 0.99.
+BANDS, ROWS = 16, 6
 #: So many documents at most are picked out by a broadcast of their ids; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -68,10 +71,23 @@ def shingle_set(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> n
     return np.unique(_digests(text, shingle, seed).view(">u8").ravel().astype(np.uint64))
 
 
-def sketch(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> tuple[int, int, int]:
-    """Of a text's set of shingles: a digest (equal sets have equal ones), its SimHash, and its size."""
+_FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64) | np.uint64(1)
+
+
+def bands(found: np.ndarray) -> np.ndarray:
+    """A number for each band: equal where two sets have the same least shingle in all of its orders."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(found), 4096):
+        np.minimum(least, (found[at : at + 4096, None] * _FACTORS[0] + _FACTORS[1]).min(axis=0), out=least)
+    rows = least.reshape(BANDS, ROWS)
+    return np.array([xxhash.xxh64_intdigest(rows[k].tobytes(), k) for k in range(BANDS)], np.uint64)
+
+
+def sketch(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """Of a text's set of shingles: a digest (equal sets have equal ones), its SimHash, its size, and its bands."""
     found = shingle_set(text, shingle, seed)
-    return xxhash.xxh64_intdigest(found.tobytes(), seed), _majority(found.astype(">u8").view(np.uint8).reshape(-1, 8)), len(found)
+    first = [xxhash.xxh64_intdigest(found.tobytes(), seed), _majority(found.astype(">u8").view(np.uint8).reshape(-1, 8)), len(found)]
+    return np.concatenate((np.array(first, np.uint64), bands(found)))
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
@@ -84,23 +100,29 @@ def with_fingerprints(docs: DataFrame, name: str, shingle: int = SHINGLE, seed:
     ship(docs.sparkSession)
 
     @F.arrow_udf(T.LongType())
-    def made(texts: pa.Array) -> pa.Array:
-        return pa.array(np.array([fingerprint(x.as_py(), shingle, seed) for x in texts], np.uint64).view(np.int64))
+    def made(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array(np.array([fingerprint(x.as_py(), shingle, seed) for x in texts], np.uint64).view(np.int64))
+        trim()
 
     return docs.withColumn(name, made(F.col("text")))
 
 
-_SKETCH = T.StructType([T.StructField(c, T.LongType()) for c in ("set", "fp", "size")])
+_SKETCH = T.StructType([*[T.StructField(c, T.LongType()) for c in ("set", "fp", "size")], T.StructField("bands", T.ArrayType(T.LongType()))])
 
 
 def with_sketches(docs: DataFrame, name: str, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """``docs`` with a struct ``set, fp, size`` of each text's set of shingles in a column ``name`` that it does not have."""
+    """``docs`` with a struct ``set, fp, size, bands`` of each text's set of shingles in a column ``name`` that it does not
+    have."""
     ship(docs.sparkSession)
 
     @F.arrow_udf(_SKETCH)
-    def made(texts: pa.Array) -> pa.Array:
-        rows = np.array([sketch(x.as_py(), shingle, seed) for x in texts], np.uint64).reshape(-1, 3).view(np.int64)
-        return pa.StructArray.from_arrays([pa.array(rows[:, k]) for k in range(3)], ["set", "fp", "size"])
+    def made(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            rows = np.array([sketch(x.as_py(), shingle, seed) for x in texts], np.uint64).reshape(-1, 3 + BANDS).view(np.int64)
+            each = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(rows) + 1, BANDS, dtype=np.int32)), pa.array(rows[:, 3:].ravel()))
+            yield pa.StructArray.from_arrays([*[pa.array(rows[:, k]) for k in range(3)], each], ["set", "fp", "size", "bands"])
+        trim()
 
     return docs.withColumn(name, made(F.col("text")))
 
@@ -152,24 +174,10 @@ def bucket_links(key: int, fps: np.ndarray, distance: int = DISTANCE) -> tuple[l
     return a, b
 
 
-def bucket_pairs(key: int, fps: np.ndarray, groups: np.ndarray, distance: int) -> tuple[list, list]:
-    """All pairs of one bucket within ``distance`` whose groups differ, each only in the first bucket where it meets."""
-    a, b = [], []
-    for at in range(0, len(fps) - 1, 128):
-        diff = fps[at : at + 128, None] ^ fps[None, at + 1 :]
-        x, y = np.nonzero(np.bitwise_count(diff) <= distance)
-        ok = (y >= x) & (groups[at + x] != groups[at + 1 + y])
-        x, y = x[ok], y[ok]
-        ok = first_bucket(diff[x, y], distance) == key >> 22
-        a.extend(fps[at + x[ok]])
-        b.extend(fps[at + 1 + y[ok]])
-    return a, b
-
-
-def _linked(distance: int, groups: bool = False):
-    """Links of each bucket of ``key, fp`` rows sorted by key; with ``groups`` all pairs of ``key, fp, group`` rows."""
+def _linked(distance: int):
+    """Links of each bucket of ``key, fp`` rows sorted by key."""
 
-    def emit(keys: np.ndarray, fps: np.ndarray, group: np.ndarray):
+    def emit(keys: np.ndarray, fps: np.ndarray):
         a, b = [], []
         if len(keys):
             cuts = np.flatnonzero(np.diff(keys)) + 1
@@ -178,29 +186,27 @@ def _linked(distance: int, groups: bool = False):
             two = starts[size == 2]
             diff = fps[two] ^ fps[two + 1]
             good = (np.bitwise_count(diff) <= distance) & (first_bucket(diff, distance) == keys[two] >> 22)
-            if groups:
-                good &= group[two] != group[two + 1]
             a.extend(fps[two][good])
             b.extend(fps[two + 1][good])
             for s, e in zip(starts[size > 2].tolist(), ends[size > 2].tolist(), strict=True):
-                more = bucket_pairs(int(keys[s]), fps[s:e], group[s:e], distance) if groups else bucket_links(int(keys[s]), fps[s:e], distance)
+                more = bucket_links(int(keys[s]), fps[s:e], distance)
                 a.extend(more[0])
                 b.extend(more[1])
         x, y = np.array(a, np.uint64).view(np.int64), np.array(b, np.uint64).view(np.int64)
         return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, fps, group = np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64)
+        keys, fps = np.empty(0, np.int64), np.empty(0, np.uint64)
         for batch in batches:
             k = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             f = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
-            g = batch.column(2).to_numpy(zero_copy_only=False) if groups else np.zeros(len(k), np.int64)
-            keys, fps, group = np.concatenate((keys, k)), np.concatenate((fps, f)), np.concatenate((group, g))
+            keys, fps = np.concatenate((keys, k)), np.concatenate((fps, f))
             done = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
             if done:
-                yield emit(keys[:done], fps[:done], group[:done])
-                keys, fps, group = keys[done:], fps[done:], group[done:]
-        yield emit(keys, fps, group)
+                yield emit(keys[:done], fps[:done])
+                keys, fps = keys[done:], fps[done:]
+        yield emit(keys, fps)
+        trim()
 
     return run
 
@@ -287,42 +293,36 @@ def _similar(pairs: DataFrame, docs: DataFrame, sets: DataFrame, shingle: int) -
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def similar_sets(docs: DataFrame, distance: int, shingle: int = SHINGLE) -> DataFrame:
+def similar_sets(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
     """``_set, least, component`` of every distinct set of shingles: the smallest id that has it and a set that names
-    its group. Sets are linked by a true Jaccard index of ``SIMILAR`` or more; candidates are the pairs of fingerprints
-    at most ``distance`` bits apart.
+    its group. Sets are linked by a true Jaccard index of ``SIMILAR`` or more.
 
-    First the links that connect the close fingerprints of a bucket are measured, so that a large group of near copies
-    mostly becomes one component from few pairs; then all pairs of different components are.
+    Candidates are the links of fingerprints at most ``distance`` bits apart, by their deletion variants, and each set
+    with a leader of each of its bands; every band has an order of its own for that, so sets of a group meet under
+    several leaders. A group of n sets gives at most ``BANDS`` x n candidates, never all its pairs.
     """
     up, down = SIMILAR
-    made = with_sketches(docs.select("doc_id", "text"), "s", shingle).select("doc_id", F.col("s.set").alias("_set"), "s.fp", "s.size")
-    sets = written(made.groupBy("_set", "fp", "size").agg(F.min("doc_id").alias("least")), "sets")
-
-    def pairs(links: DataFrame, group: DataFrame) -> DataFrame:
-        """Pairs of sets for pairs of fingerprints, with sizes that allow the similarity."""
-        one = group.select(F.col("fp").alias("a"), F.col("_set").alias("x"), F.col("size").alias("n"), F.col("component").alias("g"))
-        two = group.select(F.col("fp").alias("b"), F.col("_set").alias("y"), F.col("size").alias("m"), F.col("component").alias("h"))
-        both = links.join(one, "a").join(two, "b").filter("g <> h and (a <> b or x < y)")
-        return both.filter(F.least("n", "m") * down >= F.greatest("n", "m") * up).select(F.col("x").alias("a"), F.col("y").alias("b"))
-
-    def grouped(edges: DataFrame) -> DataFrame:
-        named = connected_components(edges).select(F.col("node").alias("_set"), F.col("component").alias("of"))
-        return sets.join(named, "_set", "left").withColumn("component", F.coalesce("of", "_set")).drop("of")
-
-    near = variants(sets.select("fp").distinct(), distance // 2).repartition("key").sortWithinPartitions("key")
-    first = pairs(near.mapInArrow(_linked(distance // 2), "a long, b long"), sets.withColumn("component", F.col("_set")))
-    edges = written(_similar(first, docs, sets, shingle), "edges")
-    group = written(grouped(edges), "groups")
-    by_fp = group.groupBy("fp").agg(F.min("component").alias("g"), F.max("component").alias("h"))
-    by_fp = written(by_fp.select("fp", F.when(F.col("g") == F.col("h"), F.col("g")).otherwise(F.xxhash64("fp")).alias("group"), (F.col("g") != F.col("h")).alias("mixed")), "by-fp")
-    spread = variants(by_fp.select("fp", "group"), distance).repartition("key").sortWithinPartitions("key")
-    links = spread.mapInArrow(_linked(distance, True), "a long, b long").unionByName(by_fp.filter("mixed").select(F.col("fp").alias("a"), F.col("fp").alias("b")))
-    more = _similar(pairs(links, group), docs, sets, shingle)
-    return grouped(written(edges.unionByName(more), "edges")).select("_set", "least", "component")
-
-
-def keep_similar(docs: DataFrame, distance: int, shingle: int = SHINGLE) -> DataFrame:
+    made = with_sketches(docs.select("doc_id", "text"), "s", shingle)
+    each = made.groupBy(F.col("s.set").alias("_set")).agg(F.min("doc_id").alias("least"), F.any_value("s.fp").alias("fp"), F.any_value("s.size").alias("size"), F.any_value("s.bands").alias("bands"))
+    sets = written(each, "sets")
+    fps = written(sets.groupBy("fp").agg(F.min("_set").alias("head"), F.count("*").alias("n")), "heads")
+    links = variants(fps.select("fp"), distance).repartition("key").sortWithinPartitions("key").mapInArrow(_linked(distance), "a long, b long")
+    ends = [fps.select(F.col("fp").alias(c), F.col("head").alias(f"{c}_set")) for c in ("a", "b")]
+    by_bits = links.join(ends[0], "a").join(ends[1], "b").select(F.col("a_set").alias("a"), F.col("b_set").alias("b"))
+    same = join_hot(sets.select("fp", "_set"), fps.filter("n > 1"), ["fp"], "n").select(F.col("_set").alias("a"), F.col("head").alias("b"))
+    keyed = sets.select("_set", F.posexplode("bands").alias("band", "key"))
+    leaders = keyed.groupBy("band", "key").agg(F.min_by("_set", F.xxhash64("_set", "band")).alias("leader"), F.count("*").alias("n")).filter("n > 1")
+    leaders = written(leaders, "leaders")
+    by_bands = join_hot(keyed, leaders, ["band", "key"], "n").select(F.col("_set").alias("a"), F.col("leader").alias("b"))
+    found = by_bits.unionByName(same).unionByName(by_bands).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    sizes = [sets.select(F.col("_set").alias(c), F.col("size").alias(f"n{c}")) for c in ("a", "b")]
+    near = found.join(sizes[0], "a").join(sizes[1], "b").filter(F.least("na", "nb") * down >= F.greatest("na", "nb") * up).select("a", "b")
+    edges = written(_similar(near, docs, sets, shingle), "edges")
+    named = connected_components(edges).select(F.col("node").alias("_set"), F.col("component").alias("of"))
+    return sets.join(named, "_set", "left").select("_set", "least", F.coalesce("of", "_set").alias("component"))
+
+
+def keep_similar(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
     """One row of each group of ``similar_sets``, with the columns of ``docs``: that with the smallest id.
 
     Rows with a null id stay only where their group has no id; of repeated rows with one id and one set a single one
@@ -330,8 +330,16 @@ def keep_similar(docs: DataFrame, distance: int, shingle: int = SHINGLE) -> Data
     """
     first = F.min(F.struct(F.col("least").isNull().alias("no_id"), "least", F.col("_set").alias("of"))).alias("first")
     kept = similar_sets(docs, distance, shingle).groupBy("component").agg(first).select("first.least", "first.of")
-    name = free_name("sketch", docs)
-    return _picked(with_sketches(docs, name, shingle), F.col(name)["set"], kept, docs.columns)
+    name = free_name("set", docs)
+    ship(docs.sparkSession)
+
+    @F.arrow_udf(T.LongType())
+    def digest(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array(np.array([xxhash.xxh64_intdigest(shingle_set(x.as_py(), shingle).tobytes(), SEED) for x in texts], np.uint64).view(np.int64))
+        trim()
+
+    return _picked(docs.withColumn(name, digest(F.col("text"))), F.col(name), kept, docs.columns)
 
 
 def op7_simhash_variants(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,10 +13,9 @@ def shingles(text, n):
     return [" ".join(words[k : k + n]) for k in range(max(1, len(words) - n + 1))] if words else []
 
 
-def fingerprint(text, n, distinct=False):
+def fingerprint(text, n):
     """Bit by bit: set where more than half the hashes have it."""
-    found = shingles(text, n)
-    hashes = [xxhash.xxh64(s.encode(), seed=42).intdigest() for s in (set(found) if distinct else found)]
+    hashes = [xxhash.xxh64(s.encode(), seed=42).intdigest() for s in shingles(text, n)]
     return sum(1 << k for k in range(64) if 2 * sum(h >> k & 1 for h in hashes) > len(hashes))
 
 
@@ -61,17 +60,15 @@ def test_one_row_of_each_group_stays(docs, rows, empty):
     plain = [(i, t) for i, t, *_ in rows]
     _, group, least = links(plain, 5, 5)
     wide = docs.select("*", *[F.lit(k).alias(c) for k, c in enumerate(("fp", "_fp", "kept_id", "_kept_id", "_nth", "least", "of", "first", "key", "component"))])
-    for one in (simhash.keep_one(wide, 5, 5), simhash.keep_similar(wide, 15, 5)):
+    for one in (simhash.keep_one(wide, 5, 5), simhash.keep_similar(wide, shingle=5)):
         assert one.columns == wide.columns and {tuple(r)[5:] for r in one.collect()} == {tuple(range(10))}
     got = simhash.keep_one(docs, 5, 5).collect()
     assert len(got) == len(set(group)) and {r["doc_id"] for r in got} == set(least)
     assert simhash.keep_one(empty, 5, 5).count() == 0 and simhash.near_duplicates(empty).count() == 0
 
 
-def jaccard_groups(rows, shingle=5, bits=64):
-    """Smallest id of each row's group, linking all pairs that share 0.8 of their distinct shingles and whose fingerprints
-    of these are so many bits apart at most."""
-    fps = [fingerprint(t, shingle, True) if bits < 64 else 0 for _, t in rows]
+def jaccard_groups(rows, shingle=5):
+    """Smallest id of each row's group, linking all pairs that share 0.8 of their distinct shingles."""
     sets = [set(shingles(t, shingle)) for _, t in rows]
     root = list(range(len(rows)))
 
@@ -82,7 +79,7 @@ def jaccard_groups(rows, shingle=5, bits=64):
 
     for i in range(len(rows)):
         for j in range(i):
-            if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) > 0 and bin(fps[i] ^ fps[j]).count("1") <= bits:
+            if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) > 0:
                 root[find(i)] = find(j)
     least = {}
     for i, (k, _) in enumerate(rows):
@@ -114,9 +111,9 @@ def test_edited_copies_go_and_only_those(spark, docs, rows, empty):
             made.append((10 * k + n + 1, " ".join(copy)))
     least = jaccard_groups(made)
     frame = spark.createDataFrame(made, "doc_id long, text string")
-    got = {r["doc_id"] for r in simhash.keep_similar(frame, 15, 5).collect()}
+    got = {r["doc_id"] for r in simhash.keep_similar(frame, shingle=5).collect()}
     want, whole = set(least), {i for i, _ in made}
     assert want <= got and len(got - want) <= 0.03 * len(whole - want)  # of the copies that should go
     plain = [(i, t) for i, t, *_ in rows]
-    assert sorted(r["doc_id"] for r in simhash.keep_similar(docs, 15, 5).select("doc_id").collect()) == sorted(set(jaccard_groups(plain)))
-    assert simhash.keep_similar(docs, 15, 5).columns == docs.columns and simhash.keep_similar(empty, 15, 5).count() == 0
+    assert sorted(r["doc_id"] for r in simhash.keep_similar(docs, shingle=5).select("doc_id").collect()) == sorted(set(jaccard_groups(plain)))
+    assert simhash.keep_similar(docs, shingle=5).columns == docs.columns and simhash.keep_similar(empty, shingle=5).count() == 0
