@@ -19,8 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sitetide.llm.repeats import pack, unpack
-from sitetide.session import ship, table, written
+from sitetide.session import ship, table, trim, written
 
 VOCABULARY = "word_bpe_49k.json"
 #: Bytes of text of a chunk, which has a dictionary of its own words, and of the corpus for each part of the word table.
@@ -244,7 +243,8 @@ def chunks(docs: DataFrame, keep: list[str], buckets: int, size: int = CHUNK_BYT
             to = np.fromiter((xxhash.xxh64_intdigest(w) % buckets for w in keys.to_pylist()), np.int64, len(keys))
             order = np.argsort(to, kind="stable")
             for group in np.split(order, np.flatnonzero(np.diff(to[order])) + 1) if len(order) else []:
-                data = pack(number=pa.array(group.astype(np.int32)), word=keys.take(pa.array(group)))
+                words = "\n".join(keys.take(pa.array(group)).to_pylist()).encode("utf-8", "surrogatepass")
+                data = _blob(_planes(np.diff(group, prepend=0)), zstandard.compress(words, 3))
                 columns = [pa.nulls(1, rows.schema.field(k).type) for k in range(len(keep))]
                 yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([int(to[group[0]])], pa.int32()), pa.array([data], pa.binary()), *columns], names)
 
@@ -257,6 +257,7 @@ def chunks(docs: DataFrame, keep: list[str], buckets: int, size: int = CHUNK_BYT
                     number, held, weight = number + 1, [], 0
         if held:
             yield from flush()
+        trim()
 
     return written(docs.mapInArrow(run, schema), "chunks")
 
@@ -276,24 +277,34 @@ def _codes(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(raw.T).view("<u4").ravel().astype(np.int64)
 
 
+def _blob(*parts: bytes) -> bytes:
+    return b"".join(x for part in parts for x in (len(part).to_bytes(4, "little"), part))
+
+
+def _parts(data: bytes) -> list[bytes]:
+    out, at = [], 0
+    while at < len(data):
+        n = int.from_bytes(data[at : at + 4], "little")
+        out.append(data[at + 4 : at + 4 + n])
+        at += 4 + n
+    return out
+
+
 def encoded_words(dictionaries: DataFrame, path: str) -> DataFrame:
     """``chunk, bucket, data``: the ids of each dictionary's words. A word belongs to one bucket of the word table, where
     it is encoded once for all chunks."""
 
     def run(table_: pa.Table) -> pa.Table:
-        parts = [unpack(x.as_py()) for x in table_.column("data")]
-        words = pa.chunked_array([p["word"] for p in parts]).combine_chunks()
-        coded = words.dictionary_encode()
+        parts = [_parts(x.as_py()) for x in table_.column("data")]
+        words = [zstandard.decompress(w).decode("utf-8", "surrogatepass").split("\n") for _, w in parts]
         coder = Words(path)
-        distinct = coded.dictionary.to_pylist()
-        coder.learn(distinct)
+        coder.learn(list(dict.fromkeys(w for part in words for w in part)))
         flat, sizes = np.concatenate(coder.flat), np.concatenate(coder.sizes)
-        at = np.fromiter((coder.met[w] for w in distinct), np.int64, len(distinct))[coded.indices.to_numpy(zero_copy_only=False)]
-        starts, ends, out = np.cumsum(sizes) - sizes, np.cumsum([len(p["word"]) for p in parts]), []
-        for part, s, e in zip(parts, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
-            take, bounds = spread(starts, sizes, at[s:e])
-            ids = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat[take]))
-            out.append(pack(number=part["number"], ids=ids))
+        starts, out = np.cumsum(sizes) - sizes, []
+        for (numbers, _), own in zip(parts, words, strict=True):
+            at = np.fromiter((coder.met[w] for w in own), np.int64, len(own))
+            out.append(_blob(numbers, _planes(sizes[at]), _planes(flat[spread(starts, sizes, at)[0]])))
+        trim()
         return pa.table({"chunk": table_.column("chunk"), "bucket": table_.column("bucket"), "data": pa.array(out, pa.binary())})
 
     return dictionaries.groupBy("bucket").applyInArrow(run, "chunk long, bucket int, data binary")
@@ -307,10 +318,11 @@ def with_ids(docs: DataFrame, keep: list[str], path: str, finish, schema: T.Stru
     told = encoded_words(packed.filter("bucket >= 0").select("chunk", "bucket", "data"), path)
 
     def restore(left: pa.Table, right: pa.Table) -> pa.Table:
-        parts = [unpack(x.as_py()) for x in right.column("data")]
-        number = np.concatenate([p["number"].to_numpy() for p in parts]) if parts else np.empty(0, np.int64)
-        flat = np.concatenate([p["ids"].flatten().to_numpy() for p in parts]) if parts else np.empty(0, np.int32)
-        sizes = np.concatenate([np.diff(p["ids"].offsets.to_numpy()) for p in parts]).astype(np.int64) if parts else np.empty(0, np.int64)
+        parts = [_parts(x.as_py()) for x in right.column("data")]
+        none = np.empty(0, np.int64)
+        number = np.concatenate([none, *[np.cumsum(_codes(n)) for n, _, _ in parts]])
+        sizes = np.concatenate([none, *[_codes(x) for _, x, _ in parts]])
+        flat = np.concatenate([none, *[_codes(x) for _, _, x in parts]]).astype(np.int32)
         order = np.argsort(number)
         take, _ = spread(np.cumsum(sizes) - sizes, sizes, order)
         words, flat, sizes, out = Words(path), flat[take], sizes[order], []
@@ -320,6 +332,7 @@ def with_ids(docs: DataFrame, keep: list[str], path: str, finish, schema: T.Stru
             bounds = np.concatenate(([0], np.cumsum([len(c) for c in some])))
             ids = words.joined(np.concatenate(some), bounds, flat, sizes)
             out.append(finish([left.column(f"c{k}").slice(at, 512).combine_chunks() for k in range(len(keep))], ids))
+        trim()
         return pa.concat_tables(out)
 
     rows = packed.filter("bucket < 0").drop("bucket")
