@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitetide.session import ship, written
+from sitetide.session import ship, trim, written
 
 BLOCK_BYTES = 4 << 20
 #: Text bytes of the whole corpus for each bucket of anchors and for each shard of runs.
@@ -297,6 +297,7 @@ def earlier_windows(
                 to.append(int(shard[g[0]]))
                 place = start[u] - block.bounds[doc[u]]
                 out.append(pack(text=pa.array([texts[k] for k in u.tolist()], pa.binary()), count=count[u], route=route[u], doc=block.rank[doc[u]], place=place))
+        trim()
         return pa.table({"shard": pa.array(to, pa.int32()), "block": pa.array(numbers, pa.int64()), "data": pa.array(out, pa.binary())})
 
     def decide(table: pa.Table) -> pa.Table:
@@ -316,6 +317,7 @@ def earlier_windows(
             own = [np.ones(int(c), bool) if late else bits[k] for k, c, late in zip(i.tolist(), count[at : at + len(i)].tolist(), later[at : at + len(i)].tolist(), strict=True)]
             at += len(i)
             out.append(np.packbits(np.concatenate(own)).tobytes())
+        trim()
         return pa.table({"block": table.column("block"), "shard": table.column("shard"), "data": pa.array(out, pa.binary())})
 
     def close(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -341,6 +343,7 @@ def earlier_windows(
             on = np.concatenate(marks) if marks else np.empty(0, bool)
             windows = np.arange(len(on)) + np.repeat(start - (np.cumsum(count) - count), count)
             made.append(pa.table(finish(block, windows[on])))
+        trim()
         return pa.concat_tables(made)
 
     anchors = packed.select("block", "payload").mapInArrow(send_anchors, "bucket int, block long, data binary")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sitetide.llm.bpe import Words, pieces, vocabulary_path
-from sitetide.session import scratch_dir, ship, table
+from sitetide.session import scratch_dir, ship, table, trim
 
 END_ID = 1
 ORC = {
@@ -54,6 +54,8 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, end_
                 rows = pa.array(np.arange(seq, seq + len(made)))
                 seq += len(made)
                 yield pa.RecordBatch.from_arrays([piece.column(2), rows, piece.column(0), made], ["part", "seq", "doc_id", "ids"])
+        del coder
+        trim()
 
     out = ranged.withColumn("part", F.spark_partition_id()).mapInArrow(run, f"part int, seq long, doc_id {kind}, ids array<int>")
     out.write.options(**ORC).orc(path)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitetide.llm.bpe import pieces, split_words
-from sitetide.session import free_name, ship, table, written
+from sitetide.session import ship, table, trim, written
 
 #: Bounds of what is fitted: labelled texts of each class, marked words that are landmarks at first and at most (with a
 #: third as many clean ones), words of each class that the machine starts from.
@@ -339,6 +339,7 @@ def _counts(rows: DataFrame) -> DataFrame:
                 for key in keys:
                     counts.setdefault(key, [0, 0])[0 if toxic else 1] += 1
             yield handed(counts)
+        trim()
 
     made = rows.mapInArrow(run, "piece string, whole boolean, t long, c long")
     return made.groupBy("piece", "whole").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
@@ -401,6 +402,8 @@ def witnesses(rows: DataFrame, model: Model) -> list:
             cols = list(zip(*out, strict=True)) or [()] * 5
             kinds = (pa.int32(), pa.bool_(), pa.bool_(), pa.string(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["toxic", "apart", "first", "segment", "margin"])
+        del scorer
+        trim()
 
     return rows.select("text", "toxic", "apart").mapInArrow(run, "toxic int, apart boolean, first boolean, segment string, margin double").collect()
 
@@ -498,6 +501,8 @@ def scored(docs: DataFrame, model: Model | None, name: str) -> DataFrame:
             rows = pa.RecordBatch.from_arrays([pa.nulls(len(texts)), texts], ["at", "text"])
             z = [scorer.texts(p.column(1)) * model.scale[0] + model.scale[1] for p in pieces(rows, PIECE_BYTES)]
             yield pa.array(1 / (1 + np.exp(-np.clip(np.concatenate([*z, np.empty(0)]), -30, 30))))
+        del scorer
+        trim()
 
     return docs.withColumn(name, probability(F.col("text")))
 
