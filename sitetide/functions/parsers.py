@@ -22,27 +22,36 @@ def json_object(raw: Column) -> Column:
     return F.nullif(F.regexp_extract(raw, r"(?s)(\{.*\})", 1), F.lit(""))
 
 
-def _fields(raw: Column, *names: str):
-    """One parse of the object; a function that gives a field, null where it is missing or empty."""
-    found = F.from_json(json_object(raw), ", ".join(f"{n} string" for n in names))
-    return lambda name: F.nullif(found[name], F.lit(""))
+_OBJECT = "_object"
 
 
-def analysis(raw: Column) -> Column:
+def _parsed(rows: DataFrame, raw: str, *names: str) -> DataFrame:
+    """``rows`` with the object of an answer parsed once: behind an explode, through which the optimizer copies nothing."""
+    fields = F.from_json(json_object(F.col(raw)), ", ".join(f"{n} string" for n in names))
+    return rows.withColumn(_OBJECT, F.explode(F.array(fields)))
+
+
+def _field(name: str) -> Column:
+    """A field of the object, null where it is missing or empty."""
+    return F.nullif(F.col(f"{_OBJECT}.{name}"), F.lit(""))
+
+
+def with_analysis(rows: DataFrame, raw: str = "raw", name: str = "analysis") -> DataFrame:
     """Category, offer, call to action, summary and importance of a change; null without an object."""
     names = ("category", "usp", "cta", "summary", "importance_reason")
-    field = _fields(raw, *names, "importance")
-    made = F.struct(*[field(n).alias(n) for n in names], importance(field("importance")).alias("importance"))
-    return F.when(json_object(raw).isNotNull(), made)
+    made = F.struct(*[_field(n).alias(n) for n in names], importance(_field("importance")).alias("importance"))
+    parsed = _parsed(rows, raw, *names, "importance")
+    return parsed.withColumn(name, F.when(F.col(_OBJECT).isNotNull(), made)).drop(_OBJECT)
 
 
-def comparison(raw: Column) -> Column:
+def with_comparison(rows: DataFrame, raw: str = "raw", name: str = "comparison") -> DataFrame:
     """Verdict and page of a comparison with the own site; an unknown verdict follows from whether a page is named."""
-    field = _fields(raw, "our_url", "verdict", "differences", "missing")
+    field = _field
     url, verdict = field("our_url"), F.lower(F.trim(field("verdict")))
     known = F.when(verdict.isin(*VERDICTS), verdict).when(url.isNotNull(), "similar").otherwise("none")
     found = F.struct(known.alias("verdict"), url.alias("our_url"), field("differences").alias("differences"), field("missing").alias("missing"))
-    return F.when(json_object(raw).isNotNull(), found)
+    parsed = _parsed(rows, raw, "our_url", "verdict", "differences", "missing")
+    return parsed.withColumn(name, F.when(F.col(_OBJECT).isNotNull(), found)).drop(_OBJECT)
 
 
 _CARDS = (

@@ -40,11 +40,14 @@ def crawl_plan(
         .when(F.col("lastmod").isNull() | F.col("saved").isNull() | F.coalesce("again", F.lit(False)), 2)
     )
     rows = rows.withColumn("priority", priority)
-    queue = F.when(F.col("priority").isNull(), 2).when(F.lit(max_undated is not None) & (F.col("priority") == 2), 1).otherwise(0)
-    quota = F.when(F.col("queue") == 0, max_fetch).when(F.col("queue") == 1, max_undated if max_undated is not None else 0).otherwise(0)
-    nth = F.row_number().over(Window.partitionBy("site_id", "queue").orderBy("priority", "url"))
-    rows = rows.withColumn("queue", queue).withColumn("nth", nth)
-    action = F.when(F.col("nth") <= quota, "fetch").when(F.col("known"), "carry").otherwise("wait")
+    apart = F.lit(max_undated is not None) & (F.col("priority") == 2)
+    order = Window.partitionBy("site_id", "queue").orderBy("priority", "url")
+    wanted = rows.filter("priority is not null").select(*keys, "priority", apart.cast("int").alias("queue"))
+    quota = F.when(F.col("queue") == 0, max_fetch).otherwise(max_undated or 0)
+    most = max(max_fetch, max_undated or 0)  # a bound on the rank alone lets tasks cut before the shuffle
+    first = wanted.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= most).filter(F.col("nth") <= quota)
+    rows = rows.join(first.select(*keys, F.lit(True).alias("fetch")), keys, "left")
+    action = F.when(F.col("fetch"), "fetch").when(F.col("known"), "carry").otherwise("wait")
     return rows.select(*keys, action.alias("action"), "priority")
 
 

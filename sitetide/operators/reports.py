@@ -279,7 +279,7 @@ def decision_tallies(findings: DataFrame, decisions: DataFrame) -> DataFrame:
 def run_tallies(matched: DataFrame) -> DataFrame:
     """For each run: decisions by kind, cases merged without being asked, and cases that were not compared."""
     return matched.groupBy("run_id").agg(
-        *[F.count_if(F.col("decision") == d).alias(f"n_{d}") for d in ("new", "update", "exists")],
+        *[F.count_if(F.col("decision") == d).alias(f"n_{d}") for d in ("new", "update", "covered")],
         F.count_if("merged").alias("merged"),
         F.count_if(F.col("decision").isNull() & ~F.col("merged")).alias("not_compared"),
     )

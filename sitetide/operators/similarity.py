@@ -1,11 +1,21 @@
-"""TF-IDF search over the own site's documents: an equality join on tokens, never a product of all pairs."""
+"""TF-IDF search over a set of documents: blocks of queries are sent to the documents, never pairs through a shuffle."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitetide.functions.text import TITLE_WEIGHT, tokens
+from sitetide.session import ship, written
+
+#: Terms of the queries of one block; more queries make more blocks, one after the other.
+BLOCK_TERMS = 1_000_000
+#: A token with more than this share of all postings is joined by broadcast; there are fewer such tokens.
+HOT_PARTS = 1000
 
 
 def term_counts(docs: DataFrame, title_weight: int = TITLE_WEIGHT) -> DataFrame:
@@ -15,29 +25,106 @@ def term_counts(docs: DataFrame, title_weight: int = TITLE_WEIGHT) -> DataFrame:
     return each.groupBy("id", "token").agg(F.sum("w").alias("tf"))
 
 
-def index(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Postings ``(id, token, v)``, ``(token, idf)`` and norms ``(id, norm)`` of a set of documents."""
-    counts = term_counts(docs)
-    total = docs.agg(F.count("*").alias("total"))
+def index(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Unit vectors ``(id, terms: [(token, v)])`` of a set of documents and ``(token, idf)``; terms are counted once."""
+    counts = written(term_counts(docs), "terms")
+    total = docs.count()
     df = counts.groupBy("token").agg(F.count("*").alias("df"))
-    idf = df.crossJoin(F.broadcast(total)).select("token", (F.log((F.col("total") + 1) / (F.col("df") + 1)) + 1).alias("idf"))  # one row
-    postings = counts.join(idf, "token").select("id", "token", (F.col("tf") * F.col("idf")).alias("v"))
-    return postings, idf, postings.groupBy("id").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
+    idf = written(df.select("token", "df", (F.log(F.lit(total + 1.0) / (F.col("df") + 1)) + 1).alias("idf")), "idf")
+    rows = idf.agg(F.sum("df")).first()[0] or 0
+    hot = F.col("df") > max(1, rows // HOT_PARTS)
+    common = F.broadcast(idf.filter(hot).select("token", "idf"))  # fewer than HOT_PARTS tokens
+    weighed = counts.join(common, "token").unionByName(counts.join(common.select("token"), "token", "left_anti").join(idf.filter(~hot).select("token", "idf"), "token"))
+    v = (F.col("tf") * F.col("idf")).alias("v")
+    made = weighed.select("id", "token", v).groupBy("id").agg(F.collect_list(F.struct("token", "v")).alias("terms"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
+    return made.filter("norm > 0"), idf.select("token", "idf")
+
+
+class Block:
+    """Queries by token, for dot products with one document after the other."""
+
+    def __init__(self, ids: list, terms: dict[str, tuple[np.ndarray, np.ndarray]]):
+        self.ids, self.terms = ids, terms
+
+    def scores(self, names: list[str], values: list[float]) -> np.ndarray:
+        hits = [(self.terms[t], v) for t, v in zip(names, values, strict=True) if t in self.terms]
+        if not hits:
+            return np.zeros(len(self.ids))
+        which = np.concatenate([q for (q, _), _ in hits])
+        return np.bincount(which, np.concatenate([w * v for (_, w), v in hits]), len(self.ids))
+
+
+def _block(rows: DataFrame) -> Block:
+    """The queries ``(query_id, token, w)`` of one block, at most about ``BLOCK_TERMS`` rows."""
+    found = rows.toArrow()
+    coded, tokens_ = found.column("query_id").combine_chunks().dictionary_encode(), found.column("token").combine_chunks().dictionary_encode()
+    which, token, w = coded.indices.to_numpy(), tokens_.indices.to_numpy(), found.column("w").to_numpy()
+    order = np.argsort(token, kind="stable")
+    cuts = np.flatnonzero(np.diff(token[order])) + 1
+    names = tokens_.dictionary.to_pylist()
+    terms = {names[token[g[0]]]: (which[g], w[g]) for g in np.split(order, cuts)} if len(order) else {}
+    return Block(coded.dictionary.to_pylist(), terms)
 
 
 def search(queries: DataFrame, docs: DataFrame, k: int | None = None, floor: float = 0.0) -> DataFrame:
-    """``query_id, id, score``: the ``k`` most similar documents of each query ``(id, title, text)`` by cosine.
+    """``query_id, id, score``: the ``k`` most similar documents of each query ``(id, title, text)`` by cosine, or all with
+    ``floor`` at least.
 
-    Tokens that no document has are ignored; the floor is for the exact score; scores are rounded to six digits before ties go to the smaller id.
+    Tokens that no document has are ignored; the floor is for the exact score; scores are rounded to six digits before
+    ties go to the smaller id. Each task keeps its own best ``k``, so little more than the result is shuffled.
     """
-    postings, idf, norms = index(docs)
+    spark = docs.sparkSession
+    ship(spark)
+    vectors, idf = index(docs)
+    vectors = written(vectors, "vectors")
     q = term_counts(queries).join(idf, "token").select(F.col("id").alias("query_id"), "token", (F.col("tf") * F.col("idf")).alias("w"))
-    q_norm = q.groupBy("query_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("q_norm"))
-    dots = q.join(postings, "token").groupBy("query_id", "id").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
-    scores = dots.join(norms, "id").join(q_norm, "query_id").filter((F.col("norm") > 0) & (F.col("q_norm") > 0) & (F.col("dot") > 0))
-    scores = scores.select("query_id", "id", (F.col("dot") / (F.col("norm") * F.col("q_norm"))).alias("score")).filter(F.col("score") >= floor)
-    scores = scores.withColumn("score", F.round("score", 6))
+    norms = q.groupBy("query_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("q_norm"))
+    q = written(q.join(norms.filter("q_norm > 0"), "query_id").select("query_id", "token", (F.col("w") / F.col("q_norm")).alias("w")), "queries")
+    parts = max(1, -(-q.count() // BLOCK_TERMS))
+    kinds = {"query_id": queries.schema["id"].dataType.simpleString(), "id": docs.schema["id"].dataType.simpleString()}
+    schema = f"query_id {kinds['query_id']}, id {kinds['id']}, score double"
+    out = None
+    for part in range(parts):
+        sent = spark.sparkContext.broadcast(_block(q.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part)))
+        found = written(vectors.mapInArrow(_scored(sent, k, floor), schema), "scores") if parts > 1 else vectors.mapInArrow(_scored(sent, k, floor), schema)
+        out = found if out is None else out.unionByName(found)
     if k is None:
-        return scores
+        return out
     nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return scores.withColumn("nth", nth).filter(F.col("nth") <= k).drop("nth")
+    return out.withColumn("nth", nth).filter(F.col("nth") <= k).drop("nth")
+
+
+def _scored(sent, k: int | None, floor: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = sent.value
+        kind, best = None, None  # of all documents so far, for each query: scores and ids of the best k
+        for batch in batches:
+            ids, terms, norms = batch.column(0), batch.column(1), batch.column(2).to_pylist()
+            kind, ids, flat = ids.type, ids.to_pylist(), terms.flatten()
+            bounds, names, values = terms.offsets.to_pylist(), flat.field("token").to_pylist(), flat.field("v").to_numpy()
+            first, rows = bounds[0], []
+            for at, (s, e) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+                score = block.scores(names[s - first : e - first], values[s - first : e - first]) / norms[at]
+                on = np.flatnonzero((score > 0) & (score >= floor))
+                rows.append((on, np.round(score[on], 6), np.full(len(on), at)))
+            which, score, at = (np.concatenate([r[c] for r in rows]) for c in range(3)) if rows else (np.empty(0, int),) * 3
+            if k is None:
+                yield _batch(block, which, score, [ids[x] for x in at.tolist()], kind)
+                continue
+            own = [ids[x] for x in at.tolist()]
+            if best is not None:
+                which, score, own = np.concatenate((best[0], which)), np.concatenate((best[1], score)), best[2] + own
+            place = np.argsort(np.argsort(np.array(own))) if own else np.empty(0, int)
+            order = np.lexsort((place, -score, which))
+            group = which[order]
+            start = np.searchsorted(group, group)
+            keep = order[np.arange(len(order)) - start < k]
+            best = (which[keep], score[keep], [own[x] for x in keep.tolist()])
+        if best is not None:
+            yield _batch(block, *best, kind)
+
+    return run
+
+
+def _batch(block: Block, which: np.ndarray, score: np.ndarray, ids: list, kind: pa.DataType) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([block.ids[x] for x in which.tolist()]), pa.array(ids, kind), pa.array(score, pa.float64())], ["query_id", "id", "score"])

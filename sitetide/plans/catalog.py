@@ -326,9 +326,9 @@ def html_links(spark, sf):
 
 @query()
 def link_crawl(spark, sf):
-    """Pages reached over the links of the pages, ten thousand for each host at most."""
+    """Pages reached over the links of the pages from the first page of each host, ten thousand for each host at most."""
     links = sitemap.html_links(view(spark, sf, "pages").select("url", "html")).withColumn("site_id", urls.authority(F.col("url")))
-    starts = view(spark, sf, "pages").select(urls.authority(F.col("url")).alias("site_id"), "url")
+    starts = view(spark, sf, "pages").groupBy(urls.authority(F.col("url")).alias("site_id")).agg(F.min_by("url", F.struct(F.length("url"), "url")).alias("url"))
     return sitemap.link_crawl(links.select("site_id", "url", "target"), starts, 10_000)
 
 
@@ -587,7 +587,7 @@ _J = "json_extract_string(regexp_extract(raw, '(?s)(\\{.*\\})', 1), '$.%s')"
     "answers",
 )
 def json_card_parse(spark, sf):
-    return view(spark, sf, "answers").select("change_id", parsers.analysis(F.col("raw")).alias("a")).select("change_id", "a.category", "a.importance")
+    return parsers.with_analysis(view(spark, sf, "answers")).select("change_id", "analysis.category", "analysis.importance")
 
 
 @query(
@@ -596,7 +596,7 @@ def json_card_parse(spark, sf):
     "answers",
 )
 def match_validation(spark, sf):
-    return view(spark, sf, "answers").select("change_id", parsers.comparison(F.col("raw")).alias("c")).select("change_id", "c.verdict", "c.our_url")
+    return parsers.with_comparison(view(spark, sf, "answers")).select("change_id", "comparison.verdict", "comparison.our_url")
 
 
 # --- similarity -----------------------------------------------------------------------------------------------------
@@ -607,7 +607,7 @@ terms_{{0}} AS (SELECT id, token, count(*) AS tf FROM (SELECT id, regexp_replace
   SELECT id, unnest(regexp_extract_all(replace(lower(text), 'ё', 'е'), '[а-яёa-z0-9]+')) AS w FROM {{1}}) WHERE length(w) > 2 AND w NOT IN ({_STOP}))
   GROUP BY id, token)"""
 _SEARCH = f"""
-WITH docs AS (SELECT doc_id AS id, text FROM documents), items AS (SELECT item_id AS id, text FROM benchmark),
+WITH docs AS (SELECT doc_id AS id, text FROM documents), items AS (SELECT doc_id AS id, text FROM documents WHERE doc_id % 20 = 0),
 {_TERMS.replace("{0}", "q").replace("{1}", "items")}, {_TERMS.replace("{0}", "d").replace("{1}", "docs")},
 idf AS (SELECT token, ln(((SELECT count(*) FROM docs) + 1) / (count(*) + 1)) + 1 AS idf FROM terms_d GROUP BY token),
 d AS (SELECT id, token, tf * idf AS v FROM terms_d JOIN idf USING (token)), q AS (SELECT id, token, tf * idf AS w FROM terms_q JOIN idf USING (token)),
@@ -619,17 +619,17 @@ SELECT query_id, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query
 
 @query(_SEARCH)
 def tfidf_topk(spark, sf):
-    """The three documents most similar to each item of the benchmark."""
+    """The three documents most similar to each document whose id is divisible by twenty, which finds itself too."""
     none = F.lit(None).cast("string").alias("title")
     docs = view(spark, sf, "documents").select(F.col("doc_id").alias("id"), none, "text")
-    return similarity.search(view(spark, sf, "benchmark").select(F.col("item_id").alias("id"), none, "text"), docs, 3)
+    return similarity.search(docs.filter("id % 20 = 0"), docs, 3)
 
 
 @query()
 def topic_merge(spark, sf):
-    """Which first turns of conversations repeat the topic of an earlier one of another site."""
-    rows = view(spark, sf, "conversations").groupBy("conv_id").agg(F.min_by("text", F.struct("turn", "text")).alias("text"))
-    new = rows.select(F.col("conv_id").alias("id"), (F.col("conv_id") % 4).alias("site_id"), F.lit(None).cast("string").alias("title"), "text")
+    """Which labelled documents repeat the topic of an earlier one of another site."""
+    rows = view(spark, sf, "documents").join(view(spark, sf, "labels").select("doc_id").distinct(), "doc_id", "left_semi")
+    new = rows.select(F.col("doc_id").alias("id"), (F.col("doc_id") % 4).alias("site_id"), F.lit(None).cast("string").alias("title"), "text")
     return topics.same_run_topics(new)
 
 

@@ -274,7 +274,7 @@ def decision_tallies(spark, sf):
 
 
 @query(
-    """SELECT site_id AS run_id, count(*) FILTER (decision = 'new') AS n_new, count(*) FILTER (decision = 'update') AS n_update, count(*) FILTER (decision = 'exists') AS n_exists,
+    """SELECT site_id AS run_id, count(*) FILTER (decision = 'new') AS n_new, count(*) FILTER (decision = 'update') AS n_update, count(*) FILTER (decision = 'covered') AS n_covered,
        count(*) FILTER (merged) AS merged, count(*) FILTER (decision IS NULL AND NOT merged) AS not_compared
        FROM (SELECT site_id, page_id % 4 = 1 AS merged, CASE WHEN page_id % 5 <> 0 THEN decision END AS decision FROM findings JOIN decisions USING (decision_id)) GROUP BY site_id""",
     "findings", "decisions",

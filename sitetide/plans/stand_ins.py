@@ -52,7 +52,7 @@ SQL = {
                CASE WHEN doc_id % 6 = 0 THEN 'sub ' || CAST(doc_id % 9 AS STRING) || ';own ' || CAST(doc_id % 4 AS STRING) ELSE '' END AS added
         FROM {{labels}}""",
     "decisions": f"""
-        SELECT DISTINCT doc_id % 60 AS decision_id, CASE WHEN doc_id % 3 = 0 THEN 'new' WHEN doc_id % 3 = 1 THEN 'update' ELSE 'exists' END AS decision,
+        SELECT DISTINCT doc_id % 60 AS decision_id, CASE WHEN doc_id % 3 = 0 THEN 'new' WHEN doc_id % 3 = 1 THEN 'update' ELSE 'covered' END AS decision,
                'Intent ' || CAST(doc_id % 60 AS STRING) AS main_intent, CASE WHEN doc_id % 4 = 1 THEN NULL ELSE 'статья' END AS material_type,
                CASE WHEN doc_id % 4 = 2 THEN NULL ELSE 'https://own.example/blog/' || CAST(doc_id % 60 AS STRING) END AS our_url,
                CASE WHEN doc_id % 5 = 0 THEN 'a;b;c;d;e;f' WHEN doc_id % 5 = 1 THEN 'a;b' ELSE '' END AS subintents,

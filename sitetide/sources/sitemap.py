@@ -124,20 +124,22 @@ def first_source(candidates: DataFrame) -> DataFrame:
     return candidates.join(best, ["site_id", "rank"])
 
 
-def link_crawl(links: DataFrame, starts: DataFrame, max_pages: int, max_depth: int = 50) -> DataFrame:
+def link_crawl(links: DataFrame, starts: DataFrame, max_pages: int) -> DataFrame:
     """``site_id, url, depth`` reached over ``links (site_id, url, target)`` breadth first, ``max_pages`` for each site.
 
-    One join and one anti join for each level; the pages met so far are written to the shared folder.
+    A level is one join of the last one's pages and one anti join with the pages met so far, and is written to the shared
+    folder. Levels go on until one brings nothing new; a site that has its pages sends none on.
     """
     same = links.filter(urls.same_domain(F.col("url"), F.col("target")))
-    edges = same.select("site_id", urls.normalize_url(F.col("url")).alias("url"), urls.normalize_url(F.col("target")).alias("next")).distinct()
+    edges = written(same.select("site_id", urls.normalize_url(F.col("url")).alias("url"), urls.normalize_url(F.col("target")).alias("next")).distinct(), "links")
     seen = written(starts.select("site_id", urls.normalize_url(F.col("url")).alias("url")).distinct().withColumn("depth", F.lit(0)), "seen")
-    for depth in range(1, max_depth + 1):
-        front = seen.filter(F.col("depth") == depth - 1).join(edges, ["site_id", "url"]).select("site_id", F.col("next").alias("url")).distinct()
-        new = written(front.join(seen, ["site_id", "url"], "left_anti").withColumn("depth", F.lit(depth)), "front")
-        if new.isEmpty():
-            break
-        seen = seen.unionByName(new)
+    depth, front = 0, seen
+    while not front.isEmpty():
+        depth += 1
+        full = seen.groupBy("site_id").agg(F.count("*").alias("n")).filter(F.col("n") >= max_pages)
+        reached = front.join(full, "site_id", "left_anti").join(edges, ["site_id", "url"]).select("site_id", F.col("next").alias("url")).distinct()
+        front = written(reached.join(seen, ["site_id", "url"], "left_anti").withColumn("depth", F.lit(depth)), "front")
+        seen = written(seen.unionByName(front), "seen")
     nth = F.row_number().over(Window.partitionBy("site_id").orderBy("depth", "url"))
     return seen.withColumn("n", nth).filter(F.col("n") <= max_pages).drop("n")
 

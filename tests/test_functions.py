@@ -90,8 +90,11 @@ def test_expressions(spark):
     assert [value(text.page_number(F.lit(x))) for x in ("", "abc", "2.5", "0", "-5", "  7  ")] == [1, 1, 1, 1, 1, 7]
     assert value(text.union_ci(F.array(F.lit("A")), F.array(F.lit("a"), F.lit("b"), F.lit("b")))) == ["A", "b", "b"]
     assert value(text.clip(F.lit("a  b c"), 4)) == "a b…" and value(text.blocked_reason(F.lit(200), F.lit("Just a moment"))) == "just a moment"
-    assert value(parsers.comparison(F.lit('x {"verdict": "да", "our_url": "u"} y')))["verdict"] == "similar"
-    assert value(parsers.analysis(F.lit("no object"))) is None
+    raw = spark.createDataFrame([('x {"verdict": "да", "our_url": "u", "importance": "low"} y',), ("no object",), (None,)], "raw string")
+    assert [r["comparison"] and r["comparison"]["verdict"] for r in parsers.with_comparison(raw).collect()] == ["similar", None, None]
+    found = parsers.with_analysis(raw).select("analysis.category", "analysis.importance")
+    assert [r["importance"] for r in found.collect()] == ["low", None, None]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
 
 
 def test_answers_are_validated(spark):
