@@ -23,7 +23,7 @@ from sitetide.session import ship, table, trim, written
 
 VOCABULARY = "word_bpe_49k.json"
 #: Bytes of text of a chunk, which has a dictionary of its own words, and of the corpus for each part of the word table.
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 BUCKET_BYTES = 16 << 20
 #: Bytes of text taken at a time inside a batch, and words kept by a task from one such piece to the next.
 PIECE_BYTES = 2 << 20
