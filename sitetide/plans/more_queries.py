@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from sitetide.functions import parsers
 from sitetide.operators import marts, planning, reports, snapshots, topics
 from sitetide.plans.catalog import _AT, _DIFF, _GAPS, _SHEET, NOW, _stamp, _ts, query, sheet_rows
 from sitetide.plans.stand_ins import view
+from sitetide.sources import sitemap, store
 
 _CONTENT = "CASE WHEN regexp_matches(url, '/blog/') OR coalesce(category LIKE 'Новост%', false) THEN 'info' ELSE 'commerce' END"
 _LABEL = """CASE WHEN sitewide_pages IS NOT NULL THEN 'Сквозное изменение' WHEN moved_to IS NOT NULL THEN 'Страница переехала'
@@ -350,3 +352,101 @@ def expired_cookies(spark, sf):
 )
 def cookie_sites(spark, sf):
     return reports.sites_of_cookies(view(spark, sf, "sites"), view(spark, sf, "cookies"))
+
+
+# --- sources and answers --------------------------------------------------------------------------------------------
+
+
+@query(
+    """SELECT site_id, 'https://site' || site_id || '.example/sitemap.xml' AS source, url, '2024-01-05' AS lastmod FROM monitored WHERE site_id < 2
+       UNION ALL SELECT site_id, 'https://site' || site_id || '.example/part' || (page_id % 2) || '.xml', url, '2024-01-05' FROM monitored WHERE site_id >= 2""",
+    "monitored",
+)
+def sitemap_files(spark, sf):
+    """Sites 0 and 1 list their parts in an index, which takes the place of the parts; the others have parts only."""
+    part = F.concat(F.lit("https://site"), F.col("site_id").cast("string"), F.lit(".example/part"), (F.col("page_id") % 2).cast("string"), F.lit(".xml"))
+    entry = F.concat(F.lit("<url><loc>"), F.col("url"), F.lit("</loc><lastmod>2024-01-05</lastmod></url>"))
+    rows = view(spark, sf, "monitored").select("site_id", part.alias("url"), entry.alias("e"))
+    parts = rows.groupBy("site_id", "url").agg(F.concat(F.lit("<urlset xmlns='http://www.sitemaps.org/schemas/sitemap/0.9'>"), F.array_join(F.collect_list("e"), "\n"), F.lit("</urlset>")).alias("body"))
+    found = F.array_join(F.transform(F.collect_list("url"), lambda u: F.concat(F.lit("<sitemap><loc>"), u, F.lit("</loc></sitemap>"))), "")
+    heads = parts.filter("site_id < 2").groupBy("site_id").agg(F.concat(F.lit("<sitemapindex xmlns='http://www.sitemaps.org/schemas/sitemap/0.9'>"), found, F.lit("</sitemapindex>")).alias("body"))
+    heads = heads.select("site_id", F.concat(F.lit("https://site"), F.col("site_id").cast("string"), F.lit(".example/sitemap.xml")).alias("url"), "body")
+    files = parts.unionByName(heads).select("site_id", "url", F.col("body").cast("binary").alias("body"), F.lit(200).alias("status"))
+    return sitemap.read_sitemaps(files)
+
+
+@query(
+    """SELECT site_id, url, '2024-01-06 00:00:00' AS lastmod FROM monitored WHERE page_id % 5 <> 3""",
+    "monitored",
+)
+def normal_entries(spark, sf):
+    """Each address twice, with and without a closing slash, the later one counts; some of another host, some files."""
+    base = F.concat(F.lit("https://site"), F.col("site_id").cast("string"), F.lit(".example"))
+    rows = view(spark, sf, "monitored").withColumn("base_url", base)
+    other = F.when(F.col("page_id") % 10 == 3, F.concat(F.lit("https://other.example/"), F.col("page_id").cast("string"))).when(F.col("page_id") % 10 == 8, F.concat("url", F.lit(".pdf"))).otherwise(F.col("url"))
+    one = rows.select("site_id", "base_url", F.lit(1).alias("pos"), F.concat(other, F.lit("")).alias("url"), F.lit("2024-01-05").alias("lastmod"))
+    two = rows.filter("page_id % 10 not in (3, 8)").select("site_id", "base_url", F.lit(2).alias("pos"), F.concat("url", F.lit("/#top")).alias("url"), F.lit("2024-01-06T00:00:00Z").alias("lastmod"))
+    return sitemap.to_entries(one.unionByName(two)).select("site_id", "url", _stamp("lastmod"))
+
+
+@query(
+    f"""SELECT site_id, url, {_ts("max(last_checked_at)")} AS fetched_at FROM page_states WHERE last_checked_at > {_AT} - INTERVAL 12 DAY GROUP BY site_id, url""",
+    "page_states",
+)
+def resume_hits(spark, sf):
+    cache = view(spark, sf, "page_states").select("site_id", "url", F.col("last_checked_at").alias("fetched_at"))
+    return store.resume_hits(cache, NOW, 12 * 24).select("site_id", "url", _stamp("fetched_at"))
+
+
+_SAID = "CASE change_id % 4 WHEN 0 THEN 'update' WHEN 1 THEN 'Covered' WHEN 2 THEN 'new' ELSE 'perhaps' END"
+
+
+@query(
+    f"""SELECT change_id AS batch_id, n, CASE WHEN our_url IS NULL THEN 'new' ELSE said END AS decision, our_url,
+        CASE WHEN our_url IS NULL THEN 'none' WHEN said = 'update' THEN 'partial' WHEN said = 'new' THEN 'none' ELSE 'full' END AS coverage
+        FROM (SELECT change_id, 1 AS n, lower({_SAID}) AS said, CASE WHEN change_id % 3 = 0 THEN 'https://own.example/' || change_id END AS our_url FROM changes WHERE change_id % 4 <> 3
+              UNION ALL SELECT change_id, 2, 'new', NULL FROM changes)""",
+    "changes",
+)
+def match_results(spark, sf):
+    """Two answers of a batch: the first may name a page that was not offered, the second has none; a third is out of range."""
+    offered = F.concat(F.lit("https://own.example/"), F.col("change_id").cast("string"))
+    named = F.when(F.col("change_id") % 3 == 0, offered).when(F.col("change_id") % 3 == 1, "https://unknown.example").otherwise("")
+    raw = F.format_string('So: {"results": [{"n": 1, "decision": " %s ", "our_url": "%s"}, {"n": "2", "decision": "new"}, {"n": 3, "decision": "new"}]} end', F.expr(_SAID), named)
+    rows = view(spark, sf, "changes").select(F.col("change_id").alias("batch_id"), F.array(F.array(offered), F.array(F.lit("x"))).alias("candidates"), raw.alias("raw"))
+    return parsers.match_results(rows).select("batch_id", "n", "decision", "our_url", "coverage")
+
+
+@query(
+    """SELECT change_id AS batch_id, 1 AS n, 'Topic ' || page_id AS topic, CASE WHEN change_id % 2 = 0 THEN 'Intent' ELSE 'Topic ' || page_id END AS main_intent,
+       CASE WHEN change_id % 5 = 0 THEN 'чек-лист' ELSE 'другое' END AS material_type, 'a,b' AS subintents FROM changes""",
+    "changes",
+)
+def intent_cards(spark, sf):
+    """One card of each answer: a topic stands in for a missing intent, kinds are known ones, empty subintents go."""
+    raw = F.format_string(
+        '{"cards": [{"n": 1, "topic": "old"}, {"n": 1, "topic": "Topic %d", "main_intent": "%s", "subintents": ["a", " ", "b"], "material_type": "%s"}, {"n": 7, "topic": "x"}]}',
+        F.col("page_id"), F.when(F.col("change_id") % 2 == 0, "Intent").otherwise(""), F.when(F.col("change_id") % 5 == 0, "Чек-лист для мам").otherwise("поэма"),
+    )
+    rows = view(spark, sf, "changes").select(F.col("change_id").alias("batch_id"), F.lit(2).alias("size"), raw.alias("raw"))
+    return parsers.intent_cards(rows).select("batch_id", "n", "topic", "main_intent", "material_type", F.array_join("subintents", ",").alias("subintents"))
+
+
+@query(
+    f"""SELECT change_id, name FROM changes JOIN sites USING (site_id)
+        WHERE change_type = 'new' AND site_id % 2 = 0 AND url LIKE '%blog/%' AND NOT is_own AND detected_at >= {_AT} - INTERVAL 30 DAY""",
+    "changes", "sites",
+)
+def feed_search(spark, sf):
+    """New pages of rivals whose address holds a text, of the last thirty days, on sites with even ids."""
+    rows = marts.feed(view(spark, sf, "changes"), view(spark, sf, "sites"), view(spark, sf, "analysis"), kind="new", q="BLOG/", since="2024-01-01 00:00:00")
+    return rows.filter("site_id % 2 = 0").select("change_id", "name")
+
+
+@query(
+    "SELECT change_id, name FROM changes JOIN sites USING (site_id) WHERE site_id = 3 AND importance = 'high'",
+    "changes", "sites",
+)
+def feed_of_site(spark, sf):
+    rows = marts.feed(view(spark, sf, "changes"), view(spark, sf, "sites"), view(spark, sf, "analysis"), site=3, high=True)
+    return rows.select("change_id", "name")
