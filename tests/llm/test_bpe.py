@@ -77,3 +77,22 @@ def test_orc_of_odd_rows(spark, docs, rows, empty, tmp_path):
     assert [r["doc_id"] for r in token_output.read_tokens(spark, path, [5]).collect()] == [5]
     token_output.write_tokens(empty, f"file://{tmp_path}/b")
     assert token_output.read_tokens(spark, f"file://{tmp_path}/b").count() == 0
+
+
+def test_reads_are_pruned_by_row_indexes_and_bloom_filters(spark, tmp_path):
+    """A scan for one id gives the rows of one index stride at most; for an absent id between others, none at all."""
+    docs = spark.range(0, 40_000, 2).selectExpr("id AS doc_id", "concat('word ', id) AS text", "1 AS part", "'x' AS ids")
+    path = f"file://{tmp_path}/pruned"
+    token_output.write_tokens(docs, path)
+
+    def scanned(ids):
+        rows = token_output.read_tokens(spark, path, ids)
+        found = sorted(r["doc_id"] for r in rows.collect())
+        leaf = rows._jdf.queryExecution().executedPlan().collectLeaves().head()
+        return found, leaf.metrics().apply("numOutputRows").value()
+
+    found, n = scanned([20_002])
+    assert found == [20_002] and n <= int(token_output.ORC["orc.row.index.stride"])
+    found, n = scanned([20_003])
+    assert found == [] and n <= 0.1 * 20_000  # statistics alone would give a whole stride of each file's range
+    assert token_output.read_tokens(spark, path).count() == 20_000
