@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sitetide.llm.skew import join_hot
@@ -19,6 +19,9 @@ THRESHOLD = 0.93
 SAMPLE = 40_000
 CELL = 512
 PROBES = 3
+#: A cell with more than SPLIT times CELL vectors is cut into cells of its own, fitted on at most SUB_SAMPLE of them.
+SPLIT = 8
+SUB_SAMPLE = 20_000
 #: Rows of one block: a product of two blocks is at most 2 x BLOCK x BLOCK doubles.
 BLOCK = 1024
 
@@ -102,6 +105,46 @@ def assign(distinct: DataFrame, cells: dict, probes: int = PROBES) -> DataFrame:
     return placed.withColumn("length", F.size("embedding")).withColumn("cell", F.explode("cells"))
 
 
+def refine(distinct: DataFrame, placed: DataFrame, cell: int = CELL, probes: int = PROBES, split: int = SPLIT) -> DataFrame:
+    """``placed`` with its large cells cut into cells of about ``cell`` vectors, so that their number follows the data.
+
+    Each large cell gets centroids from a bounded sample of its own; its vectors meet these block by block and go to the
+    ``probes`` nearest. A vector's ``cells`` are then those of all the cells that it was in.
+    """
+    key = ["label", "length", "cell"]
+    counts = placed.groupBy(*key).agg(F.count("*").alias("members"))
+    large = written(counts.filter(F.col("members") > split * cell).withColumn("blocks", F.ceil(F.col("members") / 50_000).cast("int")), "large")
+    if large.isEmpty():
+        return placed
+    large = F.broadcast(large)  # no more rows than fitted cells
+    inside = placed.select(*key, "node", "embedding").join(large, key)
+    nth = F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64("node")))
+    sample = inside.withColumn("nth", nth).filter(F.col("nth") <= SUB_SAMPLE)
+
+    def fit(rows: pa.Table) -> pa.Table:
+        x = unit_rows(rows.column("embedding").combine_chunks())
+        centres = spherical_kmeans(x, max(1, min(round(rows.column("members")[0].as_py() / cell), len(x) // 4)))
+        same = {c: pa.array([rows.column(c)[0].as_py()] * len(centres), rows.schema.field(c).type) for c in (*key, "blocks")}
+        return pa.table(same | {"number": pa.array(range(len(centres)), pa.int64()), "centre": pa.array(centres.tolist(), pa.list_(pa.float64()))})
+
+    def near(rows: pa.Table, own: pa.Table) -> pa.Table:
+        x, c = unit_rows(rows.column("embedding").combine_chunks()), unit_rows(own.column("centre").combine_chunks())
+        p, number = min(probes, len(c)), own.column("number").to_numpy() + 1 + (rows.column("cell")[0].as_py() << 20)
+        best = np.concatenate([np.argpartition(-(x[s : s + 4096] @ c.T), p - 1, axis=1)[:, :p] for s in range(0, len(x), 4096)])
+        return pa.table({"node": rows.column("node"), "inner": pa.array(number[best].tolist(), pa.list_(pa.int64()))})
+
+    kinds = {f.name: f.dataType.simpleString() for f in inside.schema}
+    schema = f"{', '.join(f'{c} {kinds[c]}' for c in key)}, blocks int, number long, centre array<double>"
+    centres = written(sample.groupBy(*key).applyInArrow(fit, schema), "centres")
+    centres = centres.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = inside.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    inner = dealt.groupBy(*key, "block").cogroup(centres.groupBy(*key, "block")).applyInArrow(near, "node long, inner array<long>")
+    others = placed.join(large.select(*key), key, "left_anti").select("node", F.shiftleft(F.col("cell").cast("long"), 20).alias("c"))
+    cells = inner.select("node", F.explode("inner").alias("c")).unionByName(others).groupBy("node").agg(F.collect_list("c").alias("cells"))  # probes x probes at most
+    rows = distinct.select("label", "embedding", "node", "n").join(cells, "node")
+    return rows.withColumn("length", F.size("embedding")).withColumn("cell", F.explode("cells"))
+
+
 def _compare(threshold: float):
     def run(table_: pa.Table) -> pa.Table:
         cell = table_.column("cell")[0].as_py()
@@ -144,12 +187,19 @@ def _compare(threshold: float):
 
 
 def near_duplicates(
-    vectors: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE, cell: int = CELL, probes: int = PROBES, block: int = BLOCK
+    vectors: DataFrame,
+    threshold: float = THRESHOLD,
+    sample: int = SAMPLE,
+    cell: int = CELL,
+    probes: int = PROBES,
+    block: int = BLOCK,
+    split: int = SPLIT,
 ) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` of every row of ``vectors (vec_id, embedding, label)``.
 
     Vectors of one label with a cosine of at least ``threshold`` are linked. Equal vectors of a label are one class
-    with a count, so hot copies cost one row. Each class goes to its ``probes`` nearest cells; a cell is cut into
+    with a count, so hot copies cost one row. Each class goes to its ``probes`` nearest cells, large cells are cut into
+    cells of their own; a cell is dealt to
     blocks of about ``block`` rows and each pair of blocks is one group, which gives link counts and a spanning forest,
     never its pairs. A pair is found where the two share a cell, and counted once. Null labels, null or zero vectors
     and those with null or non-finite parts link with nothing, as do vectors of different lengths. A repeated ``vec_id``
@@ -159,6 +209,8 @@ def near_duplicates(
     ship(vectors.sparkSession)
     distinct = classes(vectors)
     placed = written(assign(distinct, fit_cells(distinct, sample, cell), probes), "cells")
+    finer = refine(distinct, placed, cell, probes, split)
+    placed = placed if finer is placed else written(finer, "cells")
     key = ["label", "length", "cell"]
     counts = placed.groupBy(*key).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     dealt = placed.join(counts, key).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))

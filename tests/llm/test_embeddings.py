@@ -80,6 +80,9 @@ def test_recall_over_many_cells(spark):
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     want = {i: int((x @ x[i] >= embeddings.THRESHOLD).sum()) - 1 for i in range(0, 5600, 20)}
     assert sum(want.values()) > 500
+    # few first cells, all of which are cut into cells of their own
+    second = {r["vec_id"]: r["n_links"] for r in embeddings.near_duplicates(frame, cell=40, sample=64, split=2).collect()}
+    assert all(second[i] <= n for i, n in want.items()) and sum(second[i] for i in want) >= 0.9 * sum(want.values())
     assert all(got[i] <= n for i, n in want.items()) and sum(got[i] for i in want) >= 0.9 * sum(want.values())
 
 
