@@ -38,7 +38,8 @@ def ship(spark: SparkSession) -> None:
     """Let the workers import this package where PYTHONPATH does not already do so, and bound their batches by bytes."""
     home, context = Path(__file__).resolve().parent, spark.sparkContext
     if not getattr(context, "_sitetide_batches", False):
-        if int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("bB")) > BATCH_BYTES:
+        given = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").lower().removesuffix("b")
+        if given.isdigit() and int(given) > BATCH_BYTES:
             spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
         context._sitetide_batches = True
     if str(home.parent) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(context, "_sitetide", False):
