@@ -96,6 +96,14 @@ def drop_scratch(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def bucketed(df: DataFrame, label: str, by: str, n: int) -> DataFrame:
+    """Like ``written``, in ``n`` buckets of the values of a column, so that grouping by it shuffles nothing again."""
+    spark = df.sparkSession
+    name = f"{label}_{uuid.uuid4().hex}"
+    df.write.format("parquet").bucketBy(n, by).option("path", f"{_own_folder(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet into the shared folder and read it again."""
     spark = df.sparkSession
