@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sitetide.session import ship, table, trim, written
+from sitetide.session import bucketed, ship, table, trim
 
 VOCABULARY = "word_bpe_49k.json"
 #: Bytes of text of a chunk, which has a dictionary of its own words, and of the corpus for each part of the word table.
@@ -216,8 +216,8 @@ def word_table(docs: DataFrame) -> DataFrame:
     return found.filter("word <> ''").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def chunks(docs: DataFrame, keep: list[str], buckets: int, size: int = CHUNK_BYTES) -> DataFrame:
-    """Chunks of documents coded by their own words, written to the shared folder: rows of two kinds.
+def chunks(docs: DataFrame, keep: list[str], buckets: int, places: int, size: int = CHUNK_BYTES) -> DataFrame:
+    """Chunks of documents coded by their own words, written to the shared folder in ``places`` buckets: rows of two kinds.
 
     A document (``bucket`` -1): ``chunk``, its place, the columns ``keep`` and its words' codes. A part of the chunk's
     dictionary: ``chunk, bucket`` and the keys that belong to this part of the word table, with their numbers.
@@ -259,7 +259,7 @@ def chunks(docs: DataFrame, keep: list[str], buckets: int, size: int = CHUNK_BYT
             yield from flush()
         trim()
 
-    return written(docs.mapInArrow(run, schema), "chunks")
+    return bucketed(docs.mapInArrow(run, schema), "chunks", "chunk", places)
 
 
 def _fields(*named) -> list[T.StructField]:
@@ -314,7 +314,7 @@ def with_ids(docs: DataFrame, keep: list[str], path: str, finish, schema: T.Stru
     """Rows of ``finish(columns of keep, ids of the texts)`` for all of ``docs``: ids joined back to the words' places."""
     ship(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    packed = chunks(docs, keep, max(4, -(-size // BUCKET_BYTES)), chunk)
+    packed = chunks(docs, keep, max(4, -(-size // BUCKET_BYTES)), max(4, min(-(-size // CHUNK_BYTES), 50_000)), chunk)
     told = encoded_words(packed.filter("bucket >= 0").select("chunk", "bucket", "data"), path)
 
     def restore(left: pa.Table, right: pa.Table) -> pa.Table:
