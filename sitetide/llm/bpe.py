@@ -27,7 +27,7 @@ CHUNK_BYTES = 8 << 20
 BUCKET_BYTES = 16 << 20
 #: Bytes of text taken at a time inside a batch, and words kept by a task from one such piece to the next.
 PIECE_BYTES = 2 << 20
-CACHE_WORDS = 1 << 18
+CACHE_WORDS = 1 << 19
 _MARKS = ".,;:!?"
 MARKS = len(_MARKS) + 1
 _LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
@@ -153,7 +153,11 @@ class Words:
         """Ids of texts from their coded words and the ids (``flat`` in runs of ``sizes``) of the keys."""
         known = len(sizes)
         flat, sizes = np.concatenate((flat, self.mark_flat)), np.concatenate((sizes, self.mark_sizes))
-        words, back = np.unique(coded, return_inverse=True)
+        number = np.zeros(int(coded.max(initial=-1)) + 1, np.int32)
+        number[coded] = 1
+        words = np.flatnonzero(number)
+        number[words] = np.arange(len(words), dtype=np.int32)
+        back = number[coded]
         take, ends = spread(np.cumsum(sizes) - sizes, sizes, np.column_stack((words // MARKS, known + words % MARKS)).ravel())
         flat, first = flat[take], ends[::2]  # ids of each distinct word with its mark
         take, ends = spread(first[:-1], np.diff(first), back)
