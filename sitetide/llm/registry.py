@@ -6,7 +6,9 @@ from sitetide.llm import (
     bpe,
     decontamination,
     embeddings,
+    filter_audit,
     fm_index,
+    multiset_hash,
     oracles,
     pii,
     sharding,
@@ -14,6 +16,7 @@ from sitetide.llm import (
     suffix_levels,
     token_output,
     toxicity,
+    whitening,
 )
 
 
@@ -29,8 +32,11 @@ def queries() -> dict:
         "op8_string_kernel": toxicity.op8_string_kernel,
         "op9_virtual_slots": sharding.op9_virtual_slots,
         "op10_kmeans_cells": embeddings.op10_kmeans_cells,
+        "op11_multiset_hash": multiset_hash.op11_multiset_hash,
+        "op12_whitening": whitening.op12_whitening,
+        "op13_filter_audit": filter_audit.op13_filter_audit,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op1_fm_index": oracles.OP1, "op6_aho_corasick": oracles.OP6, "op10_kmeans_cells": oracles.OP10}
+    return {"op1_fm_index": oracles.OP1, "op6_aho_corasick": oracles.OP6, "op10_kmeans_cells": oracles.OP10, "op13_filter_audit": oracles.OP13}
