@@ -27,7 +27,7 @@ CHUNK_BYTES = 8 << 20
 BUCKET_BYTES = 16 << 20
 #: Bytes of text taken at a time inside a batch, and words kept by a task from one such piece to the next.
 PIECE_BYTES = 4 << 20
-CACHE_WORDS = 1 << 19
+CACHE_WORDS = 1 << 20
 _MARKS = ".,;:!?"
 MARKS = len(_MARKS) + 1
 _LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
@@ -103,6 +103,15 @@ def closing_pieces(path: str) -> np.ndarray:
 class Words:
     """Ids of distinct words, remembered within a bound, for those who see words in turn."""
 
+    made: ClassVar[dict[str, Words]] = {}
+
+    @classmethod
+    def of(cls, path: str) -> Words:
+        """That of this process, which knows the words of the tasks before; at most ``CACHE_WORDS`` of them."""
+        if path not in cls.made:
+            cls.made[path] = cls(path)
+        return cls.made[path]
+
     def __init__(self, path: str):
         self.model, self.closing = load(path), closing_pieces(path)
         marks = [e.ids for e in self.model.encode_batch_fast(list(_MARKS), add_special_tokens=False)]

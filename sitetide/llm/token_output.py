@@ -43,7 +43,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, end_
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, seq = Words(vocabulary), 0
+        coder, seq = Words.of(vocabulary), 0
         for batch in batches:
             for piece in pieces(batch):
                 ids = coder.encode(piece.column(1))
@@ -54,7 +54,6 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, end_
                 rows = pa.array(np.arange(seq, seq + len(made)))
                 seq += len(made)
                 yield pa.RecordBatch.from_arrays([piece.column(2), rows, piece.column(0), made], ["part", "seq", "doc_id", "ids"])
-        del coder
         trim()
 
     out = ranged.withColumn("part", F.spark_partition_id()).mapInArrow(run, f"part int, seq long, doc_id {kind}, ids array<int>")
