@@ -120,8 +120,8 @@ def phones(text: str, pluses: list[int]) -> list[tuple[str, int, int]]:
 
 def pages(text: str, schemes: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
     """Addresses of pages: a scheme expands to the next blank or quote, without closing punctuation; its host must have
-    a dot. Schemes inside an address are part of it, and a stretch is measured once for all schemes in it."""
-    out, free, stop, trimmed = [], 0, -1, -1
+    a dot. Schemes inside an address are part of it, and a stretch and its host are measured once for all schemes in them."""
+    out, free, stop, trimmed, host, last, named = [], 0, -1, -1, -1, -1, False
     for start, end in schemes:
         if start < free or (start and text[start - 1].isalnum()):
             continue
@@ -129,8 +129,11 @@ def pages(text: str, schemes: list[tuple[int, int]]) -> list[tuple[str, int, int
             trimmed = stop = _STRETCH.match(text, end).end()
             while trimmed > end and text[trimmed - 1] in _CLOSING:
                 trimmed -= 1
-        host = _HOST.match(text, end, max(end, trimmed))
-        if trimmed > end and _DOMAIN.match(host[0].rpartition("@")[2]):
+        if end > host:  # all schemes before the host's end share it, and what follows its last at-sign
+            host = _HOST.match(text, end, max(end, trimmed)).end()
+            last = text.rfind("@", end, host)
+            named = last >= 0 and bool(_DOMAIN.match(text, last + 1, host))
+        if trimmed > end and (named if last >= end else _DOMAIN.match(text, end, host)):
             out.append(("url", start, trimmed))
             free = trimmed
     return out

@@ -62,6 +62,7 @@ def test_long_texts_take_linear_time():
     """A million characters of what is worst for each parser."""
     n = 1_000_000
     worst = ["account ", "token = ", "mail a@b.cc, see http://x.yy/a@b.cc ", "http://", "x/http://", "1", "1.", "1.1.1.", "+1 ", "+1()", "+", "@", "a@", "a.", "http://a.", "IBAN: ", "account no: 12 34 ", "4111-", "a_", "password=a", "AKIA"]
+    worst += [*pii._SCHEMES, *[f"{x}a@" for x in pii._SCHEMES], "mailto:a.b@c", "mailto:@"]
     anchors = pii._anchors()
     for part in worst:
         began = time.process_time()
