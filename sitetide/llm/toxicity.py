@@ -46,8 +46,6 @@ COVERED = 0.7
 #: So many counted pieces are kept before they are handed on, and so many rows are worked on at a time.
 HELD = 200_000
 ROWS = 8192
-#: With fewer texts of a class, words that mark it may not stand out from chance.
-TOLD = 50
 #: Lengths of the stretches of letters that are counted to find words that mark toxic texts.
 GRAMS = (4, 5, 6)
 #: A piece marks toxic texts if it stands in them this many times as often as in clean ones; a sure one even more.
@@ -413,8 +411,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
 
     Landmarks and the first machine come from words: those with a stretch of letters that toxic texts hold far more
     often than chance allows (a likelihood ratio beyond what the number of pieces tried would give), and words of clean
-    texts. Then the machine is trained on the labelled sentences, as the module says. Where no word marks toxic texts it
-    fails, or, with fewer than ``TOLD`` texts of a class, warns and gives None.
+    texts. Then the machine is trained on the labelled sentences, as the module says. Where no word is beyond chance, the
+    likeliest words of toxic texts are the landmarks, so a handful of labelled texts is enough to fit something; without a
+    word in either class it warns and gives None.
     """
     ship(docs.sparkSession)
     rows = written(training_rows(docs, labels), "training")
@@ -438,14 +437,12 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     clean = counts.filter("whole and c >= 1").filter(~often_toxic)
     often = clean.orderBy(F.desc("c"), "piece").limit(SAMPLE_WORDS // 2)
     any_ = clean.orderBy(F.xxhash64("piece"), "piece").limit(10 * SAMPLE_WORDS)
+    marked = marked or [(r["piece"], r["t"]) for r in likely[:LANDMARKS]]  # none is beyond chance: the likeliest are segments to learn from
     bad = [head(w) for w, _ in marked]
     good = [head(r["piece"]) for r in often.unionByName(any_).collect()]
     good = list(dict.fromkeys(good))
     if not bad or not good:
-        said = f"labels of both classes ({size[1]} toxic, {size[0]} clean texts), but no word that marks either"
-        if min(size[1], size[0]) >= TOLD:
-            raise ValueError(said)
-        warnings.warn(f"{said}: no model, all texts score 0", stacklevel=2)
+        warnings.warn(f"labels of both classes ({size[1]} toxic, {size[0]} clean texts), but no words in one of them", stacklevel=2)
         return None
     marks = covering(bad, LANDMARKS * 3 // 4)
     near = Landmarks(marks).matrix(good).max(axis=1)

@@ -66,9 +66,34 @@ def test_every_marked_word_is_near_a_landmark_and_parts_of_long_words_are_seen()
     assert plain == -1.0 and min(odd) > 0
 
 
-def test_labels_of_both_classes_without_a_model_are_told(corpus):
+def test_a_handful_of_labelled_texts_fits_something(spark, small):
+    """Ten toxic texts: no word is beyond chance, yet toxic texts score higher, held-out ones too."""
+    toxic = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{small}/labels.parquet").collect()}
+    got = [(r["score"], toxic[r["doc_id"]], r["held_out"]) for r in toxicity.op8_string_kernel(spark, small).collect() if toxic.get(r["doc_id"]) is not None]
+    assert len({s for s, _, _ in got}) > 1
+    for held in (True, False):
+        bad, good = ([s for s, t, h in got if t == k and h == held] for k in (1, 0))
+        if bad and good:
+            assert sum((b > g) + 0.5 * (b == g) for b in bad for g in good) / (len(bad) * len(good)) > 0.5
+    assert sum(s >= 0.5 for s, t, _ in got if not t) <= 0.1 * len(got)
+
+
+def test_a_class_without_words_gives_no_model(spark):
+    docs = spark.createDataFrame([(i, "..." if i % 2 else "some clean words here", "x") for i in range(20)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int")
+    with pytest.warns(UserWarning, match="no words"):
+        assert toxicity.train(docs, labels) is None
+    assert {r["score"] for r in toxicity.score(docs, None).collect()} == {0.0}
+
+
+def test_long_texts_repeats_and_ties(spark, corpus):
+    """Words are judged wherever they stand in a long text; equal texts and repeated rows score alike."""
     docs, labels = corpus
-    with pytest.raises(ValueError, match="both classes"):
-        toxicity.train(docs, labels.selectExpr("doc_id", "cast(floor(doc_id / 2) % 2 as int) AS toxic"))
-    with pytest.warns(UserWarning, match="no model"):
-        assert toxicity.train(docs, labels.filter("doc_id < 12")) is None
+    model = toxicity.train(docs, labels)
+    bad = docs.join(labels.filter("toxic = 1"), "doc_id").filter("text is not null").first()["text"]
+    filler = "table window garden " * 60_000
+    rows = [(1, filler), (2, filler + bad), (3, bad), (3, bad), (None, bad), (4, filler)]
+    got = {}
+    for r in toxicity.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), model).collect():
+        assert got.setdefault(r["text"], r["score"]) == r["score"]
+    assert got[filler + bad] >= got[bad] - 1e-9 > got[filler] - 1e-9
