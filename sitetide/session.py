@@ -86,27 +86,35 @@ def scratch_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def _own_folder(spark: SparkSession) -> str:
+def own_folder(spark: SparkSession) -> str:
+    """Where this application keeps its tables below the shared folder; ``drop_scratch`` deletes it as a whole."""
     return f"{scratch_dir(spark)}/scratch-{spark.sparkContext.applicationId}"
 
 
 def drop_scratch(spark: SparkSession) -> None:
-    """Delete the tables that ``written`` made in this application, once no frame that reads them is needed."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    """Delete the tables of this application, once no frame that reads them is needed: the files and the catalog's entries."""
+    context = spark.sparkContext
+    for name in getattr(context, "_sitetide_tables", []):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    context._sitetide_tables = []
+    path = context._jvm.org.apache.hadoop.fs.Path(own_folder(spark))
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def bucketed(df: DataFrame, label: str, by: str, n: int) -> DataFrame:
-    """Like ``written``, in ``n`` buckets of the values of a column, so that grouping by it shuffles nothing again."""
+    """Like ``written``, in ``n`` buckets of the values of a column, so that grouping by it shuffles nothing again.
+
+    Spark knows buckets of catalog tables only; ``drop_scratch`` takes the entry out again."""
     spark = df.sparkSession
     name = f"{label}_{uuid.uuid4().hex}"
-    df.write.format("parquet").bucketBy(n, by).option("path", f"{_own_folder(spark)}/{name}").saveAsTable(name)
+    df.write.format("parquet").bucketBy(n, by).option("path", f"{own_folder(spark)}/{name}").saveAsTable(name)
+    spark.sparkContext._sitetide_tables = [*getattr(spark.sparkContext, "_sitetide_tables", []), name]
     return spark.table(name)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet into the shared folder and read it again."""
     spark = df.sparkSession
-    path = f"{_own_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{own_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
