@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sitetide.session import scratch_dir, table, written
+from sitetide.session import own_folder, table, written
 
 SLOTS = 4096
 SHARDS = 24
@@ -96,7 +96,7 @@ def load_map(spark: SparkSession, path: str, version: int | None = None) -> tupl
 
 def new_map(spark: SparkSession, slots: int = SLOTS, shards: int = SHARDS, path: str | None = None) -> str:
     """Store version 1 of a map and say where."""
-    path = path or f"{scratch_dir(spark)}/slot-map-{uuid.uuid4().hex}"
+    path = path or f"{own_folder(spark)}/slot-map-{uuid.uuid4().hex}"
     store_map(spark, path, 1, first_map(slots, shards))
     return path
 

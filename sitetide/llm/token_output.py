@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sitetide.llm.bpe import Words, pieces, vocabulary_path
-from sitetide.session import scratch_dir, ship, table, trim
+from sitetide.session import own_folder, ship, table, trim
 
 END_ID = 1
 ORC = {
@@ -86,7 +86,7 @@ def with_starts(rows: DataFrame) -> DataFrame:
 
 
 def op2_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{scratch_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    path = f"{own_folder(spark)}/tokens-{uuid.uuid4().hex}"
     write_tokens(table(spark, sf_dir, "documents"), path)
     rows = read_tokens(spark, path).select("part", "seq", "doc_id", F.size("ids").cast("long").alias("n_tokens"), ids_crc32("ids").alias("ids_crc32"))
     return with_starts(rows).select("doc_id", "start", "n_tokens", "ids_crc32")

@@ -3,8 +3,8 @@ import hashlib
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sitetide.llm import bpe, pii, toxicity
-from sitetide.session import table
+from sitetide.llm import bpe, pii, sharding, token_output, toxicity
+from sitetide.session import drop_scratch, scratch_dir, table
 from tests.llm.test_decontamination import brute as leaks
 from tests.llm.test_simhash import jaccard_groups
 
@@ -48,3 +48,19 @@ def test_near_copies_equal_all_pairs_by_jaccard(spark, small):
     want = set(jaccard_groups(rows, corpus_pipeline.SHINGLE))
     got = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, small).collect()}
     assert got == want
+
+
+def test_last_stage_without_further_columns(spark, docs, rows, small):
+    out = corpus_pipeline.encode(spark, docs.select("doc_id", "text"), small)
+    assert out.columns == ["doc_id", "n_tokens", "ids", "decoded_sha256"] and out.count() == len(rows)
+
+
+def test_nothing_is_left_behind(spark, small):
+    """After ``drop_scratch`` the shared folder and the catalog hold nothing of the pipeline, op2, op5 or op9."""
+    assert corpus_pipeline.run(spark, small).count() > 0
+    for query in (token_output.op2_orc_tokens, bpe.op5_word_table_bpe, sharding.op9_virtual_slots):
+        assert query(spark, small).count() > 0
+    drop_scratch(spark)
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
+    left = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(folder)
+    assert [f.getPath().getName() for f in left] == [] and spark.catalog.listTables() == []
