@@ -68,7 +68,8 @@ def content_hash(x: Column) -> Column:
 
 
 def stem(word: Column) -> Column:
-    return F.regexp_replace(word, STEM, "$1")
+    """The word without its ending; all endings are Cyrillic, so other words are not searched for one."""
+    return F.when(word.rlike("[а-я]$"), F.regexp_replace(word, STEM, "$1")).otherwise(word)
 
 
 def tokens(x: Column) -> Column:

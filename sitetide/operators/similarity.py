@@ -1,8 +1,10 @@
-"""TF-IDF search over a set of documents: blocks of queries are sent to the documents, never pairs through a shuffle."""
+"""TF-IDF similarity over an inverted index whose tokens run from rare to common: bounds on what the rest of two vectors
+can still add decide which postings meet, so pairs that cannot reach a threshold are never made."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -10,60 +12,208 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitetide.functions.text import TITLE_WEIGHT, tokens
-from sitetide.session import ship, written
+from sitetide.session import free_name, ship, spread, written
 
-#: Terms of the queries of one block; more queries make more blocks, one after the other.
-BLOCK_TERMS = 1_000_000
-#: A token with more than this share of all postings is joined by broadcast; there are fewer such tokens.
+#: A token with more than one in HOT_PARTS of all postings meets its weight by broadcast; there are fewer such tokens.
 HOT_PARTS = 1000
+#: Tokens in at most so many documents give the first guess of a query's best; GUESS times k documents are then scored.
+LIGHT = 64
+GUESS = 4
+#: Queries of a block, documents of a part that meets it, and of these so many in one product.
+BLOCK = 256
+PART = 1024
+ROWS = 64
+#: What sums of doubles may be off, and half a step of a rounded score.
+SLACK = 1e-9
+ROUNDING = 1e-6
+
+
+@dataclass
+class Index:
+    """Vectors of a set of documents, ``id, ranks, v, rest``, and ``dictionary``: ``token, rank, df, idf``.
+
+    ``ranks`` are the numbers of a document's tokens, rising from rare to common; ``v`` are the parts of its unit vector
+    in that order and ``rest`` the length of what follows each.
+    """
+
+    vectors: DataFrame
+    dictionary: DataFrame
+
+
+def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``rows`` in order, numbered from 0 without a gap: sorted by all tasks, each task's rows after those of the tasks before."""
+    at, task = free_name("at", rows), free_name("task", rows)
+    placed = written(rows.orderBy(*order).withColumn(at, F.monotonically_increasing_id()), "in-order")
+    sizes = placed.groupBy(F.shiftright(at, 33).alias(task)).agg(F.count("*").alias("n")).collect()  # one for each task
+    start, before = [], 0
+    for t, n in sorted(map(tuple, sizes)):
+        start.append(f'"{t}":{before}')
+        before += n
+    skip = F.from_json(F.lit("{" + ",".join(start) + "}"), "map<string,bigint>")[F.shiftright(at, 33).cast("string")]
+    return placed.withColumn(name, skip + F.col(at).bitwiseAND(F.lit((1 << 33) - 1))).drop(at)
 
 
 def term_counts(docs: DataFrame, title_weight: int = TITLE_WEIGHT) -> DataFrame:
-    """``id, token, tf`` of ``docs (id, title, text)``; a word of the title counts three times."""
-    parts = F.array(F.struct(tokens(F.col("text")).alias("t"), F.lit(1).alias("w")), F.struct(tokens(F.col("title")).alias("t"), F.lit(title_weight).alias("w")))
-    each = docs.select("id", F.explode(parts).alias("p")).select("id", F.col("p.w").alias("w"), F.explode("p.t").alias("token"))
-    return each.groupBy("id", "token").agg(F.sum("w").alias("tf"))
+    """``id, tokens, tfs`` of ``docs (id, title, text)``: a word of the title counts three times. Nothing is shuffled."""
+    ship(docs.sparkSession)
+    kind = docs.schema["id"].dataType.simpleString()
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [(batch.column(1), 1), (batch.column(2), title_weight)]
+            coded = pa.concat_arrays([c.flatten() for c, _ in parts]).dictionary_encode()
+            code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            sizes = [np.diff(c.offsets.to_numpy()) for c, _ in parts]
+            row = np.concatenate([np.repeat(np.arange(len(n)), n) for n in sizes])
+            weight = np.concatenate([np.full(int(n.sum()), w) for n, (_, w) in zip(sizes, parts, strict=True)])
+            width = max(1, len(coded.dictionary))
+            keys, inverse = np.unique(row * width + code, return_inverse=True)
+            tf = np.bincount(inverse, weight, len(keys)).astype(np.int64)
+            bounds = np.searchsorted(keys, np.arange(batch.num_rows + 1) * width).astype(np.int32)
+            names = coded.dictionary.take(pa.array(keys % width))
+            lists = [pa.ListArray.from_arrays(pa.array(bounds), x) for x in (names, pa.array(tf))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], ["id", "tokens", "tfs"])
 
-def index(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Unit vectors ``(id, terms: [(token, v)])`` of a set of documents and ``(token, idf)``; terms are counted once."""
-    counts = written(term_counts(docs), "terms")
-    total = docs.count()
-    df = counts.groupBy("token").agg(F.count("*").alias("df"))
-    idf = written(df.select("token", "df", (F.log(F.lit(total + 1.0) / (F.col("df") + 1)) + 1).alias("idf")), "idf")
-    rows = idf.agg(F.sum("df")).first()[0] or 0
+    return spread(docs.select("id", "text", "title")).select("id", tokens(F.col("text")).alias("a"), tokens(F.col("title")).alias("b")).mapInArrow(run, f"id {kind}, tokens array<string>, tfs array<bigint>")
+
+
+def _each(counts: DataFrame) -> DataFrame:
+    return counts.select("id", F.inline(F.arrays_zip("tokens", "tfs"))).select("id", F.col("tokens").alias("token"), F.col("tfs").alias("tf"))
+
+
+def dictionary(counts: DataFrame) -> DataFrame:
+    """``token, rank, df, idf`` of all tokens; rank 0 is the rarest (then the first by name)."""
+    total = counts.count()
+    df = counts.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    return numbered(df.withColumn("idf", F.log(F.lit(total + 1.0) / (F.col("df") + 1)) + 1), ["df", "token"], "rank")
+
+
+def _vectors(counts: DataFrame, known: DataFrame) -> DataFrame:
+    """Unit vectors over the tokens of a dictionary; documents without such tokens have none."""
+    each = _each(counts)
+    rows = known.agg(F.sum("df")).first()[0] or 0
     hot = F.col("df") > max(1, rows // HOT_PARTS)
-    common = F.broadcast(idf.filter(hot).select("token", "idf"))  # fewer than HOT_PARTS tokens
-    weighed = counts.join(common, "token").unionByName(counts.join(common.select("token"), "token", "left_anti").join(idf.filter(~hot).select("token", "idf"), "token"))
-    v = (F.col("tf") * F.col("idf")).alias("v")
-    made = weighed.select("id", "token", v).groupBy("id").agg(F.collect_list(F.struct("token", "v")).alias("terms"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-    return made.filter("norm > 0"), idf.select("token", "idf")
+    terms = known.select("token", "df", "rank", "idf")
+    common = F.broadcast(terms.filter(hot))  # fewer than HOT_PARTS tokens
+    rare = each.join(common.select("token"), "token", "left_anti").join(terms.filter(~hot), "token")
+    weighed = each.join(common, "token").unionByName(rare).select("id", "rank", (F.col("tf") * F.col("idf")).alias("v"))
+    lists = weighed.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("rank", "v"))).alias("t"))
+    lists = lists.select("id", F.col("t.rank").alias("ranks"), F.col("t.v").alias("v"))
+    kind = counts.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v, bounds = _flat(batch.column(2))
+            square = np.add.reduceat(v * v, bounds[:-1]) if len(v) else np.empty(0)
+            sizes = np.diff(bounds)
+            v = v / np.repeat(np.sqrt(square), sizes)
+            run_sums = np.cumsum(v * v)
+            rest = np.sqrt(np.maximum(np.repeat(run_sums[bounds[1:] - 1], sizes) - run_sums, 0)) if len(v) else v
+            at = pa.array(bounds.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(at, pa.array(v)), pa.ListArray.from_arrays(at, pa.array(rest))], ["id", "ranks", "v", "rest"])
+
+    return written(lists.mapInArrow(run, f"id {kind}, ranks array<bigint>, v array<double>, rest array<double>"), "vectors")
+
+
+def index(docs: DataFrame) -> Index:
+    """The index of ``docs (id, title, text)``; terms are counted once."""
+    counts = written(term_counts(docs), "terms")
+    known = written(dictionary(counts), "dictionary")
+    return Index(_vectors(counts, known), known)
+
+
+def _flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """The items of all lists and where each list begins (one bound more)."""
+    bounds = column.offsets.to_numpy().astype(np.int64)
+    return column.flatten().to_numpy(zero_copy_only=False), bounds - bounds[0]
+
+
+def _postings(vectors: DataFrame, *keep: str) -> DataFrame:
+    return vectors.select("id", *keep, F.inline(F.arrays_zip("ranks", "v", "rest")))
 
 
-class Block:
-    """Queries by token, for dot products with one document after the other."""
+def candidates(queries: DataFrame, docs: DataFrame, least: float, same: bool = False) -> DataFrame:
+    """``query_id, id`` of pairs whose cosine may reach the query's ``bound``; ``least`` is the smallest of all bounds.
 
-    def __init__(self, ids: list, terms: dict[str, tuple[np.ndarray, np.ndarray]]):
-        self.ids, self.terms = ids, terms
+    Let w be a token of both. What w and all later tokens add is at most v_w * v'_w + rest_w * rest'_w; where this is
+    below the bound for one common token it is so for each later one. So the postings that pass are the first common
+    tokens of a pair: their sum, and the rests behind the last of them, bound the whole score, and a pair of which none
+    passes cannot reach it. On either side a posting can only pass if it and its rest are as long as the bound, so common
+    tokens, the last in order, meet only where they make up most of both texts. With ``same``, only pairs with
+    ``id < query_id``.
+    """
+    q = _postings(queries, "bound").select(F.col("id").alias("query_id"), "bound", F.col("ranks").alias("rank"), F.col("v").alias("qv"), F.col("rest").alias("qr"))
+    d = _postings(docs).select("id", F.col("ranks").alias("rank"), F.col("v").alias("dv"), F.col("rest").alias("dr"))
+    q = q.filter(F.col("qv") * F.col("qv") + F.col("qr") * F.col("qr") >= F.pow(F.greatest(F.col("bound") - SLACK, F.lit(0.0)), 2))
+    d = d.filter(F.col("dv") * F.col("dv") + F.col("dr") * F.col("dr") >= max(least - SLACK, 0.0) ** 2)
+    product, rest = F.col("qv") * F.col("dv"), F.col("qr") * F.col("dr")
+    met = q.join(d, "rank").filter(product + rest >= F.col("bound") - SLACK)
+    if same:
+        met = met.filter("id < query_id")
+    sums = met.groupBy("query_id", "id").agg(F.sum(product).alias("s"), F.min(rest).alias("r"), F.max("bound").alias("bound"))
+    return sums.filter(F.col("s") + F.col("r") >= F.col("bound") - SLACK).select("query_id", "id")
+
+
+def exact(pairs: DataFrame, queries: DataFrame, docs: DataFrame) -> DataFrame:
+    """``query_id, id, score``: the cosine of each pair, not rounded.
+
+    Queries are dealt to blocks; a document meets a block once, with the list of those of its queries that it may match.
+    The documents of a block are cut into parts of bounded size, and each part gets the block's queries, so one sparse
+    product scores many pairs and no task sees more than a block and a part.
+    """
+    total = queries.count()
+    block = F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-total // BLOCK)))).cast("int")
+    q = queries.select(F.col("id").alias("query_id"), F.col("ranks").alias("q_ranks"), F.col("v").alias("q_v"))
+    met = written(pairs.groupBy(block.alias("block"), "id").agg(F.collect_list("query_id").alias("queries")), "met")
+    sizes = met.groupBy("block").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))  # one row a block
+    right = met.join(sizes, "block").join(docs.select("id", "ranks", "v"), "id")
+    right = right.select("block", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), "id", "ranks", "v", "queries")
+    left = q.withColumn("block", block).join(sizes, "block")
+    left = left.select("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "query_id", "q_ranks", "q_v")
+    kinds = f"query_id {left.schema['query_id'].dataType.simpleString()}, id {right.schema['id'].dataType.simpleString()}"
 
-    def scores(self, names: list[str], values: list[float]) -> np.ndarray:
-        hits = [(self.terms[t], v) for t, v in zip(names, values, strict=True) if t in self.terms]
-        if not hits:
-            return np.zeros(len(self.ids))
-        which = np.concatenate([q for (q, _), _ in hits])
-        return np.bincount(which, np.concatenate([w * v for (_, w), v in hits]), len(self.ids))
+    def score(asked: pa.Table, found: pa.Table) -> pa.Table:
+        ids, schema = asked.column("query_id").combine_chunks(), [("query_id", asked.schema.field("query_id").type), ("id", found.schema.field("id").type), ("score", pa.float64())]
+        ranks, bounds = _flat(asked.column("q_ranks").combine_chunks())
+        of, w = np.repeat(np.arange(len(ids)), np.diff(bounds)), _flat(asked.column("q_v").combine_chunks())[0]
+        order = np.argsort(ranks, kind="stable")
+        ranks, of, w = ranks[order], of[order], w[order]
+        number, out = {x: k for k, x in enumerate(ids.to_pylist())}, []
+        for at in range(0, found.num_rows, ROWS):
+            rows = found.slice(at, ROWS).combine_chunks()
+            terms, bounds = _flat(rows.column("ranks").combine_chunks())
+            v, row = _flat(rows.column("v").combine_chunks())[0], np.repeat(np.arange(rows.num_rows), np.diff(bounds))
+            first, last = np.searchsorted(ranks, terms), np.searchsorted(ranks, terms, "right")
+            n = last - first
+            take = np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)
+            sums = np.bincount(np.repeat(row, n) * len(ids) + of[take], np.repeat(v, n) * w[take], rows.num_rows * len(ids))
+            lists = rows.column("queries").combine_chunks()
+            which = np.fromiter((number[x] for x in lists.flatten().to_pylist()), np.int64)
+            mine = np.repeat(np.arange(rows.num_rows), np.diff(lists.offsets.to_numpy()))
+            out.append(pa.table([ids.take(pa.array(which)), rows.column("id").take(pa.array(mine)), pa.array(sums[mine * len(ids) + which])], schema=pa.schema(schema)))
+        return pa.concat_tables(out) if out else pa.schema(schema).empty_table()
 
+    return left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(score, f"{kinds}, score double")
 
-def _block(rows: DataFrame) -> Block:
-    """The queries ``(query_id, token, w)`` of one block, at most about ``BLOCK_TERMS`` rows."""
-    found = rows.toArrow()
-    coded, tokens_ = found.column("query_id").combine_chunks().dictionary_encode(), found.column("token").combine_chunks().dictionary_encode()
-    which, token, w = coded.indices.to_numpy(), tokens_.indices.to_numpy(), found.column("w").to_numpy()
-    order = np.argsort(token, kind="stable")
-    cuts = np.flatnonzero(np.diff(token[order])) + 1
-    names = tokens_.dictionary.to_pylist()
-    terms = {names[token[g[0]]]: (which[g], w[g]) for g in np.split(order, cuts)} if len(order) else {}
-    return Block(coded.dictionary.to_pylist(), terms)
+
+def _guessed(queries: DataFrame, made: Index, k: int, floor: float) -> DataFrame:
+    """``queries`` with ``bound``: a score that ``k`` documents of each query reach for certain, or the floor.
+
+    The query's rare tokens, each in at most ``LIGHT`` documents, pick a few times ``k`` documents, which are scored.
+    """
+    last = made.dictionary.filter(F.col("df") <= LIGHT).agg(F.max("rank")).first()[0]
+    if last is None:
+        return queries.withColumn("bound", F.lit(floor))
+    q = _postings(queries).filter(F.col("ranks") <= last).select(F.col("id").alias("query_id"), "ranks", F.col("v").alias("qv"))
+    d = _postings(made.vectors).filter(F.col("ranks") <= last).select("id", "ranks", F.col("v").alias("dv"))
+    sums = q.join(d, "ranks").groupBy("query_id", "id").agg(F.sum(F.col("qv") * F.col("dv")).alias("s"))
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("s"), "id"))
+    picked = sums.withColumn("nth", nth).filter(F.col("nth") <= GUESS * k).select("query_id", "id")
+    scored = exact(picked, queries, made.vectors)
+    best = scored.groupBy("query_id").agg(F.sort_array(F.collect_list("score"), asc=False).alias("s"))  # at most GUESS * k
+    sure = best.select(F.col("query_id").alias("id"), (F.get("s", F.lit(k - 1)) - ROUNDING).alias("sure"))
+    bound = F.greatest(F.coalesce("sure", F.lit(floor)), F.lit(floor))
+    return queries.join(sure, "id", "left").withColumn("bound", bound).drop("sure")
 
 
 def search(queries: DataFrame, docs: DataFrame, k: int | None = None, floor: float = 0.0) -> DataFrame:
@@ -71,60 +221,43 @@ def search(queries: DataFrame, docs: DataFrame, k: int | None = None, floor: flo
     ``floor`` at least.
 
     Tokens that no document has are ignored; the floor is for the exact score; scores are rounded to six digits before
-    ties go to the smaller id. Each task keeps its own best ``k``, so little more than the result is shuffled.
+    ties go to the smaller id. Null and empty texts find nothing and are not found. For the best ``k`` a first guess by
+    rare tokens tells each query what score it needs; documents that cannot reach it are never scored.
     """
-    spark = docs.sparkSession
-    ship(spark)
-    vectors, idf = index(docs)
-    vectors = written(vectors, "vectors")
-    q = term_counts(queries).join(idf, "token").select(F.col("id").alias("query_id"), "token", (F.col("tf") * F.col("idf")).alias("w"))
-    norms = q.groupBy("query_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("q_norm"))
-    q = written(q.join(norms.filter("q_norm > 0"), "query_id").select("query_id", "token", (F.col("w") / F.col("q_norm")).alias("w")), "queries")
-    parts = max(1, -(-q.count() // BLOCK_TERMS))
-    kinds = {"query_id": queries.schema["id"].dataType.simpleString(), "id": docs.schema["id"].dataType.simpleString()}
-    schema = f"query_id {kinds['query_id']}, id {kinds['id']}, score double"
-    out = None
-    for part in range(parts):
-        sent = spark.sparkContext.broadcast(_block(q.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part)))
-        found = written(vectors.mapInArrow(_scored(sent, k, floor), schema), "scores") if parts > 1 else vectors.mapInArrow(_scored(sent, k, floor), schema)
-        out = found if out is None else out.unionByName(found)
+    made = index(docs)
+    asked = _vectors(written(term_counts(queries), "terms"), made.dictionary)
     if k is None:
-        return out
+        asked = asked.withColumn("bound", F.lit(floor))
+        least = floor
+    else:
+        asked = written(_guessed(asked, made, k, floor), "queries")
+        least = asked.agg(F.min("bound")).first()[0] or 0.0
+    pairs = candidates(asked, made.vectors, least)
+    found = exact(pairs, asked, made.vectors).filter((F.col("score") > 0) & (F.col("score") >= floor))
+    found = found.withColumn("score", F.round("score", 6))
+    if k is None:
+        return found
     nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return out.withColumn("nth", nth).filter(F.col("nth") <= k).drop("nth")
+    return found.withColumn("nth", nth).filter(F.col("nth") <= k).drop("nth")
 
 
-def _scored(sent, k: int | None, floor: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = sent.value
-        kind, best = None, None  # of all documents so far, for each query: scores and ids of the best k
-        for batch in batches:
-            ids, terms, norms = batch.column(0), batch.column(1), batch.column(2).to_pylist()
-            kind, ids, flat = ids.type, ids.to_pylist(), terms.flatten()
-            bounds, names, values = terms.offsets.to_pylist(), flat.field("token").to_pylist(), flat.field("v").to_numpy()
-            first, rows = bounds[0], []
-            for at, (s, e) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
-                score = block.scores(names[s - first : e - first], values[s - first : e - first]) / norms[at]
-                on = np.flatnonzero((score > 0) & (score >= floor))
-                rows.append((on, np.round(score[on], 6), np.full(len(on), at)))
-            which, score, at = (np.concatenate([r[c] for r in rows]) for c in range(3)) if rows else (np.empty(0, int),) * 3
-            if k is None:
-                yield _batch(block, which, score, [ids[x] for x in at.tolist()], kind)
-                continue
-            own = [ids[x] for x in at.tolist()]
-            if best is not None:
-                which, score, own = np.concatenate((best[0], which)), np.concatenate((best[1], score)), best[2] + own
-            place = np.argsort(np.argsort(np.array(own))) if own else np.empty(0, int)
-            order = np.lexsort((place, -score, which))
-            group = which[order]
-            start = np.searchsorted(group, group)
-            keep = order[np.arange(len(order)) - start < k]
-            best = (which[keep], score[keep], [own[x] for x in keep.tolist()])
-        if best is not None:
-            yield _batch(block, *best, kind)
-
-    return run
-
-
-def _batch(block: Block, which: np.ndarray, score: np.ndarray, ids: list, kind: pa.DataType) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([block.ids[x] for x in which.tolist()]), pa.array(ids, kind), pa.array(score, pa.float64())], ["query_id", "id", "score"])
+def classes(vectors: DataFrame) -> DataFrame:
+    """``id, class``: documents with equal vectors are one class, named by its smallest id."""
+    keyed = vectors.select("id", *[F.xxhash64(F.lit(seed), "ranks", "v").alias(f"k{seed}") for seed in (1, 2)])
+    named = keyed.groupBy("k1", "k2").agg(F.min("id").alias("class"))
+    return keyed.join(named, ["k1", "k2"]).select("id", "class")
+
+
+def similarity_join(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Documents ``(id, title, text)`` whose cosine is ``threshold`` or more, without making pairs of equal ones.
+
+    Gives ``id, class`` of every document with a token, and ``a, b, score`` with ``b < a`` for classes by their smallest
+    ids; members of one class have the cosine 1. Null and empty texts are in no class.
+    """
+    made = index(docs)
+    member = written(classes(made.vectors), "classes")
+    heads = member.filter(F.col("id") == F.col("class")).select("id")
+    vectors = written(made.vectors.join(heads, "id"), "class-vectors").withColumn("bound", F.lit(float(threshold)))
+    found = exact(candidates(vectors, vectors.drop("bound"), threshold, same=True), vectors, vectors)
+    pairs = found.filter(F.col("score") >= threshold)
+    return member, pairs.select(F.col("query_id").alias("a"), F.col("id").alias("b"), F.round("score", 6).alias("score"))

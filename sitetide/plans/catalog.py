@@ -625,12 +625,97 @@ def tfidf_topk(spark, sf):
     return similarity.search(docs.filter("id % 20 = 0"), docs, 3)
 
 
+_CASES = "SELECT doc_id AS id, doc_id % 4 AS site_id, text FROM documents WHERE doc_id % 3 <> 0"
+_KNOWN = f"""
+WITH docs AS (SELECT doc_id AS id, text FROM documents WHERE doc_id % 3 = 0), items AS ({_CASES}),
+{_TERMS.replace("{0}", "q").replace("{1}", "items")}, {_TERMS.replace("{0}", "d").replace("{1}", "docs")},
+idf AS (SELECT token, ln(((SELECT count(*) FROM docs) + 1) / (count(*) + 1)) + 1 AS idf FROM terms_d GROUP BY token),
+d AS (SELECT id, token, tf * idf AS v FROM terms_d JOIN idf USING (token)), q AS (SELECT id, token, tf * idf AS w FROM terms_q JOIN idf USING (token)),
+score AS (SELECT q.id AS query_id, d.id, sum(w * v) AS dot FROM q JOIN d USING (token) GROUP BY ALL),
+ranked AS (SELECT query_id, id, round(dot / (sqrt(nq) * sqrt(nd)), 6) AS score FROM score
+  JOIN (SELECT id, sum(v * v) AS nd FROM d GROUP BY id) USING (id) JOIN (SELECT id AS query_id, sum(w * w) AS nq FROM q GROUP BY id) USING (query_id)),
+five AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS nth FROM ranked) WHERE nth <= 5 AND score >= {topics.MERGE}),
+known AS (SELECT query_id AS id, id AS decision_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS best
+  FROM five WHERE query_id % 4 <> id % 4) WHERE best = 1)"""
+
+
+def _cases(spark, sf):
+    rows = view(spark, sf, "documents")
+    return rows.select(F.col("doc_id").alias("id"), (F.col("doc_id") % 4).alias("site_id"), F.lit(None).cast("string").alias("title"), "text")
+
+
+def _known(spark, sf):
+    """Documents whose id is divisible by three stand for topics of former runs, of one site each; the others are cases."""
+    rows = _cases(spark, sf)
+    topics_, new = rows.filter("id % 3 = 0"), rows.filter("id % 3 <> 0")
+    return new, topics.known_topic(new, topics_.select("id", "title", "text"), topics_.select(F.col("id").alias("decision_id"), "site_id"))
+
+
+@query(f"{_KNOWN} SELECT id, decision_id FROM known")
+def known_topic(spark, sf):
+    return _known(spark, sf)[1]
+
+
+_TWINS = "twins AS (SELECT id, (SELECT min(o.id) FROM items o WHERE o.text = i.text AND o.id < i.id AND o.site_id <> i.site_id) AS same_as FROM items i)"
+
+
+def _twins(new):
+    """Cases with the text of an earlier one of another site, and the earliest of these."""
+    a, b = new.alias("a"), new.alias("b")
+    found = a.join(b, (F.col("a.text") == F.col("b.text")) & (F.col("b.id") < F.col("a.id")) & (F.col("a.site_id") != F.col("b.site_id")), "left")
+    return found.groupBy(F.col("a.id").alias("id")).agg(F.min("b.id").alias("same_as"))
+
+
+_ASK = f"""{_KNOWN}, {_TWINS}, open AS (SELECT id FROM items WHERE id NOT IN (SELECT id FROM known) AND id NOT IN (SELECT id FROM twins WHERE same_as IS NOT NULL)),
+asked AS (SELECT id, row_number() OVER (ORDER BY id) <= {topics.COMPARE_LIMIT} AS asked FROM open)"""
+
+
+@query(f"{_ASK} SELECT id, asked FROM asked")
+def cases_to_ask(spark, sf):
+    new, known = _known(spark, sf)
+    return topics.to_ask(new, known, _twins(new)).select("id", "asked")
+
+
+@query(
+    f"""{_ASK}, own AS (SELECT i.id, CASE WHEN asked AND i.id % 5 <> 0 THEN CASE WHEN i.id % 7 = 0 THEN 1000000 + i.id ELSE i.id END
+          WHEN same_as IS NOT NULL AND k.decision_id IS NULL THEN NULL ELSE k.decision_id END AS own, coalesce(asked AND i.id % 5 <> 0, false) AS decided, same_as
+        FROM items i LEFT JOIN known k ON k.id = i.id LEFT JOIN asked a ON a.id = i.id LEFT JOIN twins t ON t.id = i.id)
+        SELECT o.id, coalesce(o.own, h.own) AS decision_id,
+               CASE WHEN coalesce(o.own, h.own) IS NULL THEN 'not_compared' WHEN o.decided THEN 'decided' ELSE 'merged' END AS outcome
+        FROM own o LEFT JOIN own h ON h.id = o.same_as"""
+)
+def recorded_decisions(spark, sf):
+    """All cases but those whose id is divisible by five have an answer; those divisible by seven have a topic already."""
+    new, known = _known(spark, sf)
+    same = _twins(new)
+    had = F.when(F.col("id") % 7 == 0, 1000000 + F.col("id")).alias("decision_id")
+    answers = new.select("id", F.when(F.col("id") % 5 != 0, "update").alias("verdict"))
+    return topics.recorded(new.select("id", had), known, same, topics.to_ask(new, known, same), answers)
+
+
+_PAIRS = f"""
+WITH docs AS (SELECT doc_id AS id, text FROM documents), {_TERMS.replace("{0}", "d").replace("{1}", "docs")},
+idf AS (SELECT token, ln(((SELECT count(*) FROM docs) + 1) / (count(*) + 1)) + 1 AS idf FROM terms_d GROUP BY token),
+named AS (SELECT id, min(id) OVER (PARTITION BY words) AS class FROM (SELECT id, string_agg(token || ' ' || tf, ' ' ORDER BY token) AS words FROM terms_d GROUP BY id)),
+d AS (SELECT id, token, tf * idf AS v FROM terms_d JOIN idf USING (token) JOIN named USING (id) WHERE id = class),
+n AS (SELECT id, sqrt(sum(v * v)) AS n FROM d GROUP BY id),
+links AS (SELECT a.id AS a, b.id AS b FROM d a JOIN d b ON a.token = b.token AND b.id < a.id JOIN n x ON x.id = a.id JOIN n y ON y.id = b.id
+  GROUP BY a.id, b.id HAVING sum(a.v * b.v) / (any_value(x.n) * any_value(y.n)) >= {topics.MERGE})
+SELECT named.id, class, count(links.a) AS n_links FROM named LEFT JOIN links ON class IN (links.a, links.b) GROUP BY named.id, class"""
+
+
+@query(_PAIRS)
+def similar_documents(spark, sf):
+    """The class of equal texts of each document, and to how many other classes it is similar."""
+    member, pairs = similarity.similarity_join(_cases(spark, sf), topics.MERGE)
+    ends = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).groupBy("class").agg(F.count("*").alias("n"))
+    return member.join(ends, "class", "left").select("id", "class", F.coalesce("n", F.lit(0)).alias("n_links"))
+
+
 @query()
 def topic_merge(spark, sf):
-    """Which labelled documents repeat the topic of an earlier one of another site."""
-    rows = view(spark, sf, "documents").join(view(spark, sf, "labels").select("doc_id").distinct(), "doc_id", "left_semi")
-    new = rows.select(F.col("doc_id").alias("id"), (F.col("doc_id") % 4).alias("site_id"), F.lit(None).cast("string").alias("title"), "text")
-    return topics.same_run_topics(new)
+    """Which documents repeat the topic of an earlier one of another site."""
+    return topics.same_run_topics(_cases(spark, sf))
 
 
 @query(

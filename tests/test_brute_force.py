@@ -177,7 +177,7 @@ def test_link_crawl(spark):
 
 def test_topic_merge(spark):
     """Each case in order of ids joins the most similar earlier one of another site that joined nobody."""
-    rows = view(spark, SF, "documents").join(view(spark, SF, "labels").select("doc_id"), "doc_id", "left_semi").collect()
+    rows = view(spark, SF, "documents").collect()
     stop, terms = set(text.STOPWORDS.split()), {}
     for k, t in ((r["doc_id"], r["text"]) for r in rows):
         words = re.findall("[а-яёa-z0-9]+", (t or "").lower().replace("ё", "е"))
