@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitetide.functions.text import TITLE_WEIGHT, tokens
-from sitetide.session import free_name, ship, spread, written
+from sitetide.operators.ordered import numbered
+from sitetide.session import ship, spread, written
 
 #: A token with more than one in HOT_PARTS of all postings meets its weight by broadcast; there are fewer such tokens.
 HOT_PARTS = 1000
@@ -40,19 +41,6 @@ class Index:
     dictionary: DataFrame
 
 
-def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
-    """``rows`` in order, numbered from 0 without a gap: sorted by all tasks, each task's rows after those of the tasks before."""
-    at, task = free_name("at", rows), free_name("task", rows)
-    placed = written(rows.orderBy(*order).withColumn(at, F.monotonically_increasing_id()), "in-order")
-    sizes = placed.groupBy(F.shiftright(at, 33).alias(task)).agg(F.count("*").alias("n")).collect()  # one for each task
-    start, before = [], 0
-    for t, n in sorted(map(tuple, sizes)):
-        start.append(f'"{t}":{before}')
-        before += n
-    skip = F.from_json(F.lit("{" + ",".join(start) + "}"), "map<string,bigint>")[F.shiftright(at, 33).cast("string")]
-    return placed.withColumn(name, skip + F.col(at).bitwiseAND(F.lit((1 << 33) - 1))).drop(at)
-
-
 def term_counts(docs: DataFrame, title_weight: int = TITLE_WEIGHT) -> DataFrame:
     """``id, tokens, tfs`` of ``docs (id, title, text)``: a word of the title counts three times. Nothing is shuffled."""
     ship(docs.sparkSession)

@@ -329,7 +329,7 @@ def link_crawl(spark, sf):
     """Pages reached over the links of the pages from the first page of each host, ten thousand for each host at most."""
     links = sitemap.html_links(view(spark, sf, "pages").select("url", "html")).withColumn("site_id", urls.authority(F.col("url")))
     starts = view(spark, sf, "pages").groupBy(urls.authority(F.col("url")).alias("site_id")).agg(F.min_by("url", F.struct(F.length("url"), "url")).alias("url"))
-    return sitemap.link_crawl(links.select("site_id", "url", "target"), starts, 10_000)
+    return sitemap.link_crawl(links.select("site_id", "url", "pos", "target"), starts, 10_000).select("site_id", "url", "depth")
 
 
 # --- stored tables and marts ----------------------------------------------------------------------------------------
@@ -732,4 +732,4 @@ def shingle_pages(spark, sf):
     return rows.select(F.md5("piece").alias("piece"), "url").distinct().groupBy("piece").agg(F.count("*").alias("pages")).filter(F.col("pages") >= sitewide.MIN_PAGES)
 
 
-from sitetide.plans import more_queries  # noqa: E402,F401  registers further queries
+from sitetide.plans import more_queries, run_queries  # noqa: E402,F401  register further queries

@@ -3,19 +3,21 @@
 from __future__ import annotations
 
 import gzip
+import uuid
 from collections.abc import Iterator
 from urllib.parse import urljoin, urlsplit
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sitetide.functions import urls
 from sitetide.functions.markup import extract_links
 from sitetide.functions.text import parse_lastmod
-from sitetide.session import written
+from sitetide.operators.ordered import numbered, running_at
+from sitetide.session import own_folder, written
 
 MAX_SUB_FILES = 200
 #: Text and address of a link to a site's own map.
@@ -118,30 +120,107 @@ def to_entries(raw: DataFrame) -> DataFrame:
     return last.select("site_id", "url", parse_lastmod(F.col("l.lastmod")).alias("lastmod"))
 
 
-def first_source(candidates: DataFrame) -> DataFrame:
-    """All rows of the best source that a site has; ``rank`` 0 is its own setting, then sitemap, robots, link page."""
-    best = candidates.groupBy("site_id").agg(F.min("rank").alias("rank"))
-    return candidates.join(best, ["site_id", "rank"])
+def _entries_of(responses: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``site_id, rank, place, pos, kind, url, lastmod`` of the maps ``wanted (site_id, rank, place, source)`` that were fetched.
 
+    An index gives the entries of its files in turn. A file that is no XML map has no rows here."""
+    fetched = responses.filter("status = 200").select("site_id", F.col("url").alias("source"), sitemap(F.col("body").cast("binary")).alias("m")).filter("m.kind is not null")
+    maps = written(fetched, "maps")
+    own = wanted.join(maps, ["site_id", "source"])
+    direct = own.filter("m.kind = 'urlset'").select("site_id", "rank", "place", F.lit(0).alias("file"), F.posexplode("m.entries").alias("pos", "e"))
+    files = own.filter("m.kind = 'sitemapindex'").select("site_id", "rank", "place", F.posexplode("m.entries").alias("file", "f")).withColumn("source", F.col("f.url"))
+    nested = files.join(maps.filter("m.kind = 'urlset'"), ["site_id", "source"]).select("site_id", "rank", "place", "file", F.posexplode("m.entries").alias("pos", "e"))
+    each = direct.unionByName(nested)
+    return each.select("site_id", "rank", F.struct("place", "file", "pos").alias("pos"), "e.url", "e.lastmod")
 
-def link_crawl(links: DataFrame, starts: DataFrame, max_pages: int) -> DataFrame:
-    """``site_id, url, depth`` reached over ``links (site_id, url, target)`` breadth first, ``max_pages`` for each site.
 
-    A level is one join of the last one's pages and one anti join with the pages met so far, and is written to the shared
-    folder. Levels go on until one brings nothing new; a site that has its pages sends none on.
+def discover(sites: DataFrame, responses: DataFrame) -> DataFrame:
+    """``site_id, rank, url, lastmod``: the pages of each site by the first source that has any.
+
+    ``sites (site_id, base_url, sitemap_url)``, ``responses (site_id, url, status, body)`` of all that was fetched. A site
+    with a map of its own setting has only that (rank 0): an XML map or index, else the links of the page. The others have
+    ``/sitemap.xml`` (1); where it is missing, no map or empty, the maps of robots.txt together (2); where these bring
+    nothing, the page that the home page links as its map (3), read like one of its own setting. Each site is judged by
+    what its own responses hold. Entries come normalised, of the same host, without files, the last of each address.
+    """
+    base = F.regexp_replace("base_url", r"^(https?://[^/?#]+).*$", "$1")
+    own = F.coalesce(F.nullif(F.trim("sitemap_url"), F.lit("")), F.lit(""))
+    ruled = own != ""
+    zero = F.lit(0).alias("place")
+    given = sites.filter(ruled).select("site_id", F.lit(0).alias("rank"), zero, own.alias("source"))
+    rest = sites.filter(~ruled).withColumn("root", base)
+    main = rest.select("site_id", F.lit(1).alias("rank"), zero, F.concat("root", F.lit("/sitemap.xml")).alias("source"))
+    got = responses.filter("status = 200").select("site_id", "url", F.col("body").cast("string").alias("html"))
+    robots = rest.select("site_id", F.concat("root", F.lit("/robots.txt")).alias("url")).join(got, ["site_id", "url"])
+    listed = robots.select("site_id", F.lit(2).alias("rank"), F.posexplode(F.slice(robots_sitemaps(F.col("html")), 1, MAX_SUB_FILES)).alias("place", "source"))
+    home = rest.select("site_id", F.col("base_url").alias("url")).join(got, ["site_id", "url"])
+    linked = home.join(sitemap_page_link(home.select("url", "html")), "url").select("site_id", F.lit(3).alias("rank"), zero, F.col("link").alias("source"))
+    wanted = written(given.unionByName(main).unionByName(listed).unionByName(linked).filter("source is not null"), "wanted")
+    by_map = _entries_of(responses, wanted)
+    pages = wanted.filter("rank in (0, 3)").select("site_id", "rank", F.col("source").alias("url")).join(got, ["site_id", "url"])
+    pages = pages.filter(sitemap(F.col("html").cast("binary"))["kind"].isNull())
+    each = pages.select("site_id", "rank", "url", F.posexplode(extract_links("html")).alias("at", "l"))
+    by_page = each.select("site_id", "rank", F.struct(F.lit(0).alias("place"), F.lit(0).alias("file"), F.col("at").alias("pos")).alias("pos"), urls.strip_tracking(join_url("url", "l.href")).alias("url"), F.lit(None).cast("string").alias("lastmod"))
+    found = written(by_map.unionByName(by_page), "found")
+    best = found.groupBy("site_id").agg(F.min("rank").alias("rank"))
+    raw = found.join(best, ["site_id", "rank"]).join(sites.select("site_id", "base_url"), "site_id")
+    return to_entries(raw).join(best, "site_id").select("site_id", "rank", "url", "lastmod")
+
+
+def link_crawl(links: DataFrame, starts: DataFrame, max_pages: int, states: DataFrame | None = None) -> DataFrame:
+    """``site_id, url, depth, place, state``: the pages of each site first come, first served, up to ``max_pages`` loaded ones.
+
+    ``links (site_id, url, pos, target)``: a page's links in order; only those to the same host count. Pages wait in the
+    order of the pages that first linked them and of the links there. ``states (site_id, url, state)`` says which pages are
+    ``ok`` or ``blocked``; others cannot be loaded: they have no links and do not count. Without it all pages load. A site
+    ends at its first blocked page, which is the last of its rows, with the state ``blocked``.
+
+    A level is one join of the last one's pages and one anti join with the pages met so far; it is written beside the
+    levels before it, which stay as they are. Ranks within a level are taken by all tasks together.
     """
+    spark, path = links.sparkSession, f"{own_folder(links.sparkSession)}/crawl-{uuid.uuid4().hex}"
     same = links.filter(urls.same_domain(F.col("url"), F.col("target")))
-    edges = written(same.select("site_id", urls.normalize_url(F.col("url")).alias("url"), urls.normalize_url(F.col("target")).alias("next")).distinct(), "links")
-    seen = written(starts.select("site_id", urls.normalize_url(F.col("url")).alias("url")).distinct().withColumn("depth", F.lit(0)), "seen")
-    depth, front = 0, seen
-    while not front.isEmpty():
+    edges = same.select("site_id", urls.normalize_url(F.col("url")).alias("url"), urls.normalize_url(F.col("target")).alias("next"), "pos")
+    edges = written(edges.groupBy("site_id", "url", "next").agg(F.min("pos").alias("pos")), "links")
+    known = None
+    if states is not None:
+        known = states.select("site_id", urls.normalize_url(F.col("url")).alias("url"), "state")
+        known = written(known.groupBy("site_id", "url").agg(F.min("state").alias("state")), "states")  # blocked, if any says so
+    reached = starts.select("site_id", urls.normalize_url(F.col("url")).alias("url")).distinct()
+    reached = reached.select("*", F.lit(0).cast("long").alias("rank"), F.lit(0).alias("pos"))
+    done = None  # how many pages each site has, and whether it ended
+    depth = 0
+    while True:
+        level = reached.join(known, ["site_id", "url"], "left") if known is not None else reached.withColumn("state", F.lit("ok"))
+        level = numbered(level.withColumn("state", F.coalesce("state", F.lit("failed"))), ["site_id", "rank", "pos", "url"], "nth")
+        level = level.withColumn("loaded", (F.col("state") == "ok").cast("long"))
+        level = running_at(level, "nth", "loaded", "before")
+        first = level.groupBy("site_id").agg(F.min("before").alias("skip"), F.min(F.when(F.col("state") == "blocked", F.col("nth"))).alias("wall"))  # one row a site
+        level = level.join(F.broadcast(first), "site_id")
+        if done is not None:
+            level = level.join(F.broadcast(done.select("site_id", "n")), "site_id")
+        else:
+            level = level.withColumn("n", F.lit(0).cast("long"))
+        place = F.col("n") + F.col("before") - F.col("skip")
+        cut = (place < max_pages) & (F.col("wall").isNull() | (F.col("nth") <= F.col("wall")))
+        level = level.withColumn("place", place).withColumn("taken", cut)
+        level.select("site_id", "url", F.lit(depth).alias("depth"), "place", "state", "nth", "taken").write.parquet(f"{path}/level={depth}")
+        kept = spark.read.parquet(f"{path}/level={depth}")
+        now = kept.filter("taken").groupBy("site_id").agg(F.count_if(F.col("state") == "ok").alias("more"), F.max((F.col("state") == "blocked").cast("int")).alias("ended"))
+        if done is None:
+            done = now.select("site_id", F.col("more").alias("n"), F.col("ended") == 1)
+        else:
+            done = done.join(now, "site_id", "left").select("site_id", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"), (F.coalesce("ended", F.lit(0)) == 1))
+        done = written(done.toDF("site_id", "n", "over"), "crawled")
+        open_ = done.filter(~F.col("over") & (F.col("n") < max_pages)).select("site_id")
+        parents = kept.filter("taken and state = 'ok'").join(F.broadcast(open_), "site_id", "left_semi")  # one row a site
+        seen = spark.read.parquet(path).select("site_id", "url")
+        found = parents.join(edges, ["site_id", "url"]).groupBy("site_id", F.col("next").alias("url")).agg(F.min(F.struct(F.col("nth").alias("rank"), "pos")).alias("at"))
+        reached = written(found.join(seen, ["site_id", "url"], "left_anti").select("site_id", "url", "at.rank", "at.pos"), "reached")
         depth += 1
-        full = seen.groupBy("site_id").agg(F.count("*").alias("n")).filter(F.col("n") >= max_pages)
-        reached = front.join(full, "site_id", "left_anti").join(edges, ["site_id", "url"]).select("site_id", F.col("next").alias("url")).distinct()
-        front = written(reached.join(seen, ["site_id", "url"], "left_anti").withColumn("depth", F.lit(depth)), "front")
-        seen = written(seen.unionByName(front), "seen")
-    nth = F.row_number().over(Window.partitionBy("site_id").orderBy("depth", "url"))
-    return seen.withColumn("n", nth).filter(F.col("n") <= max_pages).drop("n")
+        if reached.isEmpty():
+            break
+    return spark.read.parquet(path).filter("taken and state <> 'failed'").select("site_id", "url", "depth", "place", "state")
 
 
 def host_of(url: str) -> str:
