@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitetide.functions.diffs import change_runs_udf
+from sitetide.functions.diffs import change_runs, opcodes
 from sitetide.functions.text import letters, mask_digits
 from sitetide.operators.components import connected_components
 from sitetide.session import written
@@ -25,7 +25,8 @@ SHUFFLE_SUMMARY = "Перетасовка блока ссылок (другие
 
 def change_lines(diffs: DataFrame) -> DataFrame:
     """``site_id, url, run, lines`` of the changed pages."""
-    rows = diffs.filter("change_type = 'changed'").select(*PAGE, change_runs_udf("old_text", "new_text").alias("runs"))
+    rows = diffs.filter("change_type = 'changed'").select(*PAGE, opcodes("normal")("old_text", "new_text").alias("d"))
+    rows = rows.select(*PAGE, change_runs(F.col("d")).alias("runs"))
     return rows.select(*PAGE, F.posexplode("runs").alias("run", "lines"))
 
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitetide.functions.diffs import unified_udf
+from sitetide.functions.diffs import opcodes, unified, with_hunks
 from sitetide.functions.markup import extract_text
 from sitetide.functions.noise import normalize_for_compare
 from sitetide.functions.urls import same_page
+from sitetide.session import free_name
 
 GONE_STATUS = (404, 410)
 TARGET_TEXT = 4000
@@ -35,9 +36,12 @@ def snapshot_diff(previous: DataFrame, current: DataFrame, with_noise: bool = Tr
 
 
 def with_diff_text(diffs: DataFrame) -> DataFrame:
-    """Add ``diff_text``, null but for changed pages."""
-    text = F.when(F.col("change_type") == "changed", unified_udf("old_text", "new_text"))
-    return diffs.withColumn("diff_text", text)
+    """Add ``diff_text``, null but for changed pages: their islands of changed lines with two lines of context."""
+    changed = F.col("change_type") == "changed"
+    both, found = free_name("opcodes", diffs), free_name("hunks", diffs)
+    rows = with_hunks(diffs.filter(changed).withColumn(both, opcodes("stripped")("old_text", "new_text")), both, found)
+    rows = rows.withColumn("diff_text", unified(F.col(found))).drop(both, found)
+    return rows.unionByName(diffs.filter(~changed).withColumn("diff_text", F.lit(None).cast("string")))
 
 
 def classify(url: Column, status: Column, final_url: Column) -> Column:

@@ -73,10 +73,20 @@ def unified_diff(spark, sf):
     return snapshots.with_diff_text(_diffs(spark, sf)).select("site_id", "url", "change_type", "diff_text")
 
 
+@query()
+def diff_hunks(spark, sf):
+    """Each island of changed lines as a row: where it lies in both texts, and how many lines it removes and adds."""
+    rows = _diffs(spark, sf).filter("change_type = 'changed'").withColumn("d", diffs.opcodes("stripped")("old_text", "new_text"))
+    each = diffs.with_hunks(rows, "d").select("site_id", "url", F.posexplode("hunks").alias("nth", "h"))
+    of = lambda mark: F.size(F.filter("h.lines", lambda x: F.startswith(x, F.lit(mark))))
+    return each.select("site_id", "url", "nth", "h.i1", "h.i2", "h.j1", "h.j2", of("-").alias("removed"), of("+").alias("added"))
+
+
 @query()
 def side_by_side(spark, sf):
     rows = _diffs(spark, sf).filter("change_type = 'changed'")
-    return rows.select("site_id", "url", F.posexplode(diffs.side_by_side_udf("old_text", "new_text")).alias("pos", "r")).select("site_id", "url", "pos", "r.*")
+    rows = rows.select("site_id", "url", diffs.opcodes("worded")("old_text", "new_text").alias("d"))
+    return rows.select("site_id", "url", F.posexplode(diffs.side_by_side(F.col("d"))).alias("pos", "r")).select("site_id", "url", "pos", "r.*")
 
 
 @query()

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from sitetide.functions import diffs, markup, noise, parsers, text, urls
+from sitetide.functions import markup, noise, parsers, text, urls
 from sitetide.operators import similarity, sitewide, topics
 from sitetide.sources import sitemap, store
 
@@ -33,12 +33,6 @@ def test_reviews_are_cut_where_the_last_card_ends():
     assert noise.strip_reviews("Отзывы\n1 мая 2026\nтекст") == "Отзывы\n1 мая 2026\nтекст"
 
 
-def test_side_by_side_collapses_far_lines():
-    rows = diffs.side_by_side("a\nb\nc\nd\ne\nf\n\ng", "a\nb\nc\nd\ne\nf\nh\ni")
-    assert rows[0] == (None, None, "skip", 3) and rows[-2:] == [("g", "h", "changed", 0), (None, "i", "added", 0)]
-    assert diffs.side_by_side(None, "") == [] and diffs.change_runs(None, "x") == [["+x"]]
-
-
 def test_page_structure():
     body = "слово " * 100
     html = (
