@@ -131,8 +131,11 @@ ZONE = "Europe/Moscow"
 
 
 def parse_lastmod(raw: Column) -> Column:
-    """An ISO-8601 date or time; without a zone it is UTC; anything else is null."""
+    """An ISO-8601 date or time, extended or basic; without a zone it is UTC; anything else is null."""
     text = F.regexp_replace(raw, r"(?U)^\s+|\s+$", "")
+    text = F.regexp_replace(text, r"^(\d{4})(\d{2})(\d{2})(?=$|T)", "$1-$2-$3")
+    text = F.regexp_replace(text, r"T(\d{2})(\d{2})(\d{2})?(?=$|Z|[+-])", "T$1:$2:$3")
+    text = F.regexp_replace(text, r"(T\d{2}:\d{2}):(?=$|Z|[+-])", "$1")
     iso = text.rlike(r"^\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?(?:Z|[+-]\d{2}:?\d{2})?)?$")
     return F.when(iso, F.try_to_timestamp(text))
 
@@ -153,11 +156,16 @@ def in_night_window(ts: Column, start: int, end: int, zone: str = ZONE) -> Colum
     return (hour >= start) & (hour < end) if start <= end else (hour >= start) | (hour < end)
 
 
-def next_run(saved: Column, now: Column, hour: int = 3, zone: str = ZONE, grace_minutes: int = 2) -> Column:
-    """A saved run that is overdue, or due within two minutes, starts in two minutes; else the next Sunday's is planned."""
+def is_overdue(saved: Column, now: Column, reset: Column | None = None, grace_minutes: int = 2) -> Column:
+    """Whether a saved run has passed, or is due within two minutes, and was not reset."""
+    due = F.coalesce(saved <= now + F.make_dt_interval(mins=F.lit(grace_minutes)), F.lit(False))
+    return due & ~F.coalesce(reset, F.lit(False)) if reset is not None else due
+
+
+def next_run(saved: Column, now: Column, hour: int = 3, zone: str = ZONE, grace_minutes: int = 2, reset: Column | None = None) -> Column:
+    """An overdue run starts in two minutes; else the next Sunday's is planned, this very moment included."""
     local = F.from_utc_timestamp(now, zone)
     sunday = F.next_day(F.date_sub(local.cast("date"), 1), "Sunday").cast("timestamp") + F.make_dt_interval(hours=F.lit(hour))
-    sunday = F.when(sunday <= local, sunday + F.make_dt_interval(days=F.lit(7))).otherwise(sunday)
+    sunday = F.when(sunday < local, sunday + F.make_dt_interval(days=F.lit(7))).otherwise(sunday)
     planned = F.to_utc_timestamp(sunday, zone)
-    soon = now + F.make_dt_interval(mins=F.lit(grace_minutes))
-    return F.when(saved <= soon, soon).otherwise(planned)
+    return F.when(is_overdue(saved, now, reset, grace_minutes), now + F.make_dt_interval(mins=F.lit(grace_minutes))).otherwise(planned)

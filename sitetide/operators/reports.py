@@ -196,10 +196,11 @@ def finding_counts(findings: DataFrame) -> DataFrame:
     )
 
 
-def report_lists(findings: DataFrame, k: int = SUMMARY_LIMIT) -> DataFrame:
+def report_lists(findings: DataFrame, baseline: DataFrame | None = None, k: int = SUMMARY_LIMIT) -> DataFrame:
     """``site_id, list, nth, line, url, total``: the first ``k`` important findings and those that the own site lacks.
 
-    Important ones keep their order ``ord``; the missing ones (verdict ``none``) come by importance.
+    Important ones keep their order ``ord``; the missing ones (verdict ``none``) come by importance, then the first
+    comparisons ``baseline (site_id, ord, url, verdict, missing)`` with that verdict, in their order.
     """
     rows = findings.filter(~F.coalesce(F.col("importance") == "low", F.lit(False)))
     rows = rows.withColumn("to", finding_url(F.col("url"), F.col("related_url"), F.col("sitewide_pages")))
@@ -207,6 +208,9 @@ def report_lists(findings: DataFrame, k: int = SUMMARY_LIMIT) -> DataFrame:
     important = rows.filter("importance = 'high'").select("site_id", F.lit("important").alias("list"), F.lit(0).alias("rank"), "ord", short(why).alias("line"), "to")
     lacking = rows.filter("verdict = 'none'").select("site_id", F.lit("missing").alias("list"), text.importance_rank(F.col("importance")).alias("rank"), "ord", short(F.col("summary")).alias("line"), "to")
     both = important.unionByName(lacking)
+    if baseline is not None:
+        first = baseline.filter("verdict = 'none'")
+        both = both.unionByName(first.select("site_id", F.lit("missing").alias("list"), F.lit(3).alias("rank"), "ord", short(F.col("missing")).alias("line"), F.col("url").alias("to")))
     totals = both.groupBy("site_id", "list").agg(F.count("*").alias("total"))
     top = both.withColumn("nth", F.row_number().over(Window.partitionBy("site_id", "list").orderBy("rank", "ord"))).filter(F.col("nth") <= k)
     return top.join(totals, ["site_id", "list"]).select("site_id", "list", "nth", "line", F.col("to").alias("url"), "total")
@@ -233,7 +237,8 @@ VERDICT_CELLS = {"exact": "У нас такое есть", "similar": "У нас
 
 
 def report_rows(findings: DataFrame, types: dict = TYPE_CELLS, grades: dict = IMPORTANCE_CELLS, kinds: dict = KIND_CELLS, verdicts: dict = VERDICT_CELLS) -> DataFrame:
-    """The ten cells of each finding of a report, null-free; the names in them are parameters.
+    """The ten cells of each finding of a report, null-free; the names in them are parameters. Shared changes are left to
+    ``shared_rows``.
 
     ``findings`` has the columns of a change, of its analysis (``category, usp, cta, summary, importance,
     importance_reason``), of a move (``moved_to, moved_summary``) and of a comparison (``verdict, our_url, differences,
@@ -252,7 +257,8 @@ def report_rows(findings: DataFrame, types: dict = TYPE_CELLS, grades: dict = IM
     grade = _choice(F.col("importance"), grades)
     kind = F.when(F.coalesce("moved_to", empty) != "", MOVED_LABEL).otherwise(_choice(F.col("change_type"), types))
     verdict = F.coalesce(_choice(F.col("verdict"), verdicts), empty)
-    return findings.select(
+    rows = findings.filter(F.col("sitewide_pages").isNull()) if "sitewide_pages" in findings.columns else findings
+    return rows.select(
         F.date_format("detected_at", "yyyy-MM-dd\nHH:mm").alias("detected"),
         F.concat_ws("\n", kind, grade).alias("type"),
         "url",
@@ -266,14 +272,41 @@ def report_rows(findings: DataFrame, types: dict = TYPE_CELLS, grades: dict = IM
     )
 
 
+def shared_rows(groups: DataFrame, grades: dict = IMPORTANCE_CELLS, kinds: dict = KIND_CELLS, examples: int = 3) -> DataFrame:
+    """The ten cells of each change that many pages share: one row for the block, not one for each page.
+
+    ``groups (detected_at, urls, n_pages, related_url, category, usp, cta, summary, importance, importance_reason)``, where
+    ``urls`` holds the first pages at least. The address cell has the page that the block advertises, if that is an
+    address, a few examples and how many more there are; the cells of a comparison stay empty.
+    """
+    empty = F.lit("")
+    grade = _choice(F.col("importance"), grades)
+    leads = F.when(F.startswith("related_url", F.lit("http")), F.concat(F.lit("Ведёт на: "), "related_url"))
+    rest = F.when(F.col("n_pages") > examples, F.concat(F.lit("и ещё "), (F.col("n_pages") - examples).cast("string")))
+    why = F.when((F.col("importance") == "high") & (F.coalesce("importance_reason", empty) != ""), F.concat(F.lit("Почему важно: "), "importance_reason"))
+    return groups.select(
+        F.date_format("detected_at", "yyyy-MM-dd\nHH:mm").alias("detected"),
+        F.concat_ws("\n", F.lit(SITEWIDE_LABEL), F.concat(F.lit("на "), F.col("n_pages").cast("string"), F.lit(" стр.")), grade).alias("type"),
+        F.concat_ws("\n", leads, F.lit("Примеры:"), F.array_join(F.slice("urls", 1, examples), "\n"), rest).alias("url"),
+        F.coalesce("category", empty).alias("category"),
+        _choice(urls.content_kind(F.get("urls", F.lit(0)), F.col("category")), kinds).alias("kind"),
+        F.coalesce("usp", empty).alias("usp"),
+        F.coalesce("cta", empty).alias("cta"),
+        F.concat_ws("\n", F.coalesce(F.nullif("summary", empty), F.lit("Блок изменился на многих страницах сразу.")), why).alias("description"),
+        empty.alias("verdict"),
+        empty.alias("details"),
+    )
+
+
 # --- counters -------------------------------------------------------------------------------------------------------
 
 
 def decision_tallies(findings: DataFrame, decisions: DataFrame) -> DataFrame:
-    """For each decision kind its topics, findings and rival sites, newest first by ``updated_at``."""
-    per = findings.groupBy("decision_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("site_id")).alias("site_ids"))
+    """For each decision kind its topics, findings and rival sites, newest first by ``updated_at``, then by id."""
+    per = findings.groupBy("decision_id").agg(F.count("*").alias("n"), F.countDistinct("site_id").cast("int").alias("n_sites"))
     rows = decisions.join(per, "decision_id", "left")
-    return rows.select("decision_id", "decision", "updated_at", F.coalesce("n", F.lit(0)).alias("findings"), F.coalesce(F.size("site_ids"), F.lit(0)).alias("sites"))
+    made = rows.select("decision_id", "decision", "updated_at", F.coalesce("n", F.lit(0)).alias("findings"), F.coalesce("n_sites", F.lit(0)).alias("sites"))
+    return made.orderBy(F.desc("updated_at"), "decision_id")
 
 
 def run_tallies(matched: DataFrame) -> DataFrame:
@@ -303,6 +336,30 @@ def site_cards(sites: DataFrame, pages: DataFrame, changes: DataFrame, cache: Da
     return rows.na.fill(0, names)
 
 
+def site_pages(pages: DataFrame, site_id) -> DataFrame:
+    """All pages of one site, those seen last first."""
+    return pages.filter(F.col("site_id") == F.lit(site_id)).orderBy(F.desc("last_seen_at"), "url")
+
+
+def merged_results(results: DataFrame, key: str = "run_id") -> DataFrame:
+    """The parts of a run as one: counts are summed, and a limit that any part hit was hit.
+
+    ``results (run_id, cards, cards_skipped, calls, merged, not_compared, limit_hit, decisions)``, where ``decisions`` maps
+    a kind to its number; the kinds are few.
+    """
+    counts = ["cards", "cards_skipped", "calls", "merged", "not_compared"]
+    sums = results.groupBy(key).agg(*[F.sum(c).alias(c) for c in counts], F.max("limit_hit").alias("limit_hit"))
+    each = results.select(key, F.explode("decisions").alias("k", "n")).groupBy(key, "k").agg(F.sum("n").alias("n"))
+    kinds = each.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "n")))).alias("decisions"))
+    return sums.join(kinds, key, "left").withColumn("decisions", F.coalesce("decisions", F.create_map().cast("map<string,bigint>")))
+
+
+def audit_totals(progress: DataFrame) -> DataFrame:
+    """One row over ``progress (site_id, articles, done, ready, waiting)``: sums, and whether the queue is empty."""
+    made = progress.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("articles", "done", "ready", "waiting")])
+    return made.withColumn("finished", F.col("ready") == 0)
+
+
 def own_counts(changes: DataFrame, sites: DataFrame) -> DataFrame:
     """Changes of the own site by type."""
     return changes.join(sites.filter("is_own").select("site_id"), "site_id", "left_semi").groupBy("change_type").agg(F.count("*").alias("n"))
@@ -322,15 +379,19 @@ def cookie_reminder(sites: DataFrame) -> DataFrame:
 
 
 def pick_sites(sites: DataFrame, wanted: list[str] | None = None) -> DataFrame:
-    """Rivals by name, id or end of the domain; without a wish all that are not paused."""
+    """Rivals by name, id or any ending of the address; without a wish all that are not paused. A wish that nothing fits
+    is an error."""
     rivals = sites.filter("not is_own")
     if not wanted:
         return rivals.filter("not is_paused")
-    host = urls.domain(F.col("base_url"))
+    address = F.regexp_replace("base_url", "/+$", "")
     hit = F.lit(False)
     for w in wanted:
-        hit = hit | (F.col("name") == w) | (F.col("site_id").cast("string") == w) | (host == w) | F.endswith(host, F.lit("." + w))
-    return rivals.filter(hit)
+        hit = hit | (F.col("name") == w) | (F.col("site_id").cast("string") == w) | F.endswith(address, F.lit(w))
+    found = rivals.filter(hit)
+    if found.isEmpty():
+        raise ValueError(f"no site fits {', '.join(wanted)}")
+    return found
 
 
 def pilot_sample(pages: DataFrame, k: int, seed: int = 1) -> DataFrame:
@@ -343,6 +404,21 @@ def pilot_sample(pages: DataFrame, k: int, seed: int = 1) -> DataFrame:
 # --- cookies --------------------------------------------------------------------------------------------------------
 
 
+def converted_cookies(cookies: DataFrame) -> DataFrame:
+    """Exported cookies in a browser's form: ``name, value, domain, path, expires, http_only, secure, same_site``.
+
+    ``expires`` is -1 for cookies of a session and those without a date; an unknown ``sameSite`` is ``Lax``.
+    """
+    kind = F.lower(F.coalesce("sameSite", F.lit("unspecified")))
+    same = F.when(kind == "no_restriction", "None").when(kind == "strict", "Strict").otherwise("Lax")
+    lasting = F.col("expirationDate").isNotNull() & ~F.coalesce("session", F.lit(False))
+    return cookies.select(
+        "name", "value", "domain", F.coalesce("path", F.lit("/")).alias("path"),
+        F.when(lasting, F.col("expirationDate").cast("double")).otherwise(-1.0).alias("expires"),
+        F.coalesce("httpOnly", F.lit(False)).alias("http_only"), F.coalesce("secure", F.lit(False)).alias("secure"), same.alias("same_site"),
+    )
+
+
 def expired_guards(cookies: DataFrame, now: float, prefix: str = "qrator_jsid") -> DataFrame:
     """Cookies of a site's guard that are out of date: a crawl with them would be refused."""
     rows = cookies.filter(F.startswith(F.lower("name"), F.lit(prefix)) & ~F.coalesce("session", F.lit(False)))
@@ -359,7 +435,8 @@ def sites_of_cookies(sites: DataFrame, cookies: DataFrame) -> DataFrame:
         parts = F.split(host, r"\.")
         return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "."))
 
-    left = sites.select("site_id", urls.domain(F.col("base_url")).alias("host"))
+    host = F.regexp_replace(F.lower(urls.authority(F.col("base_url"))), r"^.*@|:\d*$", "")  # without user and port
+    left = sites.select("site_id", F.regexp_replace(host, r"^www\.", "").alias("host"))
     right = cookies.select(F.lower(F.regexp_replace("domain", r"^\.+", "")).alias("domain")).distinct()
     under = left.select("site_id", F.explode(endings(F.col("host"))).alias("domain")).join(right, "domain")
     over = right.select("domain", F.explode(endings(F.col("domain"))).alias("host")).join(left, "host")

@@ -215,15 +215,21 @@ def _rows(spark, sf):
     return view(spark, sf, "run_findings").join(view(spark, sf, "compared").withColumnRenamed("change_id", "ord"), "ord", "left")
 
 
-@query(
-    f"""SELECT site_id, list, nth, line, url, total FROM (SELECT *, CAST(row_number() OVER (PARTITION BY site_id, list ORDER BY rank, ord) AS INT) AS nth,
+_LISTS = f"""SELECT site_id, list, nth, line, url, total FROM (SELECT *, CAST(row_number() OVER (PARTITION BY site_id, list ORDER BY rank, ord) AS INT) AS nth,
         count(*) OVER (PARTITION BY site_id, list) AS total FROM (
         SELECT site_id, 'important' AS list, 0 AS rank, ord, {_SHORT % "coalesce(nullif(importance_reason, ''), summary)"} AS line, {_TO} AS url FROM {_ROWS} WHERE importance = 'high'
-        UNION ALL SELECT site_id, 'missing', {_RANK}, ord, {_SHORT % "summary"}, {_TO} FROM {_ROWS} WHERE verdict = 'none' AND importance IS DISTINCT FROM 'low')) WHERE nth <= 5""",
-    "run_findings", "compared",
+        UNION ALL SELECT site_id, 'missing', {_RANK}, ord, {_SHORT % "summary"}, {_TO} FROM {_ROWS} WHERE verdict = 'none' AND importance IS DISTINCT FROM 'low'
+        UNION ALL SELECT site_id, 'missing', 3, change_id, {_SHORT % "coalesce(missing, '')"}, url FROM compared JOIN changes USING (change_id) WHERE verdict = 'none')) WHERE nth <= 5"""
+
+
+@query(
+    _LISTS,
+    "run_findings", "compared", "changes",
 )
 def report_lists(spark, sf):
-    return reports.report_lists(_rows(spark, sf))
+    """Important findings, and what the own site lacks: findings by importance, then first comparisons."""
+    first = view(spark, sf, "compared").join(view(spark, sf, "changes"), "change_id").select("site_id", "url", "verdict", "missing", F.col("change_id").alias("ord"))
+    return reports.report_lists(_rows(spark, sf), first)
 
 
 @query(
@@ -246,13 +252,31 @@ def overview_items(spark, sf):
         concat_ws(chr(10), summary, 'Новый адрес: ' || moved_to, 'Теперь там: ' || moved_summary,
           CASE WHEN importance = 'high' AND importance_reason <> '' THEN 'Почему важно: ' || importance_reason END) AS description,
         concat_ws(chr(10), CASE verdict WHEN 'exact' THEN 'У нас такое есть' WHEN 'similar' THEN 'У нас похожее есть' WHEN 'none' THEN 'У нас такого нет' END, our_url) AS verdict,
-        concat_ws(chr(10), 'Отличия: ' || differences, 'Чего нам не хватает: ' || missing) AS details FROM {_ROWS}""",
+        concat_ws(chr(10), 'Отличия: ' || differences, 'Чего нам не хватает: ' || missing) AS details FROM {_ROWS} WHERE sitewide_pages IS NULL""",
     "run_findings", "compared",
 )
 def report_rows(spark, sf):
     return reports.report_rows(_rows(spark, sf))
 
 
+@query(
+    f"""SELECT strftime(detected_at, '%Y-%m-%d' || chr(10) || '%H:%M') AS detected, 'Сквозное изменение' || chr(10) || 'на ' || sitewide_pages || ' стр.'
+          || CASE importance WHEN 'high' THEN chr(10) || '🔥 Важно' WHEN 'low' THEN chr(10) || 'Мелочь' ELSE '' END AS type,
+        concat_ws(chr(10), CASE WHEN related_url LIKE 'http%' THEN 'Ведёт на: ' || related_url END, 'Примеры:', url || '/1', url || '/2', url || '/3',
+          CASE WHEN sitewide_pages > 3 THEN 'и ещё ' || (sitewide_pages - 3) END) AS url,
+        coalesce(category, '') AS category, CASE {_CONTENT} WHEN 'info' THEN 'Инфо (SEO)' ELSE 'Коммерция (продукт)' END AS kind, coalesce(usp, '') AS usp, coalesce(cta, '') AS cta,
+        CASE WHEN ord % 39 = 0 THEN 'Блок изменился на многих страницах сразу.' ELSE summary END
+          || CASE WHEN importance = 'high' AND importance_reason <> '' THEN chr(10) || 'Почему важно: ' || importance_reason ELSE '' END AS description, '' AS verdict, '' AS details
+        FROM run_findings WHERE sitewide_pages IS NOT NULL""",
+    "run_findings",
+)
+def shared_report_rows(spark, sf):
+    """One row for each block that many pages share; some have no summary."""
+    rows = view(spark, sf, "run_findings").filter("sitewide_pages is not null")
+    pages = F.transform(F.sequence(F.lit(1).cast("long"), F.col("sitewide_pages").cast("long")), lambda k: F.concat("url", F.lit("/"), k.cast("string")))
+    return reports.shared_rows(rows.withColumns({"urls": pages, "n_pages": F.col("sitewide_pages"), "summary": F.when(F.col("ord") % 39 == 0, "").otherwise(F.col("summary"))}))
+
+
 @query(
     "SELECT 'За эту неделю новых и изменённых инфостатей конкурентов не найдено.' AS topic, '2030-01-07' AS week, CAST(NULL AS BIGINT) AS decision_id"
     f" WHERE NOT EXISTS (SELECT 1 FROM ({_SHEET.replace('FROM sheet_rows', 'FROM (SELECT * FROM findings JOIN decisions USING (decision_id))')}) WHERE week = '2030-01-07')",
@@ -329,9 +353,9 @@ def cookie_reminder(spark, sf):
     return reports.cookie_reminder(view(spark, sf, "sites"))
 
 
-@query("SELECT site_id FROM sites WHERE NOT is_own AND (name = 'Supplier_3' OR site_id = 5 OR site_id = 8)", "sites")
+@query("SELECT site_id FROM sites WHERE NOT is_own AND (name = 'Supplier_3' OR site_id = 5 OR site_id % 10 = 8)", "sites")
 def picked_sites(spark, sf):
-    return reports.pick_sites(view(spark, sf, "sites"), ["Supplier_3", "5", "site8.example"]).select("site_id")
+    return reports.pick_sites(view(spark, sf, "sites"), ["Supplier_3", "5", "8.example"]).select("site_id")
 
 
 @query("SELECT site_id, least(count(*), 20) AS n FROM monitored WHERE NOT is_removed AND regexp_matches(url, '/(blog|news)/') GROUP BY site_id", "monitored")
@@ -351,7 +375,10 @@ def expired_cookies(spark, sf):
     "sites", "cookies",
 )
 def cookie_sites(spark, sf):
-    return reports.sites_of_cookies(view(spark, sf, "sites"), view(spark, sf, "cookies"))
+    """Every third address is written with capitals, a user and a port."""
+    odd = F.concat(F.lit("https://me@"), F.upper(F.regexp_extract("base_url", "^https://([^/]*)", 1)), F.lit(":443/"))
+    sites = view(spark, sf, "sites").withColumn("base_url", F.when(F.col("site_id") % 3 == 0, odd).otherwise(F.col("base_url")))
+    return reports.sites_of_cookies(sites, view(spark, sf, "cookies"))
 
 
 # --- sources and answers --------------------------------------------------------------------------------------------

@@ -6,8 +6,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from sitetide.operators import portions, snapshots, topics
-from sitetide.plans.catalog import _DIFF, query
+from sitetide.operators import assembly, ordered, portions, reports, snapshots, topics
+from sitetide.plans import more_queries
+from sitetide.plans.catalog import _DIFF, NOW, query
+from sitetide.plans.more_queries import _LISTS
 from sitetide.plans.stand_ins import view
 from sitetide.session import own_folder
 from sitetide.sources import journal, sitemap
@@ -171,3 +173,151 @@ def discovered_pages(spark, sf):
     own = F.when(F.col("kind") == 3, F.concat("host", F.lit("/all"))).when(F.col("kind") == 4, F.concat("host", F.lit("/index.xml")))
     sites = whole.select("site_id", F.concat("host", F.lit("/")).alias("base_url"), own.alias("sitemap_url"))
     return sitemap.discover(sites, responses).select("site_id", "rank", "url", F.date_format("lastmod", "yyyy-MM-dd HH:mm:ss").alias("lastmod"))
+
+
+# --- bounded texts --------------------------------------------------------------------------------------------------
+
+_BUDGET = 600
+
+
+@query(
+    f"""SELECT site_id, coalesce(string_agg(line, chr(10) ORDER BY nth) FILTER (ends <= {_BUDGET}), '')
+          || CASE WHEN count(*) > count(*) FILTER (ends <= {_BUDGET}) THEN chr(10) || '…и ещё ' || (count(*) - count(*) FILTER (ends <= {_BUDGET})) ELSE '' END AS text,
+          count(*) FILTER (ends <= {_BUDGET}) AS shown, count(*) - count(*) FILTER (ends <= {_BUDGET}) AS left
+        FROM (SELECT *, sum(length(line) + 1) OVER (PARTITION BY site_id ORDER BY nth) - 1 AS ends FROM (
+          SELECT site_id, change_type || ' ' || url AS line, row_number() OVER (PARTITION BY site_id ORDER BY detected_at DESC, change_id) AS nth FROM changes)) GROUP BY site_id""",
+    "changes",
+)
+def fitted_changes(spark, sf):
+    """The latest changes of each site that fit into six hundred characters, and how many are left out."""
+    rows = view(spark, sf, "changes").select("site_id", (-F.unix_micros("detected_at")).alias("newest"), "change_id", F.concat_ws(" ", "change_type", "url").alias("line"))
+    return assembly.fitted(rows, ["site_id"], ["newest", "change_id"], "line", _BUDGET)
+
+
+@query(
+    f"""SELECT d.site_id, d.url, CASE WHEN change_type <> 'changed' THEN change_type WHEN m.page_id % 3 = 0 THEN 'own' ELSE 'diff' END AS about,
+        substring(coalesce(CASE WHEN change_type = 'new' THEN c.text WHEN change_type = 'removed' THEN p.text WHEN m.page_id % 3 = 0 THEN '+own ' || d.url ELSE c.text || p.text END, ''), 1, {assembly.CONTENT_LIMIT}) AS content
+        FROM ({_DIFF}) d JOIN monitored m ON m.site_id = d.site_id AND m.url = d.url LEFT JOIN crawl_prev p ON p.site_id = d.site_id AND p.url = d.url
+        LEFT JOIN crawl_cur c ON c.site_id = d.site_id AND c.url = d.url""",
+    "crawl_prev", "crawl_cur", "monitored",
+)
+def asked_contents(spark, sf):
+    """What is shown of each change: a third of the changed pages have a part of their own that takes the place of the whole."""
+    found = snapshots.snapshot_diff(view(spark, sf, "crawl_prev"), view(spark, sf, "crawl_cur"), with_noise=False)
+    found = found.withColumn("diff_text", F.when(F.col("change_type") == "changed", F.concat("new_text", "old_text")))
+    own = view(spark, sf, "monitored").filter("page_id % 3 = 0").select("site_id", "url", F.concat(F.lit("+own "), "url").alias("own_text"))
+    return assembly.asked_content(assembly.with_own_part(found, own))
+
+
+@query(
+    f"""SELECT case_id, count(*) AS n, string_agg('--- ' || nth || ' ---' || chr(10) || url || chr(10) || coalesce(nullif(title, ''), 'не указан') || chr(10) || substring(coalesce(text, ''), 1, {assembly.COMPARE_LIMIT}),
+          chr(10) || chr(10) ORDER BY nth) AS text
+        FROM (SELECT doc_id // 3 AS case_id, CAST(doc_id % 3 + 1 AS INT) AS nth, m.url, CASE WHEN doc_id % 4 = 0 THEN '' WHEN doc_id % 4 = 1 THEN NULL ELSE 'Title ' || lang END AS title, text
+              FROM documents JOIN monitored m ON m.page_id = doc_id) GROUP BY case_id""",
+    "monitored",
+)
+def candidate_blocks(spark, sf):
+    docs = view(spark, sf, "documents").join(view(spark, sf, "monitored").select(F.col("page_id").alias("doc_id"), "url"), "doc_id")
+    title = F.when(F.col("doc_id") % 4 == 0, "").when(F.col("doc_id") % 4 > 1, F.concat(F.lit("Title "), "lang"))
+    return assembly.candidate_blocks(docs.select(F.floor(F.col("doc_id") / 3).alias("case_id"), (F.col("doc_id") % 3 + 1).cast("int").alias("nth"), "url", title.alias("title"), "text"))
+
+
+def _context_sql(part: str, own: str, most: int, head: str) -> str:
+    return f"""SELECT '{part}' AS part, coalesce(string_agg(line, chr(10) ORDER BY nth) FILTER (kept), '')
+          || CASE WHEN count(*) > count(*) FILTER (kept) THEN chr(10) || '…и ещё ' || (count(*) - count(*) FILTER (kept)) ELSE '' END AS text,
+          count(*) FILTER (kept) AS shown, count(*) - count(*) FILTER (kept) AS left FROM (
+        SELECT *, nth <= {most} AND sum(length(line) + 1) OVER (ORDER BY nth) - 1 <= {assembly.CONTENT_LIMIT} AS kept FROM (
+          SELECT concat_ws(' | ', {head}change_type, c.url, 'Found ' || change_type) AS line, row_number() OVER (ORDER BY detected_at DESC, change_id) AS nth
+          FROM changes c JOIN sites s USING (site_id) WHERE detected_at >= TIMESTAMP '{NOW}' - INTERVAL 30 DAY AND {own})) HAVING count(*) > 0"""
+
+
+@query(f"{_context_sql('rivals', 'NOT is_own', 40, 'name, ')} UNION ALL {_context_sql('own', 'is_own', 15, '')}", "changes", "sites")
+def recent_context(spark, sf):
+    """The latest forty findings of rivals and fifteen of the own site, within eight thousand characters each."""
+    rows = view(spark, sf, "changes").join(view(spark, sf, "sites").select("site_id", "is_own", F.col("name").alias("site")), "site_id")
+    return assembly.context_lines(rows.withColumn("summary", F.concat(F.lit("Found   "), "change_type")), NOW)
+
+
+_TITLES = {"important": "🔥 Важное", "missing": "❌ У нас такого нет"}
+_INTRO = f"""
+SELECT site_id, CAST(row_number() OVER (PARTITION BY site_id ORDER BY a, b) AS INT) AS place, style, text FROM (
+  SELECT site_id, 0 AS a, 0 AS b, 'h1' AS style, 'Коротко: ' || name AS text FROM sites
+  UNION ALL SELECT site_id, 1, 0, 'normal', 'Главное: overview' FROM sites WHERE site_id % 2 = 0
+  UNION ALL SELECT site_id, 2, 0, 'normal', 'Counts' FROM sites UNION ALL SELECT site_id, 900, 0, 'h1', 'Подробности' FROM sites
+  UNION ALL SELECT site_id, 901, 1, 'normal', 'Note' FROM sites WHERE site_id % 3 = 0
+  UNION ALL SELECT site_id, CASE list WHEN 'important' THEN 10 ELSE 13 END, 0, 'h2', CASE list WHEN 'important' THEN '🔥 Важное' ELSE '❌ У нас такого нет' END FROM (SELECT DISTINCT site_id, list FROM ({_LISTS}))
+  UNION ALL SELECT site_id, CASE list WHEN 'important' THEN 11 ELSE 14 END, nth, 'normal', CASE WHEN line <> '' THEN '• ' || line || ' — ' || url ELSE '• ' || url END FROM ({_LISTS})
+  UNION ALL SELECT site_id, CASE list WHEN 'important' THEN 12 ELSE 15 END, 0, 'normal', '…и ещё ' || (total - n) || ' — в таблице ниже.' FROM (SELECT site_id, list, max(total) AS total, count(*) AS n FROM ({_LISTS}) GROUP BY ALL) WHERE total > n)"""
+
+
+@query(_INTRO, "run_findings", "compared", "changes", "sites")
+def report_intro(spark, sf):
+    sites = view(spark, sf, "sites")
+    heads = sites.select("site_id", F.concat(F.lit("Коротко: "), "name").alias("heading"), F.when(F.col("site_id") % 2 == 0, "overview").alias("overview"), F.lit("Counts").alias("counts"))
+    notes = sites.filter("site_id % 3 = 0").select("site_id", F.lit(1).alias("nth"), F.lit("Note").alias("note"))
+    return assembly.intro_paragraphs(heads, more_queries.report_lists(spark, sf), notes, _TITLES)
+
+
+# --- answers --------------------------------------------------------------------------------------------------------
+
+
+@query(
+    """SELECT CAST(event_id AS BIGINT) AS answer_id, CASE WHEN k IN (0, 1, 3, 4, 6) THEN 'Done ' || CAST(user_id AS STRING) END AS reply,
+       CASE k WHEN 0 THEN 'crawl' WHEN 1 THEN 'add_competitor' WHEN 7 THEN 'crawl_all' END AS action,
+       CASE k WHEN 0 THEN '{"competitor_id":' || CAST(user_id AS STRING) || '}' WHEN 1 THEN '{"name":"Foo","url":"foo.example"}' WHEN 7 THEN '{}' END AS args,
+       CASE WHEN k IN (0, 1, 7) THEN 'accepted' WHEN k = 2 THEN 'empty' WHEN k = 3 THEN 'none' WHEN k = 4 THEN 'unknown' WHEN k = 5 THEN 'unreadable' ELSE 'incomplete' END AS verdict
+       FROM (SELECT *, event_id % 8 AS k FROM events)"""
+)
+def checked_replies(spark, sf):
+    """Eight kinds of answers: good ones, one that names an unknown action, one whose argument is null, broken ones."""
+    said, k = F.concat(F.lit('"reply": "Done '), F.col("user_id").cast("string"), F.lit(' "')), F.col("event_id") % 8
+    raw = (
+        F.when(k == 0, F.concat(F.lit("Sure: {"), said, F.lit(', "action": {"type": "crawl", "competitor_id": '), F.col("user_id").cast("string"), F.lit("}} bye")))
+        .when(k == 1, F.concat(F.lit("{"), said, F.lit(', "action": {"type": "add_competitor", "name": "Foo", "url": "foo.example"}}')))
+        .when(k == 2, F.lit('{"reply": "  ", "action": {"type": "crawl"}}'))
+        .when(k == 3, F.concat(F.lit("{"), said, F.lit(', "action": null}')))
+        .when(k == 4, F.concat(F.lit("{"), said, F.lit(', "action": {"type": "erase_all", "competitor_id": 1}}')))
+        .when(k == 5, F.lit("no object {here"))
+        .when(k == 6, F.concat(F.lit("{"), said, F.lit(', "action": {"type": "add_competitor", "name": "Foo", "url": null}}')))
+        .otherwise(F.lit('{"action": {"type": "crawl_all"}}'))
+    )
+    answers = view(spark, sf, "events").select(F.col("event_id").cast("long").alias("answer_id"), raw.alias("raw"))
+    return assembly.checked_replies(answers, assembly.rules(spark))
+
+
+@query(
+    """SELECT name, 'v' AS value, domain, CASE WHEN expires IS NULL THEN '/' ELSE '/p' END AS path, CASE WHEN expires IS NULL OR session THEN -1.0 ELSE CAST(expires AS DOUBLE) END AS expires,
+       expires IS NOT NULL AS http_only, false AS secure, CASE WHEN name = 'sid0' THEN 'None' WHEN name = 'sid1' THEN 'Strict' ELSE 'Lax' END AS same_site FROM cookies""",
+    "cookies",
+)
+def converted_cookies(spark, sf):
+    same = F.when(F.col("name") == "sid0", "No_Restriction").when(F.col("name") == "sid1", "strict").when(F.col("name") == "qrator_jsid0", "odd")
+    rows = view(spark, sf, "cookies").withColumns({"value": F.lit("v"), "path": F.when(F.col("expires").isNotNull(), "/p"), "expirationDate": F.col("expires"), "sameSite": same})
+    return reports.converted_cookies(rows.withColumns({"httpOnly": F.when(F.col("expires").isNotNull(), True), "secure": F.lit(None).cast("boolean")}))
+
+
+@query(
+    """SELECT run_id, sum(cards) AS cards, sum(calls) AS calls, sum(merged) AS merged, bool_or(limit_hit) AS limit_hit, sum(CASE WHEN kind = 'new' THEN n ELSE 0 END) AS n_new,
+       sum(CASE WHEN kind = 'covered' THEN n ELSE 0 END) AS n_covered FROM (SELECT user_id % 9 AS run_id, event_id % 5 AS cards, event_id % 3 AS calls, event_id % 2 AS merged, event_id % 97 = 0 AS limit_hit,
+         CASE WHEN event_id % 4 = 0 THEN 'covered' WHEN event_id % 4 = 1 THEN 'new' END AS kind, event_id % 7 AS n FROM events) GROUP BY run_id"""
+)
+def merged_results(spark, sf):
+    e = F.col("event_id")
+    kind = F.when(e % 4 == 0, F.create_map(F.lit("covered"), (e % 7).cast("long"))).when(e % 4 == 1, F.create_map(F.lit("new"), (e % 7).cast("long"))).otherwise(F.create_map().cast("map<string,bigint>"))
+    rows = view(spark, sf, "events").select((F.col("user_id") % 9).alias("run_id"), (e % 5).alias("cards"), F.lit(0).alias("cards_skipped"), (e % 3).alias("calls"), (e % 2).alias("merged"), F.lit(0).alias("not_compared"), (e % 97 == 0).alias("limit_hit"), kind.alias("decisions"))
+    made = reports.merged_results(rows)
+    of = lambda k: F.coalesce(F.try_element_at("decisions", F.lit(k)), F.lit(0)).alias(f"n_{k}")
+    return made.select("run_id", "cards", "calls", "merged", "limit_hit", of("new"), of("covered"))
+
+
+@query("SELECT sum(articles) AS articles, sum(done) AS done, sum(ready) AS ready, sum(waiting) AS waiting, sum(ready) = 0 AS finished FROM (SELECT site_id, count(*) AS articles, count(*) FILTER (has_card) AS done, count(*) FILTER (NOT has_card) AS ready, count(*) FILTER (is_removed) AS waiting FROM monitored GROUP BY site_id)", "monitored")
+def audit_totals(spark, sf):
+    per = view(spark, sf, "monitored").groupBy("site_id").agg(F.count("*").alias("articles"), F.count_if("has_card").alias("done"), F.count_if(~F.col("has_card")).alias("ready"), F.count_if("is_removed").alias("waiting"))
+    return reports.audit_totals(per)
+
+
+@query("SELECT url, strftime(last_seen_at, '%Y-%m-%d %H:%M:%S') AS last_seen_at, CAST(row_number() OVER (ORDER BY last_seen_at DESC, url) AS INT) AS nth FROM page_states WHERE site_id = 2", "page_states")
+def pages_of_site(spark, sf):
+    """The pages of site 2 in their order, which the numbers show."""
+    rows = ordered.numbered(reports.site_pages(view(spark, sf, "page_states"), 2).withColumn("newest", -F.unix_micros("last_seen_at")), ["newest", "url"], "n")
+    return rows.select("url", F.date_format("last_seen_at", "yyyy-MM-dd HH:mm:ss").alias("last_seen_at"), (F.col("n") + 1).cast("int").alias("nth"))
