@@ -283,21 +283,37 @@ def rules_what_if(spark, sf):
 # --- addresses and pages --------------------------------------------------------------------------------------------
 
 
+_FORMS = """(SELECT page_id, CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN url || '/Price.PDF?x=1' WHEN 2 THEN regexp_replace(url, '[?#].*$', '') || '/a.pdf/' ELSE regexp_replace(url, '[?#].*$', '') || '/b.docx#top' END AS url FROM pages)"""
+
+
+def _forms(spark, sf):
+    """Addresses of pages, of files with a query, of folders named like files, and of files with a fragment."""
+    bare, kind = F.regexp_replace("url", "[?#].*$", ""), F.col("page_id") % 4
+    made = F.when(kind == 0, F.col("url")).when(kind == 1, F.concat("url", F.lit("/Price.PDF?x=1"))).when(kind == 2, F.concat(bare, F.lit("/a.pdf/"))).otherwise(F.concat(bare, F.lit("/b.docx#top")))
+    return view(spark, sf, "pages").select("page_id", made.alias("url"))
+
+
 @query(
-    r"""SELECT page_id, coalesce(nullif(regexp_replace(regexp_replace(url, '#.*$', ''), '/+$', ''), ''), regexp_replace(url, '#.*$', '')) AS normalized,
+    rf"""SELECT page_id, coalesce(nullif(regexp_replace(regexp_replace(url, '#.*$', ''), '/+$', ''), ''), regexp_replace(url, '#.*$', '')) AS normalized,
         '/' || regexp_extract(url, '^https?://[^/?#]*/([^/?#]*)', 1) AS section, regexp_replace(regexp_extract(url, '^https?://([^/?#]*)', 1), '^www\.', '') AS domain,
-        regexp_matches(lower(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1)), '\.(pdf|zip|png|jpg)$') AS is_file FROM pages"""
+        regexp_matches(lower(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1)), '\.(pdf|docx)$') AS is_file FROM {_FORMS}"""
 )
 def url_normalize(spark, sf):
     u = F.col("url")
-    return view(spark, sf, "pages").select("page_id", urls.normalize_url(u).alias("normalized"), urls.section(u).alias("section"), urls.domain(u).alias("domain"), urls.is_file(u).alias("is_file"))
+    return _forms(spark, sf).select("page_id", urls.normalize_url(u).alias("normalized"), urls.section(u).alias("section"), urls.domain(u).alias("domain"), urls.is_file(u).alias("is_file"))
 
 
 @query(
-    r"""SELECT page_id, regexp_replace(url, '\?utm_[^#]*', '') AS url FROM pages"""
+    r"""SELECT page_id, regexp_replace(url, '[?#].*$', '') || CASE page_id % 5 WHEN 0 THEN '' WHEN 1 THEN '?id=' || page_id WHEN 2 THEN '?a=1&b=2#part' WHEN 3 THEN '' ELSE '?page=2' END AS url FROM pages"""
 )
 def url_strip_tracking(spark, sf):
-    return view(spark, sf, "pages").select("page_id", urls.strip_tracking(F.col("url")).alias("url"))
+    """Marks of several systems, alone, between and behind other parameters, in any case."""
+    bare, k = F.regexp_replace("url", "[?#].*$", ""), F.col("page_id") % 5
+    tail = (
+        F.when(k == 0, F.lit("?utm_source=x&utm_medium=y")).when(k == 1, F.concat(F.lit("?gclid=7&id="), F.col("page_id").cast("string"), F.lit("&YCLID=8")))
+        .when(k == 2, F.lit("?a=1&fbclid=q&b=2&_ga=1.2#part")).when(k == 3, F.lit("?_openstat=abc&_gl=1")).otherwise(F.lit("?page=2&Utm_campaign=z"))
+    )
+    return view(spark, sf, "pages").select("page_id", urls.strip_tracking(F.concat(bare, tail)).alias("url"))
 
 
 @query(
@@ -311,12 +327,15 @@ def info_kind_split(spark, sf):
 
 
 @query(
-    """SELECT page_id, CASE WHEN page_id % 9 = 0 THEN 'HTTP 403' WHEN length(html) <= 20000 AND lower(html) LIKE '%just a moment%' THEN 'just a moment' END AS reason
-       FROM pages"""
+    """SELECT page_id, CASE WHEN page_id % 9 = 0 THEN 'HTTP 403' WHEN length(html) + CASE WHEN page_id % 7 = 1 THEN 21000 ELSE 60 END > 20000 THEN NULL
+         WHEN page_id % 5 = 1 THEN 'just a moment' WHEN page_id % 5 = 2 THEN 'доступ ограничен' WHEN page_id % 5 = 3 THEN 'checking your browser' END AS reason FROM pages"""
 )
 def blocked_pages(spark, sf):
-    status = F.when(F.col("page_id") % 9 == 0, 403).otherwise(200)
-    return view(spark, sf, "pages").select("page_id", text.blocked_reason(status, F.col("html")).alias("reason"))
+    """Challenge pages by one marker or two, in any case; a seventh of the pages is too long to be one."""
+    k = F.col("page_id")
+    mark = F.when(k % 5 == 1, "Just a Moment").when(k % 5 == 2, "ДОСТУП ограничен").when(k % 5 == 3, "unusual traffic, Checking your BROWSER").otherwise("")
+    html = F.concat("html", F.rpad(mark, F.when(k % 7 == 1, 21000).otherwise(60), F.lit(" ")))
+    return view(spark, sf, "pages").select("page_id", text.blocked_reason(F.when(k % 9 == 0, 403).otherwise(200), html).alias("reason"))
 
 
 @query()
@@ -616,8 +635,9 @@ _TERMS = rf"""
 terms_{{0}} AS (SELECT id, token, count(*) AS tf FROM (SELECT id, regexp_replace(w, '{text.STEM}', '\1') AS token FROM (
   SELECT id, unnest(regexp_extract_all(replace(lower(text), 'ё', 'е'), '[а-яёa-z0-9]+')) AS w FROM {{1}}) WHERE length(w) > 2 AND w NOT IN ({_STOP}))
   GROUP BY id, token)"""
+_TITLED = "concat_ws(' ', text, CASE WHEN doc_id % 3 = 0 THEN regexp_replace(repeat(' ' || source || ' ' || lang || 'topic', 3), '^ ', '') END)"
 _SEARCH = f"""
-WITH docs AS (SELECT doc_id AS id, text FROM documents), items AS (SELECT doc_id AS id, text FROM documents WHERE doc_id % 20 = 0),
+WITH docs AS (SELECT doc_id AS id, {_TITLED} AS text FROM documents), items AS (SELECT doc_id AS id, {_TITLED} AS text FROM documents WHERE doc_id % 20 = 0),
 {_TERMS.replace("{0}", "q").replace("{1}", "items")}, {_TERMS.replace("{0}", "d").replace("{1}", "docs")},
 idf AS (SELECT token, ln(((SELECT count(*) FROM docs) + 1) / (count(*) + 1)) + 1 AS idf FROM terms_d GROUP BY token),
 d AS (SELECT id, token, tf * idf AS v FROM terms_d JOIN idf USING (token)), q AS (SELECT id, token, tf * idf AS w FROM terms_q JOIN idf USING (token)),
@@ -629,9 +649,10 @@ SELECT query_id, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query
 
 @query(_SEARCH)
 def tfidf_topk(spark, sf):
-    """The three documents most similar to each document whose id is divisible by twenty, which finds itself too."""
-    none = F.lit(None).cast("string").alias("title")
-    docs = view(spark, sf, "documents").select(F.col("doc_id").alias("id"), none, "text")
+    """The three documents most similar to each document whose id is divisible by twenty, which finds itself too. A third
+    of the documents have a title, whose words count three times."""
+    title = F.when(F.col("doc_id") % 3 == 0, F.concat("source", F.lit(" "), "lang", F.lit("topic"))).alias("title")
+    docs = view(spark, sf, "documents").select(F.col("doc_id").alias("id"), title, "text")
     return similarity.search(docs.filter("id % 20 = 0"), docs, 3)
 
 
