@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitetide.functions import text, urls
+from sitetide.functions.markup import extract_structure, extract_text
 from sitetide.functions.noise import normalize_for_compare
 from sitetide.operators.sitewide import SITEWIDE_LABEL
 
@@ -298,6 +299,21 @@ def shared_rows(groups: DataFrame, grades: dict = IMPORTANCE_CELLS, kinds: dict
     )
 
 
+def structure_records(rows: DataFrame) -> DataFrame:
+    """Stored structures with ``headings``, a JSON list of pairs (level, text), as a list of structs; nothing is null but
+    what has no default: no headings are an empty list, no text is empty."""
+    pairs = F.from_json("headings", "array<array<string>>")
+    made = F.transform(F.coalesce(pairs, F.array().cast("array<array<string>>")), lambda h: F.struct(h[0].cast("int").alias("level"), h[1].alias("text")))
+    return rows.withColumns({"headings": made, "main_text": F.coalesce("main_text", F.lit(""))})
+
+
+def fetched_pages(rows: DataFrame) -> DataFrame:
+    """``rows (.., html)`` with ``title``, ``text`` and ``structure``; a page that cannot be read has an empty text and a
+    structure of its title alone."""
+    made = rows.withColumn("text", extract_text("html")).withColumn("structure", extract_structure("html"))
+    return made.withColumn("title", F.col("structure.meta_title"))
+
+
 # --- counters -------------------------------------------------------------------------------------------------------
 
 

@@ -763,4 +763,4 @@ def shingle_pages(spark, sf):
     return rows.select(F.md5("piece").alias("piece"), "url").distinct().groupBy("piece").agg(F.count("*").alias("pages")).filter(F.col("pages") >= sitewide.MIN_PAGES)
 
 
-from sitetide.plans import more_queries, run_queries  # noqa: E402,F401  register further queries
+from sitetide.plans import more_queries, run_queries, text_queries  # noqa: E402,F401  register further queries

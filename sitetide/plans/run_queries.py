@@ -297,8 +297,8 @@ def converted_cookies(spark, sf):
 
 
 @query(
-    """SELECT run_id, sum(cards) AS cards, sum(calls) AS calls, sum(merged) AS merged, bool_or(limit_hit) AS limit_hit, sum(CASE WHEN kind = 'new' THEN n ELSE 0 END) AS n_new,
-       sum(CASE WHEN kind = 'covered' THEN n ELSE 0 END) AS n_covered FROM (SELECT user_id % 9 AS run_id, event_id % 5 AS cards, event_id % 3 AS calls, event_id % 2 AS merged, event_id % 97 = 0 AS limit_hit,
+    """SELECT run_id, CAST(sum(cards) AS BIGINT) AS cards, CAST(sum(calls) AS BIGINT) AS calls, CAST(sum(merged) AS BIGINT) AS merged, bool_or(limit_hit) AS limit_hit,
+       CAST(sum(CASE WHEN kind = 'new' THEN n ELSE 0 END) AS BIGINT) AS n_new, CAST(sum(CASE WHEN kind = 'covered' THEN n ELSE 0 END) AS BIGINT) AS n_covered FROM (SELECT user_id % 9 AS run_id, event_id % 5 AS cards, event_id % 3 AS calls, event_id % 2 AS merged, event_id % 97 = 0 AS limit_hit,
          CASE WHEN event_id % 4 = 0 THEN 'covered' WHEN event_id % 4 = 1 THEN 'new' END AS kind, event_id % 7 AS n FROM events) GROUP BY run_id"""
 )
 def merged_results(spark, sf):
@@ -310,7 +310,7 @@ def merged_results(spark, sf):
     return made.select("run_id", "cards", "calls", "merged", "limit_hit", of("new"), of("covered"))
 
 
-@query("SELECT sum(articles) AS articles, sum(done) AS done, sum(ready) AS ready, sum(waiting) AS waiting, sum(ready) = 0 AS finished FROM (SELECT site_id, count(*) AS articles, count(*) FILTER (has_card) AS done, count(*) FILTER (NOT has_card) AS ready, count(*) FILTER (is_removed) AS waiting FROM monitored GROUP BY site_id)", "monitored")
+@query("SELECT CAST(sum(articles) AS BIGINT) AS articles, CAST(sum(done) AS BIGINT) AS done, CAST(sum(ready) AS BIGINT) AS ready, CAST(sum(waiting) AS BIGINT) AS waiting, sum(ready) = 0 AS finished FROM (SELECT site_id, count(*) AS articles, count(*) FILTER (has_card) AS done, count(*) FILTER (NOT has_card) AS ready, count(*) FILTER (is_removed) AS waiting FROM monitored GROUP BY site_id)", "monitored")
 def audit_totals(spark, sf):
     per = view(spark, sf, "monitored").groupBy("site_id").agg(F.count("*").alias("articles"), F.count_if("has_card").alias("done"), F.count_if(~F.col("has_card")).alias("ready"), F.count_if("is_removed").alias("waiting"))
     return reports.audit_totals(per)

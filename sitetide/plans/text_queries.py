@@ -1,0 +1,224 @@
+"""Queries of the line, page and address rules on texts made from the tables, so that SQL can say what must come out."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from sitetide.functions import markup, noise, text, urls
+from sitetide.operators import reports, sitewide, snapshots
+from sitetide.plans.catalog import _DIFF, NOW, query
+from sitetide.plans.stand_ins import view
+from sitetide.sources import store
+
+
+def _lines(*parts):
+    """A text of the lines that are not null."""
+    return F.concat_ws("\n", *[F.lit(p) if isinstance(p, str) else p for p in parts])
+
+
+def _n():
+    return F.col("doc_id")
+
+
+def _id():
+    return _n().cast("string")
+
+
+# --- lines ----------------------------------------------------------------------------------------------------------
+
+
+@query(
+    """SELECT doc_id, concat_ws(chr(10), 'Курс ' || doc_id, '#', 'Смотрели', 'Цена от', doc_id || '00', '₽ в месяц', 'Рейтинг', CASE WHEN doc_id % 2 = 0 THEN '# отзывы' ELSE '#' END,
+         CASE WHEN doc_id % 2 = 0 THEN NULL ELSE 'отзывы' END, 'отзывов', 'Уже #… скидка', '#', '#', '…', CASE WHEN doc_id % 3 = 0 THEN 'cookie' || repeat(' long', 100) END, 'Конец') AS normalized FROM documents"""
+)
+def levelled_lines(spark, sf):
+    """Bare numbers with and without a price beside them, counts of reviews in one line and in two, tickers, timers, consent."""
+    even = F.col("doc_id") % 2 == 0
+    made = _lines(
+        F.concat(F.lit("Курс "), _id()), _id(), "Смотрели", "Цена от", F.concat(_id(), F.lit("00")), "₽ в месяц", "Рейтинг", F.when(even, F.concat(_id(), F.lit(" отзывов"))).otherwise(_id()), F.when(~even, "отзывов"), "отзывов",
+        "Уже 5 дней скидка", "10:20", "5 мин", "часов", F.concat(F.lit("Мы используем Cookie "), _id()), "Ок", F.when(_n() % 3 == 0, F.concat(F.lit("cookie"), F.repeat(F.lit(" long"), 100))), "Конец",
+    )
+    return view(spark, sf, "documents").select("doc_id", noise.normalize_for_compare(made).alias("normalized"))
+
+
+@query(
+    """SELECT doc_id, concat_ws(chr(10), 'Статья ' || doc_id, CASE WHEN doc_id % 3 = 2 THEN 'Популярные статьи' || chr(10) || 'Текст ' || doc_id END,
+         repeat('далеко' || chr(10), 9) || CASE WHEN doc_id % 3 = 1 THEN '14 марта 2024' ELSE 'близко' END, 'Середина',
+         CASE WHEN doc_id % 2 = 0 THEN NULL ELSE concat_ws(chr(10), 'Отзывы', 'А', 'Имя ' || doc_id, '01.02.2024', 'Хорошо') END, 'После') AS kept FROM documents"""
+)
+def rotating_blocks(spark, sf):
+    """Lists of related articles up to their last date within eight lines; reviews up to where the last card closes; a
+    heading without dates and reviews with one date stay."""
+    related = F.when(_n() % 3 == 2, F.concat(F.lit("Популярные статьи\nТекст "), _id())).otherwise(F.concat(F.lit("Читайте также\nПервая "), _id(), F.lit("\n12 января 2024\nВторая\n\n13 января 2024")))
+    far = F.concat(F.repeat(F.lit("далеко\n"), 9), F.when(_n() % 3 == 1, "14 марта 2024").otherwise("близко"))
+    two = F.concat(F.lit("Отзывы\nА\nИмя "), _id(), F.lit("\n01.02.2024\nХорошо\nна курс\nматематика\nБ\nДругое\n02.02.2024\nОчень\nдлинный отзыв\nна курс\nматематика"))
+    one = F.concat(F.lit("Отзывы\nА\nИмя "), _id(), F.lit("\n01.02.2024\nХорошо"))
+    made = _lines(F.concat(F.lit("Статья "), _id()), related, far, "Середина", F.when(_n() % 2 == 0, two).otherwise(one), "После")
+    return view(spark, sf, "documents").select("doc_id", noise.strip_rotating_blocks(made).alias("kept"))
+
+
+@query(
+    """SELECT site_id, count(*) AS n_pages, min(url) AS first_url, true AS named FROM crawl_cur WHERE CAST(regexp_extract(url, '([0-9]+)$', 1) AS BIGINT) % 10 = 2
+       GROUP BY site_id HAVING count(*) >= 3""",
+    "crawl_cur",
+)
+def sitewide_blocks(spark, sf):
+    """The block that a tenth of the pages got is one change of each site, whatever else changed beside it."""
+    found = snapshots.snapshot_diff(view(spark, sf, "crawl_prev"), view(spark, sf, "crawl_cur"))
+    made = sitewide.groups(sitewide.marked_lines(found))
+    return made.select("site_id", "n_pages", "first_url", F.exists("lines", lambda x: F.startswith(x, F.lit("+New block for all"))).alias("named"))
+
+
+@query(
+    f"""SELECT site_id, url, 'Сквозное изменение на ' || n || ' стр.: Banner' AS summary, 'medium' AS importance, n AS sitewide_pages FROM (
+        SELECT d.site_id, d.url, count(*) OVER (PARTITION BY d.site_id) AS n FROM ({_DIFF}) d WHERE change_type = 'changed') WHERE n >= 3""",
+    "crawl_prev", "crawl_cur",
+)
+def shared_answers(spark, sf):
+    """Changed pages that got the same three lines and nothing else take the answer for the block."""
+    found = snapshots.snapshot_diff(view(spark, sf, "crawl_prev"), view(spark, sf, "crawl_cur"), with_noise=False).filter("change_type = 'changed'")
+    same = found.withColumn("old_text", F.concat(F.lit("Page "), "url")).withColumn("new_text", F.concat(F.lit("Page "), "url", F.lit("\nBanner of all\nwith two lines more\nand the last one")))
+    marked = sitewide.marked_lines(same)
+    answers = marked.filter("cluster is not null").select("cluster").distinct().select("cluster", F.lit("Banner").alias("summary"), F.lit("medium").alias("importance"))
+    return sitewide.group_answers(marked, sitewide.own_changes(marked), answers)
+
+
+# --- pages ----------------------------------------------------------------------------------------------------------
+
+_BODY = "repeat('Lesson ' || doc_id || ' in ' || lang || ' for all. ', 30)"
+
+
+def _page():
+    """A page of one of four builds: marked body, article with its heading, main part, or bare paragraphs."""
+    body = F.repeat(F.concat(F.lit("Lesson "), _id(), F.lit(" in "), "lang", F.lit(" for all. ")), 30)
+    inner = F.concat(F.lit("<h1> Head \n "), _id(), F.lit("</h1><nav><a href='/in'>Inside menu</a></nav><p>"), body, F.lit("</p><h2>Part <b>one</b></h2><p>More <a href='/x?a=1&amp;b=2'>of it</a>.</p><h3> </h3><h3>Last</h3>"))
+    box = (
+        F.when(_n() % 4 == 0, F.concat(F.lit("<div><div itemprop='articleBody'>"), inner, F.lit("</div></div>")))
+        .when(_n() % 4 == 1, F.concat(F.lit("<main><article>"), inner, F.lit("</article></main>")))
+        .when(_n() % 4 == 2, F.concat(F.lit("<main>"), inner, F.lit("</main>")))
+        .otherwise(F.concat(F.lit("<section>"), inner, F.lit("</section>")))
+    )
+    head = F.concat(F.lit("<html><head><title> Title  "), _id(), F.lit("</title><meta name='Description' content=' About  "), "lang", F.lit("'><script>var a='<p>no</p>';</script></head>"))
+    return F.concat(head, F.lit("<body><nav><ul><li><a href='/menu'>Menu</a></li></ul></nav><div><p>Short</p></div>"), box, F.lit("<footer><p>Foot</p></footer></body></html>"))
+
+
+@query(
+    f"""SELECT doc_id, 'Title ' || doc_id AS meta_title, 'About ' || lang AS meta_description, 'Head ' || doc_id AS h1, '2 Part one;3 Last' AS headings,
+        'Head' || chr(10) || doc_id || chr(10) || trim({_BODY}) || chr(10) || 'Part one' || chr(10) || 'More of it.' || chr(10) || 'Last' AS main_text FROM documents"""
+)
+def page_structures(spark, sf):
+    made = view(spark, sf, "documents").select("doc_id", markup.extract_structure(_page()).alias("s"))
+    heads = F.array_join(F.transform("s.headings", lambda h: F.concat_ws(" ", h["level"].cast("string"), h["text"])), ";")
+    return made.select("doc_id", "s.meta_title", "s.meta_description", "s.h1", heads.alias("headings"), "s.main_text")
+
+
+@query(
+    """SELECT doc_id, nth, href, text FROM (SELECT doc_id, unnest([0, 1, 2]) AS nth, unnest(['/menu', '/in', '/x?a=1&b=2']) AS href, unnest(['Menu', 'Inside menu', 'of it']) AS text FROM documents)"""
+)
+def page_links(spark, sf):
+    made = view(spark, sf, "documents").select("doc_id", F.posexplode(markup.extract_links(_page())).alias("nth", "l"))
+    return made.select("doc_id", "nth", "l.href", "l.text")
+
+
+@query(
+    """SELECT doc_id, 'Item ' || lang AS meta_title, CASE WHEN doc_id % 2 = 0 THEN 'Said' END AS meta_description, 'Top ' || doc_id AS h1, '2 Part;3 Deep' AS headings, 'Line one' || chr(10) || 'Line two' AS main_text FROM documents"""
+)
+def item_structures(spark, sf):
+    """Crawled items: clean text, headings from the lines of their markdown."""
+    marked = F.concat(F.lit("# *Top*  "), _id(), F.lit("\ntext # no heading\n## Part\n###   Deep \n####### seven\n## **\n"))
+    item = markup.item_structure(F.concat(F.lit(" Item  "), "lang"), F.when(_n() % 2 == 0, "Said").otherwise(" "), marked, F.lit("  Line   one\n\n Line two \n"))
+    made = view(spark, sf, "documents").select("doc_id", item.alias("s"))
+    heads = F.array_join(F.transform("s.headings", lambda h: F.concat_ws(" ", h["level"].cast("string"), h["text"])), ";")
+    return made.select("doc_id", "s.meta_title", "s.meta_description", "s.h1", heads.alias("headings"), "s.main_text")
+
+
+@query(
+    """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'T' WHEN 1 THEN 'M' WHEN 2 THEN 'meta' ELSE '' END AS title, CASE WHEN doc_id % 3 = 0 THEN 'marked ' || doc_id ELSE 'plain ' || doc_id END AS text
+       FROM documents WHERE doc_id % 5 <> 0"""
+)
+def crawled_items(spark, sf):
+    """Items without an address or a text are left out; the text, else the markdown; the title of the metadata first."""
+    rows = view(spark, sf, "documents").select(
+        F.when(_n() % 10 == 0, "").when(_n() % 5 != 0, F.concat(F.lit("https://x.example/"), _id())).alias("url"), F.when(_n() % 3 == 0, "").otherwise(F.concat(F.lit("plain "), _id())).alias("text"),
+        F.concat(F.lit("marked "), _id()).alias("markdown"), F.when(_n() % 4 == 0, "T").when(_n() % 4 == 2, "other").alias("title"),
+        F.struct(F.when(_n() % 4 == 1, "M").when(_n() % 4 == 2, "meta").otherwise("").alias("title"), F.lit("d").alias("description")).alias("metadata"),
+    )
+    return store.crawled_items(rows).select(F.regexp_extract("url", "([0-9]+)$", 1).cast("long").alias("doc_id"), "title", "text")
+
+
+# --- addresses, lists, pages of a feed ------------------------------------------------------------------------------
+
+
+@query(
+    """SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'https://a' || doc_id || '.ru' WHEN 1 THEN 'http://a' || doc_id || '.ru/x' WHEN 2 THEN 'https://a' || doc_id || '.ru/x?y=1' END AS url,
+       doc_id % 5 IN (0, 1) AS blocked FROM documents"""
+)
+def user_addresses(spark, sf):
+    """Addresses as users type them, and requests that a crawl does not make: by kind, by tracker."""
+    k, host = _n() % 6, F.concat(F.lit("a"), _id())
+    raw = (
+        F.when(k == 0, F.concat(F.lit("  "), host, F.lit(".ru/ "))).when(k == 1, F.concat(F.lit("http://"), host, F.lit(".ru/x//"))).when(k == 2, F.concat(host, F.lit(".ru/x?y=1")))
+        .when(k == 3, host).when(k == 4, F.concat(F.lit("ftp://"), host, F.lit(".ru"))).otherwise(F.lit("https:// "))
+    )
+    kind = F.when(_n() % 5 == 0, "image").otherwise("document")
+    asked = F.when(_n() % 5 == 1, f"https://{urls.TRACKER_PARTS[0]}/t.js").otherwise("https://a.example/")
+    return view(spark, sf, "documents").select("doc_id", urls.checked_url(raw).alias("url"), urls.is_blocked_request(kind, asked).alias("blocked"))
+
+
+@query(
+    """SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 1 WHEN 1 THEN CAST(least(doc_id, 13) AS INT) WHEN 2 THEN 1 WHEN 3 THEN 1 ELSE 13 END AS page,
+       CASE WHEN doc_id % 2 = 0 THEN 'Head ' || doc_id || chr(10) || repeat('x', 20) ELSE 'Head ' || doc_id END AS message,
+       'A;b;' || CASE WHEN doc_id % 3 = 0 THEN 'c' ELSE 'C' || doc_id END AS united FROM documents"""
+)
+def feed_paging(spark, sf):
+    """Page numbers as users type them, kept within the thirteen pages of 125 rows; messages cut at a whole line; lists
+    united whatever the case."""
+    k = _n() % 5
+    raw = F.when(k == 0, "x").when(k == 1, _id()).when(k == 2, "-3").when(k == 4, "999")
+    page = text.clamp_page(F.greatest(F.coalesce(raw.try_cast("int"), F.lit(1)), F.lit(1)), F.lit(125), 10)
+    long = F.concat(F.lit("Head "), _id(), F.lit("\n"), F.repeat(F.lit("x"), F.when(_n() % 2 == 0, 20).otherwise(90)), F.lit("\n"), F.repeat(F.lit("y"), 60))
+    more = F.array(F.lit("B"), F.when(_n() % 3 == 0, "c").otherwise(F.concat(F.lit("C"), _id())))
+    united = F.array_join(text.union_ci(F.array(F.lit("A"), F.lit("b")), more), ";")
+    return view(spark, sf, "documents").select("doc_id", page.alias("page"), text.cut_lines(long, 64).alias("message"), united.alias("united"))
+
+
+@query(
+    f"""SELECT site_id, strftime(CASE WHEN due THEN TIMESTAMP '{NOW}' + INTERVAL 2 MINUTE ELSE TIMESTAMP '2024-02-04 00:00:00' END, '%Y-%m-%d %H:%M:%S') AS next_run, due AS overdue
+        FROM (SELECT site_id, coalesce(next_crawl_at <= TIMESTAMP '{NOW}' + INTERVAL 2 MINUTE AND site_id % 4 <> 3, false) AS due FROM (SELECT site_id, CASE WHEN site_id % 5 = 0 THEN NULL WHEN site_id % 5 = 1 THEN next_crawl_at + INTERVAL 20 DAY ELSE next_crawl_at END AS next_crawl_at FROM sites))""",
+    "sites",
+)
+def planned_runs(spark, sf):
+    """Runs that are overdue start soon, those reset and those to come wait for the next Sunday at three in Moscow."""
+    saved = F.when(F.col("site_id") % 5 == 1, F.col("next_crawl_at") + F.expr("interval 20 days")).when(F.col("site_id") % 5 != 0, F.col("next_crawl_at"))
+    now, reset = F.lit(NOW).cast("timestamp"), F.col("site_id") % 4 == 3
+    return view(spark, sf, "sites").select("site_id", F.date_format(text.next_run(saved, now, reset=reset), "yyyy-MM-dd HH:mm:ss").alias("next_run"), text.is_overdue(saved, now, reset).alias("overdue"))
+
+
+@query("SELECT site_id FROM previous_pages GROUP BY site_id HAVING site_id % 2 = 1", "previous_pages")
+def unavailable_sites(spark, sf):
+    """Sites with odd numbers bring no page."""
+    current = view(spark, sf, "crawl_cur").filter("site_id % 2 = 0")
+    return snapshots.unavailable(view(spark, sf, "previous_pages"), current)
+
+
+@query(
+    """SELECT page_id, coalesce(meta_title, '') AS meta_title, h1, CASE WHEN page_id % 2 = 0 THEN '2 Part one;3 Part ' || page_id ELSE '' END AS headings, coalesce(main_text, '') AS main_text
+       FROM structures""",
+    "structures",
+)
+def structure_records(spark, sf):
+    """Stored structures with their headings as JSON, some without any."""
+    raw = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit('[[2, "Part one"], ["3", "Part '), F.col("page_id").cast("string"), F.lit('"]]'))).when(F.col("page_id") % 4 == 1, "null")
+    made = reports.structure_records(view(spark, sf, "structures").withColumn("headings", raw))
+    heads = F.array_join(F.transform("headings", lambda h: F.concat_ws(" ", h["level"].cast("string"), h["text"])), ";")
+    return made.select("page_id", F.coalesce("meta_title", F.lit("")).alias("meta_title"), "h1", heads.alias("headings"), "main_text")
+
+
+@query(
+    f"""SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE 'Title ' || doc_id END AS title, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE 'Head ' || doc_id END AS h1,
+        CASE WHEN doc_id % 7 = 0 THEN '' ELSE concat_ws(chr(10), 'Title  ' || doc_id, 'Short', 'Head', doc_id, trim({_BODY}), 'Part', 'one', 'More', 'of it', '.', 'Last') END AS text FROM documents"""
+)
+def fetched_pages(spark, sf):
+    """What a fetch brings: title, text and structure; a page without content has an empty text and structure."""
+    rows = view(spark, sf, "documents").select("doc_id", F.when(_n() % 7 != 0, _page()).alias("html"))
+    return reports.fetched_pages(rows).select("doc_id", "title", "structure.h1", "text")
