@@ -47,6 +47,17 @@ def clip(x: Column, limit: int) -> Column:
     return F.when(F.length(text) <= limit, text).otherwise(F.concat(F.rtrim(F.substring(text, 1, limit - 1)), F.lit("…")))
 
 
+def clip_hard(x: Column, limit: int) -> Column:
+    """Like ``clip``, but a blank before the ellipsis stays."""
+    text = collapse(F.coalesce(x, F.lit("")))
+    return F.when(F.length(text) <= limit, text).otherwise(F.concat(F.substring(text, 1, limit - 1), F.lit("…")))
+
+
+def utf16_length(x: Column) -> Column:
+    """Code units of a text, by which documents count places: characters beyond the first 65,536 are two."""
+    return F.length(x) + F.length(F.regexp_replace(x, r"[^\x{10000}-\x{10FFFF}]", ""))
+
+
 def cut_lines(x: Column, limit: int) -> Column:
     """A message of at most ``limit`` characters that ends with a whole line where it has one."""
     head = F.substring(x, 1, limit)
@@ -150,6 +161,21 @@ def week_title(ts: Column, zone: str = ZONE) -> Column:
     return F.concat(F.lit("Неделя "), F.date_format(start, "dd.MM"), F.lit("–"), F.date_format(F.date_add(start, 6), "dd.MM.yyyy"))
 
 
+#: How times are written on screens, in reports and in sheets.
+STAMPS = {"screen": "dd.MM.yyyy HH:mm", "report": "yyyy-MM-dd\nHH:mm", "sheet": "dd.MM.yyyy"}
+
+
+def stamp(ts: Column, form: str, zone: str = ZONE, empty: str = "—") -> Column:
+    """A local time in one of the forms of ``STAMPS``."""
+    return F.coalesce(F.date_format(F.from_utc_timestamp(ts, zone), STAMPS[form]), F.lit(empty))
+
+
+def interval_label(days: Column, hours: Column) -> Column:
+    """How often a crawl runs; parts of zero are left out."""
+    parts = F.concat_ws(" ", F.when(days != 0, F.concat(days.cast("string"), F.lit(" дн."))), F.when(hours != 0, F.concat(hours.cast("string"), F.lit(" ч"))))
+    return F.when(parts == "", "не задано").otherwise(F.concat(F.lit("каждые "), parts))
+
+
 def in_night_window(ts: Column, start: int, end: int, zone: str = ZONE) -> Column:
     """Whether the local hour lies in ``[start, end)``, which may pass midnight."""
     hour = F.hour(F.from_utc_timestamp(ts, zone))

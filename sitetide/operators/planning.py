@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitetide.functions.urls import section
+from sitetide.operators.ordered import numbered
 
 GAP_SECTION_MIN = 10
 GAP_MASS_MIN = 50
@@ -84,11 +85,13 @@ def sitemap_gaps(entries: DataFrame, previous: DataFrame) -> DataFrame:
 
 
 def spread_sample(gaps: DataFrame, size: int = GAP_SAMPLE) -> DataFrame:
-    """Of each gap every n/size-th address in order; all where there are no more than ``size``."""
+    """Of each gap every n/size-th address in order; all where there are no more than ``size``.
+
+    All lost pages are numbered by all tasks together, so the pages of one site need not fit into one."""
     by = ["site_id", "section"]
-    nth = F.row_number().over(Window.partitionBy(*by).orderBy("url")) - 1
-    total = F.count("*").over(Window.partitionBy(*by))
-    rows = gaps.withColumn("nth", nth).withColumn("total", total)
+    rows = numbered(gaps, [*by, "url"], "_place")
+    sizes = rows.groupBy(*by).agg(F.min("_place").alias("_first"), F.count("*").alias("total"))  # one row a gap
+    rows = rows.join(F.broadcast(sizes), by).withColumn("nth", F.col("_place") - F.col("_first"))
     picked = F.exists(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.floor(k * F.col("total") / size) == F.col("nth"))
     return rows.filter((F.col("total") <= size) | picked).select(*by, "url")
 

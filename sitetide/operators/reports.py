@@ -417,6 +417,73 @@ def pilot_sample(pages: DataFrame, k: int, seed: int = 1) -> DataFrame:
     return rows.withColumn("nth", nth).filter(F.col("nth") <= k)
 
 
+# --- notes and labels -----------------------------------------------------------------------------------------------
+
+#: States of a site and kinds of decisions as they are shown.
+STATUS_LABELS = {"active": "работает", "needs_session": "нужна ручная сессия", "paused": "на паузе"}
+DECISION_LABELS = {"new": "написать новую статью", "update": "обновить нашу", "covered": "у нас раскрыто"}
+
+
+def site_labels(sites: DataFrame, fetched: DataFrame) -> DataFrame:
+    """``site_id, state, next_crawl, progress`` of ``sites``; ``fetched (site_id, n)`` counts the pages of running crawls.
+
+    A crawl that knows its total says how far it is; one without says how many pages it has, or that it looks for them.
+    """
+    state = F.concat_ws(", ", _choice(F.col("status"), STATUS_LABELS), F.when(F.col("is_paused") & (F.col("status") != "paused"), "пауза"), F.when(F.col("is_crawling"), "⏳ обход идёт"))
+    at = F.when(F.col("is_paused"), "на паузе").when(F.col("cookies_only"), "по свежим кукам — пришлите выгрузку из Cookie-Editor").otherwise(text.stamp(F.col("next_crawl_at"), "screen"))
+    n = F.coalesce("n", F.lit(0)).cast("string")
+    far = F.when(F.coalesce("crawl_pages_total", F.lit(0)) > 0, F.concat(F.lit("обошли "), n, F.lit(" из "), F.col("crawl_pages_total").cast("string"), F.lit(" страниц")))
+    far = far.when(n == "0", "ищем страницы в карте сайта").otherwise(F.concat(F.lit("обошли "), n, F.lit(" страниц")))
+    return sites.join(fetched, "site_id", "left").select("site_id", state.alias("state"), at.alias("next_crawl"), F.when(F.col("is_crawling"), far).alias("progress"))
+
+
+def run_note(runs: DataFrame) -> DataFrame:
+    """``run_id, backfill, seo``: what a report says of a run, null where there is nothing to say.
+
+    ``runs (run_id, done, attempted, cards, cards_skipped, not_compared, merged, limit_hit, n_new, n_update, n_covered)``.
+    """
+    c = lambda name: F.col(name).cast("string")
+    left = F.col("attempted") - F.col("done")
+    some = F.concat(F.lit("Дозаправлен ИИ-разбор для находок без него: "), c("done"), F.lit(" из "), c("attempted"), F.lit(". Остальные "), left.cast("string"), F.lit(" попробуем в следующем обходе."))
+    backfill = F.when(F.col("attempted") == 0, None).when(left == 0, F.concat(F.lit("Дозаправлен ИИ-разбор для находок, оставшихся без него раньше: "), c("done"), F.lit("."))).otherwise(some)
+    decided = F.concat_ws(", ", *[F.when(F.col(f"n_{k}") > 0, F.concat(F.lit(f"{said} — "), c(f"n_{k}"))) for k, said in DECISION_LABELS.items()])
+    waiting = F.col("cards_skipped") + F.col("not_compared")
+    seo = F.concat_ws(
+        " ",
+        F.concat(F.lit("SEO: разобрано инфостатей (интент, подинтенты) — "), c("cards"), F.lit(".")),
+        F.when(decided != "", F.concat(F.lit("Решения: "), decided, F.lit("."))),
+        F.when(F.col("merged") > 0, F.concat(F.lit("Тех же тем, что уже разобраны (склеены): "), c("merged"), F.lit("."))),
+        F.when(waiting > 0, F.concat(F.lit("Не успели — "), waiting.cast("string"), F.lit(", доберём стартовым аудитом или в следующий раз."))),
+        F.when(F.col("limit_hit"), "Упёрлись в лимит подписки Claude."),
+    )
+    return runs.select("run_id", backfill.alias("backfill"), F.when((F.col("cards") + waiting) > 0, seo).alias("seo"))
+
+
+def pilot_lines(topics: DataFrame, title: str) -> DataFrame:
+    """``place, line`` of a pilot's outcome as Markdown: a head with the number of topics, then eight lines for each.
+
+    ``topics (finding_id, url, topic, material_type, main_intent, subintents, decision, our_url, add_subintents, argument,
+    cannibal_urls)``; the lists are arrays.
+    """
+    listed = lambda c, sep, none: F.coalesce(F.nullif(F.array_join(F.coalesce(F.col(c), F.array().cast("array<string>")), sep), F.lit("")), F.lit(none))
+    said = lambda c, none: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(none))
+    lines = F.array(
+        F.concat(F.lit("## "), "url"),
+        F.concat(F.lit("- Тема: "), "topic", F.lit(" (тип: "), said("material_type", "—"), F.lit(")")),
+        F.concat(F.lit("- Основной интент: "), said("main_intent", "")),
+        F.concat(F.lit("- Подинтенты: "), listed("subintents", "; ", "")),
+        F.concat(F.lit("- Решение: **"), "decision", F.lit("**"), F.coalesce(F.concat(F.lit(" → "), F.nullif("our_url", F.lit(""))), F.lit(""))),
+        F.concat(F.lit("- Добавить: "), listed("add_subintents", "; ", "—")),
+        F.concat(F.lit("- Аргумент: "), said("argument", "—")),
+        F.concat(F.lit("- Каннибализация: "), listed("cannibal_urls", ", ", "нет")),
+        F.lit(""),
+    )
+    body = topics.select("finding_id", F.posexplode(lines).alias("k", "line")).select(F.struct(F.col("finding_id").cast("long").alias("finding_id"), "k").alias("place"), "line")
+    count = topics.agg(F.concat(F.lit("Тем: "), F.count("*").cast("string"), F.lit(".")).alias("n"))
+    head = count.select(F.posexplode(F.array(F.lit(f"# {title}"), F.lit(""), F.col("n"), F.lit(""))).alias("k", "line"))
+    return head.select(F.struct(F.lit(-1).cast("long").alias("finding_id"), "k").alias("place"), "line").unionByName(body)
+
+
 # --- cookies --------------------------------------------------------------------------------------------------------
 
 

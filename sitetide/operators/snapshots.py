@@ -9,7 +9,7 @@ from sitetide.functions.diffs import opcodes, unified, with_hunks
 from sitetide.functions.markup import extract_text
 from sitetide.functions.noise import normalize_for_compare
 from sitetide.functions.urls import same_page
-from sitetide.session import free_name
+from sitetide.session import free_name, written
 
 GONE_STATUS = (404, 410)
 TARGET_TEXT = 4000
@@ -19,19 +19,24 @@ KEYS = ["site_id", "url"]
 def snapshot_diff(previous: DataFrame, current: DataFrame, with_noise: bool = True) -> DataFrame:
     """``site_id, url, change_type, old_text, new_text`` of pages ``(site_id, url, text)`` that are new, removed or changed.
 
-    One full outer join on the key. Equal texts need no normalisation, so only pages whose texts differ reach the
-    Arrow function; a page whose texts differ in noise alone is left out. ``with_noise=False`` compares texts as they are.
+    One full outer join on the key, of digests: texts are only fetched for pages whose digests differ, so equal pages,
+    which are most of a crawl, shuffle no text. Equal texts need no normalisation, so only pages whose texts differ reach
+    the Arrow function; a page whose texts differ in noise alone is left out. ``with_noise=False`` compares texts as they
+    are. A page that a crawl has twice is compared in each of its pairs.
     """
-    old = previous.select(*KEYS, F.col("text").alias("old_text"), F.lit(True).alias("was"))
-    new = current.select(*KEYS, F.col("text").alias("new_text"), F.lit(True).alias("is"))
-    rows = old.join(new, KEYS, "full_outer").filter("was is null or is is null or not (old_text <=> new_text)")
-    kind = F.when(F.col("was").isNull(), "new").when(F.col("is").isNull(), "removed").otherwise("changed")
-    rows = rows.withColumn("change_type", kind)
+    digest = F.coalesce(F.sha2("text", 256), F.lit(""))
+    old, new = (rows.select(*KEYS, digest.alias(f"{side}_digest"), F.col("text").alias(f"{side}_text")) for rows, side in ((previous, "old"), (current, "new")))
+    met = old.drop("old_text").join(new.drop("new_text"), KEYS, "full_outer").filter("not (old_digest <=> new_digest)")
+    kind = F.when(F.col("old_digest").isNull(), "new").when(F.col("new_digest").isNull(), "removed").otherwise("changed")
+    found = written(met.select(*KEYS, kind.alias("change_type"), "old_digest", "new_digest").distinct(), "differing")
+    none = F.lit(None).cast("string")
+    left, right = [*KEYS, "old_digest"], [*KEYS, "new_digest"]
+    one_side = found.filter("change_type = 'new'").join(new, right).withColumn("old_text", none)
+    one_side = one_side.unionByName(found.filter("change_type = 'removed'").join(old, left).withColumn("new_text", none))
+    both = found.filter("change_type = 'changed'").join(old, left).join(new, right)
     if with_noise:
-        one_side = rows.filter("change_type <> 'changed'")
-        both = rows.filter("change_type = 'changed'")
         both = both.filter(~normalize_for_compare("old_text").eqNullSafe(normalize_for_compare("new_text")))
-        rows = one_side.unionByName(both)
+    rows = one_side.unionByName(both)
     return rows.select(*KEYS, "change_type", "old_text", "new_text")
 
 

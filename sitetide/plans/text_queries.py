@@ -222,3 +222,69 @@ def fetched_pages(spark, sf):
     """What a fetch brings: title, text and structure; a page without content has an empty text and structure."""
     rows = view(spark, sf, "documents").select("doc_id", F.when(_n() % 7 != 0, _page()).alias("html"))
     return reports.fetched_pages(rows).select("doc_id", "title", "structure.h1", "text")
+
+
+# --- labels and notes -----------------------------------------------------------------------------------------------
+
+
+@query(
+    """SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'ab cd ' || doc_id ELSE 'ab cdefgh…' END AS clipped, CASE WHEN doc_id % 2 = 0 THEN 'ab cd ' || doc_id ELSE 'ab cdefg …' END AS hard,
+       2 + 2 * (doc_id % 3) + length(CAST(doc_id AS STRING)) AS units, CASE WHEN doc_id % 5 = 0 THEN '—' ELSE strftime(TIMESTAMP '2024-01-31 22:30:00' + INTERVAL 3 HOUR, '%d.%m.%Y %H:%M') END AS screen,
+       CASE WHEN doc_id % 5 = 0 THEN '' ELSE '01.02.2024' END AS sheet, CASE WHEN doc_id % 3 = 0 AND doc_id % 4 = 0 THEN 'не задано' WHEN doc_id % 4 = 0 THEN 'каждые ' || doc_id % 3 || ' дн.'
+         WHEN doc_id % 3 = 0 THEN 'каждые ' || doc_id % 4 || ' ч' ELSE 'каждые ' || doc_id % 3 || ' дн. ' || doc_id % 4 || ' ч' END AS interval FROM documents"""
+)
+def written_forms(spark, sf):
+    """Clipped texts with and without the blank before the ellipsis, lengths in code units, times and intervals."""
+    raw = F.concat(F.lit(" ab   cd "), _id())
+    one = lambda f: F.when(_n() % 2 == 0, f(raw, 20)).otherwise(f(F.lit("ab cdefgh ijkl") if f is text.clip else F.lit("ab cdefg ijklm"), 10))
+    at = F.when(_n() % 5 != 0, F.lit("2024-01-31 22:30:00").cast("timestamp"))
+    wide = F.concat(F.lit("ab"), F.repeat(F.lit("😀"), (_n() % 3).cast("int")), _id())
+    return view(spark, sf, "documents").select(
+        "doc_id", one(text.clip).alias("clipped"), one(text.clip_hard).alias("hard"), text.utf16_length(wide).cast("long").alias("units"), text.stamp(at, "screen").alias("screen"),
+        text.stamp(at, "sheet", empty="").alias("sheet"), text.interval_label(_n() % 3, _n() % 4).alias("interval"),
+    )
+
+
+@query(
+    """SELECT site_id, CASE status WHEN 'active' THEN 'работает' ELSE 'нужна ручная сессия' END || CASE WHEN is_paused THEN ', пауза' ELSE '' END || CASE WHEN is_crawling THEN ', ⏳ обход идёт' ELSE '' END AS state,
+       CASE WHEN is_paused THEN 'на паузе' WHEN cookies_only THEN 'по свежим кукам — пришлите выгрузку из Cookie-Editor' ELSE strftime(next_crawl_at + INTERVAL 3 HOUR, '%d.%m.%Y %H:%M') END AS next_crawl,
+       CASE WHEN NOT is_crawling THEN NULL WHEN site_id % 2 = 0 THEN 'обошли ' || coalesce(n, 0) || ' из 340 страниц' WHEN n IS NULL THEN 'ищем страницы в карте сайта' ELSE 'обошли ' || n || ' страниц' END AS progress
+       FROM sites LEFT JOIN (SELECT site_id, count(*) AS n FROM changes GROUP BY site_id) USING (site_id)""",
+    "sites", "changes",
+)
+def site_labels(spark, sf):
+    sites = view(spark, sf, "sites").withColumn("crawl_pages_total", F.when(F.col("site_id") % 2 == 0, 340))
+    return reports.site_labels(sites, view(spark, sf, "changes").groupBy("site_id").agg(F.count("*").alias("n")))
+
+
+@query(
+    """SELECT run_id, CASE WHEN attempted = 0 THEN NULL WHEN done = attempted THEN 'Дозаправлен ИИ-разбор для находок, оставшихся без него раньше: ' || done || '.'
+         ELSE 'Дозаправлен ИИ-разбор для находок без него: ' || done || ' из ' || attempted || '. Остальные ' || (attempted - done) || ' попробуем в следующем обходе.' END AS backfill,
+       CASE WHEN cards + skipped > 0 THEN 'SEO: разобрано инфостатей (интент, подинтенты) — ' || cards || '.' || CASE WHEN n_new + n_covered > 0 THEN ' Решения: ' || concat_ws(', ',
+         CASE WHEN n_new > 0 THEN 'написать новую статью — ' || n_new END, CASE WHEN n_covered > 0 THEN 'у нас раскрыто — ' || n_covered END) || '.' ELSE '' END
+         || CASE WHEN merged > 0 THEN ' Тех же тем, что уже разобраны (склеены): ' || merged || '.' ELSE '' END || CASE WHEN skipped > 0 THEN ' Не успели — ' || skipped || ', доберём стартовым аудитом или в следующий раз.' ELSE '' END
+         || CASE WHEN run_id % 13 = 0 THEN ' Упёрлись в лимит подписки Claude.' ELSE '' END END AS seo
+       FROM (SELECT CAST(event_id AS BIGINT) AS run_id, event_id % 3 AS done, event_id % 3 + event_id % 2 AS attempted, event_id % 4 AS cards, event_id % 5 AS skipped, event_id % 7 AS n_new, event_id % 2 AS n_covered, event_id % 6 AS merged FROM events)"""
+)
+def run_note_texts(spark, sf):
+    e = F.col("event_id")
+    rows = view(spark, sf, "events").select(
+        e.cast("long").alias("run_id"), (e % 3).alias("done"), (e % 3 + e % 2).alias("attempted"), (e % 4).alias("cards"), (e % 5).alias("cards_skipped"), F.lit(0).alias("not_compared"),
+        (e % 6).alias("merged"), (e % 13 == 0).alias("limit_hit"), (e % 7).alias("n_new"), F.lit(0).alias("n_update"), (e % 2).alias("n_covered"),
+    )
+    return reports.run_note(rows)
+
+
+@query(
+    """SELECT finding_id, CAST(nth AS INT) AS nth, line FROM (SELECT finding_id, unnest(range(0, 9)) AS nth, unnest(['## ' || url, '- Тема: ' || topic || ' (тип: ' || coalesce(material_type, '—') || ')', '- Основной интент: ' || main_intent,
+         '- Подинтенты: ' || replace(subintents, ';', '; '), '- Решение: **' || decision || '**' || coalesce(' → ' || our_url, ''), '- Добавить: ' || coalesce(nullif(replace(add_subintents, ';', '; '), ''), '—'),
+         '- Аргумент: ' || coalesce(argument, '—'), '- Каннибализация: ' || coalesce(nullif(replace(cannibal_urls, ';', ', '), ''), 'нет'), '']) AS line FROM findings JOIN decisions USING (decision_id) WHERE kind = 'audit')
+       UNION ALL SELECT -1, CAST(unnest([0, 1, 2, 3]) AS INT), unnest(['# Pilot', '', 'Тем: ' || (SELECT count(*) FROM findings JOIN decisions USING (decision_id) WHERE kind = 'audit') || '.', ''])""",
+    "findings", "decisions",
+)
+def pilot_lines(spark, sf):
+    """The findings of the audit with their decisions as the lines of a Markdown file."""
+    listed = lambda c: F.when(F.col(c) != "", F.split(c, ";"))
+    rows = view(spark, sf, "findings").filter("kind = 'audit'").join(view(spark, sf, "decisions"), "decision_id")
+    rows = rows.withColumns({c: listed(c) for c in ("subintents", "add_subintents", "cannibal_urls")})
+    return reports.pilot_lines(rows, "Pilot").select("place.finding_id", F.col("place.k").alias("nth"), "line")

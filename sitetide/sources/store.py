@@ -37,13 +37,21 @@ def overwrite_week(rows: DataFrame, path: str, by: str = "week") -> None:
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").option("header", True).csv(path)
+    rows.write.mode("overwrite").option("header", True).option("escape", "\"").csv(path)
+
+
+def write_text(lines: DataFrame, path: str, order: list[str]) -> None:
+    """One file of the lines ``(.., line)`` of a report in order."""
+    lines.orderBy(*order).select("line").coalesce(1).write.mode("overwrite").text(path)
 
 
 def read_items(spark: SparkSession, path: str) -> DataFrame:
-    """Pages of a cloud crawl from JSON lines: ``url, text, title, structure``; items without address or text are left out."""
-    items = spark.read.schema(ITEM).json(path)
-    return crawled_items(items)
+    """Pages of a cloud crawl from JSON lines: ``url, text, title, structure``; items without address or text are left out.
+    A crawl of which nothing is left is an error, as the site's data must stay as they are."""
+    found = crawled_items(spark.read.schema(ITEM).json(path))
+    if found.isEmpty():
+        raise ValueError(f"a crawl without a page: {path}")
+    return found
 
 
 def crawled_items(items: DataFrame) -> DataFrame:

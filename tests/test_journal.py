@@ -110,3 +110,19 @@ def test_numbers_and_running_sums(spark, monkeypatch):
     assert {r["k"]: r["n"] for r in numbered(rows, ["k"], "n").collect()} == {k: p for k, (p, _) in want.items()}
     assert {r["k"]: r["s"] for r in running(rows, ["k"], "v", "s").collect()} == {k: s for k, (_, s) in want.items()}
     assert running(rows.limit(0), ["k"], "v", "s").count() == 0
+
+
+def test_crawls_without_a_page_fail_and_reports_are_written(spark, tmp_path):
+    from sitetide.sources import store
+
+    items = f"{tmp_path}/items"
+    spark.createDataFrame([("https://a.example", "text"), (None, "lost")], "url string, text string").write.json(items)
+    assert [r["url"] for r in store.read_items(spark, items).collect()] == ["https://a.example"]
+    spark.createDataFrame([(None, "lost")], "url string, text string").write.json(f"{tmp_path}/none")
+    with pytest.raises(ValueError, match="without a page"):
+        store.read_items(spark, f"{tmp_path}/none")
+    rows = spark.createDataFrame([(2, "b", "x,y"), (1, "a", 'say "z"')], "nth int, line string, cell string")
+    store.write_text(rows, f"{tmp_path}/report", ["nth"])
+    assert [r["value"] for r in spark.read.text(f"{tmp_path}/report").collect()] == ["a", "b"]
+    store.write_csv(rows, f"{tmp_path}/csv")
+    assert sorted(map(tuple, spark.read.option("header", True).option("escape", '"').csv(f"{tmp_path}/csv").collect())) == [("1", "a", 'say "z"'), ("2", "b", "x,y")]
