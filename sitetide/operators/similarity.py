@@ -15,8 +15,6 @@ from sitetide.functions.text import TITLE_WEIGHT, tokens
 from sitetide.operators.ordered import numbered
 from sitetide.session import ship, spread, written
 
-#: A token with more than one in HOT_PARTS of all postings meets its weight by broadcast; there are fewer such tokens.
-HOT_PARTS = 1000
 #: Tokens in at most so many documents give the first guess of a query's best; GUESS times k documents are then scored.
 LIGHT = 64
 GUESS = 4
@@ -78,13 +76,8 @@ def dictionary(counts: DataFrame) -> DataFrame:
 
 def _vectors(counts: DataFrame, known: DataFrame) -> DataFrame:
     """Unit vectors over the tokens of a dictionary; documents without such tokens have none."""
-    each = _each(counts)
-    rows = known.agg(F.sum("df")).first()[0] or 0
-    hot = F.col("df") > max(1, rows // HOT_PARTS)
-    terms = known.select("token", "df", "rank", "idf")
-    common = F.broadcast(terms.filter(hot))  # fewer than HOT_PARTS tokens
-    rare = each.join(common.select("token"), "token", "left_anti").join(terms.filter(~hot), "token")
-    weighed = each.join(common, "token").unionByName(rare).select("id", "rank", (F.col("tf") * F.col("idf")).alias("v"))
+    terms = known.select("token", "rank", "idf")
+    weighed = _each(counts).join(terms, "token").select("id", "rank", (F.col("tf") * F.col("idf")).alias("v"))  # a common token is a skewed key that AQE splits
     lists = weighed.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("rank", "v"))).alias("t"))
     lists = lists.select("id", F.col("t.rank").alias("ranks"), F.col("t.v").alias("v"))
     kind = counts.schema["id"].dataType.simpleString()
@@ -106,7 +99,7 @@ def _vectors(counts: DataFrame, known: DataFrame) -> DataFrame:
 def index(docs: DataFrame) -> Index:
     """The index of ``docs (id, title, text)``; terms are counted once."""
     counts = written(term_counts(docs), "terms")
-    known = written(dictionary(counts), "dictionary")
+    known = dictionary(counts)
     return Index(_vectors(counts, known), known)
 
 
@@ -142,14 +135,14 @@ def candidates(queries: DataFrame, docs: DataFrame, least: float, same: bool = F
     return sums.filter(F.col("s") + F.col("r") >= F.col("bound") - SLACK).select("query_id", "id")
 
 
-def exact(pairs: DataFrame, queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """``query_id, id, score``: the cosine of each pair, not rounded.
+def exact(pairs: DataFrame, queries: DataFrame, docs: DataFrame, total: int | None = None) -> DataFrame:
+    """``query_id, id, score``: the cosine of each pair, not rounded; ``total`` is the number of queries, if known.
 
     Queries are dealt to blocks; a document meets a block once, with the list of those of its queries that it may match.
     The documents of a block are cut into parts of bounded size, and each part gets the block's queries, so one sparse
     product scores many pairs and no task sees more than a block and a part.
     """
-    total = queries.count()
+    total = queries.count() if total is None else total
     block = F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-total // BLOCK)))).cast("int")
     q = queries.select(F.col("id").alias("query_id"), F.col("ranks").alias("q_ranks"), F.col("v").alias("q_v"))
     met = written(pairs.groupBy(block.alias("block"), "id").agg(F.collect_list("query_id").alias("queries")), "met")
@@ -184,7 +177,7 @@ def exact(pairs: DataFrame, queries: DataFrame, docs: DataFrame) -> DataFrame:
     return left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(score, f"{kinds}, score double")
 
 
-def _guessed(queries: DataFrame, made: Index, k: int, floor: float) -> DataFrame:
+def _guessed(queries: DataFrame, made: Index, k: int, floor: float, total: int) -> DataFrame:
     """``queries`` with ``bound``: a score that ``k`` documents of each query reach for certain, or the floor.
 
     The query's rare tokens, each in at most ``LIGHT`` documents, pick a few times ``k`` documents, which are scored.
@@ -197,7 +190,7 @@ def _guessed(queries: DataFrame, made: Index, k: int, floor: float) -> DataFrame
     sums = q.join(d, "ranks").groupBy("query_id", "id").agg(F.sum(F.col("qv") * F.col("dv")).alias("s"))
     nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("s"), "id"))
     picked = sums.withColumn("nth", nth).filter(F.col("nth") <= GUESS * k).select("query_id", "id")
-    scored = exact(picked, queries, made.vectors)
+    scored = exact(picked, queries, made.vectors, total)
     best = scored.groupBy("query_id").agg(F.sort_array(F.collect_list("score"), asc=False).alias("s"))  # at most GUESS * k
     sure = best.select(F.col("query_id").alias("id"), (F.get("s", F.lit(k - 1)) - ROUNDING).alias("sure"))
     bound = F.greatest(F.coalesce("sure", F.lit(floor)), F.lit(floor))
@@ -214,14 +207,15 @@ def search(queries: DataFrame, docs: DataFrame, k: int | None = None, floor: flo
     """
     made = index(docs)
     asked = _vectors(written(term_counts(queries), "terms"), made.dictionary)
+    total = asked.count()
     if k is None:
         asked = asked.withColumn("bound", F.lit(floor))
         least = floor
     else:
-        asked = written(_guessed(asked, made, k, floor), "queries")
+        asked = written(_guessed(asked, made, k, floor, total), "queries")
         least = asked.agg(F.min("bound")).first()[0] or 0.0
     pairs = candidates(asked, made.vectors, least)
-    found = exact(pairs, asked, made.vectors).filter((F.col("score") > 0) & (F.col("score") >= floor))
+    found = exact(pairs, asked, made.vectors, total).filter((F.col("score") > 0) & (F.col("score") >= floor))
     found = found.withColumn("score", F.round("score", 6))
     if k is None:
         return found
