@@ -15,6 +15,8 @@ WINDOW = 13
 ANCHOR = 6
 #: Words of one index.
 INDEX_WORDS = 1 << 18
+#: Least owners are kept for runs of up to 2^STEP suffixes, and beyond that for one place in 2^STEP.
+STEP = 5
 
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
@@ -44,6 +46,9 @@ class Wavelet:
             self.levels.append((shift, words, before, zeros))
             values = np.concatenate((values[bit == 0], values[bit == 1]))
 
+    def nbytes(self) -> int:
+        return sum(words.nbytes + before.nbytes for _, words, before, _ in self.levels)
+
     def rank(self, symbol: np.ndarray, place: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Occurrences of each symbol before its place; ``starts`` has each symbol's place in the last level."""
         for shift, words, before, zeros in self.levels:
@@ -52,11 +57,21 @@ class Wavelet:
         return place - starts[symbol]
 
 
+def doubled(values: np.ndarray, most: int | None = None) -> list[np.ndarray]:
+    """The least of each run of 1, 2, 4 and so on values, up to runs of 2^``most``."""
+    out = [values]
+    while 2 ** len(out) <= len(values) and (most is None or len(out) <= most):
+        half = 2 ** (len(out) - 1)
+        out.append(np.minimum(out[-1][: len(out[-1]) - half], out[-1][half:]))
+    return out
+
+
 class FMIndex:
     """Backward search over texts that end in symbol 0, whose suffixes are ordered by ``depth`` symbols at least.
 
-    The suffix array is not kept: there are packed wavelet levels, and of the texts' documents the least of each run of
-    suffixes whose length is a power of two, as 32-bit numbers.
+    The suffix array is not kept: there are packed wavelet levels, and of the texts' documents the least of each run of 1,
+    2, 4 and so on up to 2^STEP suffixes, in as few bytes as their numbers need; longer runs are looked up by samples, one
+    in 2^STEP. So the bytes of a symbol do not grow with the size of the index but for the bits of the wavelet levels.
     """
 
     def __init__(self, text: np.ndarray, owner: np.ndarray, depth: int):
@@ -73,11 +88,13 @@ class FMIndex:
         order = np.argsort(key)
         self.starts = np.empty(len(count), np.int64)
         self.starts[order] = np.cumsum(count[order]) - count[order]
-        self.least = [owner[sa].astype(np.uint32)]
-        while 2 ** len(self.least) <= len(text):
-            low = self.least[-1]
-            half = 2 ** (len(self.least) - 1)
-            self.least.append(np.minimum(low[: len(low) - half], low[half:]))
+        small = np.uint16 if int(owner.max(initial=0)) < 1 << 16 else np.uint32
+        self.least = doubled(owner[sa].astype(small), STEP)
+        self.sampled = doubled(np.ascontiguousarray(self.least[STEP][:: 1 << STEP])) if len(self.least) > STEP else []
+
+    def nbytes(self) -> int:
+        """Bytes that the index holds."""
+        return self.wavelet.nbytes() + sum(x.nbytes for x in (*self.least, *self.sampled, self.less, self.starts))
 
     def extend(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ranges of suffixes that begin with a symbol and then what the given ranges begin with."""
@@ -86,11 +103,18 @@ class FMIndex:
 
     def first_owner(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """The least owner of each range that is not empty."""
-        level = np.frexp((high - low).astype(np.float64))[1] - 1
-        out = np.empty(len(low), np.uint32)
+        level = np.minimum(np.frexp((high - low).astype(np.float64))[1] - 1, len(self.least) - 1)
+        out = np.empty(len(low), np.int64)
         for k in np.unique(level).tolist():
             at = level == k
             out[at] = np.minimum(self.least[k][low[at]], self.least[k][high[at] - 2**k])
+        first, last = -(-low >> STEP), high >> STEP  # whole samples inside a range; its ends are covered by the runs above
+        long = np.flatnonzero(last > first) if self.sampled else np.empty(0, np.int64)
+        level = np.frexp((last[long] - first[long]).astype(np.float64))[1] - 1
+        for k in np.unique(level).tolist():
+            at = long[level == k]
+            inner = np.minimum(self.sampled[k][first[at]], self.sampled[k][last[at] - 2**k])
+            out[at] = np.minimum(out[at], inner)
         return out
 
     def matching_statistics(self, text: np.ndarray, begin: np.ndarray, own: np.ndarray) -> np.ndarray:
