@@ -99,6 +99,12 @@ def importance_rank(x: Column) -> Column:
     return F.when(x == "high", 0).when(x == "low", 2).otherwise(1)
 
 
+def page_title(html: Column) -> Column:
+    """What stands in the first title of a page as it is loaded, without blanks at its ends; null without a title."""
+    title = r"(?is)<title[^>]*>(.*?)</title>"
+    return F.when(html.rlike(title), F.regexp_replace(F.regexp_extract(html, title, 1), r"(?U)^\s+|\s+$", ""))
+
+
 def blocked_reason(status: Column, html: Column) -> Column:
     """``HTTP n``, the first marker of a challenge page, or null; long pages are real."""
     low, found = F.lower(html), F.lit(None).cast("string")

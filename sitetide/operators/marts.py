@@ -61,6 +61,24 @@ def top_findings(changes: DataFrame, by: list[str], k: int = 7) -> DataFrame:
     return changes.withColumn("rank", rank).filter("rank < 2").withColumn("nth", nth).filter(F.col("nth") <= k)
 
 
+def digest_lists(changes: DataFrame, sites: DataFrame, since, top: int = 7, lacking: int = 5) -> DataFrame:
+    """``list, nth, change_id, total``: the rivals' most important changes of a period, and those that the own site lacks.
+
+    ``changes (change_id, site_id, detected_at, importance, verdict)``. The first list goes by importance, then newest
+    first, without low ones; the second, of all with the verdict ``none``, newest first. Both tell how many there are in
+    all. Each task sends its own first ones.
+    """
+    rows = changes.filter(F.col("detected_at") >= F.lit(since).cast("timestamp")).join(sites.filter("not is_own").select("site_id"), "site_id", "left_semi")
+    rows = rows.withColumn("rank", text.importance_rank(F.col("importance")))
+    out = None
+    for name, part, k in (("top", rows.filter("rank < 2"), top), ("missing", rows.filter("verdict = 'none'").withColumn("rank", F.lit(0)), lacking)):
+        order = [F.col("rank"), F.desc("detected_at"), F.desc("change_id")]
+        first = part.orderBy(*order).limit(k)  # numbered below: at most ``k`` rows
+        made = first.select(F.lit(name).alias("list"), F.row_number().over(Window.orderBy(*order)).alias("nth"), "change_id").crossJoin(F.broadcast(part.agg(F.count("*").alias("total"))))
+        out = made if out is None else out.unionByName(made)
+    return out
+
+
 def dashboard(sites: DataFrame, changes: DataFrame, now, days: int = 7) -> DataFrame:
     recent = changes.filter(F.col("detected_at") >= F.lit(now).cast("timestamp") - F.make_dt_interval(days=F.lit(days)))
     rivals = sites.filter("not is_own")
@@ -287,6 +305,11 @@ def backfill(changes: DataFrame, analysis: DataFrame, k: int = 50) -> DataFrame:
     return changes.join(analysis.select("change_id"), "change_id", "left_anti").orderBy("change_id").limit(k)
 
 
+def backfill_queue(changes: DataFrame, analysis: DataFrame, sites: DataFrame, k: int = 50) -> DataFrame:
+    """The oldest changes without an analysis that are still worth one: kept by the rules, and more than noise."""
+    return backfill(worth_analysing(changes.join(analysis.select("change_id"), "change_id", "left_anti"), sites), analysis, k)
+
+
 def run_notes(plan: DataFrame, pages: DataFrame, found: DataFrame, restored: DataFrame, top: int = 5) -> DataFrame:
     """Counts that explain a crawl: pages not looked at, failed loads, pages restored with the largest sections, moved
     ones, and those that left the crawl but are not gone (unknown ones included).

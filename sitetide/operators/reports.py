@@ -307,6 +307,16 @@ def structure_records(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"headings": made, "main_text": F.coalesce("main_text", F.lit(""))})
 
 
+def stored_structures(rows: DataFrame) -> DataFrame:
+    """The other way round: ``headings`` as the JSON list of pairs that is stored, null where there are none."""
+    def pair(h: Column) -> Column:
+        text_ = F.to_json(F.array(h["text"]))
+        return F.concat(F.lit("["), h["level"].cast("string"), F.lit(","), F.substring(text_, F.lit(2), F.length(text_) - 2), F.lit("]"))
+
+    listed = F.concat(F.lit("["), F.array_join(F.transform("headings", pair), ","), F.lit("]"))
+    return rows.withColumn("headings", F.when(F.size("headings") > 0, listed))
+
+
 def fetched_pages(rows: DataFrame) -> DataFrame:
     """``rows (.., html)`` with ``title``, ``text`` and ``structure``; a page that cannot be read has an empty text and a
     structure of its title alone."""
@@ -325,6 +335,20 @@ def decision_tallies(findings: DataFrame, decisions: DataFrame) -> DataFrame:
     return made.orderBy(F.desc("updated_at"), "decision_id")
 
 
+def decision_counts(findings: DataFrame, decisions: DataFrame, kinds: list[str], since=None) -> DataFrame:
+    """``decision, topics``: how many topics have each decision, by findings of the given kinds; a topic counts once."""
+    rows = findings.filter(F.col("kind").isin(*kinds))
+    if since is not None:
+        rows = rows.filter(F.col("detected_at") >= F.lit(since).cast("timestamp"))
+    met = rows.select("decision_id").distinct()
+    return decisions.join(met, "decision_id", "left_semi").groupBy("decision").agg(F.countDistinct("decision_id").alias("topics"))
+
+
+def to_compare(changes: DataFrame, sites: DataFrame) -> DataFrame:
+    """Changes that are compared with the own site: those of rivals, as a site is never compared with itself."""
+    return changes.join(sites.filter("is_own").select("site_id"), "site_id", "left_anti")
+
+
 def run_tallies(matched: DataFrame) -> DataFrame:
     """For each run: decisions by kind, cases merged without being asked, and cases that were not compared."""
     return matched.groupBy("run_id").agg(

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sitetide.functions import markup, noise, text, urls
-from sitetide.operators import reports, sitewide, snapshots
-from sitetide.plans.catalog import _DIFF, NOW, query
+from sitetide.operators import marts, reports, sitewide, snapshots
+from sitetide.plans.catalog import _DIFF, NOW, SINCE, query
 from sitetide.plans.stand_ins import view
 from sitetide.sources import store
 
@@ -288,3 +288,73 @@ def pilot_lines(spark, sf):
     rows = view(spark, sf, "findings").filter("kind = 'audit'").join(view(spark, sf, "decisions"), "decision_id")
     rows = rows.withColumns({c: listed(c) for c in ("subintents", "add_subintents", "cannibal_urls")})
     return reports.pilot_lines(rows, "Pilot").select("place.finding_id", F.col("place.k").alias("nth"), "line")
+
+
+# --- counters and queues of the marts -------------------------------------------------------------------------------
+
+
+@query(
+    f"""SELECT 'runs' AS part, decision, count(DISTINCT decision_id) AS topics FROM findings JOIN decisions USING (decision_id) WHERE kind IN ('new', 'changed') AND detected_at >= TIMESTAMP '{SINCE}' GROUP BY decision
+        UNION ALL SELECT 'audit', decision, count(DISTINCT decision_id) FROM findings JOIN decisions USING (decision_id) WHERE kind = 'audit' GROUP BY decision""",
+    "findings", "decisions",
+)
+def topics_by_decision(spark, sf):
+    """Topics by decision: those that crawls found in the last week, and those of the audit."""
+    found, decided = view(spark, sf, "findings"), view(spark, sf, "decisions")
+    week = reports.decision_counts(found, decided, ["new", "changed"], SINCE).select(F.lit("runs").alias("part"), "decision", "topics")
+    return week.unionByName(reports.decision_counts(found, decided, ["audit"]).select(F.lit("audit").alias("part"), "decision", "topics"))
+
+
+_WEEK = f"(SELECT c.*, CASE importance WHEN 'high' THEN 0 WHEN 'low' THEN 2 ELSE 1 END AS rank, verdict FROM changes c JOIN sites s USING (site_id) LEFT JOIN compared USING (change_id) WHERE NOT is_own AND detected_at >= TIMESTAMP '{SINCE}')"
+
+
+@query(
+    f"""SELECT list, CAST(nth AS INT) AS nth, change_id, total FROM (
+        SELECT 'top' AS list, row_number() OVER (ORDER BY rank, detected_at DESC, change_id DESC) AS nth, change_id, count(*) OVER () AS total FROM {_WEEK} WHERE rank < 2
+        UNION ALL SELECT 'missing', row_number() OVER (ORDER BY detected_at DESC, change_id DESC), change_id, count(*) OVER () FROM {_WEEK} WHERE verdict = 'none')
+        WHERE nth <= CASE list WHEN 'top' THEN 7 ELSE 5 END""",
+    "changes", "sites", "compared",
+)
+def digest_lists(spark, sf):
+    rows = view(spark, sf, "changes").join(view(spark, sf, "compared").select("change_id", "verdict"), "change_id", "left")
+    return marts.digest_lists(rows, view(spark, sf, "sites"), SINCE)
+
+
+@query(
+    f"""SELECT change_id, site_id, url FROM (SELECT m.page_id AS change_id, d.* FROM ({_DIFF}) d JOIN monitored m ON m.site_id = d.site_id AND m.url = d.url) d JOIN sites s USING (site_id)
+        LEFT JOIN crawl_prev p ON p.site_id = d.site_id AND p.url = d.url LEFT JOIN crawl_cur c ON c.site_id = d.site_id AND c.url = d.url
+        WHERE (change_type <> 'changed' OR regexp_replace(p.text, '\\n[0-9]+$', '') <> regexp_replace(c.text, '\\n[0-9]+$', '')) AND change_id % 6 <> 0
+          AND (include_paths = '' OR (include_paths = '/blog' AND regexp_matches(d.url, '/blog/')) OR (include_paths = '!/news' AND NOT regexp_matches(d.url, '/news/')))
+          AND (is_own OR NOT regexp_matches(d.url, '/spo/')) ORDER BY change_id LIMIT 50""".replace("SELECT change_id, site_id, url FROM", "SELECT change_id, d.site_id, d.url FROM"),
+    "crawl_prev", "crawl_cur", "monitored", "sites",
+)
+def backfill_queue(spark, sf):
+    """The oldest fifty changes without an analysis (numbers divisible by six have one) that rules and noise leave over."""
+    found = snapshots.snapshot_diff(view(spark, sf, "crawl_prev"), view(spark, sf, "crawl_cur"), with_noise=False)
+    ids = view(spark, sf, "monitored").select("site_id", "url", F.col("page_id").alias("change_id"))
+    analysed = ids.filter("change_id % 6 = 0").select("change_id")
+    return marts.backfill_queue(found.join(ids, ["site_id", "url"]), analysed, view(spark, sf, "sites")).select("change_id", "site_id", "url")
+
+
+@query("SELECT change_id FROM changes WHERE site_id NOT IN (SELECT site_id FROM sites WHERE is_own)", "changes", "sites")
+def changes_to_compare(spark, sf):
+    return reports.to_compare(view(spark, sf, "changes"), view(spark, sf, "sites")).select("change_id")
+
+
+@query("""SELECT page_id, CASE WHEN page_id % 5 = 0 THEN '' ELSE 'Page   ' || page_id END AS title FROM pages""")
+def loaded_titles(spark, sf):
+    """Titles over several lines and in capitals; some are empty."""
+    head = F.when(F.col("page_id") % 5 != 0, F.concat(F.lit("<html><TITLE lang='x'>\n Page   "), F.col("page_id").cast("string"), F.lit(" \n</Title>"))).otherwise(F.lit("<title> </title>"))
+    return view(spark, sf, "pages").select("page_id", text.page_title(F.concat(head, "html")).alias("title"))
+
+
+@query(
+    """SELECT page_id, CASE WHEN page_id % 3 > 0 THEN '[[2,"Part \\"one\\""],[3,"Part ' || page_id || '"]]' END AS headings FROM structures""", "structures"
+)
+def stored_headings(spark, sf):
+    """Headings as they are stored, and read back the same."""
+    heads = F.array(F.struct(F.lit(2).alias("level"), F.lit('Part "one"').alias("text")), F.struct(F.lit(3).alias("level"), F.concat(F.lit("Part "), F.col("page_id").cast("string")).alias("text")))
+    rows = view(spark, sf, "structures").withColumn("headings", F.when(F.col("page_id") % 3 > 0, heads).otherwise(F.array().cast("array<struct<level:int,text:string>>")))
+    stored = reports.stored_structures(rows)
+    back = reports.structure_records(stored).select("page_id", F.col("headings").alias("again")).join(rows.select("page_id", F.col("headings").alias("had")), "page_id").filter("again = had")
+    return stored.join(back, "page_id", "left_semi").select("page_id", "headings")
