@@ -103,18 +103,20 @@ class FMIndex:
 
     def first_owner(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """The least owner of each range that is not empty."""
-        level = np.minimum(np.frexp((high - low).astype(np.float64))[1] - 1, len(self.least) - 1)
+        top = len(self.least) - 1
+        level = np.minimum(np.frexp((high - low).astype(np.float64))[1] - 1, top)
         out = np.empty(len(low), np.int64)
         for k in np.unique(level).tolist():
-            at = level == k
-            out[at] = np.minimum(self.least[k][low[at]], self.least[k][high[at] - 2**k])
-        first, last = -(-low >> STEP), high >> STEP  # whole samples inside a range; its ends are covered by the runs above
-        long = np.flatnonzero(last > first) if self.sampled else np.empty(0, np.int64)
-        level = np.frexp((last[long] - first[long]).astype(np.float64))[1] - 1
-        for k in np.unique(level).tolist():
-            at = long[level == k]
-            inner = np.minimum(self.sampled[k][first[at]], self.sampled[k][last[at] - 2**k])
-            out[at] = np.minimum(out[at], inner)
+            at = np.flatnonzero(level == k)
+            a, b = low[at], high[at]
+            out[at] = np.minimum(self.least[k][a], self.least[k][b - 2**k])
+            if k < STEP or not self.sampled:
+                continue
+            first, last = -(-a >> STEP), b >> STEP  # whole samples inside a range; its ends are covered already
+            inner = np.frexp((last - first).astype(np.float64))[1] - 1
+            for j in np.unique(inner[last > first]).tolist():
+                on = (inner == j) & (last > first)
+                out[at[on]] = np.minimum(out[at[on]], np.minimum(self.sampled[j][first[on]], self.sampled[j][last[on] - 2**j]))
         return out
 
     def matching_statistics(self, text: np.ndarray, begin: np.ndarray, own: np.ndarray) -> np.ndarray:
