@@ -358,3 +358,21 @@ def stored_headings(spark, sf):
     stored = reports.stored_structures(rows)
     back = reports.structure_records(stored).select("page_id", F.col("headings").alias("again")).join(rows.select("page_id", F.col("headings").alias("had")), "page_id").filter("again = had")
     return stored.join(back, "page_id", "left_semi").select("page_id", "headings")
+
+
+_LETTERS = "translate(regexp_extract(d.url, '([0-9]+)$', 1), '0123456789', 'abcdefghij')"
+
+
+@query(
+    f"""SELECT d.site_id, d.url, CASE WHEN length({_LETTERS}) % 2 = 0 THEN '+Own addition of this page ' || {_LETTERS} END AS own_text
+        FROM (SELECT d.*, count(*) OVER (PARTITION BY d.site_id) AS n FROM ({_DIFF}) d WHERE change_type = 'changed') d WHERE n >= 3""",
+    "crawl_prev", "crawl_cur",
+)
+def own_parts(spark, sf):
+    """Changed pages that got the same three lines; some a line of their own apart from them, which is what is left."""
+    found = snapshots.snapshot_diff(view(spark, sf, "crawl_prev"), view(spark, sf, "crawl_cur"), with_noise=False).filter("change_type = 'changed'")
+    own = F.translate(F.regexp_extract("url", "([0-9]+)$", 1), "0123456789", "abcdefghij")
+    line = F.when(F.length(own) % 2 == 0, F.concat(F.lit("\nOwn addition of this page "), own)).otherwise("")
+    same = found.withColumn("old_text", F.concat(F.lit("Page "), "url", F.lit("\nmiddle line")))
+    same = same.withColumn("new_text", F.concat(F.lit("Page "), "url", F.lit("\nBanner of all\nwith two lines more\nand the last one\nmiddle line"), line))
+    return sitewide.own_changes(sitewide.marked_lines(same)).select("site_id", "url", "own_text")
