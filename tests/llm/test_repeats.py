@@ -141,21 +141,3 @@ def test_queries_on_driver_table(spark, small):
     for r in suffix_levels.op4_suffix_levels(spark, small).collect():
         n, gone, spans, kept = want[r["doc_id"]][0]
         assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == (n, gone, spans, hashlib.sha256(kept).hexdigest())
-
-
-@pytest.mark.parametrize("size", [6, 31, 32, 33, 97, 5000])
-def test_least_owners_of_ranges(size):
-    """Runs up to 32 suffixes are kept, longer ranges take samples; both give what a plain minimum gives."""
-    rng = np.random.default_rng(size)
-    text = np.append(rng.integers(1, 9, size - 1), 0)
-    index = fm_index.FMIndex(text, rng.integers(0, 40, size), 5)
-    low = rng.integers(0, size, 500)
-    high = np.minimum(low + 1 + rng.integers(0, size, 500), size)
-    assert index.first_owner(low, high).tolist() == [int(index.least[0][a:b].min()) for a, b in zip(low, high, strict=True)]
-
-
-def test_bytes_of_a_symbol_do_not_grow_with_the_index():
-    rng = np.random.default_rng(2)
-    for size in (1 << 12, 1 << 16, fm_index.INDEX_WORDS):
-        text = np.append(rng.integers(1, size // 16, size - 1), 0)
-        assert fm_index.FMIndex(text, np.arange(size) // 64, 13).nbytes() / size < 18
