@@ -56,7 +56,7 @@ class FMIndex:
     """Backward search over texts that end in symbol 0, whose suffixes are ordered by ``depth`` symbols at least.
 
     The suffix array is not kept: there are packed wavelet levels, and of the texts' documents the least of each run of
-    suffixes whose length is a power of two, as 32-bit numbers.
+    suffixes whose length is a power of two, as numbers of 16 bits where they fit, else of 32.
     """
 
     def __init__(self, text: np.ndarray, owner: np.ndarray, depth: int):
@@ -73,7 +73,8 @@ class FMIndex:
         order = np.argsort(key)
         self.starts = np.empty(len(count), np.int64)
         self.starts[order] = np.cumsum(count[order]) - count[order]
-        self.least = [owner[sa].astype(np.uint32)]
+        small = np.uint16 if int(owner.max(initial=0)) < 1 << 16 else np.uint32
+        self.least = [owner[sa].astype(small)]
         while 2 ** len(self.least) <= len(text):
             low = self.least[-1]
             half = 2 ** (len(self.least) - 1)
@@ -87,7 +88,7 @@ class FMIndex:
     def first_owner(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """The least owner of each range that is not empty."""
         level = np.frexp((high - low).astype(np.float64))[1] - 1
-        out = np.empty(len(low), np.uint32)
+        out = np.empty(len(low), self.least[0].dtype)
         for k in np.unique(level).tolist():
             at = level == k
             out[at] = np.minimum(self.least[k][low[at]], self.least[k][high[at] - 2**k])
