@@ -2,7 +2,8 @@
 
 Two fingerprints that differ in at most 2n - 1 bits agree up to one bit in one of n segments, so the number of segments
 follows the distance that is asked for. Texts that share no less than four fifths of their shingles often differ in more
-bits than segments of a useful size allow; for these, bands of least hashes find further candidates.
+bits than segments of a useful size allow; for these, bands of least hashes find further candidates, and a join of the
+first shingles of each text, rare ones before common ones, finds all that are left.
 """
 
 from __future__ import annotations
@@ -27,6 +28,11 @@ SEED = 42
 SIMILAR = (4, 5)
 #: Bands of least hashes, and hashes of a band: two sets with a Jaccard index of 0.8 share a band with probability 0.99.
 BANDS, ROWS = 16, 6
+#: Shared first shingles that a pair of long texts must have, and the share of a text's shingles that asks for one.
+SHARED, EACH = 16, 12
+#: Texts that tell which shingles are common, in how many of them these are, and how many are kept. They set the order of
+#: shingles only; no pair depends on them.
+LOOKED_AT, COMMON, MOST = 8192, 8, 1 << 18
 #: So many documents at most are picked out by a broadcast of their ids; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -83,11 +89,34 @@ def bands(found: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(rows[k].tobytes(), k) for k in range(BANDS)], np.uint64)
 
 
-def sketch(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
-    """Of a text's set of shingles: a digest (equal sets have equal ones), its SimHash, its size, and its bands."""
+def least_shared(n: int) -> tuple[int, int]:
+    """What a set of ``n`` shares with any set that is similar, and how many of these its first ones are asked for."""
+    up, down = SIMILAR
+    shared = -(-n * up // down)
+    return shared, max(1, min(SHARED, shared // EACH))
+
+
+def first_shingles(found: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The upper halves of a set's first shingles, those of ``common`` (sorted) last.
+
+    Two sets that share s shingles have the k-th shared one, in any order that is the same for both, among the first
+    n - s + k of either; so similar sets share as many first ones as the lesser of both asks for.
+    """
+    shared, asked = least_shared(len(found))
+    high = (found >> np.uint64(32)).astype(np.uint32)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, high), len(common) - 1)
+        is_common = common[at] == high
+        high = np.concatenate((high[~is_common], high[is_common]))
+    return high[: len(found) - shared + asked]
+
+
+def sketch(text: str | None, shingle: int = SHINGLE, seed: int = SEED, common: np.ndarray = np.empty(0, np.uint32)) -> tuple[np.ndarray, np.ndarray]:
+    """Of a text's set of shingles: a digest (equal sets have equal ones), its SimHash, its size, and its bands; and its
+    first shingles."""
     found = shingle_set(text, shingle, seed)
     first = [xxhash.xxh64_intdigest(found.tobytes(), seed), _majority(found.astype(">u8").view(np.uint8).reshape(-1, 8)), len(found)]
-    return np.concatenate((np.array(first, np.uint64), bands(found)))
+    return np.concatenate((np.array(first, np.uint64), bands(found))), first_shingles(found, common)
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
@@ -108,25 +137,61 @@ def with_fingerprints(docs: DataFrame, name: str, shingle: int = SHINGLE, seed:
     return docs.withColumn(name, made(F.col("text")))
 
 
-_SKETCH = T.StructType([*[T.StructField(c, T.LongType()) for c in ("set", "fp", "size")], T.StructField("bands", T.ArrayType(T.LongType()))])
+_SKETCH = T.StructType([*[T.StructField(c, T.LongType()) for c in ("set", "fp", "size")], T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("firsts", T.ArrayType(T.IntegerType()))])
 
 
-def with_sketches(docs: DataFrame, name: str, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """``docs`` with a struct ``set, fp, size, bands`` of each text's set of shingles in a column ``name`` that it does not
-    have."""
+def with_sketches(docs: DataFrame, name: str, shingle: int = SHINGLE, seed: int = SEED, common: np.ndarray = np.empty(0, np.uint32)) -> DataFrame:
+    """``docs`` with a struct ``set, fp, size, bands, firsts`` of each text's set of shingles in a column ``name`` that it
+    does not have."""
     ship(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(common)
 
     @F.arrow_udf(_SKETCH)
     def made(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            rows = np.array([sketch(x.as_py(), shingle, seed) for x in texts], np.uint64).reshape(-1, 3 + BANDS).view(np.int64)
+            both = [sketch(x.as_py(), shingle, seed, shared.value) for x in texts]
+            rows = np.array([x for x, _ in both], np.uint64).reshape(-1, 3 + BANDS).view(np.int64)
             each = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(rows) + 1, BANDS, dtype=np.int32)), pa.array(rows[:, 3:].ravel()))
-            yield pa.StructArray.from_arrays([*[pa.array(rows[:, k]) for k in range(3)], each], ["set", "fp", "size", "bands"])
+            ends = np.cumsum([0, *[len(x) for _, x in both]]).astype(np.int32)
+            firsts = np.concatenate([np.empty(0, np.uint32), *[x for _, x in both]]).view(np.int32)
+            lists = [each, pa.ListArray.from_arrays(pa.array(ends), pa.array(firsts))]
+            yield pa.StructArray.from_arrays([*[pa.array(rows[:, k]) for k in range(3)], *lists], ["set", "fp", "size", "bands", "firsts"])
         trim()
 
     return docs.withColumn(name, made(F.col("text")))
 
 
+def with_digests(docs: DataFrame, name: str, shingle: int = SHINGLE) -> DataFrame:
+    """``docs`` with the digest of each text's set of shingles, that of its sketch, in a column ``name`` that it does not
+    have."""
+    ship(docs.sparkSession)
+
+    @F.arrow_udf(T.LongType())
+    def digest(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array(np.array([xxhash.xxh64_intdigest(shingle_set(x.as_py(), shingle).tobytes(), SEED) for x in texts], np.uint64).view(np.int64))
+        trim()
+
+    return docs.withColumn(name, digest(F.col("text")))
+
+
+def common_shingles(docs: DataFrame, shingle: int = SHINGLE) -> np.ndarray:
+    """The upper halves of shingles that many of some thousand different texts have, sorted."""
+    every = max(1, docs.count() // LOOKED_AT)
+    some = docs.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).dropDuplicates(["text"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.column(0):
+                high = np.unique((shingle_set(x.as_py(), shingle) >> np.uint64(32)).astype(np.uint32))
+                yield pa.RecordBatch.from_arrays([pa.array(high.view(np.int32))], ["high"])
+        trim()
+
+    counted = some.mapInArrow(run, "high int").groupBy("high").agg(F.count("*").alias("n")).filter(F.col("n") >= COMMON)
+    found = counted.orderBy(F.desc("n"), "high").limit(MOST).select("high").collect()
+    return np.sort(np.array([r[0] for r in found], np.int32).view(np.uint32))
+
+
 def variants(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """``key`` before the columns of ``fps``: for each bit of ``fp``, its segment with that bit as a wildcard (64 rows)."""
     parts = segments(distance)
@@ -273,7 +338,7 @@ def _similar(pairs: DataFrame, docs: DataFrame, sets: DataFrame, shingle: int) -
     needed = written(pairs.select(F.explode(F.array("a", "b")).alias("_set")).distinct().join(sets.select("_set", "least"), "_set"), "needed")
     ids = F.broadcast(needed) if needed.count() <= BROADCAST_IDS else needed
     found = docs.select("doc_id", "text").join(ids.select("least").distinct(), F.col("doc_id").eqNullSafe(F.col("least")), "left_semi")
-    texts = with_sketches(found.select("text"), "s", shingle).select(F.col("s.set").alias("_set"), "text").join(ids.select("_set"), "_set", "left_semi")
+    texts = with_digests(found.select("text"), "_set", shingle).select("_set", "text").join(ids.select("_set"), "_set", "left_semi")
     texts = written(texts.dropDuplicates(["_set"]), "texts")  # a null or repeated id may have several texts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,17 +358,70 @@ def _similar(pairs: DataFrame, docs: DataFrame, sets: DataFrame, shingle: int) -
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def _met_firsts(sets: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` of sets ``(_set, size, firsts, component)`` of different components and fitting sizes that share as
+    many first shingles as similar sets do."""
+    up, down = SIMILAR
+    asked = F.greatest(F.lit(1), F.least(F.lit(SHARED), F.floor(F.ceil(F.col("size") * up / down) / EACH)))
+    posts = sets.select(F.explode("firsts").alias("high"), "_set", "component", F.col("size").cast("int").alias("size"), asked.cast("int").alias("asked"))
+
+    def met(own: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """The pairs of one shingle, sizes rising: each set with the later ones that are not too large."""
+        order = np.argsort(own[2], kind="stable")
+        ids, component, size, least = (x[order] for x in own)
+        last = np.searchsorted(size * up, size * down, "right")
+        for k in range(len(ids) - 1):
+            keep = np.flatnonzero(component[k + 1 : last[k]] != component[k]) + k + 1
+            if len(keep):
+                mine = np.full(len(keep), ids[k])
+                ends = np.minimum(mine, ids[keep]), np.maximum(mine, ids[keep]), np.minimum(least[keep], least[k])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in ends], ["a", "b", "asked"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        high, rest = np.empty(0, np.int32), [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)]
+
+        def emit(end: int) -> Iterator[pa.RecordBatch]:
+            cuts = np.flatnonzero(np.diff(high[:end])) + 1
+            starts, ends = np.concatenate(([0], cuts)), np.concatenate((cuts, [end]))
+            several = np.flatnonzero(np.maximum.reduceat(rest[1][:end], starts) != np.minimum.reduceat(rest[1][:end], starts))
+            held, rows = [], 0
+            for s, e in zip(starts[several].tolist(), ends[several].tolist(), strict=True):
+                for batch in met([x[s:e] for x in rest]):
+                    held.append(batch)
+                    rows += batch.num_rows
+                    if rows > 1 << 16 or len(held) > 1 << 12:
+                        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                        held, rows = [], 0
+            if held:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+        for batch in batches:
+            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            high, rest = np.concatenate((high, cols[0])), [np.concatenate((x, c)) for x, c in zip(rest, cols[1:], strict=True)]
+            done = int(np.searchsorted(high, high[-1])) if len(high) else 0
+            if done:
+                yield from emit(done)
+                high, rest = high[done:], [x[done:] for x in rest]
+        if len(high):
+            yield from emit(len(high))
+        trim()
+
+    rows = posts.repartition("high").sortWithinPartitions("high").mapInArrow(run, "a long, b long, asked int")
+    return rows.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("asked").alias("asked")).filter("n >= asked").select("a", "b")
+
+
 def similar_sets(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
     """``_set, least, component`` of every distinct set of shingles: the smallest id that has it and a set that names
     its group. Sets are linked by a true Jaccard index of ``SIMILAR`` or more.
 
     Candidates are the links of fingerprints at most ``distance`` bits apart, by their deletion variants, and each set
     with a leader of each of its bands; every band has an order of its own for that, so sets of a group meet under
-    several leaders. A group of n sets gives at most ``BANDS`` x n candidates, never all its pairs.
+    several leaders. A group of n sets gives at most ``BANDS`` x n candidates, never all its pairs. What these miss is
+    found between groups only: sets of two groups that share enough of their first shingles, by ``_met_firsts``.
     """
     up, down = SIMILAR
-    made = with_sketches(docs.select("doc_id", "text"), "s", shingle)
-    each = made.groupBy(F.col("s.set").alias("_set")).agg(F.min("doc_id").alias("least"), F.any_value("s.fp").alias("fp"), F.any_value("s.size").alias("size"), F.any_value("s.bands").alias("bands"))
+    made = with_sketches(docs.select("doc_id", "text"), "s", shingle, common=common_shingles(docs, shingle))
+    each = made.groupBy(F.col("s.set").alias("_set")).agg(F.min("doc_id").alias("least"), F.any_value("s.fp").alias("fp"), F.any_value("s.size").alias("size"), F.any_value("s.bands").alias("bands"), F.any_value("s.firsts").alias("firsts"))
     sets = written(each, "sets")
     fps = written(sets.groupBy("fp").agg(F.min("_set").alias("head"), F.count("*").alias("n")), "heads")
     links = variants(fps.select("fp"), distance).repartition("key").sortWithinPartitions("key").mapInArrow(_linked(distance), "a long, b long")
@@ -319,7 +437,11 @@ def similar_sets(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHING
     near = found.join(sizes[0], "a").join(sizes[1], "b").filter(F.least("na", "nb") * down >= F.greatest("na", "nb") * up).select("a", "b")
     edges = written(_similar(near, docs, sets, shingle), "edges")
     named = connected_components(edges).select(F.col("node").alias("_set"), F.col("component").alias("of"))
-    return sets.join(named, "_set", "left").select("_set", "least", F.coalesce("of", "_set").alias("component"))
+    grouped = written(sets.join(named, "_set", "left").select("_set", "least", "size", "firsts", F.coalesce("of", "_set").alias("component")), "grouped")
+    more = _similar(_met_firsts(grouped), docs, sets, shingle)
+    of = [grouped.select(F.col("_set").alias(c), F.col("component").alias(f"of_{c}")) for c in ("a", "b")]
+    joined = connected_components(more.join(of[0], "a").join(of[1], "b").select("of_a", "of_b"), "of_a", "of_b").select(F.col("node").alias("component"), F.col("component").alias("of"))
+    return grouped.join(joined, "component", "left").select("_set", "least", F.coalesce("of", "component").alias("component"))
 
 
 def keep_similar(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
@@ -331,15 +453,7 @@ def keep_similar(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHING
     first = F.min(F.struct(F.col("least").isNull().alias("no_id"), "least", F.col("_set").alias("of"))).alias("first")
     kept = similar_sets(docs, distance, shingle).groupBy("component").agg(first).select("first.least", "first.of")
     name = free_name("set", docs)
-    ship(docs.sparkSession)
-
-    @F.arrow_udf(T.LongType())
-    def digest(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
-            yield pa.array(np.array([xxhash.xxh64_intdigest(shingle_set(x.as_py(), shingle).tobytes(), SEED) for x in texts], np.uint64).view(np.int64))
-        trim()
-
-    return _picked(docs.withColumn(name, digest(F.col("text"))), F.col(name), kept, docs.columns)
+    return _picked(with_digests(docs, name, shingle), F.col(name), kept, docs.columns)
 
 
 def op7_simhash_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
