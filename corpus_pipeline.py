@@ -18,6 +18,8 @@ from sitetide.session import free_name, own_folder, table
 
 #: Stages on word shingles take five words and a similarity of 0.8.
 SHINGLE = 5
+#: Bytes of text that a task of the last stage holds at a time, with their words and ids.
+CHUNK_BYTES = 4 << 20
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +52,7 @@ def mask_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, lang, source`` (those that there are), the ids of each text, and the digest of the text decoded from them."""
     names = [c for c in ("doc_id", "lang", "source") if c in docs.columns]
-    coded = bpe.digests(docs, names=names, with_list=True)
+    coded = bpe.digests(docs, names=names, with_list=True, chunk=CHUNK_BYTES)
     return coded.select(*names, "n_tokens", "ids", "decoded_sha256")
 
 

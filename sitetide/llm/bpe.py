@@ -185,7 +185,7 @@ def coded_texts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     order = np.argsort(-count, kind="stable")
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
-    each = rank[of] * MARKS + marks if len(of) else np.empty(0, np.int64)
+    each = (rank[of] * MARKS + marks if len(of) else np.empty(0)).astype(np.int32)
     return each[index], bounds, coded_keys.dictionary.take(pa.array(order))
 
 
@@ -244,13 +244,14 @@ def chunks(docs: DataFrame, keep: list[str], buckets: int, places: int, size: in
 
         def flush() -> Iterator[pa.RecordBatch]:
             rows = pa.Table.from_batches(held).combine_chunks()
+            held.clear()
             texts = rows.column(len(keep)).chunk(0)
             codes, bounds, keys = coded_texts(texts)
             planes = [_planes(codes[s:e]) for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
             names = ["chunk", "bucket", "data", *[f"c{k}" for k in range(len(keep))]]
             n = rows.num_rows
-            for at in range(0, n, 4096):
-                part = min(4096, n - at)
+            for at in range(0, n, 1024):
+                part = min(1024, n - at)
                 columns = [rows.column(k).chunk(0).slice(at, part) for k in range(len(keep))]
                 yield pa.RecordBatch.from_arrays([pa.array([number] * part), pa.array([-1] * part, pa.int32()), pa.array(planes[at : at + part], pa.binary()), *columns], names)
             to = np.fromiter((xxhash.xxh64_intdigest(w) % buckets for w in keys.to_pylist()), np.int64, len(keys))
@@ -339,9 +340,9 @@ def with_ids(docs: DataFrame, keep: list[str], path: str, finish, schema: T.Stru
         order = np.argsort(number)
         take, _ = spread(np.cumsum(sizes) - sizes, sizes, order)
         words, flat, sizes, out = Words(path), flat[take], sizes[order], []
-        codes = [_codes(x.as_py()) for x in left.column("data")]
-        for at in range(0, len(codes), 512):
-            some = codes[at : at + 512]
+        data = left.column("data")
+        for at in range(0, len(data), 512):
+            some = [_codes(x.as_py()) for x in data.slice(at, 512)]
             bounds = np.concatenate(([0], np.cumsum([len(c) for c in some])))
             ids = words.joined(np.concatenate(some), bounds, flat, sizes)
             out.append(finish([left.column(f"c{k}").slice(at, 512).combine_chunks() for k in range(len(keep))], ids))
