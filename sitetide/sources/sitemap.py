@@ -9,17 +9,21 @@ from urllib.parse import urljoin, urlsplit
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from sitetide.functions import urls
-from sitetide.functions.markup import extract_links
+from sitetide.functions.markup import extract_links, link_parts
 from sitetide.functions.text import parse_lastmod
 from sitetide.operators.ordered import numbered, running_at
-from sitetide.session import own_folder, written
+from sitetide.session import own_folder, ship, trim, written
 
 MAX_SUB_FILES = 200
+#: Entries of a map or links of a page in one row, and bytes of a file that are parsed at a time.
+ENTRIES, SLICE = 10_000, 1 << 20
 #: Text and address of a link to a site's own map.
 MAP_TEXT = r"(?iuU)карта\s+сайта|site\s*map"
 MAP_PATH = r"(?iU)sitemap|site-map|karta[-_]?sa[ijy]{0,2}ta"
@@ -35,31 +39,103 @@ def gunzip(body: bytes | None) -> bytes:
     return bytes(body or b"")
 
 
-def parse_sitemap(body: bytes | None) -> tuple[str | None, list[dict]]:
-    """The root's name (``urlset`` or ``sitemapindex``) and ``url, lastmod`` of its entries; none for anything else."""
+def _top_elements(raw: bytes) -> Iterator[ElementTree.Element]:
+    """The root of an XML file, then each of its children when it is whole; one that was seen is let go."""
+    parser, depth, root = ElementTree.XMLPullParser(("start", "end")), 0, None
+
+    def seen() -> Iterator[ElementTree.Element]:
+        nonlocal depth, root
+        for event, e in parser.read_events():
+            depth += 1 if event == "start" else -1
+            if root is None:
+                root = e
+                yield e
+            elif event == "end" and depth == 1:
+                yield e
+                root.clear()
+
+    for at in range(0, len(raw), SLICE):
+        parser.feed(raw[at : at + SLICE])
+        yield from seen()
+    parser.close()
+    yield from seen()
+
+
+def sitemap_parts(body: bytes | None, size: int) -> Iterator[tuple[str | None, int, list[dict]]]:
+    """``kind, at, entries``: the root's name (``urlset`` or ``sitemapindex``) and ``url, lastmod`` of its entries, ``size`` of
+    them at a time from the number ``at`` on; one part without entries, if there are none, and none of a kind for anything
+    else. The file is read to its end before the first part, as a broken one has no entries."""
+    space, raw = "{http://www.sitemaps.org/schemas/sitemap/0.9}", gunzip(body)
+    kind, subs = None, []
     try:
-        root = ElementTree.fromstring(gunzip(body))
+        for k, e in enumerate(_top_elements(raw)):
+            if k == 0:
+                kind = e.tag.rpartition("}")[2]
+            elif len(subs) < MAX_SUB_FILES:
+                subs += [s for s in (x.findtext(f"{space}loc") for x in e.iter(f"{space}sitemap")) if s]
     except ElementTree.ParseError:
-        return None, []
-    kind = root.tag.rpartition("}")[2]
+        kind = None
     if kind not in ("urlset", "sitemapindex"):
-        return None, []
-    space = "{http://www.sitemaps.org/schemas/sitemap/0.9}"
-    subs = [e.findtext(f"{space}loc") for e in root.iter(f"{space}sitemap")]
-    subs = [s for s in subs if s]
+        yield None, 0, []
+        return
     if subs:
-        return "sitemapindex", [{"url": s, "lastmod": None} for s in subs[:MAX_SUB_FILES]]
-    found = ((e.findtext(f"{space}loc"), e.findtext(f"{space}lastmod")) for e in root.iter(f"{space}url"))
-    return "urlset", [{"url": u, "lastmod": m} for u, m in found if u]
+        yield "sitemapindex", 0, [{"url": s, "lastmod": None} for s in subs[:MAX_SUB_FILES]]
+        return
+    at, held = 0, []
+    for k, e in enumerate(_top_elements(raw)):
+        for x in e.iter(f"{space}url") if k else ():
+            u = x.findtext(f"{space}loc")
+            if u:
+                held.append({"url": u, "lastmod": x.findtext(f"{space}lastmod")})
+        if len(held) >= size:
+            yield "urlset", at, held
+            at, held = at + len(held), []
+    if held or not at:
+        yield "urlset", at, held
 
 
-_ENTRY = T.StructType([T.StructField("url", T.StringType()), T.StructField("lastmod", T.StringType())])
+def parse_sitemap(body: bytes | None) -> tuple[str | None, list[dict]]:
+    """The root's name (``urlset`` or ``sitemapindex``) and ``url, lastmod`` of its entries; none for anything else."""
+    kind, entries = None, []
+    for kind, _, part in sitemap_parts(body, ENTRIES):
+        entries += part
+    return kind, entries
 
 
-@F.pandas_udf(T.StructType([T.StructField("kind", T.StringType()), T.StructField("entries", T.ArrayType(_ENTRY))]))
-def sitemap(bodies: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+@F.pandas_udf(T.BooleanType())
+def is_map(bodies: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Whether a body is an XML map or index."""
     for series in bodies:
-        yield pd.DataFrame([parse_sitemap(x) for x in series], columns=["kind", "entries"])
+        yield pd.Series([next(sitemap_parts(x, 1))[0] is not None for x in series], dtype="bool")
+
+
+def _in_parts(rows: DataFrame, kind: str, parts) -> DataFrame:
+    """All columns but the last, and for each of ``parts(last column)`` a row with its values, of type ``kind``. A row and a
+    part of it are held at a time, however long what a row holds."""
+    ship(rows.sparkSession)
+    made = T.StructType([*rows.schema.fields[:-1], *T.DataType.fromDDL(kind).fields])
+    types = [to_arrow_type(f.dataType) for f in made.fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                own = [c.slice(k, 1) for c in batch.columns[:-1]]
+                for values in parts(batch.columns[-1][k].as_py()):
+                    yield pa.RecordBatch.from_arrays([*own, *[pa.array([v], t) for v, t in zip(values, types[len(own) :], strict=True)]], made.names)
+        trim()
+
+    return rows.mapInArrow(run, made)
+
+
+def maps_of(rows: DataFrame) -> DataFrame:
+    """``.., kind, at, entries`` of ``rows (.., body)`` that are XML maps: each map in rows of some thousand entries."""
+    parts = _in_parts(rows.withColumn("body", F.col("body").cast("binary")), "kind string, at int, entries array<struct<url:string,lastmod:string>>", lambda body: sitemap_parts(body, ENTRIES))
+    return parts.filter("kind is not null")
+
+
+def links_of(rows: DataFrame) -> DataFrame:
+    """``.., at, links`` of ``rows (.., html)``: the links of each page in rows of some thousand."""
+    return _in_parts(rows, "at int, links array<struct<href:string,text:string>>", lambda html: link_parts(html, ENTRIES))
 
 
 @F.pandas_udf(T.StringType())
@@ -79,9 +155,9 @@ def read_sitemaps(responses: DataFrame) -> DataFrame:
 
     A sitemap index is replaced by the entries of those of its first 200 files that were fetched and can be read.
     """
-    parsed = responses.filter("status = 200").select("site_id", F.col("url").alias("source"), sitemap("body").alias("m"))
-    parsed = written(parsed, "sitemaps")
-    entries = parsed.select("site_id", "source", "m.kind", F.explode("m.entries").alias("e"))
+    parsed = responses.filter("status = 200").select("site_id", F.col("url").alias("source"), "body")
+    parsed = written(maps_of(parsed), "sitemaps")
+    entries = parsed.select("site_id", "source", "kind", F.explode("entries").alias("e"))
     direct = entries.filter("kind = 'urlset'").select("site_id", "source", "e.url", "e.lastmod")
     index = entries.filter("kind = 'sitemapindex'").select("site_id", F.col("source").alias("index"), F.col("e.url").alias("source"))
     return direct.join(index, ["site_id", "source"], "left").select("site_id", F.coalesce("index", "source").alias("source"), "url", "lastmod")
@@ -124,14 +200,13 @@ def _entries_of(responses: DataFrame, wanted: DataFrame) -> DataFrame:
     """``site_id, rank, place, pos, kind, url, lastmod`` of the maps ``wanted (site_id, rank, place, source)`` that were fetched.
 
     An index gives the entries of its files in turn. A file that is no XML map has no rows here."""
-    fetched = responses.filter("status = 200").select("site_id", F.col("url").alias("source"), sitemap(F.col("body").cast("binary")).alias("m")).filter("m.kind is not null")
-    maps = written(fetched, "maps")
+    maps = written(maps_of(responses.filter("status = 200").select("site_id", F.col("url").alias("source"), "body")), "maps")
     own = wanted.join(maps, ["site_id", "source"])
-    direct = own.filter("m.kind = 'urlset'").select("site_id", "rank", "place", F.lit(0).alias("file"), F.posexplode("m.entries").alias("pos", "e"))
-    files = own.filter("m.kind = 'sitemapindex'").select("site_id", "rank", "place", F.posexplode("m.entries").alias("file", "f")).withColumn("source", F.col("f.url"))
-    nested = files.join(maps.filter("m.kind = 'urlset'"), ["site_id", "source"]).select("site_id", "rank", "place", "file", F.posexplode("m.entries").alias("pos", "e"))
+    direct = own.filter("kind = 'urlset'").select("site_id", "rank", "place", F.lit(0).alias("file"), "at", F.posexplode("entries").alias("pos", "e"))
+    files = own.filter("kind = 'sitemapindex'").select("site_id", "rank", "place", F.posexplode("entries").alias("file", "f")).withColumn("source", F.col("f.url"))
+    nested = files.join(maps.filter("kind = 'urlset'"), ["site_id", "source"]).select("site_id", "rank", "place", "file", "at", F.posexplode("entries").alias("pos", "e"))
     each = direct.unionByName(nested)
-    return each.select("site_id", "rank", F.struct("place", "file", "pos").alias("pos"), "e.url", "e.lastmod")
+    return each.select("site_id", "rank", F.struct("place", "file", (F.col("at") + F.col("pos")).alias("pos")).alias("pos"), "e.url", "e.lastmod")
 
 
 def discover(sites: DataFrame, responses: DataFrame) -> DataFrame:
@@ -158,8 +233,9 @@ def discover(sites: DataFrame, responses: DataFrame) -> DataFrame:
     wanted = written(given.unionByName(main).unionByName(listed).unionByName(linked).filter("source is not null"), "wanted")
     by_map = _entries_of(responses, wanted)
     pages = wanted.filter("rank in (0, 3)").select("site_id", "rank", F.col("source").alias("url")).join(got, ["site_id", "url"])
-    pages = pages.filter(sitemap(F.col("html").cast("binary"))["kind"].isNull())
-    each = pages.select("site_id", "rank", "url", F.posexplode(extract_links("html")).alias("at", "l"))
+    pages = pages.filter(~is_map(F.col("html").cast("binary")))
+    parts = links_of(pages.select("site_id", "rank", "url", "html"))
+    each = parts.select("site_id", "rank", "url", F.col("at").alias("first"), F.posexplode("links").alias("nth", "l")).withColumn("at", F.col("first") + F.col("nth"))
     by_page = each.select("site_id", "rank", F.struct(F.lit(0).alias("place"), F.lit(0).alias("file"), F.col("at").alias("pos")).alias("pos"), urls.strip_tracking(join_url("url", "l.href")).alias("url"), F.lit(None).cast("string").alias("lastmod"))
     found = written(by_map.unionByName(by_page), "found")
     best = found.groupBy("site_id").agg(F.min("rank").alias("rank"))
