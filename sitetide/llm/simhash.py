@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from sitetide.llm.skew import join_hot
 from sitetide.operators.components import connected_components
+from sitetide.operators.similarity import product
 from sitetide.session import free_name, ship, table, trim, written
 
 SHINGLE = 4
@@ -33,6 +34,10 @@ SHARED, EACH = 16, 12
 #: Texts that tell which shingles are common, in how many of them these are, and how many are kept. They set the order of
 #: shingles only; no pair depends on them.
 LOOKED_AT, COMMON, MOST = 8192, 8, 1 << 18
+#: A first shingle of more sets gives no pairs of them: these meet in blocks of at most so many sets and hashes.
+OFTEN, BLOCK, HASHES = 64, 512, 1 << 17
+#: Places where two blocks have a shingle in common, counted at once.
+MEETINGS = 1 << 18
 #: So many documents at most are picked out by a broadcast of their ids; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -328,18 +333,22 @@ def _picked(rows: DataFrame, key: F.Column, kept: DataFrame, columns: list[str])
     return one.filter(F.col(nth) == 1).select(*[F.col(f"`{c}`") for c in columns])
 
 
-def _similar(pairs: DataFrame, docs: DataFrame, sets: DataFrame, shingle: int) -> DataFrame:
-    """Those of ``pairs (a, b)`` of sets that have a Jaccard index of ``SIMILAR`` at least, from the texts themselves.
-
-    ``sets (_set, least)`` tells which document has a set. Only the texts that stand in a pair are taken from ``docs``.
-    """
-    up, down = SIMILAR
-    pairs = written(pairs, "pairs")
-    needed = written(pairs.select(F.explode(F.array("a", "b")).alias("_set")).distinct().join(sets.select("_set", "least"), "_set"), "needed")
+def _texts(wanted: DataFrame, docs: DataFrame, sets: DataFrame, shingle: int) -> DataFrame:
+    """``_set, text`` of the sets in ``wanted``, one text each; ``sets (_set, least)`` tells which document has a set."""
+    needed = written(wanted.distinct().join(sets.select("_set", "least"), "_set"), "needed")
     ids = F.broadcast(needed) if needed.count() <= BROADCAST_IDS else needed
     found = docs.select("doc_id", "text").join(ids.select("least").distinct(), F.col("doc_id").eqNullSafe(F.col("least")), "left_semi")
     texts = with_digests(found.select("text"), "_set", shingle).select("_set", "text").join(ids.select("_set"), "_set", "left_semi")
-    texts = written(texts.dropDuplicates(["_set"]), "texts")  # a null or repeated id may have several texts
+    return written(texts.dropDuplicates(["_set"]), "texts")  # a null or repeated id may have several texts
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("_set"))
+
+
+def _similar(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """Those of ``pairs (a, b)`` of sets that have a Jaccard index of ``SIMILAR`` at least, from their ``texts``."""
+    up, down = SIMILAR
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -358,9 +367,13 @@ def _similar(pairs: DataFrame, docs: DataFrame, sets: DataFrame, shingle: int) -
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def _met_firsts(sets: DataFrame) -> DataFrame:
-    """Pairs ``a, b`` of sets ``(_set, size, firsts, component)`` of different components and fitting sizes that share as
-    many first shingles as similar sets do."""
+def _met_firsts(sets: DataFrame, often: int = OFTEN) -> DataFrame:
+    """Where sets ``(_set, size, firsts, component)`` of different components meet: ``a, b, often``.
+
+    A first shingle of at most ``often`` sets gives the pairs of those with fitting sizes; a pair stays if it shares as many
+    of these shingles as similar sets do. Of any other first shingle, ``b``, there is a row for each set that has it: similar
+    sets that fall short of the first kind share one of the second.
+    """
     up, down = SIMILAR
     asked = F.greatest(F.lit(1), F.least(F.lit(SHARED), F.floor(F.ceil(F.col("size") * up / down) / EACH)))
     posts = sets.select(F.explode("firsts").alias("high"), "_set", "component", F.col("size").cast("int").alias("size"), asked.cast("int").alias("asked"))
@@ -374,18 +387,26 @@ def _met_firsts(sets: DataFrame) -> DataFrame:
             keep = np.flatnonzero(component[k + 1 : last[k]] != component[k]) + k + 1
             if len(keep):
                 mine = np.full(len(keep), ids[k])
-                ends = np.minimum(mine, ids[keep]), np.maximum(mine, ids[keep]), np.minimum(least[keep], least[k])
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in ends], ["a", "b", "asked"])
+                yield row(np.minimum(mine, ids[keep]), np.maximum(mine, ids[keep]), np.minimum(least[keep], least[k]), False)
+
+    def row(a: np.ndarray, b: np.ndarray, least: np.ndarray, many: bool) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*[pa.array(x) for x in (a, b, least)], pa.array(np.full(len(a), many))], ["a", "b", "asked", "often"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        high, rest = np.empty(0, np.int32), [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)]
+        high, rest, known = np.empty(0, np.int32), [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)], None
 
         def emit(end: int) -> Iterator[pa.RecordBatch]:
             cuts = np.flatnonzero(np.diff(high[:end])) + 1
             starts, ends = np.concatenate(([0], cuts)), np.concatenate((cuts, [end]))
             several = np.flatnonzero(np.maximum.reduceat(rest[1][:end], starts) != np.minimum.reduceat(rest[1][:end], starts))
+            several = several[ends[several] - starts[several] <= often]
             held, rows = [], 0
+            many = np.repeat((ends - starts > often) | (high[starts] == known), ends - starts)
+            if many.any():
+                yield row(rest[0][:end][many], high[:end][many].astype(np.int64), rest[3][:end][many], True)
             for s, e in zip(starts[several].tolist(), ends[several].tolist(), strict=True):
+                if high[s] == known:
+                    continue
                 for batch in met([x[s:e] for x in rest]):
                     held.append(batch)
                     rows += batch.num_rows
@@ -399,15 +420,110 @@ def _met_firsts(sets: DataFrame) -> DataFrame:
             cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             high, rest = np.concatenate((high, cols[0])), [np.concatenate((x, c)) for x, c in zip(rest, cols[1:], strict=True)]
             done = int(np.searchsorted(high, high[-1])) if len(high) else 0
+            if len(high) - done > often:  # what more there is of the last shingle need not be waited for
+                done = len(high)
             if done:
                 yield from emit(done)
+                known = int(high[done - 1])
                 high, rest = high[done:], [x[done:] for x in rest]
         if len(high):
             yield from emit(len(high))
         trim()
 
-    rows = posts.repartition("high").sortWithinPartitions("high").mapInArrow(run, "a long, b long, asked int")
-    return rows.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("asked").alias("asked")).filter("n >= asked").select("a", "b")
+    rows = posts.repartition("high").sortWithinPartitions("high").mapInArrow(run, "a long, b long, asked int, often boolean")
+    return rows.groupBy("a", "b", "often").agg(F.count("*").alias("n"), F.min("asked").alias("asked")).filter("often OR n >= asked").select("a", "b", "often")
+
+
+class _Block:
+    """The sets of a block as postings: ``ranks`` are its shingles; of each, the sets ``of`` from ``starts`` on."""
+
+    def __init__(self, batch: pa.RecordBatch, k: int, side: str):
+        at, hashes, self.component = (batch.column(f"{side}_{c}")[k].values.to_numpy(zero_copy_only=False) for c in ("at", "hashes", "components"))
+        self.n, self.size = len(at) - 1, np.diff(at)
+        self.ranks, codes = np.unique(hashes, return_inverse=True)
+        self.of = np.repeat(np.arange(self.n, dtype=np.int32), self.size)[np.argsort(codes, kind="stable")]
+        self.sizes = np.bincount(codes, minlength=len(self.ranks))
+        self.starts, self.value = np.cumsum(self.sizes) - self.sizes, np.ones(len(self.of))
+
+
+def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of links ``a, b`` as few as connect what all of them connect."""
+    names, codes = np.unique(np.concatenate((a, b)), return_inverse=True)
+    linked = np.zeros((len(names), len(names)), bool)
+    x, y = codes[: len(a)], codes[len(a) :]
+    linked[x, y] = linked[y, x] = True
+    left, queue, ends = np.ones(len(names), bool), [], ([], [])
+    for first in range(len(names)):
+        if left[first]:
+            left[first], queue = False, [first]
+        while queue:
+            node = queue.pop()
+            got = np.flatnonzero(linked[node] & left)
+            left[got] = False
+            queue.extend(got.tolist())
+            ends[0].extend([node] * len(got))
+            ends[1].extend(got.tolist())
+    return tuple(names[np.array(e, np.int64)] for e in ends)
+
+
+def _met_often(often: DataFrame, sets: DataFrame, texts: DataFrame, shingle: int, block: int | None = None) -> DataFrame:
+    """Links ``of_a, of_b`` that connect the components of similar sets of which both have one of the shingles in
+    ``often (_set, high)``, from their texts.
+
+    Sets lie in blocks, those with the same least such shingle side by side. Blocks that have such a shingle in common meet
+    in a cross join, and all pairs of their sets are judged by the task that has both; it gives as few links as connect their
+    components. So no row is made for a pair, and a group of any size is dealt to all tasks.
+    """
+    (up, down), block = SIMILAR, block or BLOCK
+    each = often.groupBy("_set").agg(F.collect_list("high").alias("highs"))
+    rows = written(texts.join(each, "_set").join(sets.select("_set", "component"), "_set"), "rows")
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, hashes = [], 0
+
+        def made() -> pa.RecordBatch:
+            found, highs, components = zip(*held, strict=True)
+            sizes = [len(x) for x in found]
+            lists = [np.concatenate(([0], np.cumsum(sizes))).astype(np.int32), np.concatenate(found).view(np.int64), np.array(components, np.int64), np.unique(np.concatenate(highs)).astype(np.int32)]
+            whole = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x)) for x in lists]
+            return pa.RecordBatch.from_arrays([*whole, pa.array([min(sizes)]), pa.array([max(sizes)])], ["at", "hashes", "components", "highs", "least", "most"])
+
+        for batch in batches:
+            for k in range(batch.num_rows):
+                found = shingle_set(batch.column(0)[k].as_py(), shingle)
+                if held and (len(held) >= block or hashes + len(found) > HASHES):
+                    yield made()
+                    held, hashes = [], 0
+                held.append((found, batch.column(1)[k].values.to_numpy(), batch.column(2)[k].as_py()))
+                hashes += len(found)
+        if held:
+            yield made()
+        trim()
+
+    least = F.array_min("highs").alias("_least")
+    ranged = rows.select("text", "highs", "component", least, "_set").repartitionByRange("_least", "_set").sortWithinPartitions("_least", "_set").select("text", "highs", "component")
+    blocks = ranged.mapInArrow(packed, "at array<int>, hashes array<bigint>, components array<bigint>, highs array<int>, least bigint, most bigint")
+    blocks = written(blocks.withColumn("block", F.monotonically_increasing_id()), "blocks", 1)
+    left, right = (blocks.select(*[F.col(c).alias(f"{side}_{c}") for c in blocks.columns]) for side in "xy")
+    fits = (F.col("x_least") * up <= F.col("y_most") * down) & (F.col("y_least") * up <= F.col("x_most") * down)
+    both = left.join(right, (F.col("x_block") >= F.col("y_block")) & fits & F.arrays_overlap("x_highs", "y_highs"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None, None
+        for batch in batches:
+            for k in range(batch.num_rows):
+                number = batch.column("x_block")[k].as_py()
+                if number != last[0]:
+                    last = number, _Block(batch, k, "x")
+                x, y = last[1], _Block(batch, k, "y")
+                shared = product(x, y, MEETINGS)
+                close = (shared * down >= up * (x.size[:, None] + y.size - shared)) & (x.component[:, None] != y.component)
+                i, j = np.nonzero(close)
+                yield pa.RecordBatch.from_arrays([pa.array(e) for e in spanning(x.component[i], y.component[j])], ["of_a", "of_b"])
+        trim()
+
+    names = [f"{side}_{c}" for side in "xy" for c in ("block", "at", "hashes", "components")]
+    return both.select(*names).mapInArrow(run, "of_a long, of_b long")
 
 
 def similar_sets(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
@@ -417,7 +533,8 @@ def similar_sets(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHING
     Candidates are the links of fingerprints at most ``distance`` bits apart, by their deletion variants, and each set
     with a leader of each of its bands; every band has an order of its own for that, so sets of a group meet under
     several leaders. A group of n sets gives at most ``BANDS`` x n candidates, never all its pairs. What these miss is
-    found between groups only: sets of two groups that share enough of their first shingles, by ``_met_firsts``.
+    found between groups only: sets of two groups that share enough of their first shingles, by ``_met_firsts``, and by
+    ``_met_often`` where many sets have such a shingle.
     """
     up, down = SIMILAR
     made = with_sketches(docs.select("doc_id", "text"), "s", shingle, common=common_shingles(docs, shingle))
@@ -435,12 +552,19 @@ def similar_sets(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHING
     found = by_bits.unionByName(same).unionByName(by_bands).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     sizes = [sets.select(F.col("_set").alias(c), F.col("size").alias(f"n{c}")) for c in ("a", "b")]
     near = found.join(sizes[0], "a").join(sizes[1], "b").filter(F.least("na", "nb") * down >= F.greatest("na", "nb") * up).select("a", "b")
-    edges = written(_similar(near, docs, sets, shingle), "edges")
+    near = written(near, "pairs")
+    edges = written(_similar(near, _texts(_ends(near), docs, sets, shingle), shingle), "edges")
     named = connected_components(edges).select(F.col("node").alias("_set"), F.col("component").alias("of"))
     grouped = written(sets.join(named, "_set", "left").select("_set", "least", "size", "firsts", F.coalesce("of", "_set").alias("component")), "grouped")
-    more = _similar(_met_firsts(grouped), docs, sets, shingle)
+    met = written(_met_firsts(grouped), "met")
+    pairs, often = met.filter("NOT often").select("a", "b"), met.filter("often").select(F.col("a").alias("_set"), F.col("b").cast("int").alias("high"))
+    several = often.join(grouped.select("_set", "component"), "_set").groupBy("high").agg(F.min("component").alias("c"), F.max("component").alias("d")).filter("c < d")
+    often = written(often.join(several.select("high"), "high"), "often")
+    texts = _texts(_ends(pairs).unionByName(often.select("_set")), docs, sets, shingle)
+    more = _similar(pairs, texts, shingle)
     of = [grouped.select(F.col("_set").alias(c), F.col("component").alias(f"of_{c}")) for c in ("a", "b")]
-    joined = connected_components(more.join(of[0], "a").join(of[1], "b").select("of_a", "of_b"), "of_a", "of_b").select(F.col("node").alias("component"), F.col("component").alias("of"))
+    links = more.join(of[0], "a").join(of[1], "b").select("of_a", "of_b").unionByName(_met_often(often, grouped, texts, shingle))
+    joined = connected_components(links, "of_a", "of_b").select(F.col("node").alias("component"), F.col("component").alias("of"))
     return grouped.join(joined, "component", "left").select("_set", "least", F.coalesce("of", "component").alias("component"))
 
 

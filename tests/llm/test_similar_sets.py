@@ -29,3 +29,53 @@ def test_first_shingles_of_similar_sets_meet():
             if 5 * len(np.intersect1d(a, b)) >= 4 * len(np.union1d(a, b)):
                 x, y = (simhash.first_shingles(s, common) for s in (a, b))
                 assert len(np.intersect1d(x, y)) >= min(simhash.least_shared(len(s))[1] for s in (a, b))
+
+
+def close_texts(rng, n, own):
+    """Texts of a hundred words with the same first words and ``own`` last ones of their own: a Jaccard index just under 0.8
+    for eleven of them, just above for ten; one in six is a near copy of the one before."""
+    shared, rows = [f"w{x}" for x in rng.integers(0, 1 << 40, 100)], []
+    for k in range(n):
+        words = [*shared[: 100 - own], *[f"v{x}" for x in rng.integers(0, 1 << 40, own)]]
+        rows.append((k, " ".join([*rows[-1][1].split()[:-2], "x", f"y{k}"] if k % 6 == 5 else words)))
+    return rows
+
+
+def test_frequent_first_shingles_make_no_row_for_each_pair(spark, monkeypatch):
+    """All pairs of a group that fall short of the bound by little share first shingles; those above it are still linked."""
+    rng, sizes, written = np.random.default_rng(5), {}, simhash.written
+
+    def counted(df, label, *more):
+        made = written(df, label, *more)
+        sizes[label] = max(sizes.get(label, 0), made.count())
+        return made
+
+    monkeypatch.setattr(simhash, "written", counted)
+    monkeypatch.setattr(simhash, "BLOCK", 50, raising=False)
+    rows = close_texts(rng, 240, 11) + [(1000 + k, t) for k, t in close_texts(rng, 150, 10)]
+    sets = {k: simhash.shingle_set(t, 5) for k, t in rows}
+    least = {k: k for k in sets}
+    shared = {(a, b): len(np.intersect1d(sets[a], sets[b])) for a in sets for b in sets if a < b and a // 1000 == b // 1000}
+    for _ in range(5):
+        for (a, b), n in shared.items():
+            if 10 * n >= 8 * (len(sets[a]) + len(sets[b]) - n):
+                least[a] = least[b] = min(least[a], least[b])
+    kept = simhash.keep_similar(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), shingle=5)
+    assert {r["doc_id"] for r in kept.collect()} == {k for k in sets if least[k] == k}
+    assert len({k for k in sets if least[k] == k}) > 150 and sizes["pairs"] < 30 * len(rows)
+
+
+def test_spanning_links_connect_the_same():
+    rng = np.random.default_rng(6)
+    for n in [0, 1, 5, 60, 400]:
+        a, b = rng.integers(0, 80, (2, n)) << 40
+        found = simhash.spanning(a, b)
+
+        def groups(a, b):
+            least = {x: x for x in [*a, *b]}
+            for _ in range(80):
+                for x, y in zip(a, b, strict=True):
+                    least[x] = least[y] = min(least[x], least[y])
+            return {x: least[x] for x in least if x in {*found[0], *found[1]}}
+
+        assert groups(a.tolist(), b.tolist()) == groups(found[0].tolist(), found[1].tolist()) and len(found[0]) < 80
