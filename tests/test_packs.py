@@ -16,3 +16,17 @@ def test_join_writes_no_pairs_that_fall_short(spark, monkeypatch):
     monkeypatch.setattr(similarity, "PACK", 64)
     _, pairs = similarity.similarity_join(spark.createDataFrame(rows, "id long, site_id long, title string, text string"), 0.7)
     assert pairs.count() == 0 and "packs" in sizes and max(sizes.values()) <= 300
+
+
+def test_similar_documents_make_their_pairs_once(spark, small_tables="/root/testdata/sf0.001"):
+    from sitetide.plans import catalog
+
+    plan = catalog.queries()["similar_documents"](spark, small_tables)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
+def test_lists_of_a_pack_are_squeezed(spark):
+    rows = [(k, None, f"words of page own{k} other{k % 7}") for k in range(100)]
+    packs = similarity.index(spark.createDataFrame(rows, "id long, title string, text string")).packs
+    assert {packs.schema[c].dataType.simpleString() for c in ("at", "codes", "tfs", "ranks", "idfs")} == {"binary"}
+    assert packs.selectExpr("sum(size(ids))").first()[0] == 100
