@@ -3,7 +3,8 @@
 Two fingerprints that differ in at most 2n - 1 bits agree up to one bit in one of n segments, so the number of segments
 follows the distance that is asked for. Texts that share no less than four fifths of their shingles often differ in more
 bits than segments of a useful size allow; for these, bands of least hashes find further candidates, and a join of the
-first shingles of each text, rare ones before common ones, finds all that are left.
+first shingles of each text, rare ones before common ones, finds all that are left. All this is done for texts only that
+share so many of their shingles with other texts that one of these may be similar; most texts of a corpus do not.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,15 +33,20 @@ SIMILAR = (4, 5)
 BANDS, ROWS = 16, 6
 #: Shared first shingles that a pair of long texts must have, and the share of a text's shingles that asks for one.
 SHARED, EACH = 16, 12
-#: Texts that tell which shingles are common, in how many of them these are, and how many are kept. They set the order of
-#: shingles only; no pair depends on them.
-LOOKED_AT, COMMON, MOST = 8192, 8, 1 << 18
+#: Texts that have a shingle that counts as common, and how many such shingles are kept, the most frequent ones. They set
+#: the order of shingles only; no pair depends on them.
+COMMON, MOST = 16, 1 << 18
+#: Shingles of a chunk of texts whose shingles are told to all parts at once (texts are not cut), and characters of text for
+#: each part.
+CHUNK, PART_CHARS = 1 << 20, 1 << 24
+#: Bits of a shingle's hash that tell it apart there; two that agree by chance only add a text to those looked at.
+TOLD = 40
 #: A first shingle of more sets gives no pairs of them: these meet in blocks of at most so many sets and hashes.
 OFTEN, BLOCK, HASHES = 64, 512, 1 << 17
 #: Places where two blocks have a shingle in common, counted at once.
 MEETINGS = 1 << 18
 #: So many documents at most are picked out by a broadcast of their ids; more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+BROADCAST_IDS = 2_000_000
 
 
 def segments(distance: int) -> list[tuple[int, int]]:
@@ -181,9 +188,8 @@ def with_digests(docs: DataFrame, name: str, shingle: int = SHINGLE) -> DataFram
 
 
 def common_shingles(docs: DataFrame, shingle: int = SHINGLE) -> np.ndarray:
-    """The upper halves of shingles that many of some thousand different texts have, sorted."""
-    every = max(1, docs.count() // LOOKED_AT)
-    some = docs.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).dropDuplicates(["text"])
+    """The upper halves of shingles that many different texts have, sorted."""
+    ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,11 +198,110 @@ def common_shingles(docs: DataFrame, shingle: int = SHINGLE) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(high.view(np.int32))], ["high"])
         trim()
 
-    counted = some.mapInArrow(run, "high int").groupBy("high").agg(F.count("*").alias("n")).filter(F.col("n") >= COMMON)
+    texts = docs.select("text").dropDuplicates(["text"])
+    counted = texts.mapInArrow(run, "high int").groupBy("high").agg(F.count("*").alias("n")).filter(F.col("n") >= COMMON)
     found = counted.orderBy(F.desc("n"), "high").limit(MOST).select("high").collect()
     return np.sort(np.array([r[0] for r in found], np.int32).view(np.uint32))
 
 
+def told_shingles(found: np.ndarray) -> tuple[np.ndarray, int]:
+    """Of a set, the shingles that are counted, those with the least hashes, and how many of them it has in common with such
+    shingles of any similar set at least."""
+    asked = [max(1, min(s, 3 * (n - s) // 2)) for n in (len(found), least_shared(len(found))[0]) for s in (least_shared(n)[0],)]
+    return found[: len(found) - least_shared(len(found))[0] + asked[0]], asked[1] if len(found) else 0
+
+
+def _coded(values: np.ndarray) -> bytes:
+    """Rising numbers as the bytes of their differences, all lowest bytes first, so that they are squeezed well."""
+    return np.diff(values, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, : TOLD // 8].T.tobytes()
+
+
+def _decoded(code: bytes) -> np.ndarray:
+    planes = np.frombuffer(code, np.uint8).reshape(TOLD // 8, -1).astype(np.uint64)
+    return np.cumsum((planes << (np.arange(TOLD // 8, dtype=np.uint64) * np.uint64(8))[:, None]).sum(axis=0, dtype=np.uint64), dtype=np.uint64)
+
+
+def told_apart(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """``doc_id, _set, alone`` of every row: the digest of its set of shingles, and whether too few of these are in other rows
+    for any other to be equal or similar.
+
+    A chunk of texts tells each part of the hashes which of them it has, those of several texts once; the part tells the
+    chunks which of theirs others have too. A row is alone if fewer of its first shingles are met than similar sets share. So
+    work and disk grow with the texts, a frequent shingle counts once for each chunk, and rows that are alone need no further search.
+    """
+    ship(docs.sparkSession)
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    parts, kind = max(32, chars // PART_CHARS), docs.schema["doc_id"].dataType
+    told = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("part", T.IntegerType()), *[T.StructField(c, T.BinaryType()) for c in ("hashes", "many", "owners")]])
+    own = T.StructType([T.StructField("ids", T.ArrayType(kind)), T.StructField("sets", T.ArrayType(T.LongType())), *[T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("asked", "met")]])
+
+    def chunk_rows(chunk: int, ids: pa.Array, digests: list[int], asked: list[int], firsts: list[np.ndarray]) -> pa.RecordBatch:
+        """A row for each part, and one with the chunk's own rows."""
+        owner = np.repeat(np.arange(len(firsts), dtype=np.uint16), [len(x) for x in firsts])
+        value, part = np.divmod(np.concatenate(firsts) >> np.uint64(64 - TOLD), np.uint64(parts))
+        key = (part << np.uint64(TOLD)) | value
+        order = np.argsort(key)
+        key, owner = key[order], owner[order]
+        starts = np.flatnonzero(np.concatenate((np.ones(min(1, len(key)), bool), key[1:] != key[:-1])))
+        times = np.diff(starts, append=len(key))
+        met = np.bincount(owner[np.repeat(times > 1, times)], minlength=len(firsts))
+        bounds = np.arange(parts + 1, dtype=np.uint64) << np.uint64(TOLD)
+        once, many = (key[starts[pick]] for pick in (times == 1, times > 1))
+        owner, mask = owner[starts[times == 1]], np.uint64((1 << TOLD) - 1)
+        at, of = np.searchsorted(once, bounds), np.searchsorted(many, bounds)
+        wanted = np.flatnonzero((np.diff(at) > 0) | (np.diff(of) > 0)).tolist()
+        columns = [
+            [_coded(once[at[k] : at[k + 1]] & mask) for k in wanted], [_coded(many[of[k] : of[k + 1]] & mask) for k in wanted],
+            [owner[at[k] : at[k + 1]].tobytes() for k in wanted],
+        ]
+        none = pa.nulls(len(wanted))
+        last = [ids.to_pylist(), np.array(digests, np.uint64).view(np.int64).tolist(), asked, met.tolist()]
+        schema = [pa.list_(ids.type), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32())]
+        arrays = [pa.array([chunk] * (len(wanted) + 1), pa.int64()), pa.array([*wanted, chunk % parts], pa.int32())]
+        arrays += [pa.array([*c, None], pa.binary()) for c in columns]
+        arrays += [pa.concat_arrays([none.cast(t), pa.array([x], t)]) for x, t in zip(last, schema, strict=True)]
+        return pa.RecordBatch.from_arrays(arrays, [*told.names, *own.names])
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, held, hashes = TaskContext.get().partitionId() << 32, ([], [], [], []), 0
+        for batch in batches:
+            for k in range(batch.num_rows):
+                found = shingle_set(batch.column(1)[k].as_py(), shingle)
+                firsts, asked = told_shingles(found)
+                for column, x in zip(held, (batch.column(0).slice(k, 1), xxhash.xxh64_intdigest(found.tobytes(), SEED), asked, firsts), strict=True):
+                    column.append(x)
+                hashes += len(firsts)
+                if hashes >= CHUNK or len(held[0]) == 1 << 16:
+                    yield chunk_rows(chunk, pa.concat_arrays(held[0]), *held[1:])
+                    chunk, held, hashes = chunk + 1, ([], [], [], []), 0
+        if held[0]:
+            yield chunk_rows(chunk, pa.concat_arrays(held[0]), *held[1:])
+        trim()
+
+    def meet(rows: pa.Table) -> pa.Table:
+        """Of a part, the rows of each chunk once more for every shingle that another chunk has as well."""
+        from_chunks = rows.filter(rows.column("hashes").is_valid())
+        once = [_decoded(x.as_py()) for x in from_chunks.column("hashes")]
+        every, times = np.unique(np.concatenate([np.empty(0, np.uint64), *once, *[_decoded(x.as_py()) for x in from_chunks.column("many")]]), return_counts=True)
+        owners = []
+        for mine, x in zip(once, from_chunks.column("owners"), strict=True):
+            owners.append(np.frombuffer(x.as_py(), np.uint16)[times[np.searchsorted(every, mine)] > 1].tobytes())
+        answers = from_chunks.set_column(from_chunks.schema.get_field_index("owners"), "owners", pa.array(owners, rows.schema.field("owners").type))
+        names = ["chunk", "owners", *own.names]
+        return pa.concat_tables([answers.select(names), rows.filter(rows.column("hashes").is_null()).select(names)])
+
+    def tally(rows: pa.Table) -> pa.Table:
+        head = rows.filter(rows.column("ids").is_valid()).combine_chunks().to_batches()[0]
+        ids, sets, asked, met = (head.column(c)[0].values for c in own.names)
+        owners = np.concatenate([np.empty(0, np.uint16), *[np.frombuffer(x.as_py(), np.uint16) for x in rows.column("owners") if x.is_valid]])
+        alone = np.bincount(owners, minlength=len(ids)) + met.to_numpy() < asked.to_numpy()
+        return pa.table([ids, sets, pa.array(alone)], ["doc_id", "_set", "alone"])
+
+    sent = docs.select("doc_id", "text").mapInArrow(tell, T.StructType([*told, *own]))
+    answers = sent.groupBy("part").applyInArrow(meet, T.StructType([told["chunk"], told["owners"], *own]))
+    return answers.groupBy("chunk").applyInArrow(tally, T.StructType([T.StructField("doc_id", kind), T.StructField("_set", T.LongType()), T.StructField("alone", T.BooleanType())]))
+
+
 def variants(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """``key`` before the columns of ``fps``: for each bit of ``fp``, its segment with that bit as a wildcard (64 rows)."""
     parts = segments(distance)
@@ -568,16 +673,35 @@ def similar_sets(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHING
     return grouped.join(joined, "component", "left").select("_set", "least", F.coalesce("of", "component").alias("component"))
 
 
+def _of_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """The rows of ``docs`` with one of ``ids (doc_id)``, null among them, or without (``left_semi``, ``left_anti``)."""
+    name = free_name("of_id", docs)
+    ids = ids.select(F.col("doc_id").alias(name))
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col(name)), how)
+
+
 def keep_similar(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
     """One row of each group of ``similar_sets``, with the columns of ``docs``: that with the smallest id.
 
     Rows with a null id stay only where their group has no id; of repeated rows with one id and one set a single one
     stays. Texts without words are one set. Further columns pass through, whatever their names; an empty table gives none.
+    Rows that are alone (``told_apart``) stay as they are; groups are looked for among the others. Only rows that share
+    their id with a row that goes are told apart by their sets.
     """
+    rows = written(told_apart(docs, shingle), "told")
+    others = written(rows.filter("NOT alone").groupBy("doc_id", "_set").agg(F.count("*").alias("n")), "others")
+    some = written(_of_ids(docs.select("doc_id", "text"), others.select("doc_id").distinct(), "left_semi"), "some")
     first = F.min(F.struct(F.col("least").isNull().alias("no_id"), "least", F.col("_set").alias("of"))).alias("first")
-    kept = similar_sets(docs, distance, shingle).groupBy("component").agg(first).select("first.least", "first.of")
+    kept = written(similar_sets(some, distance, shingle).groupBy("component").agg(first).select("first.least", "first.of"), "kept")
+    once = others.join(kept, F.col("doc_id").eqNullSafe(F.col("least")) & (F.col("_set") == F.col("of")) & (F.col("n") == 1), "left_anti")
+    ids = written(once.select("doc_id").distinct(), "ids")
+    alone = rows.filter("alone").select(F.col("doc_id").alias("least"), F.col("_set").alias("of"))
+    kept = kept.unionByName(alone).withColumnRenamed("least", "doc_id")
+    kept = _of_ids(kept, ids, "left_semi").select(F.col("doc_id").alias("least"), "of")
     name = free_name("set", docs)
-    return _picked(with_digests(docs, name, shingle), F.col(name), kept, docs.columns)
+    parted = _picked(with_digests(_of_ids(docs, ids, "left_semi"), name, shingle), F.col(name), kept, docs.columns)
+    return _of_ids(docs, ids, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(parted)
 
 
 def op7_simhash_variants(spark: SparkSession, sf_dir: str) -> DataFrame:

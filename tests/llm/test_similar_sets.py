@@ -79,3 +79,43 @@ def test_spanning_links_connect_the_same():
             return {x: least[x] for x in least if x in {*found[0], *found[1]}}
 
         assert groups(a.tolist(), b.tolist()) == groups(found[0].tolist(), found[1].tolist()) and len(found[0]) < 80
+
+
+def test_groups_are_looked_for_among_texts_that_share_shingles_only(spark, monkeypatch):
+    """Texts of which too few shingles are in any other text get no row in the search for groups, whichever chunk they are in."""
+    rng, sizes, written = np.random.default_rng(7), {}, simhash.written
+
+    def counted(df, label, *more):
+        made = written(df, label, *more)
+        sizes[label] = made.count()
+        return made
+
+    monkeypatch.setattr(simhash, "written", counted)
+    monkeypatch.setattr(simhash, "CHUNK", 1000, raising=False)
+    shared = [f"s{x}" for x in range(40)]  # a passage in every text, lone ones too
+    rows = [(k, " ".join([*[f"w{x}" for x in rng.integers(0, 1 << 40, 100)], *shared])) for k in range(300)]
+    rows += [(1000 + k, rows[k][1] + " tail") for k in range(20)] + [(2000 + k, rows[k][1]) for k in range(20, 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r["doc_id"] for r in simhash.keep_similar(docs, shingle=5).collect()} == set(range(300))
+    assert sizes["sets"] <= 50 and sizes["met"] < 50
+
+
+def test_no_row_with_a_similar_one_is_told_to_be_alone(spark, monkeypatch):
+    rng, rows = np.random.default_rng(8), [(None, None), (0, "  ")]
+    monkeypatch.setattr(simhash, "CHUNK", 200)
+    for n in [1, 3, 5, 6, 8, 9, 10, 13, 14, 20, 29, 60, 150, 400]:
+        for _ in range(6):
+            words = [f"w{x}" for x in rng.integers(0, 1 << 40, n + 4)]
+            cut = max(5, len(words) - int(rng.integers(0, n // 4 + 1)))
+            rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(words[:cut]))]
+            rows.append((len(rows), " ".join([*words[:cut], *[f"v{x}" for x in rng.integers(0, 1 << 40, int(rng.integers(0, n // 4 + 1)))]])))
+    rows += [(len(rows) + k, f"l{k} m{k} n{k} o{k} p{k} q{k}") for k in range(50)]
+    sets = [simhash.shingle_set(t, 5) for _, t in rows]
+    wanted = {}
+    for k, (i, _) in enumerate(rows):
+        shared = [len(np.intersect1d(sets[k], s)) for s in sets]
+        wanted[i] = all(j == k or 10 * shared[j] < 8 * (len(sets[k]) + len(s) - shared[j]) for j, s in enumerate(sets))
+    told = simhash.told_apart(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 5).collect()
+    assert len(told) == len(rows) and {r["doc_id"] for r in told} == set(wanted)
+    assert not [r["doc_id"] for r in told if r["alone"] and not wanted[r["doc_id"]]]
+    assert sum(r["alone"] for r in told) >= 50
