@@ -18,6 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from sitetide.llm.skew import join_hot
 from sitetide.operators.components import connected_components
@@ -38,7 +39,7 @@ SHARED, EACH = 16, 12
 COMMON, MOST = 16, 1 << 18
 #: Shingles of a chunk of texts whose shingles are told to all parts at once (texts are not cut), and characters of text for
 #: each part.
-CHUNK, PART_CHARS = 1 << 20, 1 << 24
+CHUNK, PART_CHARS = 1 << 19, 1 << 23
 #: Bits of a shingle's hash that tell it apart there; two that agree by chance only add a text to those looked at.
 TOLD = 40
 #: A first shingle of more sets gives no pairs of them: these meet in blocks of at most so many sets and hashes.
@@ -232,16 +233,18 @@ def told_apart(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     ship(docs.sparkSession)
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     parts, kind = max(32, chars // PART_CHARS), docs.schema["doc_id"].dataType
+    arrow_kind = to_arrow_type(kind)
     told = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("part", T.IntegerType()), *[T.StructField(c, T.BinaryType()) for c in ("hashes", "many", "owners")]])
     own = T.StructType([T.StructField("ids", T.ArrayType(kind)), T.StructField("sets", T.ArrayType(T.LongType())), *[T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("asked", "met")]])
 
-    def chunk_rows(chunk: int, ids: pa.Array, digests: list[int], asked: list[int], firsts: list[np.ndarray]) -> pa.RecordBatch:
+    def chunk_rows(chunk: int, ids: list, digests: list[int], asked: list[int], firsts: list[np.ndarray]) -> pa.RecordBatch:
         """A row for each part, and one with the chunk's own rows."""
         owner = np.repeat(np.arange(len(firsts), dtype=np.uint16), [len(x) for x in firsts])
-        value, part = np.divmod(np.concatenate(firsts) >> np.uint64(64 - TOLD), np.uint64(parts))
+        value, part = np.divmod(np.concatenate(firsts), np.uint64(parts))
         key = (part << np.uint64(TOLD)) | value
         order = np.argsort(key)
         key, owner = key[order], owner[order]
+        del value, part, order
         starts = np.flatnonzero(np.concatenate((np.ones(min(1, len(key)), bool), key[1:] != key[:-1])))
         times = np.diff(starts, append=len(key))
         met = np.bincount(owner[np.repeat(times > 1, times)], minlength=len(firsts))
@@ -255,8 +258,8 @@ def told_apart(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             [owner[at[k] : at[k + 1]].tobytes() for k in wanted],
         ]
         none = pa.nulls(len(wanted))
-        last = [ids.to_pylist(), np.array(digests, np.uint64).view(np.int64).tolist(), asked, met.tolist()]
-        schema = [pa.list_(ids.type), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32())]
+        last = [ids, np.array(digests, np.uint64).view(np.int64).tolist(), asked, met.tolist()]
+        schema = [pa.list_(arrow_kind), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32())]
         arrays = [pa.array([chunk] * (len(wanted) + 1), pa.int64()), pa.array([*wanted, chunk % parts], pa.int32())]
         arrays += [pa.array([*c, None], pa.binary()) for c in columns]
         arrays += [pa.concat_arrays([none.cast(t), pa.array([x], t)]) for x, t in zip(last, schema, strict=True)]
@@ -268,14 +271,15 @@ def told_apart(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             for k in range(batch.num_rows):
                 found = shingle_set(batch.column(1)[k].as_py(), shingle)
                 firsts, asked = told_shingles(found)
-                for column, x in zip(held, (batch.column(0).slice(k, 1), xxhash.xxh64_intdigest(found.tobytes(), SEED), asked, firsts), strict=True):
+                row = batch.column(0)[k].as_py(), xxhash.xxh64_intdigest(found.tobytes(), SEED), asked, firsts >> np.uint64(64 - TOLD)
+                for column, x in zip(held, row, strict=True):
                     column.append(x)
                 hashes += len(firsts)
                 if hashes >= CHUNK or len(held[0]) == 1 << 16:
-                    yield chunk_rows(chunk, pa.concat_arrays(held[0]), *held[1:])
+                    yield chunk_rows(chunk, *held)
                     chunk, held, hashes = chunk + 1, ([], [], [], []), 0
         if held[0]:
-            yield chunk_rows(chunk, pa.concat_arrays(held[0]), *held[1:])
+            yield chunk_rows(chunk, *held)
         trim()
 
     def meet(rows: pa.Table) -> pa.Table:
@@ -288,6 +292,8 @@ def told_apart(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             owners.append(np.frombuffer(x.as_py(), np.uint16)[times[np.searchsorted(every, mine)] > 1].tobytes())
         answers = from_chunks.set_column(from_chunks.schema.get_field_index("owners"), "owners", pa.array(owners, rows.schema.field("owners").type))
         names = ["chunk", "owners", *own.names]
+        del once, every, times
+        trim()
         return pa.concat_tables([answers.select(names), rows.filter(rows.column("hashes").is_null()).select(names)])
 
     def tally(rows: pa.Table) -> pa.Table:
@@ -295,6 +301,8 @@ def told_apart(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
         ids, sets, asked, met = (head.column(c)[0].values for c in own.names)
         owners = np.concatenate([np.empty(0, np.uint16), *[np.frombuffer(x.as_py(), np.uint16) for x in rows.column("owners") if x.is_valid]])
         alone = np.bincount(owners, minlength=len(ids)) + met.to_numpy() < asked.to_numpy()
+        del owners
+        trim()
         return pa.table([ids, sets, pa.array(alone)], ["doc_id", "_set", "alone"])
 
     sent = docs.select("doc_id", "text").mapInArrow(tell, T.StructType([*told, *own]))
@@ -466,6 +474,7 @@ def _similar(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
                 shared = len(np.intersect1d(met[x], met[y], assume_unique=True))
                 good.append(shared * down >= up * (len(met[x]) + len(met[y]) - shared))
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+        trim()
 
     left = texts.select(F.col("_set").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("_set").alias("b"), F.col("text").alias("tb"))
