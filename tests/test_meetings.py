@@ -81,3 +81,11 @@ def test_packs_hold_documents_that_reach_as_far(spark, monkeypatch):
     packs = similarity.index(spark.createDataFrame(rows, "id long, title string, text string").coalesce(1)).packs
     kinds = [{i % 2 for i in r["ids"]} for r in packs.collect() if len(r["ids"]) >= 32]
     assert kinds and all(len(x) == 1 for x in kinds)
+
+
+def test_files_of_chunks_are_short(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "CHUNK", 10)
+    rows = [(k, None, f"some words of page{k}") for k in range(200)]
+    counts = similarity.term_counts(spark.createDataFrame(rows, "id long, title string, text string").coalesce(1))
+    per = counts.groupBy(F.input_file_name()).count().collect()
+    assert counts.count() >= 20 and max(r["count"] for r in per) <= similarity.TOLD
